@@ -134,3 +134,340 @@ FROM daily""")
 
 sql("forward_label", f"""WITH {SALES_LINES}, {M1_WINDOWS}
 SELECT {M1_FEATURE_COLS} FROM m1_features""")
+
+
+# ---------------------------------------------------------------- entities
+PLAN_CASE = """CASE {k} % 5 WHEN 0 THEN 'free' WHEN 1 THEN 'basic' WHEN 2 THEN 'pro'
+                  WHEN 3 THEN 'enterprise' ELSE 'gold' END"""
+
+CUSTOMERS = """
+cust_orders AS (
+  SELECT o_custkey, max(o_orderdate) AS last_order,
+         CAST(count_if(o_orderstatus = 'F') AS INTEGER) AS total_orders_paid,
+         avg(o_totalprice) / 1000.0 AS avg_order_value,
+         avg(CASE WHEN o_orderstatus = 'P' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS cancellation_rate
+  FROM orders GROUP BY o_custkey
+),
+cust_visits AS (
+  SELECT user_id, CAST(count(*) AS INTEGER) AS profile_visits_count
+  FROM events WHERE event_type = 'view' GROUP BY user_id
+),
+customers AS (
+  SELECT c.c_custkey AS customer_id,
+         CAST(date_diff('day', CAST(co.last_order AS DATE), CAST((SELECT max(o_orderdate) FROM orders) AS DATE)) AS INTEGER)
+           AS days_since_last_order,
+         co.total_orders_paid, co.avg_order_value, co.cancellation_rate, cv.profile_visits_count,
+         CASE c.c_mktsegment WHEN 'AUTOMOBILE' THEN 'cash' WHEN 'BUILDING' THEN 'card'
+              WHEN 'FURNITURE' THEN 'transfer' WHEN 'HOUSEHOLD' THEN 'cash' WHEN 'MACHINERY' THEN 'card' END
+           AS preferred_payment_method
+  FROM customer c
+  LEFT JOIN cust_orders co ON c.c_custkey = co.o_custkey
+  LEFT JOIN cust_visits cv ON c.c_custkey = cv.user_id
+),
+customers_in AS (
+  SELECT customer_id, days_since_last_order, total_orders_paid, avg_order_value,
+         coalesce(cancellation_rate, 0.05::DOUBLE) AS cancellation_rate,
+         coalesce(profile_visits_count, 10) AS profile_visits_count,
+         coalesce(preferred_payment_method, 'cash') AS preferred_payment_method,
+         1.2::DOUBLE AS link_click_to_order_ratio, 'whatsapp' AS preferred_notification,
+         concat_ws('|', CASE WHEN days_since_last_order IS NULL THEN 'missing:days_since_last_order' END,
+                        CASE WHEN total_orders_paid IS NULL THEN 'missing:total_orders_paid' END,
+                        CASE WHEN avg_order_value IS NULL THEN 'missing:avg_order_value' END) AS errors
+  FROM customers
+),
+customers_ok AS (SELECT * FROM customers_in WHERE errors = '')"""
+
+PRODUCTS = f"""
+part_lines AS (
+  SELECT l_partkey, max(l_discount) * 100.0 AS discount_pct,
+         CAST(count(DISTINCT l_suppkey) AS INTEGER) AS images_count
+  FROM lineitem GROUP BY l_partkey
+),
+products AS (
+  SELECT p.p_partkey AS product_id, p.p_retailprice / p.p_size AS price, pl.discount_pct,
+         CAST(p.p_size % 20 - 1 AS INTEGER) AS stock, pl.images_count,
+         CAST(length(p.p_name) * 40 AS INTEGER) AS description_length,
+         CASE WHEN ends_with(p.p_brand, '1') THEN 1 ELSE 0 END AS featured,
+         CASE WHEN p.p_type = 'PROMO' THEN 0 ELSE 1 END AS payment_settings_enabled,
+         {PLAN_CASE.format(k='p.p_partkey')} AS plan_id,
+         lower(p.p_type) AS business_category_slug
+  FROM part p LEFT JOIN part_lines pl ON p.p_partkey = pl.l_partkey
+),
+products_ok AS (
+  SELECT product_id, price, coalesce(discount_pct, 0.0::DOUBLE) AS discount_pct, stock,
+         coalesce(images_count, 3) AS images_count, description_length, featured, payment_settings_enabled,
+         1 AS has_whatsapp, plan_id, business_category_slug
+  FROM products WHERE price IS NOT NULL
+)"""
+
+STORES = f"""
+supp_part AS (
+  SELECT l_suppkey, l_partkey, max(l_discount) AS max_disc FROM lineitem GROUP BY l_suppkey, l_partkey
+),
+per_store AS (
+  SELECT sp.l_suppkey, CAST(count(*) AS INTEGER) AS total_products_active,
+         avg(CASE WHEN p.p_size >= 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS products_with_image_pct,
+         avg(CASE WHEN length(p.p_name) >= 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS products_with_description_pct,
+         avg(CASE WHEN sp.max_disc >= 0.08 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS products_with_discount_pct,
+         avg(p.p_size) / 10.0 AS avg_images_per_product
+  FROM supp_part sp JOIN part p ON sp.l_partkey = p.p_partkey GROUP BY sp.l_suppkey
+),
+stores AS (
+  SELECT s.s_suppkey AS store_id,
+         CASE WHEN s.s_acctbal > 0 THEN 1 ELSE 0 END AS payment_settings_enabled,
+         CASE WHEN s.s_acctbal > 1000 THEN 1 ELSE 0 END AS hero_has_cta,
+         CAST(floor(s.s_nationkey / 2) AS INTEGER) AS navigation_menu_items_count,
+         ps.products_with_image_pct, ps.products_with_description_pct, ps.total_products_active,
+         ps.products_with_discount_pct, ps.avg_images_per_product,
+         {PLAN_CASE.format(k='s.s_suppkey')} AS plan_id
+  FROM supplier s LEFT JOIN per_store ps ON s.s_suppkey = ps.l_suppkey
+),
+stores_ok AS (
+  SELECT store_id, payment_settings_enabled, hero_has_cta, navigation_menu_items_count,
+         1 AS has_custom_logo, 1 AS has_cover_image,
+         coalesce(products_with_image_pct, 0.80::DOUBLE) AS products_with_image_pct,
+         coalesce(products_with_description_pct, 0.60::DOUBLE) AS products_with_description_pct,
+         coalesce(products_with_discount_pct, 0.25::DOUBLE) AS products_with_discount_pct,
+         coalesce(avg_images_per_product, 2.5::DOUBLE) AS avg_images_per_product,
+         coalesce(total_products_active, 60) AS total_products_active, plan_id
+  FROM stores
+)"""
+
+CONTENT = """
+recent_events AS (
+  SELECT * FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 30 DAY
+),
+content_g AS (
+  SELECT user_id,
+         CAST(count_if(event_type = 'click') AS INTEGER) AS posts_count_30d,
+         CAST(count_if(event_type = 'view') AS INTEGER) AS stories_count_30d,
+         avg(CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS pct_posts_with_video,
+         (max(CASE WHEN event_type = 'click' THEN epoch_us(ts) END)
+          - min(CASE WHEN event_type = 'click' THEN epoch_us(ts) END)) / 86400e6 AS span_days,
+         avg(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS pct_1_2_star,
+         avg(value) AS mean_value,
+         count_if(event_type = 'signup') AS signups,
+         count_if(event_type = 'error') AS errors_n,
+         count_if(event_type = 'purchase') AS purchases_n
+  FROM recent_events GROUP BY user_id
+),
+content AS (
+  SELECT user_id AS account_id, posts_count_30d, stories_count_30d, pct_posts_with_video,
+         CASE WHEN posts_count_30d >= 2 THEN span_days / (posts_count_30d - 1) END AS days_between_posts,
+         greatest(1.0::DOUBLE, least(5.0::DOUBLE, 5.5::DOUBLE - mean_value / 20.0::DOUBLE)) AS avg_rating,
+         pct_1_2_star, mean_value / 1000.0::DOUBLE AS post_engagement_rate,
+         CASE WHEN signups > 0 THEN 1 ELSE 0 END AS has_tiktok,
+         CASE WHEN errors_n > purchases_n THEN 0 ELSE 1 END AS has_whatsapp
+  FROM content_g
+),
+content_ok AS (
+  SELECT account_id, coalesce(posts_count_30d, 10) AS posts_count_30d,
+         coalesce(stories_count_30d, 20) AS stories_count_30d,
+         coalesce(pct_posts_with_video, 0.50::DOUBLE) AS pct_posts_with_video,
+         coalesce(days_between_posts, 3.0::DOUBLE) AS days_between_posts,
+         coalesce(avg_rating, 4.5::DOUBLE) AS avg_rating, coalesce(pct_1_2_star, 0.05::DOUBLE) AS pct_1_2_star,
+         coalesce(post_engagement_rate, 0.04::DOUBLE) AS post_engagement_rate,
+         1 AS has_instagram, coalesce(has_tiktok, 1) AS has_tiktok, 1 AS has_facebook,
+         coalesce(has_whatsapp, 1) AS has_whatsapp
+  FROM content
+)"""
+
+# ---------------------------------------------------------------- scorecards
+SALES_SCORE = """CAST(round(least(0.0
+  + CASE WHEN price BETWEEN 5 AND 200 THEN 0.20 WHEN price < 5 OR price > 500 THEN 0.05 ELSE 0.12 END
+  + CASE WHEN discount_pct >= 10 THEN 0.15 WHEN discount_pct > 0 THEN 0.08 ELSE 0.0 END
+  + CASE WHEN stock = 0 THEN 0.0 WHEN stock = -1 OR stock >= 10 THEN 0.15 ELSE 0.08 END
+  + CASE WHEN images_count >= 4 THEN 0.15 WHEN images_count >= 2 THEN 0.10 WHEN images_count = 1 THEN 0.04 ELSE 0.0 END
+  + CASE WHEN description_length >= 400 THEN 0.10 WHEN description_length >= 150 THEN 0.06
+         WHEN description_length >= 50 THEN 0.02 ELSE 0.0 END
+  + CASE WHEN payment_settings_enabled = 1 THEN 0.10 ELSE 0.0 END
+  + CASE WHEN has_whatsapp = 1 THEN 0.05 ELSE 0.0 END
+  + CASE WHEN featured = 1 THEN 0.05 ELSE 0.0 END
+  + CASE plan_id WHEN 'free' THEN 0.0 WHEN 'basic' THEN 0.03 WHEN 'pro' THEN 0.05 WHEN 'enterprise' THEN 0.05 ELSE 0.02 END
+  , 1.0), 4) AS DOUBLE)"""
+
+CHURN_SCORE = """CAST(round(least(0.0
+  + CASE WHEN days_since_last_order >= 60 THEN 0.30 WHEN days_since_last_order >= 30 THEN 0.20
+         WHEN days_since_last_order >= 14 THEN 0.08 ELSE 0.0 END
+  + CASE WHEN total_orders_paid = 0 THEN 0.25 WHEN total_orders_paid = 1 THEN 0.18
+         WHEN total_orders_paid <= 3 THEN 0.08 ELSE 0.0 END
+  + CASE WHEN avg_order_value < 20 THEN 0.10 WHEN avg_order_value < 50 THEN 0.05 ELSE 0.0 END
+  + CASE WHEN cancellation_rate >= 0.30 THEN 0.15 WHEN cancellation_rate >= 0.12 THEN 0.08 ELSE 0.0 END
+  + CASE WHEN profile_visits_count >= 10 AND total_orders_paid = 0 THEN 0.10
+         WHEN profile_visits_count = 0 THEN 0.08 ELSE 0.0 END
+  + CASE WHEN preferred_payment_method = 'cash' THEN 0.05 ELSE 0.0 END
+  , 1.0), 4) AS DOUBLE)"""
+
+DESIGN_SCORE = """CAST(round(greatest(least(0.0
+  + CASE WHEN payment_settings_enabled = 1 THEN 0.20 ELSE 0.0 END
+  + CASE WHEN hero_has_cta = 1 THEN 0.12 ELSE 0.0 END
+  + CASE WHEN has_custom_logo = 1 THEN 0.06 ELSE 0.0 END
+  + CASE WHEN has_cover_image = 1 THEN 0.06 ELSE 0.0 END
+  + CASE WHEN products_with_image_pct >= 0.90 THEN 0.12 WHEN products_with_image_pct >= 0.70 THEN 0.08
+         WHEN products_with_image_pct >= 0.50 THEN 0.04 ELSE 0.0 END
+  + CASE WHEN products_with_description_pct >= 0.80 THEN 0.10 WHEN products_with_description_pct >= 0.55 THEN 0.06
+         WHEN products_with_description_pct >= 0.30 THEN 0.02 ELSE 0.0 END
+  + CASE WHEN avg_images_per_product >= 3.0 THEN 0.08 WHEN avg_images_per_product >= 2.0 THEN 0.05 ELSE 0.0 END
+  + CASE WHEN navigation_menu_items_count BETWEEN 3 AND 8 THEN 0.05
+         WHEN navigation_menu_items_count > 12 THEN -0.03 ELSE 0.0 END
+  + CASE WHEN products_with_discount_pct >= 0.20 THEN 0.06 WHEN products_with_discount_pct >= 0.05 THEN 0.03 ELSE 0.0 END
+  + CASE plan_id WHEN 'free' THEN 0.0 WHEN 'basic' THEN 0.03 WHEN 'pro' THEN 0.06 WHEN 'enterprise' THEN 0.06 ELSE 0.02 END
+  , 1.0), 0.0), 4) AS DOUBLE)"""
+
+GROWTH_SCORE = """CAST(round(greatest(least(0.0
+  + CASE WHEN days_between_posts <= 1.5 THEN 0.18 WHEN days_between_posts <= 3.0 THEN 0.12
+         WHEN days_between_posts <= 5.0 THEN 0.05 ELSE 0.0 END
+  + CASE WHEN posts_count_30d >= 15 THEN 0.10 WHEN posts_count_30d >= 8 THEN 0.06
+         WHEN posts_count_30d >= 3 THEN 0.02 ELSE 0.0 END
+  + CASE WHEN stories_count_30d >= 25 THEN 0.08 WHEN stories_count_30d >= 12 THEN 0.05 ELSE 0.0 END
+  + CASE WHEN pct_posts_with_video >= 0.60 THEN 0.10 WHEN pct_posts_with_video >= 0.35 THEN 0.06
+         WHEN pct_posts_with_video >= 0.15 THEN 0.02 ELSE 0.0 END
+  + CASE WHEN post_engagement_rate >= 0.06 THEN 0.12 WHEN post_engagement_rate >= 0.03 THEN 0.07
+         WHEN post_engagement_rate >= 0.01 THEN 0.03 ELSE 0.0 END
+  + CASE WHEN avg_rating >= 4.7 THEN 0.08 WHEN avg_rating >= 4.2 THEN 0.05 WHEN avg_rating < 3.5 THEN -0.05 ELSE 0.0 END
+  + CASE WHEN pct_1_2_star <= 0.05 THEN 0.04 WHEN pct_1_2_star >= 0.20 THEN -0.04 ELSE 0.0 END
+  + CASE WHEN has_instagram + has_tiktok + has_facebook + has_whatsapp >= 3 THEN 0.08
+         WHEN has_instagram + has_tiktok + has_facebook + has_whatsapp >= 2 THEN 0.05
+         WHEN has_instagram + has_tiktok + has_facebook + has_whatsapp = 1 THEN 0.02 ELSE 0.0 END
+  , 1.0), 0.0), 4) AS DOUBLE)"""
+
+SALES_RECS = """coalesce(nullif(concat_ws('|',
+    CASE WHEN discount_pct = 0 THEN 'try_small_discount' END,
+    CASE WHEN images_count < 3 THEN 'add_photos' END,
+    CASE WHEN description_length < 150 THEN 'improve_description' END,
+    CASE WHEN stock = 0 THEN 'restock' END,
+    CASE WHEN payment_settings_enabled = 0 THEN 'enable_online_payments' END), ''), 'listing_ok_ab_test_price')"""
+CHURN_RECS = """coalesce(nullif(concat_ws('|',
+    CASE WHEN days_since_last_order >= 30 THEN 'winback_message' END,
+    CASE WHEN total_orders_paid <= 1 THEN 'second_purchase_campaign' END,
+    CASE WHEN cancellation_rate >= 0.12 THEN 'reduce_friction' END,
+    CASE WHEN profile_visits_count >= 15 AND total_orders_paid = 0 THEN 'intent_coupon' END,
+    CASE WHEN preferred_payment_method = 'cash' THEN 'offer_card_or_transfer' END), ''), 'healthy_upsell')"""
+DESIGN_RECS = """coalesce(nullif(concat_ws('|',
+    CASE WHEN payment_settings_enabled = 0 THEN 'enable_online_payments' END,
+    CASE WHEN hero_has_cta = 0 THEN 'add_hero_cta' END,
+    CASE WHEN navigation_menu_items_count > 9 THEN 'shorten_menu' END,
+    CASE WHEN products_with_image_pct < 0.75 THEN 'add_product_photos' END,
+    CASE WHEN products_with_description_pct < 0.55 THEN 'improve_descriptions' END,
+    CASE WHEN avg_images_per_product < 2.0 THEN 'more_images_per_product' END), ''), 'design_ok_ab_test')"""
+GROWTH_RECS = """coalesce(nullif(concat_ws('|',
+    CASE WHEN pct_posts_with_video < 0.45 THEN 'more_video' END,
+    CASE WHEN days_between_posts > 4 THEN 'post_more_often' END,
+    CASE WHEN stories_count_30d < 12 THEN 'more_stories' END,
+    CASE WHEN post_engagement_rate < 0.03 THEN 'improve_engagement' END,
+    CASE WHEN pct_1_2_star > 0.10 THEN 'handle_bad_reviews' END,
+    CASE WHEN avg_rating < 4.2 THEN 'improve_reputation' END,
+    CASE WHEN has_whatsapp = 0 THEN 'enable_whatsapp' END), ''), 'content_ok_ab_test')"""
+
+CARD_SQL = {
+    # kind: (entity CTEs, valid table, key, score, threshold, labels, recs)
+    "sales": (PRODUCTS, "products_ok", "product_id", SALES_SCORE, 0.55, ("wont_sell", "will_sell"), SALES_RECS),
+    "churn": (CUSTOMERS, "customers_ok", "customer_id", CHURN_SCORE, 0.40, ("stable", "at_risk"), CHURN_RECS),
+    "design": (STORES, "stores_ok", "store_id", DESIGN_SCORE, 0.50, ("medium_low", "high_conversion"), DESIGN_RECS),
+    "growth": (CONTENT, "content_ok", "account_id", GROWTH_SCORE, 0.45, ("stable_or_down", "will_grow"), GROWTH_RECS),
+}
+
+
+def scored_cte(kind: str) -> str:
+    ctes, table, key, score, thr, labels, recs = CARD_SQL[kind]
+    return f"""{ctes},
+{kind}_scored AS (
+  SELECT *, {score} AS probability FROM {table}
+),
+{kind}_pred AS (
+  SELECT *, CAST(probability >= {thr} AS INTEGER) AS prediction, CAST({thr} AS DOUBLE) AS threshold,
+         CASE WHEN probability >= {thr} THEN '{labels[1]}' ELSE '{labels[0]}' END AS label,
+         {recs} AS recommendations
+  FROM {kind}_scored
+)"""
+
+
+sql("customer_features", f"""WITH {CUSTOMERS}
+SELECT customer_id, days_since_last_order, total_orders_paid, round(avg_order_value, 6) AS avg_order_value,
+       round(cancellation_rate, 6) AS cancellation_rate, profile_visits_count, preferred_payment_method
+FROM customers""")
+sql("product_facts", f"""WITH {PRODUCTS}
+SELECT product_id, round(price, 6) AS price, round(discount_pct, 6) AS discount_pct, stock, images_count,
+       description_length, featured, payment_settings_enabled, plan_id, business_category_slug FROM products""")
+sql("store_facts", f"""WITH {STORES}
+SELECT store_id, payment_settings_enabled, hero_has_cta, navigation_menu_items_count,
+       round(products_with_image_pct, 6) AS products_with_image_pct,
+       round(products_with_description_pct, 6) AS products_with_description_pct, total_products_active,
+       round(products_with_discount_pct, 6) AS products_with_discount_pct,
+       round(avg_images_per_product, 6) AS avg_images_per_product, plan_id FROM stores""")
+sql("content_facts", f"""WITH {CONTENT}
+SELECT account_id, posts_count_30d, stories_count_30d, round(pct_posts_with_video, 6) AS pct_posts_with_video,
+       round(days_between_posts, 6) AS days_between_posts, round(avg_rating, 6) AS avg_rating,
+       round(pct_1_2_star, 6) AS pct_1_2_star, round(post_engagement_rate, 6) AS post_engagement_rate,
+       has_tiktok, has_whatsapp FROM content""")
+
+for _kind, (_c, _t, _key, *_rest) in CARD_SQL.items():
+    sql(f"score_{_kind}", f"WITH {scored_cte(_kind)}\nSELECT {_key}, probability, prediction FROM {_kind}_pred")
+    sql(f"recommend_{_kind}", f"WITH {scored_cte(_kind)}\nSELECT {_key}, recommendations FROM {_kind}_pred")
+    sql(f"predict_{_kind}", f"""WITH {scored_cte(_kind)}
+SELECT {_key}, probability, prediction, label, threshold, recommendations FROM {_kind}_pred""")
+
+sql("confidence_band", f"""WITH {scored_cte('sales')}
+SELECT product_id, probability,
+       CASE WHEN probability > 0.7 THEN 'high' WHEN probability >= 0.4 THEN 'moderate' ELSE 'low' END AS confidence
+FROM sales_pred""")
+
+sql("plan_bonus", f"""WITH {PRODUCTS}
+SELECT product_id, plan_id,
+  CAST(CASE plan_id WHEN 'free' THEN 0.0 WHEN 'basic' THEN 0.03 WHEN 'pro' THEN 0.05 WHEN 'enterprise' THEN 0.05 ELSE 0.02 END AS DOUBLE) AS sales_plan_bonus,
+  CAST(CASE plan_id WHEN 'free' THEN 0.0 WHEN 'basic' THEN 0.03 WHEN 'pro' THEN 0.06 WHEN 'enterprise' THEN 0.06 ELSE 0.02 END AS DOUBLE) AS design_plan_bonus
+FROM products""")
+
+sql("apply_defaults", f"""WITH {CUSTOMERS}
+SELECT customer_id, days_since_last_order, total_orders_paid, round(avg_order_value, 6) AS avg_order_value,
+       round(cancellation_rate, 6) AS cancellation_rate, profile_visits_count, preferred_payment_method,
+       link_click_to_order_ratio, preferred_notification
+FROM customers_in""")
+
+sql("validate_split", f"""WITH {CUSTOMERS}
+SELECT customer_id, CASE WHEN errors = '' THEN 'valid' ELSE 'rejected' END AS status, errors FROM customers_in""")
+
+sql("derive_total_spent", f"""WITH {CUSTOMERS}
+SELECT customer_id, round(total_orders_paid * avg_order_value, 6) AS total_spent, 1 AS registered FROM customers_ok""")
+
+sql("align_columns", f"""WITH {PRODUCTS}
+SELECT round(price, 6) AS price, round(discount_pct, 6) AS discount_pct, stock, images_count, description_length,
+       featured, CAST(NULL AS INTEGER) AS has_specifications, plan_id, business_category_slug FROM products""")
+
+sql("filter_isin", f"""WITH {PRODUCTS}
+SELECT product_id, round(price, 6) AS price, round(discount_pct, 6) AS discount_pct, stock, images_count,
+       description_length, featured, payment_settings_enabled, plan_id, business_category_slug
+FROM products WHERE plan_id IN ('basic', 'pro')""")
+
+sql("store_report", f"""WITH {scored_cte('design')}, {scored_cte('sales')}, {scored_cte('growth')},
+pairs AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem),
+sales_by_store AS (
+  SELECT pr.l_suppkey AS store_id, avg(s.probability) AS sales_mean_probability, count(*) AS products_scored
+  FROM pairs pr JOIN sales_pred s ON pr.l_partkey = s.product_id GROUP BY pr.l_suppkey
+)
+SELECT d.store_id, d.probability AS design_probability, d.prediction AS design_prediction,
+       round(sb.sales_mean_probability, 6) AS sales_mean_probability, sb.products_scored,
+       g.probability AS growth_probability, g.prediction AS growth_prediction
+FROM design_pred d
+LEFT JOIN sales_by_store sb ON d.store_id = sb.store_id
+LEFT JOIN growth_pred g ON d.store_id = g.account_id""")
+
+sql("top_products", f"""WITH {scored_cte('sales')}
+SELECT product_id, probability, prediction FROM sales_pred ORDER BY probability DESC, product_id LIMIT 20""")
+sql("top_risk_customers", f"""WITH {scored_cte('churn')}
+SELECT customer_id, probability, prediction FROM churn_pred ORDER BY probability DESC, customer_id LIMIT 50""")
+sql("top_filtered", f"""WITH {scored_cte('sales')},
+cats AS (SELECT DISTINCT business_category_slug FROM sales_pred ORDER BY 1 LIMIT 3)
+SELECT product_id, business_category_slug, plan_id, probability FROM sales_pred
+WHERE business_category_slug IN (SELECT business_category_slug FROM cats)
+ORDER BY probability DESC, product_id LIMIT 20""")
+sql("distinct_sorted", f"""WITH {PRODUCTS}
+SELECT DISTINCT business_category_slug AS value FROM products""")
+sql("histogram_40", f"""WITH {scored_cte('sales')},
+b AS (SELECT CAST(least(greatest(floor(probability * 40), 0), 39) AS INTEGER) AS bin FROM sales_pred
+      WHERE probability IS NOT NULL)
+SELECT bin, count(*) AS n, round(bin / 40.0, 6) AS bin_lo, round((bin + 1) / 40.0, 6) AS bin_hi FROM b GROUP BY bin""")
+sql("kpi_strip", f"""WITH {scored_cte('sales')}
+SELECT CAST(0.55 AS DOUBLE) AS threshold, round(avg(probability), 6) AS mean_probability,
+       round(avg(CASE WHEN probability >= 0.55 THEN 1.0 ELSE 0.0 END), 6) AS predicted_rate, count(*) AS n_rows
+FROM sales_pred""")
