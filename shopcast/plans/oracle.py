@@ -471,3 +471,190 @@ sql("kpi_strip", f"""WITH {scored_cte('sales')}
 SELECT CAST(0.55 AS DOUBLE) AS threshold, round(avg(probability), 6) AS mean_probability,
        round(avg(CASE WHEN probability >= 0.55 THEN 1.0 ELSE 0.0 END), 6) AS predicted_rate, count(*) AS n_rows
 FROM sales_pred""")
+
+
+# ---------------------------------------------------------------- evaluation
+def scored_sql(label: str = "quality") -> str:
+    return f"""
+scored AS (
+  SELECT l.doc_id, round(d.n_chars / (d.n_chars + 1000.0::DOUBLE), 4) AS score, CAST(l.{label} AS INTEGER) AS label
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id
+)"""
+
+
+CONFUSION_05 = """
+cm AS (
+  SELECT CAST(count_if(score < 0.5 AND label <> 1) AS BIGINT) AS tn,
+         CAST(count_if(score >= 0.5 AND label <> 1) AS BIGINT) AS fp,
+         CAST(count_if(score < 0.5 AND label = 1) AS BIGINT) AS fn,
+         CAST(count_if(score >= 0.5 AND label = 1) AS BIGINT) AS tp
+  FROM scored
+)"""
+
+RATES = """tn, fp, fn, tp,
+  round(CASE WHEN tp + fp <> 0 THEN tp / (tp + fp) ELSE 0.0 END, 6) AS precision,
+  round(CASE WHEN tp + fn <> 0 THEN tp / (tp + fn) ELSE 0.0 END, 6) AS recall,
+  round(CASE WHEN 2 * tp + fp + fn <> 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 6) AS f1,
+  round(CASE WHEN tp + tn + fp + fn <> 0 THEN (tp + tn) / (tp + tn + fp + fn) ELSE 0.0 END, 6) AS accuracy"""
+
+GRID = """
+grid AS (SELECT CAST(range AS INTEGER) AS i, range / 200.0::DOUBLE AS thr FROM range(10, 191)),
+grid_counts AS (
+  SELECT g.i, g.thr,
+         count_if(s.score >= g.thr AND s.label = 1) AS tp, count_if(s.score >= g.thr AND s.label <> 1) AS fp,
+         count_if(s.score < g.thr AND s.label = 1) AS fn, count_if(s.score < g.thr AND s.label <> 1) AS tn
+  FROM grid g, scored s WHERE s.score IS NOT NULL GROUP BY g.i, g.thr
+),
+grid_f1 AS (
+  SELECT i, thr, tp, fp, fn, tn,
+         CASE WHEN 2 * tp + fp + fn <> 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1
+  FROM grid_counts
+),
+grid_best AS (SELECT * FROM grid_f1 ORDER BY f1 DESC, i ASC LIMIT 1)"""
+
+CURVE = """
+score_counts AS (
+  SELECT score, count_if(label = 1) AS pos, count_if(label <> 1) AS neg FROM scored
+  WHERE score IS NOT NULL GROUP BY score
+),
+totals AS (SELECT sum(pos) AS P, sum(neg) AS N FROM score_counts),
+curve AS (
+  SELECT score AS threshold, pos, neg,
+         sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+         sum(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp,
+         sum(neg) OVER (ORDER BY score ASC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS neg_below0
+  FROM score_counts
+),
+pr AS (
+  SELECT c.*, coalesce(c.neg_below0, 0) AS neg_below, t.P, t.N,
+         CASE WHEN c.tp + c.fp <> 0 THEN c.tp / (c.tp + c.fp) ELSE 0.0 END AS precision,
+         CASE WHEN t.P > 0 THEN c.tp / t.P ELSE 1.0 END AS recall
+  FROM curve c, totals t
+)"""
+
+ROC = """SELECT CASE WHEN max(P) > 0 AND max(N) > 0
+   THEN round(CAST(sum(pos * (neg_below + 0.5 * neg)) AS DOUBLE) / CAST(max(P) * max(N) AS DOUBLE), 6) END AS roc_auc
+FROM pr"""
+
+AP = """SELECT CASE WHEN max(P) > 0 THEN round(coalesce(sum(CASE WHEN pos > 0 THEN pos / P * (tp / (tp + fp)) END), 0.0), 6) END
+  AS average_precision FROM pr"""
+
+PR_F1 = """SELECT round(threshold, 6) AS threshold, round(f1, 6) AS f1 FROM (
+  SELECT threshold, 2 * precision * recall / (precision + recall + 1e-9) AS f1 FROM pr
+) ORDER BY f1 DESC, threshold ASC LIMIT 1"""
+
+sql("confusion_matrix", f"WITH {scored_sql()}, {CONFUSION_05}\nSELECT * FROM cm")
+sql("f1_accuracy", f"WITH {scored_sql()}, {CONFUSION_05}\nSELECT {RATES} FROM cm")
+for _name, _lab in (("threshold_grid_f1", "quality"), ("threshold_grid_f1_toxic", "toxic")):
+    sql(_name, f"""WITH {scored_sql(_lab)}, {GRID}
+SELECT round(thr, 6) AS threshold, round(f1, 6) AS f1, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
+       CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn FROM grid_best""")
+sql("threshold_pr_f1", f"WITH {scored_sql()}, {CURVE}\n{PR_F1}")
+sql("threshold_pr_f1_toxic", f"WITH {scored_sql('toxic')}, {CURVE}\n{PR_F1}")
+sql("pr_curve", f"""WITH {scored_sql()}, {CURVE}
+SELECT round(threshold, 6) AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
+       round(precision, 6) AS precision, round(recall, 6) AS recall FROM pr""")
+sql("roc_auc", f"WITH {scored_sql()}, {CURVE}\n{ROC}")
+sql("roc_auc_toxic", f"WITH {scored_sql('toxic')}, {CURVE}\n{ROC}")
+sql("average_precision", f"WITH {scored_sql()}, {CURVE}\n{AP}")
+
+sql("classification_report", f"""WITH {scored_sql()}, {CONFUSION_05},
+per_class AS (
+  SELECT '0' AS class,
+         CASE WHEN tn + fn <> 0 THEN tn / (tn + fn) ELSE 0.0 END AS precision,
+         CASE WHEN tn + fp <> 0 THEN tn / (tn + fp) ELSE 0.0 END AS recall, CAST(tn + fp AS DOUBLE) AS support
+  FROM cm
+  UNION ALL
+  SELECT '1', CASE WHEN tp + fp <> 0 THEN tp / (tp + fp) ELSE 0.0 END,
+         CASE WHEN tp + fn <> 0 THEN tp / (tp + fn) ELSE 0.0 END, CAST(tp + fn AS DOUBLE) FROM cm
+),
+rows_ AS (
+  SELECT class, precision, recall,
+         CASE WHEN precision + recall <> 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1, support
+  FROM per_class
+),
+allrows AS (
+  SELECT * FROM rows_
+  UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM rows_
+  UNION ALL SELECT 'weighted avg',
+         CASE WHEN sum(support) <> 0 THEN sum(precision * support) / sum(support) ELSE 0.0 END,
+         CASE WHEN sum(support) <> 0 THEN sum(recall * support) / sum(support) ELSE 0.0 END,
+         CASE WHEN sum(support) <> 0 THEN sum(f1 * support) / sum(support) ELSE 0.0 END, sum(support) FROM rows_
+)
+SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       CAST(support AS BIGINT) AS support FROM allrows""")
+
+sql("metrics_record", f"""WITH {scored_sql()}, {GRID}, {CURVE},
+cm AS (
+  SELECT CAST(count_if(score < (SELECT thr FROM grid_best) AND label <> 1) AS BIGINT) AS tn,
+         CAST(count_if(score >= (SELECT thr FROM grid_best) AND label <> 1) AS BIGINT) AS fp,
+         CAST(count_if(score < (SELECT thr FROM grid_best) AND label = 1) AS BIGINT) AS fn,
+         CAST(count_if(score >= (SELECT thr FROM grid_best) AND label = 1) AS BIGINT) AS tp,
+         avg(CAST(label AS DOUBLE)) AS pos_rate_test,
+         avg(CASE WHEN score >= (SELECT thr FROM grid_best) THEN 1.0 ELSE 0.0 END) AS pred_rate_test,
+         count(*) AS n_test
+  FROM scored
+)
+SELECT round((SELECT thr FROM grid_best), 6) AS threshold, round((SELECT f1 FROM grid_best), 6) AS f1_best,
+       ({ROC}) AS roc_auc, ({AP}) AS pr_auc, tn, fp, fn, tp,
+       round(pos_rate_test, 6) AS pos_rate_test, round(pred_rate_test, 6) AS pred_rate_test, n_test
+FROM cm""")
+
+sql("class_weights", f"""WITH {scored_sql()},
+c AS (SELECT label, count(*) AS n_class FROM scored GROUP BY label)
+SELECT label, n_class, round((SELECT sum(n_class) FROM c) / ((SELECT count(*) FROM c) * n_class), 6) AS weight FROM c""")
+
+sql("majority_class", f"""WITH {scored_sql()}
+SELECT label AS majority_label FROM (SELECT label, count(*) AS n FROM scored GROUP BY label)
+ORDER BY n DESC, label ASC LIMIT 1""")
+
+sql("select_champion", f"""WITH {scored_sql()}, {CURVE},
+prior AS (SELECT avg(CAST(label AS DOUBLE)) AS p FROM scored),
+cands AS (
+  SELECT 'logistic_regression' AS model, ({AP}) AS pr_auc, 0 AS priority
+  UNION ALL
+  SELECT 'random_forest', CASE WHEN (SELECT sum(label) FROM scored) > 0 THEN (SELECT p FROM prior) END, 1
+)
+SELECT model AS champion, round(pr_auc, 6) AS best_pr_auc FROM cands ORDER BY pr_auc DESC, priority ASC LIMIT 1""")
+
+STRAT = """
+ranked AS (
+  SELECT doc_id, label,
+         row_number() OVER (PARTITION BY label ORDER BY md5(CAST(doc_id AS VARCHAR) || '42'), doc_id) AS rk,
+         count(*) OVER (PARTITION BY label) AS n_c
+  FROM scored
+),
+strat AS (
+  SELECT doc_id, label, CASE WHEN rk <= round(0.2 * n_c) THEN 'test' ELSE 'train' END AS split FROM ranked
+)"""
+
+sql("stratified_split", f"WITH {scored_sql()}, {STRAT}\nSELECT doc_id, label, split FROM strat")
+sql("positive_rate_by_split", f"""WITH {scored_sql()}, {STRAT}
+SELECT split, count(*) AS n_rows, round(avg(label), 6) AS mean_label FROM strat GROUP BY split""")
+sql("baseline_majority", f"""WITH {scored_sql()}, {STRAT},
+maj AS (SELECT label FROM (SELECT label, count(*) AS n FROM strat WHERE split = 'train' GROUP BY label)
+        ORDER BY n DESC, label ASC LIMIT 1),
+cm AS (
+  SELECT CAST(count_if(m.label <> 1 AND s.label <> 1) AS BIGINT) AS tn,
+         CAST(count_if(m.label = 1 AND s.label <> 1) AS BIGINT) AS fp,
+         CAST(count_if(m.label <> 1 AND s.label = 1) AS BIGINT) AS fn,
+         CAST(count_if(m.label = 1 AND s.label = 1) AS BIGINT) AS tp
+  FROM strat s, maj m WHERE s.split = 'test'
+)
+SELECT {RATES} FROM cm""")
+
+sql("temporal_split", f"""WITH {SALES_LINES}, {M1_WINDOWS},
+pos AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS p FROM m1_features),
+cutoff AS (SELECT date FROM pos WHERE p = (SELECT CAST(floor(count(*) * 0.8) AS BIGINT) FROM m1_features))
+SELECT stock_code, date,
+       CASE WHEN (SELECT count(*) FROM cutoff) = 0 OR date <= (SELECT date FROM cutoff) THEN 'train' ELSE 'test' END AS split
+FROM m1_features""")
+sql("ordered_split", """
+SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY o_orderkey) <= floor(count(*) OVER () * 0.8)
+                        THEN 'train' ELSE 'test' END AS split
+FROM orders""")
+sql("composite_ordered_split", """
+SELECT o_custkey, o_orderdate, o_orderkey,
+       CASE WHEN row_number() OVER (ORDER BY o_custkey, o_orderdate, o_orderkey) <= floor(count(*) OVER () * 0.8)
+            THEN 'train' ELSE 'test' END AS split
+FROM orders""")

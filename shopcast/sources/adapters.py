@@ -88,5 +88,6 @@ def scored(spark: SparkSession, sf_dir: str, label: str = "quality") -> DataFram
     dc = load_table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     return (lb.join(dc, "doc_id")
               .select("doc_id",
-                      F.round(F.col("n_chars") / (F.col("n_chars") + F.lit(1000.0)), 4).alias("score"),
+                      (F.round(F.col("n_chars") / (F.col("n_chars") + F.lit(1000.0)) * F.lit(1e4))
+                       / F.lit(1e4)).alias("score"),
                       F.col(label).cast("int").alias("label")))
