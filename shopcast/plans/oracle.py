@@ -658,3 +658,99 @@ SELECT o_custkey, o_orderdate, o_orderkey,
        CASE WHEN row_number() OVER (ORDER BY o_custkey, o_orderdate, o_orderkey) <= floor(count(*) OVER () * 0.8)
             THEN 'train' ELSE 'test' END AS split
 FROM orders""")
+
+
+# ---------------------------------------------------------------- preparation
+WEB_EVENTS = """
+web_events AS (
+  SELECT event_id,
+         user_id * 100000 + (CAST(ts AS DATE) - DATE '1970-01-01') AS ga_session_id,
+         user_id,
+         CASE user_id % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'ES' ELSE 'MX' END AS country,
+         CASE user_id % 4 WHEN 0 THEN 'desktop' WHEN 1 THEN 'Mobile Safari' WHEN 2 THEN 'mobile' ELSE NULL END AS device,
+         CASE event_type WHEN 'view' THEN 'page_view' WHEN 'click' THEN 'add_to_cart'
+              WHEN 'purchase' THEN 'purchase' ELSE event_type END AS type,
+         CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id,
+         ts AS date, value
+  FROM events
+),
+flagged AS (
+  SELECT *, CAST(coalesce(type = 'purchase', false) AS INTEGER) AS is_purchase,
+            CAST(coalesce(type = 'page_view', false) AS INTEGER) AS is_pageview,
+            CAST(coalesce(type = 'add_to_cart', false) AS INTEGER) AS is_add_to_cart
+  FROM web_events
+),
+sessions_g AS (
+  SELECT ga_session_id,
+         arg_min(user_id, event_id) FILTER (WHERE user_id IS NOT NULL) AS user_id,
+         arg_min(country, event_id) FILTER (WHERE country IS NOT NULL) AS country,
+         arg_min(device, event_id) FILTER (WHERE device IS NOT NULL) AS device,
+         count(type) AS events_count,
+         CAST(sum(is_pageview) AS BIGINT) AS pageviews_count,
+         CAST(sum(is_add_to_cart) AS BIGINT) AS add_to_cart_count,
+         CAST(sum(is_purchase) AS BIGINT) AS purchases,
+         count(DISTINCT item_id) AS unique_items_viewed,
+         min(date) AS session_date
+  FROM flagged WHERE ga_session_id IS NOT NULL GROUP BY ga_session_id
+),
+sessions AS (
+  SELECT *, CAST(purchases > 0 AS INTEGER) AS high_conversion_session,
+         CAST(isodow(session_date) - 1 AS INTEGER) AS session_day_of_week,
+         CAST(month(session_date) AS INTEGER) AS session_month,
+         CAST(coalesce(contains(lower(device), 'mobile'), false) AS INTEGER) AS is_mobile,
+         CAST(pageviews_count <= 1 AS INTEGER) AS bounce
+  FROM sessions_g
+)"""
+
+sql("session_rollup", f"WITH {WEB_EVENTS}\nSELECT * FROM sessions")
+sql("bounce_rate", f"""WITH {WEB_EVENTS}
+SELECT device, count(*) AS sessions, round(avg(bounce), 6) AS bounce_rate,
+       round(avg(high_conversion_session), 6) AS conversion_rate FROM sessions GROUP BY device""")
+sql("event_flags", f"WITH {WEB_EVENTS}\nSELECT event_id, is_purchase, is_pageview, is_add_to_cart FROM flagged")
+sql("contains_ci", f"""WITH {WEB_EVENTS}
+SELECT event_id, device, coalesce(contains(lower(device), 'mobile'), false) AS is_mobile FROM web_events""")
+sql("drop_required_nulls", f"WITH {WEB_EVENTS}\nSELECT event_id, device, type FROM web_events WHERE device IS NOT NULL")
+sql("fill_null_constants", f"""WITH {WEB_EVENTS}
+SELECT event_id, coalesce(device, '') AS device, coalesce(item_id, -1) AS item_id FROM web_events""")
+sql("parse_ts_coerce", """
+SELECT o_orderkey,
+       try_strptime(trim(CASE WHEN o_orderstatus = 'P' THEN o_orderpriority ELSE CAST(o_orderdate AS VARCHAR) END),
+                    '%Y-%m-%d %H:%M:%S') AS order_ts
+FROM orders""")
+sql("parse_num_coerce", """
+SELECT l_orderkey, l_linenumber,
+       CASE WHEN isnan(TRY_CAST(trim(t) AS DOUBLE)) THEN NULL ELSE TRY_CAST(trim(t) AS DOUBLE) END AS tax
+FROM (SELECT l_orderkey, l_linenumber,
+             CASE WHEN l_linestatus = 'O' THEN ' ' || CAST(l_tax AS VARCHAR) || ' ' ELSE l_returnflag END AS t
+      FROM lineitem)""")
+sql("map_binary_label", """
+SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 ELSE NULL END AS label FROM orders""")
+sql("flag_cancelled", f"WITH {SALES_LINES}\nSELECT invoice_no, stock_code, quantity, is_cancel FROM clean_lines")
+sql("line_total", f"WITH {SALES_LINES}\nSELECT invoice_no, stock_code, round(line_total, 6) AS line_total FROM clean_lines")
+sql("floor_day", f"WITH {SALES_LINES}\nSELECT invoice_no, stock_code, invoice_date, date FROM clean_lines")
+sql("avg_text_length", f"""WITH {SALES_LINES}
+SELECT stock_code, CAST(trunc(avg(length(description))) AS INTEGER) AS description_length
+FROM clean_lines GROUP BY stock_code""")
+sql("calendar_features", """
+SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date,
+       CAST(isodow(o_orderdate) - 1 AS INTEGER) AS day_of_week, CAST(month(o_orderdate) AS INTEGER) AS month,
+       CAST(weekofyear(o_orderdate) AS INTEGER) AS week_of_year,
+       CAST(isodow(o_orderdate) - 1 >= 5 AS INTEGER) AS is_weekend
+FROM orders""")
+sql("constant_defaults", f"""WITH {SALES_LINES}
+SELECT stock_code, date, 0 AS featured, 1 AS images_count, 0 AS has_specifications,
+       CAST(0.0 AS DOUBLE) AS discount_pct, -1 AS stock, 'basic' AS plan_id, 'store' AS business_type_slug,
+       'retail' AS business_category_slug, 1 AS payment_settings_enabled, 1 AS has_whatsapp
+FROM daily""")
+sql("trim_incomplete_future", f"""WITH {SALES_LINES}
+SELECT stock_code, date FROM daily WHERE date <= (SELECT max(date) FROM daily) - INTERVAL 7 DAY""")
+sql("feature_projection", f"""WITH {SALES_LINES}, {M1_WINDOWS}
+SELECT round(price, 6) AS price, description_length,
+  round(product_sales_7d, 6) AS product_sales_7d, round(product_sales_30d, 6) AS product_sales_30d,
+  round(product_revenue_7d, 6) AS product_revenue_7d, round(product_revenue_30d, 6) AS product_revenue_30d,
+  round(product_unique_buyers_30d, 6) AS product_unique_buyers_30d,
+  round(product_cancelled_rate_30d, 6) AS product_cancelled_rate_30d,
+  product_last_sale_days_ago, day_of_week, month, week_of_year, is_weekend,
+  featured, images_count, has_specifications, discount_pct, stock, plan_id, business_type_slug,
+  business_category_slug, payment_settings_enabled, has_whatsapp
+FROM m1_features""")
