@@ -46,4 +46,4 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 # Importing the modules registers their queries.
-from shopcast.plans import queries_eval, queries_m1, queries_prep, queries_scoring  # noqa: E402,F401
+from shopcast.plans import queries_eval, queries_m1, queries_ml, queries_prep, queries_scoring  # noqa: E402,F401

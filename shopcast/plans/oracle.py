@@ -754,3 +754,59 @@ SELECT round(price, 6) AS price, description_length,
   featured, images_count, has_specifications, discount_pct, stock, plan_id, business_type_slug,
   business_category_slug, payment_settings_enabled, has_whatsapp
 FROM m1_features""")
+
+
+# ---------------------------------------------------------------- features, models, files
+sql("impute_median", f"""WITH {PRODUCTS}
+SELECT 'price' AS feature, round(CAST(median(price) AS DOUBLE), 6) AS median FROM products
+UNION ALL SELECT 'discount_pct', round(CAST(median(discount_pct) AS DOUBLE), 6) FROM products
+UNION ALL SELECT 'images_count', round(CAST(median(images_count) AS DOUBLE), 6) FROM products
+UNION ALL SELECT 'description_length', round(CAST(median(description_length) AS DOUBLE), 6) FROM products""")
+
+sql("impute_mode", f"""WITH {PRODUCTS},
+m1 AS (SELECT plan_id AS v, count(*) AS n FROM products WHERE plan_id IS NOT NULL GROUP BY 1),
+m2 AS (SELECT business_category_slug AS v, count(*) AS n FROM products WHERE business_category_slug IS NOT NULL GROUP BY 1)
+SELECT 'plan_id' AS feature, (SELECT v FROM m1 ORDER BY n DESC, v ASC LIMIT 1) AS mode
+UNION ALL SELECT 'business_category_slug', (SELECT v FROM m2 ORDER BY n DESC, v ASC LIMIT 1)""")
+
+sql("standardize", f"""WITH {PRODUCTS},
+mo AS (SELECT avg(price) AS mp, stddev_pop(price) AS sp, avg(description_length) AS md,
+              stddev_pop(description_length) AS sd FROM products)
+SELECT product_id,
+       round((price - mp) / CASE WHEN sp IS NULL OR sp = 0 THEN 1.0 ELSE sp END, 6) AS price_z,
+       round((description_length - md) / CASE WHEN sd IS NULL OR sd = 0 THEN 1.0 ELSE sd END, 6) AS description_length_z
+FROM products, mo""")
+
+sql("one_hot", f"""WITH {CUSTOMERS}
+SELECT customer_id,
+       CAST(coalesce(preferred_payment_method = 'card', false) AS INTEGER) AS pay_card,
+       CAST(coalesce(preferred_payment_method = 'cash', false) AS INTEGER) AS pay_cash,
+       CAST(coalesce(preferred_payment_method = 'transfer', false) AS INTEGER) AS pay_transfer
+FROM customers""")
+
+sql("score_linear", f"""WITH {WEB_EVENTS}
+SELECT ga_session_id, round(p, 6) AS probability, CAST(p >= 0.5 AS INTEGER) AS prediction
+FROM (SELECT ga_session_id,
+             1.0 / (1.0 + exp(-(-2.0 + 0.05 * events_count + 0.10 * pageviews_count + 0.30 * add_to_cart_count
+                                + 0.02 * unique_items_viewed - 0.20 * is_mobile - 0.50 * bounce))) AS p
+      FROM sessions)""")
+
+sql("scan_parquet", """
+SELECT l_orderkey, l_partkey, l_extendedprice FROM lineitem
+WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_discount > 0.05""")
+
+sql("scan_csv_na_tokens", """
+SELECT o_orderkey, CASE WHEN o_orderstatus IN ('P', 'O') THEN NULL ELSE o_orderpriority END AS o_orderpriority,
+       round(o_totalprice, 6) AS o_totalprice, o_orderdate
+FROM orders""")
+
+sql("sink_split_parquet", f"""WITH {SALES_LINES}, {M1_WINDOWS},
+pos AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS p FROM m1_features),
+cutoff AS (SELECT date FROM pos WHERE p = (SELECT CAST(floor(count(*) * 0.8) AS BIGINT) FROM m1_features)),
+sp AS (SELECT will_sell_next_7d, CASE WHEN date <= (SELECT date FROM cutoff) THEN 'train' ELSE 'test' END AS split
+       FROM m1_features)
+SELECT split, count(*) AS n_rows, round(avg(will_sell_next_7d), 6) AS positive_rate FROM sp GROUP BY split""")
+
+sql("metrics_json", ORACLE["metrics_record"])
+
+sql("score_stream", ORACLE["predict_sales"])
