@@ -29,9 +29,14 @@ def with_constants(df: DataFrame, constants: Mapping[str, object]) -> DataFrame:
     return df.withColumns({k: F.lit(v) for k, v in constants.items()})
 
 
-def trim_incomplete_future(df: DataFrame, date_col: str = "date", days: int = 7) -> DataFrame:
-    """Keep rows up to max(date) - ``days`` (the last days have no full future)."""
-    latest = df.select(F.max(date_col)).scalar()
+def trim_incomplete_future(df: DataFrame, date_col: str = "date", days: int = 7,
+                           dates_from: DataFrame | None = None) -> DataFrame:
+    """Keep rows up to max(date) - ``days`` (the last days have no full future).
+
+    ``dates_from`` may name a cheaper frame with the same dates (e.g. the table
+    before its window columns) so the scalar subquery does not recompute them.
+    """
+    latest = (dates_from if dates_from is not None else df).select(F.max(date_col)).scalar()
     return df.filter(F.col(date_col) <= F.date_sub(latest, days))
 
 

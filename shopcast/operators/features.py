@@ -51,8 +51,8 @@ def exact_median(df: DataFrame, col: str) -> float | None:
     n = vals.count()
     if n == 0:
         return None
-    lo = key_at_position(vals, ["v"], (n - 1) // 2)[0]
-    hi = lo if n % 2 == 1 else key_at_position(vals, ["v"], n // 2)[0]
+    lo = key_at_position(vals, ["v"], position=(n - 1) // 2)[2][0]
+    hi = lo if n % 2 == 1 else key_at_position(vals, ["v"], position=n // 2)[2][0]
     return (lo + hi) / 2.0
 
 

@@ -73,30 +73,50 @@ def running_totals(df: DataFrame, key: str, value_cols: Sequence[str],
                .drop("_bucket", *[f"_in_{c}" for c in value_cols], *[f"_off_{c}" for c in value_cols]))
 
 
-def key_at_position(df: DataFrame, keys: Sequence[str], position: int) -> tuple | None:
-    """Key tuple of the row at 0-based ``position`` in the order of ``keys``.
-
-    Level by level: count rows per value of the leading key, find the value
-    whose running count passes ``position``, then continue inside that value
-    with the next key.  Each level returns one row to the driver.
-    Returns None when position is outside 0..n-1.
+def _locate(counts: DataFrame, k: str, pos: int, n_distinct: int):
+    ranked = running_totals(counts, k, ["_n"], n_rows=n_distinct)
+    return (ranked.filter((F.col("cum__n") > pos) & (F.col("cum__n") - F.col("_n") <= pos))
+                  .select(k, (F.col("cum__n") - F.col("_n")).alias("_before"), "_n").first())
+
+
+def key_at_position(df: DataFrame, keys: Sequence[str], position: int | None = None,
+                    fraction: float | None = None) -> tuple[int, int, tuple | None]:
+    """(n, position, key tuple) of the row at 0-based ``position`` in the order of ``keys``.
+
+    Give ``position`` or ``fraction`` (position = int(fraction * n)).  Level by
+    level: count rows per value of the leading key, find the value whose
+    running count passes the position, continue inside that value with the
+    next key.  Each level's count table is cached only while it is searched;
+    each level returns one row to the driver.  The tuple is None when the
+    position is outside 0..n-1, and a prefix of ``keys`` once that prefix
+    already identifies a single row (``lexi_less`` accepts prefixes).
     """
-    if position < 0:
-        return None
     found = []
     cur = df
     pos = position
+    n_total = None
     for k in keys:
-        counts = cur.groupBy(k).agg(F.count(F.lit(1)).alias("_n"))
-        ranked = running_totals(counts, k, ["_n"])
-        hit = (ranked.filter((F.col("cum__n") > pos) & (F.col("cum__n") - F.col("_n") <= pos))
-                     .select(k, (F.col("cum__n") - F.col("_n")).alias("_before")).first())
+        counts = cur.groupBy(k).agg(F.count(F.lit(1)).alias("_n")).filter(F.col(k).isNotNull()).persist()
+        try:
+            stats = counts.agg(F.count(F.lit(1)).alias("d"), F.sum("_n").alias("n")).first()
+            if n_total is None:
+                n_total = int(stats["n"] or 0)
+                if pos is None:
+                    pos = int(n_total * fraction)
+                if pos < 0 or pos >= n_total:
+                    return n_total, pos, None
+            hit = _locate(counts, k, pos, int(stats["d"]))
+        finally:
+            counts.unpersist()
         if hit is None:
-            return None
+            return n_total, position if position is not None else pos, None
         found.append(hit[0])
+        if int(hit["_n"]) == 1:
+            break              # the prefix already pins a single row
         pos -= int(hit["_before"])
         cur = cur.filter(F.col(k) == F.lit(hit[0]))
-    return tuple(found)
+    start = position if position is not None else int(n_total * fraction)
+    return n_total, start, tuple(found)
 
 
 def lexi_less(keys: Sequence[str], values: Sequence) -> Column:

@@ -18,9 +18,7 @@ from shopcast.operators.ordering import key_at_position, lexi_less
 def temporal_split(df: DataFrame, time_col: str, frac: float = 0.8,
                    out: str = "split") -> DataFrame:
     """cutoff = value at sorted position int(frac * n); train <= cutoff < test."""
-    n = df.count()
-    cut = int(n * frac)
-    hit = key_at_position(df, [time_col], cut)
+    _, _, hit = key_at_position(df, [time_col], fraction=frac)
     if hit is None:  # empty table or cut == n: everything is train
         return df.withColumn(out, F.lit("train"))
     return df.withColumn(out, F.when(F.col(time_col) <= F.lit(hit[0]), "train").otherwise("test"))
@@ -33,9 +31,7 @@ def ordered_split(df: DataFrame, order: Sequence[str], frac: float = 0.8,
     ``order`` must be a total order (unique key tuple); a composite order like
     (store, week, id) is handled key by key.
     """
-    n = df.count()
-    cut = int(n * frac)
-    hit = key_at_position(df, list(order), cut)
+    _, _, hit = key_at_position(df, list(order), fraction=frac)
     if hit is None:
         return df.withColumn(out, F.lit("train"))
     return df.withColumn(out, F.when(lexi_less(order, hit), "train").otherwise("test"))
@@ -70,6 +66,6 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_frac: float =
             continue
         if t <= 0:
             continue
-        hit = key_at_position(keyed.filter(in_class), order, t)
+        _, _, hit = key_at_position(keyed.filter(in_class), order, position=t)
         cond = cond | (in_class & lexi_less(order, hit))
     return keyed.withColumn(out, F.when(cond, "test").otherwise("train")).drop("_h1", "_h2")

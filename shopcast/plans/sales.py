@@ -72,4 +72,7 @@ def product_day_features(lines: DataFrame, trim: bool = True) -> DataFrame:
              .withColumns(calendar_columns("date"))
              .transform(lambda d: with_constants(d, M1_CONSTANTS))
              .filter(F.col("product_sales_30d").isNotNull()))
-    return trim_incomplete_future(feats, "date", 7) if trim else feats
+    # product_sales_30d is never null (the current row is in its frame), so the
+    # latest date of ``daily`` is the latest date of ``feats``: the subquery
+    # then needs no window.
+    return trim_incomplete_future(feats, "date", 7, dates_from=daily) if trim else feats

@@ -26,8 +26,9 @@ def test_key_at_position_bucketed(spark, force_buckets):
     df = spark.range(0, 3000).select((F.col("id") % 50).alias("a"), (F.col("id") * 7 % 3000).alias("b"))
     rows = sorted((r["a"], r["b"]) for r in df.collect())
     for pos in (0, 1, 1499, 2999):
-        assert ordering.key_at_position(df, ["a", "b"], pos) == rows[pos]
-    assert ordering.key_at_position(df, ["a", "b"], 3000) is None
+        assert ordering.key_at_position(df, ["a", "b"], position=pos)[2] == rows[pos]
+    assert ordering.key_at_position(df, ["a", "b"], position=3000)[2] is None
+    assert ordering.key_at_position(df, ["a", "b"], fraction=0.5)[1:] == (1500, rows[1500])
 
 
 def test_ordered_split_exact(spark):
