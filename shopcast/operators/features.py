@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopcast.operators.ordering import key_at_position
+from shopcast.operators.ordering import running_totals
 
 MAX_CATEGORIES = 10_000
 
@@ -46,13 +46,28 @@ def split_by_type(schema: T.StructType, exclude: Sequence[str] = ()) -> tuple[li
 
 
 def exact_median(df: DataFrame, col: str) -> float | None:
-    """Median with interpolation of the two middle values; nulls ignored."""
+    """Median with interpolation of the two middle values; nulls and NaN ignored.
+
+    One count table per distinct value, one running-total pass, and the two
+    middle order statistics read together (at most two rows to the driver).
+    """
     vals = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    n = vals.count()
-    if n == 0:
-        return None
-    lo = key_at_position(vals, ["v"], position=(n - 1) // 2)[2][0]
-    hi = lo if n % 2 == 1 else key_at_position(vals, ["v"], position=n // 2)[2][0]
+    counts = vals.groupBy("v").agg(F.count(F.lit(1)).alias("_n")).persist()
+    try:
+        st = counts.agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("d")).first()
+        n = int(st["n"] or 0)
+        if n == 0:
+            return None
+        lo_pos, hi_pos = (n - 1) // 2, n // 2
+        ranked = running_totals(counts, "v", ["_n"], n_rows=int(st["d"]))
+        before = F.col("cum__n") - F.col("_n")
+        hits = (ranked.filter(((F.col("cum__n") > lo_pos) & (before <= lo_pos))
+                              | ((F.col("cum__n") > hi_pos) & (before <= hi_pos)))
+                      .select("v", before.alias("b"), "cum__n").collect())
+    finally:
+        counts.unpersist()
+    lo = next(r["v"] for r in hits if r["b"] <= lo_pos < r["cum__n"])
+    hi = next(r["v"] for r in hits if r["b"] <= hi_pos < r["cum__n"])
     return (lo + hi) / 2.0
 
 

@@ -30,6 +30,15 @@ def confusion(df: DataFrame, threshold: float = 0.5, score: str = "score",
         F.count_if(~p & y).alias("fn"), F.count_if(p & y).alias("tp"))
 
 
+def confusion_from_counts(counts: DataFrame, threshold) -> DataFrame:
+    """E1 from the per-score count table (``threshold`` may be a Column)."""
+    thr = threshold if isinstance(threshold, F.Column) else F.lit(threshold)
+    p, q = F.col("score") >= thr, F.col("score") < thr
+    return counts.agg(*[F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).cast("long").alias(name)
+                        for name, cond, c in (("tn", q, "neg"), ("fp", p, "neg"),
+                                              ("fn", q, "pos"), ("tp", p, "pos"))])
+
+
 def with_rates(cm: DataFrame) -> DataFrame:
     """Precision, recall, F1 and accuracy from a confusion row (0 when undefined)."""
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
@@ -42,15 +51,22 @@ def with_rates(cm: DataFrame) -> DataFrame:
 
 
 def score_counts(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Positives and negatives per distinct score."""
+    """(score, pos, neg): positives and negatives per distinct score, null scores as one group.
+
+    Every metric below can start from this table, which has one row per
+    distinct score instead of one per scored row.
+    """
     y = F.col(label) == 1
-    return (df.filter(F.col(score).isNotNull())
-              .groupBy(score).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")))
+    return (df.groupBy(F.col(score).alias("score"))
+              .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")))
 
 
-def curve(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def curve(df: DataFrame, score: str = "score", label: str = "label", counts: DataFrame | None = None) -> DataFrame:
     """Per distinct score s: tp/fp of the rule score >= s, with totals P and N."""
-    counts = score_counts(df, score, label)
+    if counts is None:
+        counts = score_counts(df, score, label)
+    counts = counts.filter(F.col("score").isNotNull())
+    score = "score"
     totals = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     P, N = totals.select("P").scalar(), totals.select("N").scalar()
     rt = running_totals(counts, score, ["pos", "neg"])
@@ -62,39 +78,43 @@ def curve(df: DataFrame, score: str = "score", label: str = "label") -> DataFram
         P.alias("P"), N.alias("N"))
 
 
-def pr_curve(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def pr_curve(df: DataFrame, score: str = "score", label: str = "label",
+             counts: DataFrame | None = None) -> DataFrame:
     """E5: precision/recall per distinct threshold (recall 1 when there is no positive)."""
-    c = curve(df, score, label)
+    c = curve(df, score, label, counts)
     tp, fp = F.col("tp").cast("double"), F.col("fp").cast("double")
     return c.select("threshold", "tp", "fp",
                     _safe_div(tp, tp + fp).alias("precision"),
                     F.when(F.col("P") > 0, tp / F.col("P")).otherwise(F.lit(1.0)).alias("recall"))
 
 
-def threshold_pr_f1(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def threshold_pr_f1(df: DataFrame, score: str = "score", label: str = "label",
+                    counts: DataFrame | None = None) -> DataFrame:
     """Threshold of max F1 (with 1e-9 in the denominator) over the PR curve.
 
     Ties go to the lowest threshold; an empty curve falls back to 0.5.
     """
-    pr = pr_curve(df, score, label).withColumn(
+    pr = pr_curve(df, score, label, counts).withColumn(
         "f1", 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + F.lit(1e-9)))
     best = pr.agg(F.max_by(F.struct("threshold", "f1"), F.struct(F.col("f1"), -F.col("threshold"))).alias("b"))
     return best.select(F.coalesce(F.col("b.threshold"), F.lit(0.5)).alias("threshold"),
                        F.coalesce(F.col("b.f1"), F.lit(0.0)).alias("f1"))
 
 
-def roc_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def roc_auc(df: DataFrame, score: str = "score", label: str = "label",
+            counts: DataFrame | None = None) -> DataFrame:
     """ROC-AUC by rank sums over distinct scores (ties count one half)."""
-    c = curve(df, score, label)
+    c = curve(df, score, label, counts)
     s = c.agg(F.sum(F.col("pos") * (F.col("neg_below") + F.lit(0.5) * F.col("neg"))).alias("u"),
               F.first("P").alias("P"), F.first("N").alias("N"))
     return s.select(F.when((F.col("P") > 0) & (F.col("N") > 0),
                            F.col("u") / (F.col("P") * F.col("N"))).alias("roc_auc"))
 
 
-def average_precision(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def average_precision(df: DataFrame, score: str = "score", label: str = "label",
+                      counts: DataFrame | None = None) -> DataFrame:
     """Step-wise average precision, sum over thresholds of dRecall * precision."""
-    c = curve(df, score, label)
+    c = curve(df, score, label, counts)
     prec = F.col("tp") / (F.col("tp") + F.col("fp"))
     s = c.agg(F.sum(F.when(F.col("pos") > 0, F.col("pos") / F.col("P") * prec)).alias("ap"),
               F.first("P").alias("P"))
@@ -110,12 +130,17 @@ def grid_cell(score: str) -> F.Column:
     return F.least(F.greatest(b, F.lit(GRID_LO - 1)), F.lit(GRID_HI)).cast("int")
 
 
-def threshold_grid(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def threshold_grid(df: DataFrame, score: str = "score", label: str = "label",
+                   counts: DataFrame | None = None) -> DataFrame:
     """F1 and counts for every grid threshold 0.05, 0.055, .., 0.95 (181 rows)."""
-    y = F.col(label) == 1
-    cells = (df.filter(F.col(score).isNotNull()).groupBy(grid_cell(score).alias("i"))
-               .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")))
-    spark = df.sparkSession
+    if counts is None:
+        y = F.col(label) == 1
+        cells = (df.filter(F.col(score).isNotNull()).groupBy(grid_cell(score).alias("i"))
+                   .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")))
+    else:
+        cells = (counts.filter(F.col("score").isNotNull()).groupBy(grid_cell("score").alias("i"))
+                       .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    spark = (df if df is not None else counts).sparkSession
     grid = spark.range(GRID_LO - 1, GRID_HI + 1).select(F.col("id").cast("int").alias("i"))
     g = grid.join(F.broadcast(cells), "i", "left").na.fill(0, ["pos", "neg"])
     # <= 182 rows: an unpartitioned window over a fixed-size grid.
@@ -130,9 +155,10 @@ def threshold_grid(df: DataFrame, score: str = "score", label: str = "label") ->
         "i", "threshold", "f1", "tp", "fp", "fn", "tn")
 
 
-def threshold_grid_f1(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def threshold_grid_f1(df: DataFrame, score: str = "score", label: str = "label",
+                      counts: DataFrame | None = None) -> DataFrame:
     """Best grid threshold by F1; the first (lowest) threshold wins a tie."""
-    g = threshold_grid(df, score, label)
+    g = threshold_grid(df, score, label, counts)
     best = g.agg(F.max_by(F.struct("threshold", "f1", "tp", "fp", "fn", "tn"),
                           F.struct(F.col("f1"), -F.col("i"))).alias("b"))
     return best.select("b.*")
@@ -164,6 +190,30 @@ def classification_report(cm: DataFrame) -> DataFrame:
     return out.withColumn("support", F.col("support").cast("long"))
 
 
+def metrics_record(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """Grid F1 and threshold, ROC-AUC, average precision, confusion at the
+    tuned threshold, rates and size, in one row.
+
+    The raw rows are read once: they collapse to the per-score count table,
+    which is checkpointed (lineage cut, reliable storage) and feeds every metric.
+    """
+    counts = score_counts(df, score, label).checkpoint(eager=True)
+    best_row = threshold_grid_f1(None, counts=counts).first()     # one row of a 181-row grid
+    thr = F.lit(best_row["threshold"])
+    cm = confusion_from_counts(counts, thr)
+    scored = counts.filter(F.col("score").isNotNull())
+    n_all = counts.agg(F.sum(F.col("pos") + F.col("neg"))).scalar()
+    return cm.select(
+        thr.alias("threshold"), F.lit(best_row["f1"]).alias("f1_best"),
+        roc_auc(None, counts=counts).scalar().alias("roc_auc"),
+        average_precision(None, counts=counts).scalar().alias("pr_auc"),
+        "tn", "fp", "fn", "tp",
+        (counts.agg(F.sum("pos")).scalar() / n_all).alias("pos_rate_test"),
+        (scored.agg(F.sum(F.when(F.col("score") >= thr, F.col("pos") + F.col("neg")))).scalar()
+         / n_all).alias("pred_rate_test"),
+        n_all.alias("n_test"))
+
+
 def kpi_strip(df: DataFrame, threshold: float, score: str = "score") -> DataFrame:
     """Threshold, mean probability and predicted-positive rate."""
     return df.agg(F.lit(threshold).alias("threshold"), F.avg(score).alias("mean_probability"),

@@ -70,21 +70,7 @@ def q_report(spark, sf):
     return round_doubles(E.classification_report(E.confusion(scored(spark, sf), 0.5)))
 
 
-def metrics_record(df):
-    """One record per evaluation (grid F1, AUCs, confusion at the tuned threshold, rates)."""
-    best = E.threshold_grid_f1(df)
-    thr = best.select("threshold").scalar()
-    cm = E.confusion(df.withColumn("_pred", (F.col("score") >= thr).cast("int")), pred="_pred")
-    rates = df.agg(F.avg(F.col("label").cast("double")).alias("pos_rate_test"),
-                   F.avg((F.col("score") >= thr).cast("double")).alias("pred_rate_test"),
-                   F.count(F.lit(1)).alias("n_test"))
-    return cm.select(
-        thr.alias("threshold"), best.select("f1").scalar().alias("f1_best"),
-        E.roc_auc(df).scalar().alias("roc_auc"), E.average_precision(df).scalar().alias("pr_auc"),
-        "tn", "fp", "fn", "tp",
-        rates.select("pos_rate_test").scalar().alias("pos_rate_test"),
-        rates.select("pred_rate_test").scalar().alias("pred_rate_test"),
-        rates.select("n_test").scalar().alias("n_test"))
+metrics_record = E.metrics_record
 
 
 @query("metrics_record")

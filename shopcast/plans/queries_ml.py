@@ -70,7 +70,7 @@ def _session_frame(spark, sf):
 @query("feature_matrix")
 def q_feature_matrix(spark, sf):
     s, num, cat = _session_frame(spark, sf)
-    sp = S.stratified_split(s, "label", "ga_session_id", 0.2, 42)
+    sp = S.stratified_split(s, "label", "ga_session_id", 0.2, 42).checkpoint(eager=True)
     model = FE.column_transformer(num, cat).fit(sp.filter(F.col("split") == "train"))   # FE7
     out = model.transform(sp)
     arr = vector_to_array("features")
@@ -80,7 +80,9 @@ def q_feature_matrix(spark, sf):
 
 def _train_and_score(spark, sf, estimator_factory):
     s, num, cat = _session_frame(spark, sf)
-    sp = M.with_class_weights(S.stratified_split(s, "label", "ga_session_id", 0.2, 42))
+    # Fitting runs many passes (statistics, optimizer iterations): materialise
+    # the split, weighted table once instead of re-running the rollup each time.
+    sp = M.with_class_weights(S.stratified_split(s, "label", "ga_session_id", 0.2, 42)).checkpoint(eager=True)
     train = sp.filter(F.col("split") == "train")
     total_w = train.agg(F.sum("weight")).first()[0]
     prep = FE.column_transformer(num, cat)
