@@ -96,3 +96,13 @@ def clip(c: ColumnOrName, lo: float | None = None, hi: float | None = None) -> C
 def round4(c: ColumnOrName) -> Column:
     """Round to 4 digits."""
     return F.round(_c(c), 4)
+
+
+def money_mean(c: ColumnOrName, scale: int = 2) -> Column:
+    """Mean of a money column, summed exactly as decimal(38, scale).
+
+    A double sum depends on the order rows arrive in; the decimal sum does not,
+    so the mean is the same double on every run and every engine.
+    """
+    col = _c(c)
+    return F.sum(col.cast(f"decimal(38,{scale})")).cast("double") / F.count(col)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shopcast.functions.cleaning import money_mean
+
 from shopcast.sources.adapters import PAYMENT_BY_SEGMENT, PLANS, pick
 from shopcast.sources.tables import load_table
 
@@ -28,7 +30,7 @@ def customer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_cust = orders.groupBy("o_custkey").agg(
         F.max("o_orderdate").alias("last_order"),
         F.count_if(F.col("o_orderstatus") == "F").cast("int").alias("total_orders_paid"),
-        (F.avg("o_totalprice") / F.lit(1000.0)).alias("avg_order_value"),
+        (money_mean("o_totalprice") / F.lit(1000.0)).alias("avg_order_value"),
         F.avg(F.when(F.col("o_orderstatus") == "P", 1.0).otherwise(0.0)).alias("cancellation_rate"))
     events = load_table(spark, sf_dir, "events").select("user_id", "event_type")
     visits = (events.filter(F.col("event_type") == "view").groupBy("user_id")

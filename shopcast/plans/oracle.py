@@ -144,7 +144,7 @@ CUSTOMERS = """
 cust_orders AS (
   SELECT o_custkey, max(o_orderdate) AS last_order,
          CAST(count_if(o_orderstatus = 'F') AS INTEGER) AS total_orders_paid,
-         avg(o_totalprice) / 1000.0 AS avg_order_value,
+         CAST(sum(CAST(o_totalprice AS DECIMAL(38,2))) AS DOUBLE) / count(o_totalprice) / 1000.0 AS avg_order_value,
          avg(CASE WHEN o_orderstatus = 'P' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS cancellation_rate
   FROM orders GROUP BY o_custkey
 ),
@@ -810,3 +810,82 @@ SELECT split, count(*) AS n_rows, round(avg(will_sell_next_7d), 6) AS positive_r
 sql("metrics_json", ORACLE["metrics_record"])
 
 sql("score_stream", ORACLE["predict_sales"])
+
+
+# ---------------------------------------------------------------- M4 and M2 chains
+CONTENT_WEEKS = """
+weekly AS (
+  SELECT user_id AS store_id, CAST(date_trunc('week', ts) AS DATE) AS week,
+         CAST(count_if(event_type = 'click') AS INTEGER) AS posts_count_week,
+         CAST(count_if(event_type = 'view') AS INTEGER) AS stories_count_week,
+         avg(CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS pct_posts_with_video,
+         avg(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS pct_1_2_star,
+         avg(value) / 1000.0::DOUBLE AS post_engagement_rate,
+         CAST(count(*) AS INTEGER) AS profile_visits,
+         CAST(count_if(event_type = 'signup') AS INTEGER) AS new_customers
+  FROM events GROUP BY 1, 2
+),
+weeks_next AS (
+  SELECT w.*, n.profile_visits AS nv, n.new_customers AS nc
+  FROM weekly w LEFT JOIN weekly n ON n.store_id = w.store_id AND n.week = w.week + INTERVAL 7 DAY
+),
+content_weeks AS (
+  SELECT store_id, week, posts_count_week, stories_count_week, pct_posts_with_video, pct_1_2_star,
+         post_engagement_rate, profile_visits, new_customers,
+         CAST(coalesce(nv, 0) AS INTEGER) AS profile_visits_next_week,
+         CAST(coalesce(nc, 0) AS INTEGER) AS new_customers_next_week,
+         CAST(coalesce(nv, 0) > profile_visits AS INTEGER) AS growth_next_week
+  FROM weeks_next WHERE week < (SELECT max(week) FROM weekly)
+)"""
+
+sql("content_weeks", f"""WITH {CONTENT_WEEKS}
+SELECT store_id, week, posts_count_week, stories_count_week, round(pct_posts_with_video, 6) AS pct_posts_with_video,
+       round(pct_1_2_star, 6) AS pct_1_2_star, round(post_engagement_rate, 6) AS post_engagement_rate,
+       profile_visits, new_customers, profile_visits_next_week, new_customers_next_week, growth_next_week
+FROM content_weeks""")
+
+sql("growth_split", f"""WITH {CONTENT_WEEKS},
+sp AS (SELECT growth_next_week,
+              CASE WHEN row_number() OVER (ORDER BY store_id, week) <= floor(count(*) OVER () * 0.8)
+                   THEN 'train' ELSE 'test' END AS split FROM content_weeks)
+SELECT split, count(*) AS n_rows, round(avg(growth_next_week), 6) AS mean_growth_next_week FROM sp GROUP BY split""")
+
+CHURN_TABLE = """
+cutoff AS (SELECT CAST((SELECT max(o_orderdate) FROM orders) AS DATE) - INTERVAL 180 DAY AS c),
+o AS (SELECT o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS d FROM orders),
+past AS (
+  SELECT o_custkey, max(d) AS last_order,
+         CAST(count_if(o_orderstatus = 'F') AS INTEGER) AS total_orders_paid,
+         CAST(sum(CAST(o_totalprice AS DECIMAL(38,2))) AS DOUBLE) / count(o_totalprice) / 1000.0 AS avg_order_value,
+         avg(CASE WHEN o_orderstatus = 'P' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS cancellation_rate
+  FROM o WHERE d <= (SELECT c FROM cutoff) GROUP BY o_custkey
+),
+future AS (
+  SELECT o_custkey, count(*) AS nxt FROM o
+  WHERE d > (SELECT c FROM cutoff) AND d <= (SELECT c FROM cutoff) + INTERVAL 30 DAY GROUP BY o_custkey
+),
+churn AS (
+  SELECT p.o_custkey AS customer_id,
+         CAST(date_diff('day', p.last_order, CAST((SELECT c FROM cutoff) AS DATE)) AS INTEGER) AS days_since_last_order,
+         p.total_orders_paid, p.avg_order_value, p.cancellation_rate, c.c_acctbal AS account_balance,
+         CASE c.c_mktsegment WHEN 'AUTOMOBILE' THEN 'cash' WHEN 'BUILDING' THEN 'card'
+              WHEN 'FURNITURE' THEN 'transfer' WHEN 'HOUSEHOLD' THEN 'cash' WHEN 'MACHINERY' THEN 'card' END
+           AS preferred_payment_method,
+         CASE WHEN f.nxt IS NULL THEN 1 ELSE 0 END AS will_churn_30d
+  FROM past p JOIN customer c ON p.o_custkey = c.c_custkey LEFT JOIN future f ON p.o_custkey = f.o_custkey
+)"""
+
+sql("churn_table", f"""WITH {CHURN_TABLE}
+SELECT customer_id, days_since_last_order, total_orders_paid, round(avg_order_value, 6) AS avg_order_value,
+       round(cancellation_rate, 6) AS cancellation_rate, round(account_balance, 6) AS account_balance,
+       preferred_payment_method, will_churn_30d FROM churn""")
+
+sql("churn_split", f"""WITH {CHURN_TABLE},
+ranked AS (
+  SELECT will_churn_30d,
+         row_number() OVER (PARTITION BY will_churn_30d ORDER BY md5(CAST(customer_id AS VARCHAR) || '42'), customer_id) AS rk,
+         count(*) OVER (PARTITION BY will_churn_30d) AS n_c
+  FROM churn
+)
+SELECT CASE WHEN rk <= round(0.2 * n_c) THEN 'test' ELSE 'train' END AS split, will_churn_30d, count(*) AS n_rows
+FROM ranked GROUP BY 1, 2""")
