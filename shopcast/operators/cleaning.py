@@ -19,6 +19,11 @@ def drop_required_nulls(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(cols))
 
 
+def drop_null_rows(df: DataFrame, col: str) -> DataFrame:
+    """Keep rows where ``col`` (e.g. a window result) is not null."""
+    return df.filter(F.col(col).isNotNull())
+
+
 def drop_if_present(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Drop the listed columns that exist (absent ones are ignored)."""
     return df.drop(*[c for c in cols if c in df.columns])

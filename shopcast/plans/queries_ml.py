@@ -16,7 +16,7 @@ from shopcast.operators.scoring import prepare
 from shopcast.plans.catalog import query, round_doubles
 from shopcast.plans.queries_eval import metrics_record
 from shopcast.plans.sales import product_day_features
-from shopcast.plans.sessions import TARGET as M3_TARGET, sessions
+from shopcast.plans.sessions import M3_DROP, TARGET as M3_TARGET, sessions
 from shopcast.session import scratch_dir
 from shopcast.sources import files as IO
 from shopcast.sources.adapters import sales_lines, web_events
@@ -61,9 +61,8 @@ def q_one_hot(spark, sf):
 
 def _session_frame(spark, sf):
     s = sessions(web_events(spark, sf)).withColumn("label", F.col(M3_TARGET))
-    num = ["events_count", "pageviews_count", "add_to_cart_count", "unique_items_viewed",
-           "session_day_of_week", "session_month", "is_mobile", "bounce"]
-    cat = ["country", "device"]
+    # FE1: numeric vs categorical from the schema, ids and leakage excluded
+    num, cat = FE.split_by_type(s.schema, exclude=[*M3_DROP, M3_TARGET, "label"])
     return s, num, cat
 
 

@@ -61,17 +61,21 @@ def product_day(lines: DataFrame) -> DataFrame:
 
 
 def product_day_features(lines: DataFrame, trim: bool = True) -> DataFrame:
-    """Full M1 table: A1 -> W1-W7 -> T1-T4 -> C12 -> C16 -> C15.
+    """Full M1 table: A1 -> W1-W7 -> T1-T4 -> C12 -> (C16, a no-op) -> C15.
 
     Two shuffles: the (product, day) aggregate, then the product window over
     already-aggregated rows.  Pre-aggregating first keeps a hot product's
     raw lines off a single task.
     """
     daily = product_day(lines)
+    # C16 (keep rows whose 30-row sum is not null) is a proven no-op here: the
+    # frame always holds the current row and sold_qty is never null.  Leaving
+    # it out of the plan lets Catalyst prune the window from passes that only
+    # need the surviving rows (e.g. the per-date counts of the temporal split);
+    # the oracle SQL keeps the filter, so the equivalence stays checked.
     feats = (product_windows(daily, target=TARGET)
              .withColumns(calendar_columns("date"))
-             .transform(lambda d: with_constants(d, M1_CONSTANTS))
-             .filter(F.col("product_sales_30d").isNotNull()))
+             .transform(lambda d: with_constants(d, M1_CONSTANTS)))
     # product_sales_30d is never null (the current row is in its frame), so the
     # latest date of ``daily`` is the latest date of ``feats``: the subquery
     # then needs no window.
