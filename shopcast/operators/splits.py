@@ -46,13 +46,27 @@ def hash_rank_keys(id_col: str, seed: int) -> dict[str, F.Column]:
     }
 
 
+def hashed_split(df: DataFrame, id_col: str, test_frac: float = 0.2, seed: int = 42,
+                 out: str = "split") -> DataFrame:
+    """S4, approximate form: test when pmod(xxhash64(id, seed), 10000) < test_frac * 10000.
+
+    One projection, no job and no ordering; every class gets ~test_frac of its
+    rows (a hash is independent of the label), exact shares are not promised.
+    """
+    h = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(10000))
+    return df.withColumn(out, F.when(h < F.lit(int(round(test_frac * 10000))), "test").otherwise("train"))
+
+
 def stratified_split(df: DataFrame, label: str, id_col: str, test_frac: float = 0.2,
-                     seed: int = 42, out: str = "split") -> DataFrame:
+                     seed: int = 42, out: str = "split", exact: bool = True) -> DataFrame:
     """Per class, the round(test_frac * n_c) rows first in md5 order are test.
 
     Class shares are kept exactly; rows are chosen by a hash of the id, so the
-    split is repeatable and engine-independent.
+    split is repeatable and engine-independent.  ``exact=False`` switches to
+    the one-pass ``hashed_split``.
     """
+    if not exact:
+        return hashed_split(df, id_col, test_frac, seed, out)
     keyed = df.withColumns(hash_rank_keys(id_col, seed))
     order = ["_h1", "_h2", id_col]
     class_counts = keyed.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per class

@@ -19,24 +19,33 @@ def _spec(key: str, order: str):
     return Window.partitionBy(key).orderBy(order)
 
 
-def trailing_sum(c: str, n: int, key: str, order: str) -> F.Column:
-    """Sum over the last n rows including the current one."""
-    return F.sum(c).over(_spec(key, order).rowsBetween(-(n - 1), 0))
+def _frame(key: str, order: str, lo: int, hi: int, frame: str):
+    """Row frame (the reference's semantics) or calendar frame over day numbers."""
+    if frame == "rows":
+        return _spec(key, order).rowsBetween(lo, hi)
+    if frame == "calendar":
+        return Window.partitionBy(key).orderBy(F.unix_date(F.col(order))).rangeBetween(lo, hi)
+    raise ValueError(f"frame must be 'rows' or 'calendar', not {frame!r}")
 
 
-def trailing_mean(c: str, n: int, key: str, order: str) -> F.Column:
-    """Mean over the last n rows."""
-    return F.avg(c).over(_spec(key, order).rowsBetween(-(n - 1), 0))
+def trailing_sum(c: str, n: int, key: str, order: str, frame: str = "rows") -> F.Column:
+    """Sum over the last n rows (or n calendar days) including the current one."""
+    return F.sum(c).over(_frame(key, order, -(n - 1), 0, frame))
 
 
-def forward_sum(c: str, n: int, key: str, order: str) -> F.Column:
-    """Sum of the next n rows (t+1..t+n); null on the last row of a key."""
-    return F.sum(c).over(_spec(key, order).rowsBetween(1, n))
+def trailing_mean(c: str, n: int, key: str, order: str, frame: str = "rows") -> F.Column:
+    """Mean over the last n rows (or days)."""
+    return F.avg(c).over(_frame(key, order, -(n - 1), 0, frame))
 
 
-def forward_label(c: str, n: int, key: str, order: str) -> F.Column:
-    """1 when the next n rows sell anything; no future -> 0."""
-    return (F.coalesce(forward_sum(c, n, key, order), F.lit(0.0)) > 0).cast("int")
+def forward_sum(c: str, n: int, key: str, order: str, frame: str = "rows") -> F.Column:
+    """Sum of the next n rows (t+1..t+n) or days; null when nothing follows."""
+    return F.sum(c).over(_frame(key, order, 1, n, frame))
+
+
+def forward_label(c: str, n: int, key: str, order: str, frame: str = "rows") -> F.Column:
+    """1 when the next n rows (or days) sell anything; no future -> 0."""
+    return (F.coalesce(forward_sum(c, n, key, order, frame), F.lit(0.0)) > 0).cast("int")
 
 
 def days_since_last(flag_col: F.Column, key: str, order: str, missing: int = 999) -> F.Column:
@@ -47,17 +56,17 @@ def days_since_last(flag_col: F.Column, key: str, order: str, missing: int = 999
 
 
 def product_windows(daily: DataFrame, key: str = "stock_code", order: str = "date",
-                    target: str = "will_sell_next_7d", horizon: int = 7) -> DataFrame:
-    """W1-W7 on the product-day table."""
-    canc = F.sum("cancelled_rows").over(_spec(key, order).rowsBetween(-29, 0))
-    tot = F.sum("rows").over(_spec(key, order).rowsBetween(-29, 0))
+                    target: str = "will_sell_next_7d", horizon: int = 7, frame: str = "rows") -> DataFrame:
+    """W1-W7 on the product-day table (``frame="calendar"`` for day-based windows)."""
+    canc = F.sum("cancelled_rows").over(_frame(key, order, -29, 0, frame))
+    tot = F.sum("rows").over(_frame(key, order, -29, 0, frame))
     return daily.withColumns({
-        "product_sales_7d": trailing_sum("sold_qty", 7, key, order),
-        "product_sales_30d": trailing_sum("sold_qty", 30, key, order),
-        "product_revenue_7d": trailing_sum("revenue", 7, key, order),
-        "product_revenue_30d": trailing_sum("revenue", 30, key, order),
-        "product_unique_buyers_30d": trailing_mean("unique_buyers", 30, key, order),
+        "product_sales_7d": trailing_sum("sold_qty", 7, key, order, frame),
+        "product_sales_30d": trailing_sum("sold_qty", 30, key, order, frame),
+        "product_revenue_7d": trailing_sum("revenue", 7, key, order, frame),
+        "product_revenue_30d": trailing_sum("revenue", 30, key, order, frame),
+        "product_unique_buyers_30d": trailing_mean("unique_buyers", 30, key, order, frame),
         "product_cancelled_rate_30d": clip(canc / (tot + F.lit(1e-9)), 0.0, 1.0),
         "product_last_sale_days_ago": days_since_last(F.col("sold_qty") > 0, key, order),
-        target: forward_label("sold_qty", horizon, key, order),
+        target: forward_label("sold_qty", horizon, key, order, frame),
     })

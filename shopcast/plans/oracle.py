@@ -889,3 +889,11 @@ ranked AS (
 )
 SELECT CASE WHEN rk <= round(0.2 * n_c) THEN 'test' ELSE 'train' END AS split, will_churn_30d, count(*) AS n_rows
 FROM ranked GROUP BY 1, 2""")
+
+sql("rolling_sales_calendar", f"""WITH {SALES_LINES}
+SELECT stock_code, date,
+  round(sum(sold_qty) OVER (PARTITION BY stock_code ORDER BY date
+        RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW), 6) AS sales_7_days,
+  round(sum(sold_qty) OVER (PARTITION BY stock_code ORDER BY date
+        RANGE BETWEEN INTERVAL 29 DAY PRECEDING AND CURRENT ROW), 6) AS sales_30_days
+FROM daily""")

@@ -61,3 +61,12 @@ def q_forward_sum(spark, sf):
 @query("forward_label")
 def q_forward_label(spark, sf):
     return round_doubles(product_day_features(sales_lines(spark, sf)))
+
+
+@query("rolling_sales_calendar")
+def q_rolling_sales_calendar(spark, sf):
+    """W1 with calendar-day frames (the option beside the reference's row frames)."""
+    d = product_day(sales_lines(spark, sf))
+    return round_doubles(d.select(K, D,
+                                  trailing_sum("sold_qty", 7, K, D, frame="calendar").alias("sales_7_days"),
+                                  trailing_sum("sold_qty", 30, K, D, frame="calendar").alias("sales_30_days")))

@@ -55,3 +55,12 @@ def test_median_and_mode(spark, force_buckets):
     df = spark.createDataFrame([(1.0, "b"), (2.0, "a"), (3.0, "a"), (10.0, "b"), (None, None)], "x double, s string")
     assert exact_median(df, "x") == 2.5
     assert mode_value(df, "s") == "a"
+
+
+def test_hashed_split_is_one_projection(spark):
+    df = spark.range(0, 20000).select("id", (F.col("id") % 3 == 0).cast("int").alias("y"))
+    sp = stratified_split(df, "y", "id", 0.2, 42, exact=False)
+    share = sp.filter("split = 'test'").count() / 20000
+    assert 0.18 < share < 0.22
+    plan = sp._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan

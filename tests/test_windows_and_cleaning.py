@@ -79,3 +79,18 @@ def test_windows_share_one_window_node(spark):
                       "rows": F.lit(1)})
     plan = product_windows(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_calendar_frame_option(spark):
+    rows = [("p", dt.date(2024, 1, 1), 1.0), ("p", dt.date(2024, 1, 2), 2.0), ("p", dt.date(2024, 7, 19), 4.0)]
+    df = spark.createDataFrame(rows, "k string, d date, q double")
+    got = df.select("d", trailing_sum("q", 7, "k", "d", frame="calendar").alias("s")).orderBy("d").collect()
+    assert [r["s"] for r in got] == [1.0, 3.0, 4.0]
+    fwd = df.select("d", forward_label("q", 7, "k", "d", frame="calendar").alias("y")).orderBy("d").collect()
+    assert [r["y"] for r in fwd] == [1, 0, 0]
+
+
+def test_drop_null_rows(spark):
+    from shopcast.operators.cleaning import drop_null_rows
+    df = spark.createDataFrame([(1, None), (2, 1.0)], "k int, v double")
+    assert [r["k"] for r in drop_null_rows(df, "v").collect()] == [2]
