@@ -17,15 +17,20 @@ from shopcast.functions.calendar import day_of_week
 
 def product_day_agg(lines: DataFrame, key: str = "stock_code", date: str = "date",
                     price: str = "unit_price", qty: str = "quantity", total: str = "line_total",
-                    text: str = "description", cancel: str = "is_cancel",
+                    text: str | None = "description", cancel: str = "is_cancel",
                     invoice: str = "invoice_no", buyer: str = "customer_id",
                     approx_buyers: bool = False) -> DataFrame:
-    """One row per (product, day) with price, text length, sales and buyers."""
+    """One row per (product, day) with price, text length, sales and buyers.
+
+    ``text=None`` skips A3 (for plans that attach a per-product text length later).
+    """
     q, lt = F.col(qty), F.col(total)
     buyers = (F.approx_count_distinct(buyer) if approx_buyers else F.count_distinct(buyer))
+    text_len = ([F.avg(F.length(text)).cast("int").alias("description_length")]   # A3 (truncates)
+                if text else [])
     return lines.groupBy(key, date).agg(
         F.avg(price).alias("price"),                                             # A2
-        F.avg(F.length(text)).cast("int").alias("description_length"),           # A3 (truncates)
+        *text_len,
         F.coalesce(F.sum(F.when(q > 0, q)), F.lit(0.0)).alias("sold_qty"),        # A4
         F.coalesce(F.sum(F.when(lt > 0, lt)), F.lit(0.0)).alias("revenue"),       # A4
         F.coalesce(F.sum(F.when(q < 0, -q)), F.lit(0.0)).alias("cancelled_qty"),  # A5

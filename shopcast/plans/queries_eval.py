@@ -10,7 +10,7 @@ from shopcast.operators import models as M
 from shopcast.operators import splits as S
 from shopcast.operators.aggregates import majority_class, rate_by_group
 from shopcast.plans.catalog import query, round_doubles
-from shopcast.plans.sales import product_day_features
+from shopcast.plans.queries_m1 import m1_features
 from shopcast.sources.adapters import sales_lines, scored
 from shopcast.sources.tables import load_table
 
@@ -127,7 +127,7 @@ def q_baseline(spark, sf):
 
 @query("temporal_split")
 def q_temporal(spark, sf):
-    f = product_day_features(sales_lines(spark, sf))
+    f = m1_features(spark, sf)
     return S.temporal_split(f, "date", 0.8).select("stock_code", "date", "split")
 
 

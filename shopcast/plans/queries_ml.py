@@ -15,7 +15,7 @@ from shopcast.operators.entities import customer_features, product_facts
 from shopcast.operators.scoring import prepare
 from shopcast.plans.catalog import query, round_doubles
 from shopcast.plans.queries_eval import metrics_record
-from shopcast.plans.sales import product_day_features
+from shopcast.plans.queries_m1 import m1_features
 from shopcast.plans.sessions import M3_DROP, TARGET as M3_TARGET, sessions
 from shopcast.session import scratch_dir
 from shopcast.sources import files as IO
@@ -157,7 +157,7 @@ def q_scan_csv(spark, sf):
 
 @query("sink_split_parquet")
 def q_sink_split(spark, sf):
-    f = S.temporal_split(product_day_features(sales_lines(spark, sf)), "date", 0.8)
+    f = S.temporal_split(m1_features(spark, sf), "date", 0.8)
     path = scratch_dir(spark, "m1-split")
     IO.write_split_parquet(f.select("stock_code", "date", "will_sell_next_7d", "split"), path)
     back = IO.read_split(spark, path)

@@ -10,7 +10,8 @@ from shopcast.functions.calendar import calendar_columns
 from shopcast.operators import aggregates as A
 from shopcast.operators.cleaning import drop_if_present, drop_required_nulls, trim_incomplete_future, with_constants
 from shopcast.plans.catalog import query, round_doubles
-from shopcast.plans.sales import M1_CONSTANTS, M1_DROP, clean_lines, product_day, product_day_features
+from shopcast.plans.queries_m1 import m1_daily, m1_features
+from shopcast.plans.sales import M1_CONSTANTS, M1_DROP, clean_lines
 from shopcast.plans.sessions import sessions
 from shopcast.sources.adapters import sales_lines, web_events
 from shopcast.sources.tables import load_table
@@ -101,15 +102,15 @@ def q_calendar(spark, sf):
 
 @query("constant_defaults")
 def q_constants(spark, sf):
-    d = product_day(sales_lines(spark, sf)).select("stock_code", "date")
+    d = m1_daily(spark, sf).select("stock_code", "date")
     return with_constants(d, M1_CONSTANTS)
 
 
 @query("trim_incomplete_future")
 def q_trim(spark, sf):
-    return trim_incomplete_future(product_day(sales_lines(spark, sf)).select("stock_code", "date"), "date", 7)
+    return trim_incomplete_future(m1_daily(spark, sf).select("stock_code", "date"), "date", 7)
 
 
 @query("feature_projection")
 def q_feature_projection(spark, sf):
-    return round_doubles(drop_if_present(product_day_features(sales_lines(spark, sf)), M1_DROP))
+    return round_doubles(drop_if_present(m1_features(spark, sf), M1_DROP))

@@ -60,14 +60,32 @@ def product_day(lines: DataFrame) -> DataFrame:
     return product_day_agg(clean_lines(lines))
 
 
-def product_day_features(lines: DataFrame, trim: bool = True) -> DataFrame:
-    """Full M1 table: A1 -> W1-W7 -> T1-T4 -> C12 -> (C16, a no-op) -> C15.
+DAILY_COLUMNS = ["stock_code", "date", "price", "description_length", "sold_qty", "revenue", "cancelled_qty",
+                 "cancelled_rows", "rows", "unique_buyers"]
+
+
+def product_day_from_tables(lines_without_text: DataFrame, texts: DataFrame) -> DataFrame:
+    """A1 when the description is a product attribute (one text per stock code).
+
+    The mean text length of a product-day is then the product's text length,
+    so the text joins the aggregated product-days instead of every raw line.
+    That saves a shuffle of the line table when the text table is too big to
+    broadcast, and the join's partitioning by product serves the window next.
+    """
+    daily = product_day_agg(clean_lines(lines_without_text), text=None)
+    lengths = texts.select("stock_code", F.length("description").alias("_len"))
+    return (daily.join(lengths, "stock_code", "left")
+                 .withColumn("description_length", F.coalesce(F.col("_len"), F.lit(0)))
+                 .select(*DAILY_COLUMNS))
 
-    Two shuffles: the (product, day) aggregate, then the product window over
-    already-aggregated rows.  Pre-aggregating first keeps a hot product's
-    raw lines off a single task.
+
+def features_from_daily(daily: DataFrame, trim: bool = True) -> DataFrame:
+    """W1-W7 -> T1-T4 -> C12 -> (C16, a no-op) -> C15 on a product-day table.
+
+    The window runs over already-aggregated rows (at most one per product and
+    day), so a product that owns a third of all lines still gives a bounded
+    window partition.
     """
-    daily = product_day(lines)
     # C16 (keep rows whose 30-row sum is not null) is a proven no-op here: the
     # frame always holds the current row and sold_qty is never null.  Leaving
     # it out of the plan lets Catalyst prune the window from passes that only
@@ -76,7 +94,11 @@ def product_day_features(lines: DataFrame, trim: bool = True) -> DataFrame:
     feats = (product_windows(daily, target=TARGET)
              .withColumns(calendar_columns("date"))
              .transform(lambda d: with_constants(d, M1_CONSTANTS)))
-    # product_sales_30d is never null (the current row is in its frame), so the
-    # latest date of ``daily`` is the latest date of ``feats``: the subquery
-    # then needs no window.
+    # The latest date of ``daily`` is the latest date of ``feats``, so the
+    # trim's scalar subquery needs no window.
     return trim_incomplete_future(feats, "date", 7, dates_from=daily) if trim else feats
+
+
+def product_day_features(lines: DataFrame, trim: bool = True) -> DataFrame:
+    """Full M1 table from raw invoice lines (per-line text)."""
+    return features_from_daily(product_day(lines), trim)

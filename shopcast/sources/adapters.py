@@ -33,18 +33,30 @@ def pick(key, values) -> F.Column:
     return expr
 
 
-def sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Invoice lines (M1 raw): lineitem + order customer + part name.
+def product_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product descriptions: (stock_code, description) from part."""
+    return load_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("stock_code"),
+                                                    F.col("p_name").alias("description"))
+
+
+def sales_lines(spark: SparkSession, sf_dir: str, with_description: bool = True) -> DataFrame:
+    """Invoice lines (M1 raw): lineitem + order customer (+ part name).
 
     invoice_no gets a 'C' prefix for returned lines, whose quantity is negative.
+    ``with_description=False`` leaves the text out (null) for plans that attach
+    it per product after aggregating (see ``plans.sales.product_day_from_tables``).
     """
     li = load_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
     od = load_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    pt = load_table(spark, sf_dir, "part").select("p_partkey", "p_name")
     ret = F.col("l_returnflag") == "R"
-    return (li.join(od, li.l_orderkey == od.o_orderkey, "left")
-              .join(pt, li.l_partkey == pt.p_partkey, "left")
+    joined = li.join(od, li.l_orderkey == od.o_orderkey, "left")
+    if with_description:
+        pt = load_table(spark, sf_dir, "part").select("p_partkey", "p_name")
+        joined = joined.join(pt, li.l_partkey == pt.p_partkey, "left")
+    else:
+        joined = joined.withColumn("p_name", F.lit(None).cast("string"))
+    return (joined
               .select(
                   F.concat(F.when(ret, F.lit("C")).otherwise(F.lit("")),
                            F.col("l_orderkey").cast("string")).alias("invoice_no"),
