@@ -49,6 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a shared "
+                               "folder (checkpoints and written tables go there)")
         conf_dir = tempfile.mkdtemp(prefix="shopcast-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
