@@ -897,3 +897,8 @@ SELECT stock_code, date,
   round(sum(sold_qty) OVER (PARTITION BY stock_code ORDER BY date
         RANGE BETWEEN INTERVAL 29 DAY PRECEDING AND CURRENT ROW), 6) AS sales_30_days
 FROM daily""")
+
+sql("session_feature_projection", f"""WITH {WEB_EVENTS}
+SELECT country, device, events_count, pageviews_count, add_to_cart_count, unique_items_viewed,
+       high_conversion_session, session_day_of_week, session_month, is_mobile, bounce
+FROM sessions""")

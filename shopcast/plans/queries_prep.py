@@ -12,7 +12,7 @@ from shopcast.operators.cleaning import drop_if_present, drop_required_nulls, tr
 from shopcast.plans.catalog import query, round_doubles
 from shopcast.plans.queries_m1 import m1_daily, m1_features
 from shopcast.plans.sales import M1_CONSTANTS, M1_DROP, clean_lines
-from shopcast.plans.sessions import sessions
+from shopcast.plans.sessions import session_features, sessions
 from shopcast.sources.adapters import sales_lines, web_events
 from shopcast.sources.tables import load_table
 
@@ -114,3 +114,9 @@ def q_trim(spark, sf):
 @query("feature_projection")
 def q_feature_projection(spark, sf):
     return round_doubles(drop_if_present(m1_features(spark, sf), M1_DROP))
+
+
+@query("session_feature_projection")
+def q_session_features(spark, sf):
+    """C11 for M3: the session table without ids and leakage columns (label kept)."""
+    return session_features(web_events(spark, sf))
