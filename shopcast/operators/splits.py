@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from shopcast.operators.ordering import key_at_position, lexi_less
 
+MAX_CLASSES = 1000
+
 
 def temporal_split(df: DataFrame, time_col: str, frac: float = 0.8,
                    out: str = "split") -> DataFrame:
@@ -69,7 +71,10 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_frac: float =
         return hashed_split(df, id_col, test_frac, seed, out)
     keyed = df.withColumns(hash_rank_keys(id_col, seed))
     order = ["_h1", "_h2", id_col]
-    class_counts = keyed.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per class
+    per_class = keyed.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    if per_class.limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} classes; use exact=False (hashed split)")
+    class_counts = per_class.collect()           # one row per class, bounded above
     cond = F.lit(False)
     for row in class_counts:
         c, n_c = row[label], int(row["n"])
