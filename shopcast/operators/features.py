@@ -21,11 +21,11 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopcast.operators.ordering import running_totals
+from shopcast.operators.ordering import SMALL_ROWS, running_totals
 
 MAX_CATEGORIES = 10_000
 
@@ -71,6 +71,46 @@ def exact_median(df: DataFrame, col: str) -> float | None:
     return (lo + hi) / 2.0
 
 
+def exact_medians(df: DataFrame, cols: Sequence[str]) -> list[float | None]:
+    """Exact medians of several columns with one count table.
+
+    Values are unpivoted to (feature, value) and counted once.  When the
+    checked number of distinct (feature, value) pairs is small, the running
+    counts use one window partitioned by feature; otherwise each feature goes
+    through the bucketed single-column path.
+    """
+    if not cols:
+        return []
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("v"))
+                                for i, c in enumerate(cols)]))
+    long = (df.select(pairs.alias("x")).select("x.f", "x.v")
+              .filter(F.col("v").isNotNull() & ~F.isnan("v")))
+    counts = long.groupBy("f", "v").agg(F.count(F.lit(1)).alias("_n")).persist()
+    try:
+        stats = {r["f"]: (int(r["n"]), int(r["d"])) for r in
+                 counts.groupBy("f").agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("d")).collect()}
+        if sum(d for _, d in stats.values()) > SMALL_ROWS:
+            return [exact_median(df, c) for c in cols]
+        w = Window.partitionBy("f").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = counts.withColumn("cum", F.sum("_n").over(w)).withColumn("b", F.col("cum") - F.col("_n"))
+        want = F.lit(False)
+        for f, (n, _) in stats.items():
+            for pos in {(n - 1) // 2, n // 2}:
+                want = want | ((F.col("f") == f) & (F.col("b") <= pos) & (F.col("cum") > pos))
+        hits = ranked.filter(want).select("f", "v", "b", "cum").collect()   # <= 2 rows per feature
+    finally:
+        counts.unpersist()
+    out = []
+    for i in range(len(cols)):
+        if i not in stats:
+            out.append(None)
+            continue
+        n = stats[i][0]
+        pick = lambda pos: next(r["v"] for r in hits if r["f"] == i and r["b"] <= pos < r["cum"])
+        out.append((pick((n - 1) // 2) + pick(n // 2)) / 2.0)
+    return out
+
+
 def mode_value(df: DataFrame, col: str):
     """Most frequent non-null value; ties -> the smallest value."""
     counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
@@ -118,11 +158,7 @@ class MedianImputer(Estimator, HasInputCols, DefaultParamsReadable, DefaultParam
     def _fit(self, df: DataFrame) -> ImputerModel:
         cols = self.getInputCols()
         # several small passes per column: cache the projected columns once
-        data = df.select(*cols).persist()
-        try:
-            return ImputerModel(inputCols=cols, values=[exact_median(data, c) for c in cols])
-        finally:
-            data.unpersist()
+        return ImputerModel(inputCols=cols, values=exact_medians(df, cols))
 
 
 class ModeImputer(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):

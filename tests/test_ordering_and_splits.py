@@ -64,3 +64,10 @@ def test_hashed_split_is_one_projection(spark):
     assert 0.18 < share < 0.22
     plan = sp._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_exact_medians_many_columns(spark):
+    from shopcast.operators.features import exact_medians
+    df = spark.createDataFrame([(1.0, 5, None), (2.0, 5, None), (3.0, 7, None), (10.0, 9, None)],
+                               "a double, b int, c double")
+    assert exact_medians(df, ["a", "b", "c"]) == [2.5, 6.0, None]
