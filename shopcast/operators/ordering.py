@@ -4,8 +4,8 @@ A window with no ``partitionBy`` moves every row to one task.  Here global
 order is split in two levels instead:
 
 1. quantile bucket boundaries of the key (``percentile_approx``, k values,
-   bounded) become a balanced binary ``CASE`` tree, so each row gets its
-   bucket with O(log k) comparisons inside codegen;
+   bounded) feed Spark ML's ``Bucketizer``, so each row gets its bucket by a
+   JVM binary search (O(log k)) inside codegen;
 2. per-bucket totals form a table of at most k+1 rows (the only place an
    unpartitioned window runs, over a proven bound), broadcast back as offsets;
 3. running sums inside each bucket use a window partitioned by bucket.
@@ -18,8 +18,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SMALL_ROWS = 200_000
 MAX_BUCKETS = 4096
@@ -30,22 +32,23 @@ def _bucket_count(df: DataFrame) -> int:
     return max(16, min(MAX_BUCKETS, 4 * parts))
 
 
-def quantile_bounds(df: DataFrame, key: str, k: int) -> list:
-    """Sorted distinct approximate k-quantiles of ``key`` (k-1 values, bounded)."""
-    probs = [i / k for i in range(1, k)]
-    row = df.agg(F.percentile_approx(key, probs, 10 * k).alias("q")).first()
-    values = [v for v in (row["q"] or []) if v is not None]
-    return sorted(set(values))
+def sort_number(col: Column, dtype: T.DataType) -> Column:
+    """A double that never decreases when the key increases (for bucketing only)."""
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(col).cast("double")
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(col.cast("timestamp")).cast("double")
+    if isinstance(dtype, (T.NumericType, T.BooleanType)):
+        return col.cast("double")
+    raise TypeError(f"order key of type {dtype.simpleString()} is not supported; map it to a number first")
 
 
-def bucket_of(col: Column, bounds: Sequence) -> Column:
-    """Number of ``bounds`` <= value, as a balanced CASE tree (O(log k) per row)."""
-    def rec(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col < F.lit(bounds[mid]), rec(lo, mid)).otherwise(rec(mid + 1, hi))
-    return rec(0, len(bounds))
+def quantile_bounds(df: DataFrame, num_col: str, k: int) -> list[float]:
+    """Sorted distinct approximate k-quantiles of a double column (k-1 values, bounded)."""
+    probs = [i / k for i in range(1, k)]
+    row = df.agg(F.percentile_approx(num_col, probs, 10 * k).alias("q")).first()
+    values = [float(v) for v in (row["q"] or []) if v is not None and v == v]
+    return sorted(set(values))
 
 
 def running_totals(df: DataFrame, key: str, value_cols: Sequence[str],
@@ -53,14 +56,20 @@ def running_totals(df: DataFrame, key: str, value_cols: Sequence[str],
     """Add ``cum_<v>`` = sum of v over all rows with key <= this row's key.
 
     Ties share the same total (RANGE frame).  Rows with a null key are dropped.
+    Above ``SMALL_ROWS`` rows the bucket of a row comes from Spark ML's
+    ``Bucketizer`` (a JVM binary search over the quantile bounds, inside
+    codegen); the window inside a bucket still orders by the exact key.
     """
     df = df.filter(F.col(key).isNotNull())
     n = n_rows if n_rows is not None else df.count()
     if n <= SMALL_ROWS:
         w = Window.orderBy(key).rangeBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumns({f"{prefix}{c}": F.sum(c).over(w) for c in value_cols})
-    bounds = quantile_bounds(df, key, _bucket_count(df))
-    b = df.withColumn("_bucket", bucket_of(F.col(key), bounds))
+    num = df.withColumn("_num", sort_number(F.col(key), df.schema[key].dataType))
+    bounds = quantile_bounds(num, "_num", _bucket_count(df))
+    splits = [float("-inf"), *bounds, float("inf")]
+    b = (Bucketizer(splits=splits, inputCol="_num", outputCol="_bkt", handleInvalid="keep")
+         .transform(num).withColumn("_bucket", F.col("_bkt").cast("int")).drop("_num", "_bkt"))
     per_bucket = b.groupBy("_bucket").agg(*[F.sum(c).alias(c) for c in value_cols])
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select("_bucket", *[
