@@ -51,21 +51,28 @@ def write_metrics_json(metrics: DataFrame, path: str) -> None:
 def model_status(spark: SparkSession, model_root: str, expected: Sequence[str]) -> DataFrame:
     """IO8: which expected model bundles exist under ``model_root``.
 
-    The listing of bundle directories is small (one entry per model); the
-    expected list joins it with an anti/left join.
+    Bundles are folders of files; the public ``binaryFile`` source lists the
+    files (distributed, no content read), the first path segment below the
+    root names the bundle, and the expected list left-joins the distinct names.
     """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(model_root)
-    fs = p.getFileSystem(conf)
-    found = []
-    if fs.exists(p):
-        found = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+    root = model_root.rstrip("/")
+    try:
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+                 .select("path"))
+        found = (files.select(F.regexp_extract("path", r"^.*?" + _re_escape(root.split(":", 1)[-1]) + r"/([^/]+)/", 1)
+                              .alias("model"))
+                      .filter(F.col("model") != "").distinct())
+    except Exception:  # noqa: BLE001 - a missing root means no bundle exists
+        found = spark.createDataFrame([], "model string")
     exp = spark.createDataFrame([(e,) for e in expected], "model string")
-    got = spark.createDataFrame([(f,) for f in found], "model string")
-    return (exp.join(got.withColumn("present", F.lit(True)), "model", "left")
+    return (exp.join(found.withColumn("present", F.lit(True)), "model", "left")
                .select("model", F.coalesce("present", F.lit(False)).alias("present")))
 
 
+def _re_escape(text: str) -> str:
+    import re
+    return re.escape(text)
+
+
 def missing_models(status: DataFrame) -> DataFrame:
     return status.filter(~F.col("present")).select("model")

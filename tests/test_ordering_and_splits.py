@@ -71,3 +71,11 @@ def test_exact_medians_many_columns(spark):
     df = spark.createDataFrame([(1.0, 5, None), (2.0, 5, None), (3.0, 7, None), (10.0, 9, None)],
                                "a double, b int, c double")
     assert exact_medians(df, ["a", "b", "c"]) == [2.5, 6.0, None]
+
+
+def test_running_totals_at_volume(spark):
+    """Above the small-input bound the bucketed path runs without any patching."""
+    n = ordering.SMALL_ROWS + 50_000
+    df = spark.range(0, n).select((F.col("id") * 3).alias("k"), F.lit(1).alias("v"))
+    rt = ordering.running_totals(df, "k", ["v"])
+    assert rt.filter(F.col("cum_v") != F.col("k") / 3 + 1).count() == 0

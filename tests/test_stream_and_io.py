@@ -30,6 +30,13 @@ def test_stream_equals_batch(spark):
 
 def test_model_registry(spark):
     root = tempfile.mkdtemp(prefix="shopcast-models-")
-    os.makedirs(os.path.join(root, "model_module1"))
+    os.makedirs(os.path.join(root, "model_module1", "metadata"))
+    with open(os.path.join(root, "model_module1", "metadata", "part-00000"), "w") as f:
+        f.write("{}")
     status = model_status(spark, root, ["model_module1", "model_module2"])
     assert [r["model"] for r in missing_models(status).collect()] == ["model_module2"]
+
+
+def test_model_registry_missing_root(spark):
+    status = model_status(spark, "/nonexistent/shopcast-models", ["model_module1"])
+    assert [(r["model"], r["present"]) for r in status.collect()] == [("model_module1", False)]
