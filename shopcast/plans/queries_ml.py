@@ -8,18 +8,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopcast.operators import features as FE
-from shopcast.operators import metrics as E
 from shopcast.operators import models as M
 from shopcast.operators import splits as S
 from shopcast.operators.entities import customer_features, product_facts
-from shopcast.operators.scoring import prepare
 from shopcast.plans.catalog import query, round_doubles
 from shopcast.plans.queries_eval import metrics_record
 from shopcast.plans.queries_m1 import m1_features
 from shopcast.plans.sessions import M3_DROP, TARGET as M3_TARGET, sessions
 from shopcast.session import scratch_dir
 from shopcast.sources import files as IO
-from shopcast.sources.adapters import sales_lines, web_events
+from shopcast.sources.adapters import web_events
 from shopcast.sources.tables import load_table
 from shopcast.streaming.scoring import start_scoring
 

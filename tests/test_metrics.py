@@ -1,7 +1,6 @@
 """Metric goldens (published confusion matrices) and edge cases."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from shopcast.operators import metrics as E
 

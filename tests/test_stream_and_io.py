@@ -3,7 +3,6 @@
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 from shopcast.operators.entities import product_facts
 from shopcast.operators.scoring import predict
