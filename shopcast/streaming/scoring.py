@@ -33,11 +33,16 @@ def start_scoring(spark: SparkSession, source_dir: str, schema: T.StructType, ki
     records = reader.parquet(source_dir)
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
-        ok, bad = prepare(batch, kind)
-        (score(ok, kind).select(key, "probability", "prediction", "label", "threshold", "recommendations")
-         .write.mode("overwrite").parquet(f"{out_dir}/predictions/epoch={epoch}"))
-        (bad.withColumn("errors", F.array_join("errors", "|"))
-            .write.mode("overwrite").parquet(f"{out_dir}/rejected/epoch={epoch}"))
+        # two sinks from one micro-batch: read the batch once
+        batch = batch.persist()
+        try:
+            ok, bad = prepare(batch, kind)
+            (score(ok, kind).select(key, "probability", "prediction", "label", "threshold", "recommendations")
+             .write.mode("overwrite").parquet(f"{out_dir}/predictions/epoch={epoch}"))
+            (bad.withColumn("errors", F.array_join("errors", "|"))
+                .write.mode("overwrite").parquet(f"{out_dir}/rejected/epoch={epoch}"))
+        finally:
+            batch.unpersist()
 
     writer = records.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
