@@ -102,12 +102,12 @@ def content_facts(spark: SparkSession, sf_dir: str, days: int = 30) -> DataFrame
     latest = ev.select(F.max("ts")).scalar()
     recent = ev.filter(F.col("ts") > latest - F.expr(f"INTERVAL {days} DAYS"))
     t = F.col("event_type")
-    post_us = F.when(t == "click", F.unix_micros(F.col("ts").cast("timestamp")))
+    post_ts = F.when(t == "click", F.col("ts"))      # timestamp_ntz: differences are zone-free
     g = recent.groupBy("user_id").agg(
         F.count_if(t == "click").cast("int").alias("posts_count_30d"),
         F.count_if(t == "view").cast("int").alias("stories_count_30d"),
         F.avg(F.when(t == "purchase", 1.0).otherwise(0.0)).alias("pct_posts_with_video"),
-        ((F.max(post_us) - F.min(post_us)) / F.lit(86400e6)).alias("_span_days"),
+        (F.timestamp_diff("MICROSECOND", F.min(post_ts), F.max(post_ts)) / F.lit(86400e6)).alias("_span_days"),
         F.avg(F.when(t == "error", 1.0).otherwise(0.0)).alias("pct_1_2_star"),
         F.avg("value").alias("_mean_value"),
         F.count_if(t == "signup").alias("_signups"),
