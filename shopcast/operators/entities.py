@@ -65,14 +65,23 @@ def product_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lower("p_type").alias("business_category_slug")))
 
 
+def supplier_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(supplier, part) pairs of the order lines with the largest discount.
+
+    Shared by the store record and the store report, so a plan that needs
+    both reuses one exchange.
+    """
+    li = load_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_discount")
+    return li.groupBy("l_suppkey", "l_partkey").agg(F.max("l_discount").alias("max_disc"))
+
+
 def store_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store (supplier) record for the design scorecard.
 
     Lines collapse to (supplier, part) first; the store aggregate then sees one
     row per supplied product.
     """
-    li = load_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_discount")
-    sp = li.groupBy("l_suppkey", "l_partkey").agg(F.max("l_discount").alias("max_disc"))
+    sp = supplier_parts(spark, sf_dir)
     part = load_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     per_store = (sp.join(part, sp.l_partkey == part.p_partkey)
                    .groupBy("l_suppkey").agg(

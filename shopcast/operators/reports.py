@@ -41,8 +41,7 @@ def store_report(spark: SparkSession, sf_dir: str) -> DataFrame:
                                           F.col("prediction").alias("design_prediction"))
     ok_s, _ = prepare(X.product_facts(spark, sf_dir), "sales")
     sales = score(ok_s, "sales").select("product_id", "probability")
-    from shopcast.sources.tables import load_table
-    pairs = load_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    pairs = X.supplier_parts(spark, sf_dir).select("l_suppkey", "l_partkey")
     sales_by_store = (pairs.join(sales, pairs.l_partkey == sales.product_id)
                            .groupBy(F.col("l_suppkey").alias("store_id"))
                            .agg(F.avg("probability").alias("sales_mean_probability"),
