@@ -38,3 +38,34 @@ def q_churn_split(spark, sf):
     t = churn.churn_table(load_table(spark, sf, "orders"), load_table(spark, sf, "customer"))
     sp = S.stratified_split(t, churn.TARGET, "customer_id", 0.2, 42)
     return round_doubles(sp.groupBy("split", churn.TARGET).agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+@query("module1_metrics")
+def q_module1_metrics(spark, sf):
+    """M1 training run: temporal split of the product-day table, balanced logistic, E9."""
+    from shopcast.plans.modules import evaluate, fit_and_score
+    from shopcast.plans.queries_m1 import m1_features
+    from shopcast.plans.sales import M1_DROP, TARGET
+    sp = S.temporal_split(m1_features(spark, sf), "date", 0.8)
+    _, scores = fit_and_score(sp, TARGET, [c for c in M1_DROP if c != TARGET], "stock_code")
+    return round_doubles(evaluate(scores))
+
+
+@query("module2_metrics")
+def q_module2_metrics(spark, sf):
+    """M2 training run: stratified split of the churn table, balanced logistic, E9."""
+    from shopcast.plans.modules import evaluate, fit_and_score
+    t = churn.churn_table(load_table(spark, sf, "orders"), load_table(spark, sf, "customer"))
+    sp = S.stratified_split(t, churn.TARGET, "customer_id", 0.2, 42)
+    _, scores = fit_and_score(sp, churn.TARGET, [], "customer_id")
+    return round_doubles(evaluate(scores))
+
+
+@query("module4_champion")
+def q_module4_champion(spark, sf):
+    """M4 training run: (store, week) 80/20 split, logistic vs forest by AP (ML5, E4)."""
+    from shopcast.plans.modules import champion
+    sp = S.ordered_split(_weeks(spark, sf), ["store_id", "week"], 0.8)
+    weeks = sp.withColumn("week_index", F.unix_date("week")).drop("week")
+    return round_doubles(champion(weeks, growth.TARGET,
+                                  [c for c in growth.M4_DROP if c != growth.TARGET], "store_id"))
