@@ -55,16 +55,17 @@ def clean_lines(lines: DataFrame) -> DataFrame:
     })
 
 
-def product_day(lines: DataFrame) -> DataFrame:
-    """A1 on cleaned lines."""
-    return product_day_agg(clean_lines(lines))
+def product_day(lines: DataFrame, approx_buyers: bool = False) -> DataFrame:
+    """A1 on cleaned lines (``approx_buyers``: HyperLogLog instead of an exact distinct count)."""
+    return product_day_agg(clean_lines(lines), approx_buyers=approx_buyers)
 
 
 DAILY_COLUMNS = ["stock_code", "date", "price", "description_length", "sold_qty", "revenue", "cancelled_qty",
                  "cancelled_rows", "rows", "unique_buyers"]
 
 
-def product_day_from_tables(lines_without_text: DataFrame, texts: DataFrame) -> DataFrame:
+def product_day_from_tables(lines_without_text: DataFrame, texts: DataFrame,
+                            approx_buyers: bool = False) -> DataFrame:
     """A1 when the description is a product attribute (one text per stock code).
 
     The mean text length of a product-day is then the product's text length,
@@ -72,7 +73,7 @@ def product_day_from_tables(lines_without_text: DataFrame, texts: DataFrame) ->
     That saves a shuffle of the line table when the text table is too big to
     broadcast, and the join's partitioning by product serves the window next.
     """
-    daily = product_day_agg(clean_lines(lines_without_text), text=None)
+    daily = product_day_agg(clean_lines(lines_without_text), text=None, approx_buyers=approx_buyers)
     lengths = texts.select("stock_code", F.length("description").alias("_len"))
     return (daily.join(lengths, "stock_code", "left")
                  .withColumn("description_length", F.coalesce(F.col("_len"), F.lit(0)))
@@ -99,6 +100,6 @@ def features_from_daily(daily: DataFrame, trim: bool = True) -> DataFrame:
     return trim_incomplete_future(feats, "date", 7, dates_from=daily) if trim else feats
 
 
-def product_day_features(lines: DataFrame, trim: bool = True) -> DataFrame:
+def product_day_features(lines: DataFrame, trim: bool = True, approx_buyers: bool = False) -> DataFrame:
     """Full M1 table from raw invoice lines (per-line text)."""
-    return features_from_daily(product_day(lines), trim)
+    return features_from_daily(product_day(lines, approx_buyers), trim)

@@ -93,3 +93,15 @@ def test_drop_null_rows(spark):
     from shopcast.operators.cleaning import drop_null_rows
     df = spark.createDataFrame([(1, None), (2, 1.0)], "k int, v double")
     assert [r["k"] for r in drop_null_rows(df, "v").collect()] == [2]
+
+
+def test_approx_buyers_drops_the_distinct_exchange(spark):
+    from shopcast.plans.sales import product_day_from_tables
+    from shopcast.sources.adapters import product_texts, sales_lines
+    from conftest import SF001
+    exact = product_day_from_tables(sales_lines(spark, SF001, with_description=False), product_texts(spark, SF001))
+    approx = product_day_from_tables(sales_lines(spark, SF001, with_description=False), product_texts(spark, SF001),
+                                     approx_buyers=True)
+    count = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(stock_code")
+    assert count(approx) == count(exact) - 1
+    assert approx.count() == exact.count()
