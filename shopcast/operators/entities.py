@@ -44,12 +44,27 @@ def customer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
                         _map("c_mktsegment", PAYMENT_BY_SEGMENT).alias("preferred_payment_method")))
 
 
-def product_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Product record for the sales scorecard from part and its order lines."""
-    li = load_table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_discount")
-    per_part = li.groupBy("l_partkey").agg(
-        (F.max("l_discount") * F.lit(100.0)).alias("discount_pct"),
-        F.count_distinct("l_suppkey").cast("int").alias("images_count"))
+def supplier_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(supplier, part) pairs of the order lines with the largest discount.
+
+    Shared by the store record and the store report, so a plan that needs
+    both reuses one exchange.
+    """
+    li = load_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_discount")
+    return li.groupBy("l_suppkey", "l_partkey").agg(F.max("l_discount").alias("max_disc"))
+
+
+def product_facts(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = None) -> DataFrame:
+    """Product record for the sales scorecard from part and its order lines.
+
+    ``pairs`` may pass a materialised ``supplier_parts`` shared with other builders.
+    """
+    # distinct suppliers and the largest discount per part come from the
+    # (supplier, part) aggregate the store record uses too: one line-table
+    # aggregate serves products, stores and the store report
+    per_part = (pairs if pairs is not None else supplier_parts(spark, sf_dir)).groupBy("l_partkey").agg(
+        (F.max("max_disc") * F.lit(100.0)).alias("discount_pct"),
+        F.count("l_suppkey").cast("int").alias("images_count"))
     part = load_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type",
                                                     "p_size", "p_retailprice")
     return (part.join(per_part, part.p_partkey == per_part.l_partkey, "left")
@@ -65,23 +80,13 @@ def product_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lower("p_type").alias("business_category_slug")))
 
 
-def supplier_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(supplier, part) pairs of the order lines with the largest discount.
-
-    Shared by the store record and the store report, so a plan that needs
-    both reuses one exchange.
-    """
-    li = load_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_discount")
-    return li.groupBy("l_suppkey", "l_partkey").agg(F.max("l_discount").alias("max_disc"))
-
-
-def store_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def store_facts(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = None) -> DataFrame:
     """Store (supplier) record for the design scorecard.
 
     Lines collapse to (supplier, part) first; the store aggregate then sees one
     row per supplied product.
     """
-    sp = supplier_parts(spark, sf_dir)
+    sp = pairs if pairs is not None else supplier_parts(spark, sf_dir)
     part = load_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     per_store = (sp.join(part, sp.l_partkey == part.p_partkey)
                    .groupBy("l_suppkey").agg(
