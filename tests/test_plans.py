@@ -54,3 +54,9 @@ def test_scoring_is_one_stage_over_the_entities(spark, no_broadcast):
     out, _ = predict(df, "sales", "id")
     plan = _main_plan(out)
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_store_report_reads_the_line_table_once(spark, no_broadcast):
+    """The (supplier, part) aggregate is materialised once; the report plan no longer scans lines."""
+    plan = _main_plan(QUERIES["store_report"](spark, SF001))
+    assert "lineitem.parquet" not in plan
