@@ -148,16 +148,27 @@ class ImputerModel(Model, _ValuesParams, DefaultParamsReadable, DefaultParamsWri
 
 
 class MedianImputer(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
-    """FE2 as an Estimator."""
+    """FE2 as an Estimator.
+
+    ``approxAccuracy`` = 0 (default) fits exact medians; a positive value uses
+    ``percentile_approx`` with that accuracy, one aggregation for all columns.
+    """
+
+    approxAccuracy = Param(Params._dummy(), "approxAccuracy",
+                           "0 = exact median; > 0 = percentile_approx accuracy", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, inputCols=None):
+    def __init__(self, inputCols=None, approxAccuracy=0):
         super().__init__()
+        self._setDefault(approxAccuracy=0)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> ImputerModel:
         cols = self.getInputCols()
-        # several small passes per column: cache the projected columns once
+        acc = self.getOrDefault(self.approxAccuracy)
+        if acc > 0:
+            row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, acc).alias(c) for c in cols]).first()
+            return ImputerModel(inputCols=cols, values=[row[c] for c in cols])
         return ImputerModel(inputCols=cols, values=exact_medians(df, cols))
 
 

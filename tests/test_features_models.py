@@ -70,3 +70,13 @@ def test_logistic_parity_with_weighted_l2(spark):
     ref = _newton_weighted_l2(pdf[["a", "b", "c"]].to_numpy(), pdf["label"].to_numpy(), w)
     got = np.append(lr.coefficients.toArray(), lr.intercept)
     assert np.allclose(got, ref, atol=1e-4)
+
+
+def test_median_imputer_exact_and_approx(spark):
+    df = spark.range(0, 1001).select(F.col("id").cast("double").alias("x"), (F.col("id") % 7).alias("y"))
+    exact = FE.MedianImputer(inputCols=["x", "y"]).fit(df)
+    approx = FE.MedianImputer(inputCols=["x", "y"], approxAccuracy=10000).fit(df)
+    assert exact.getOrDefault(exact.values) == [500.0, 3.0]
+    assert approx.getOrDefault(approx.values)[0] == pytest.approx(500.0, abs=2)
+    filled = exact.transform(spark.createDataFrame([(None, None)], "x double, y long"))
+    assert filled.first()["x"] == 500.0 and filled.first()["y"] == 3
