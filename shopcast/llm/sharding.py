@@ -31,13 +31,12 @@ HEADER_BYTES = 16
 
 
 def numbered_tree(shards: int, base: tuple[int, int, int] = BASE) -> dict:
-    """The tree of shards 0..n-1, all of weight 1: the base layout, then one region per added shard.
-
-    Fewer shards than the base layout holds are one region each.
-    """
+    """The tree of shards 0..n-1, all of weight 1: the base layout, then one region per added shard."""
     regions, racks, each = base
     tree: dict = {}
-    first = regions * racks * each if shards >= regions * racks * each else 0
+    first = regions * racks * each
+    if shards < first:
+        raise ValueError(f"the base layout {base} already has {first} shards")
     for s in range(first):
         region, rest = divmod(s, racks * each)
         tree.setdefault(f"region{region}", {}).setdefault(f"rack{rest // each}", {})[s] = 1.0
