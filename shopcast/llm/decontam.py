@@ -105,7 +105,7 @@ def banded_edits(item: np.ndarray, text: np.ndarray, low: int, high: int) -> int
 
 def _regions(p: Profile, table: np.ndarray, chars: np.ndarray, starts: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
     """Rows (document, item, band, shared q-grams) that reach the bound; documents lie behind each other in ``chars``."""
-    spots, which = [], []
+    spots, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(chars), piece):
         h = gram_hashes(chars[at:at + piece + p.q - 1], p.q)
         maybe = np.nonzero(table[h >> np.uint64(64 - _TABLE_BITS)])[0]

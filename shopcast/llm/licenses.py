@@ -144,4 +144,4 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences:
     ruled = found.withColumn("_rules", match_rules(F.col("_ids"), rules))
     return ruled.select(doc_id, F.array_join("_ids", ",").alias("sentences"),
                         F.array_join(F.sort_array("_rules.licenses"), ",").alias("licenses"),
-                        F.replace(F.replace("_rules.rest", F.lit("><"), F.lit(",")), F.lit(">"), F.lit("")).alias("unmatched"))
+                        F.translate(F.replace("_rules.rest", F.lit("><"), F.lit(",")), "<>", "").alias("unmatched"))
