@@ -19,8 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = cut(edges.select(F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("label", F.col("v")))
     while not edges.isEmpty():
-        ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), "a")))
-        both = edges.select(ends.alias("e")).select(F.col("e.a").alias("p"), F.col("e.b").alias("q"))
+        both = edges.select(F.col("a").alias("p"), F.col("b").alias("q")).union(edges.select("b", "a"))
         parent = cut(both.groupBy("p").agg(F.least(F.col("p"), F.min("q")).alias("to")))
         labels = cut(labels.join(parent, labels.label == parent.p, "left")
                      .select("v", F.coalesce("to", "label").alias("label")))
