@@ -47,8 +47,9 @@ def fill_text(c: ColumnOrName, value: str = "") -> Column:
 
 
 def fill_id(c: ColumnOrName, value: int = -1) -> Column:
-    """C4: null id -> -1, then integral (the id is truncated like int(float(x)))."""
-    return F.coalesce(_c(c).cast("double"), F.lit(float(value))).cast("long")
+    """C4: null id -> -1, then integral; text with a fraction is truncated, integers stay exact above 2^53."""
+    col = _c(c)
+    return F.coalesce(col.try_cast("long"), col.try_cast("double").try_cast("long"), F.lit(value).cast("long"))
 
 
 def is_cancelled(invoice_no: ColumnOrName, quantity: ColumnOrName) -> Column:
@@ -99,10 +100,10 @@ def round4(c: ColumnOrName) -> Column:
 
 
 def money_mean(c: ColumnOrName, scale: int = 2) -> Column:
-    """Mean of a money column, summed exactly as decimal(38, scale).
+    """Mean of a money column, summed exactly as decimal(18, scale) (one long a value).
 
     A double sum depends on the order rows arrive in; the decimal sum does not,
     so the mean is the same double on every run and every engine.
     """
     col = _c(c)
-    return F.sum(col.cast(f"decimal(38,{scale})")).cast("double") / F.count(col)
+    return F.sum(col.cast(f"decimal(18,{scale})")).cast("double") / F.count(col)

@@ -100,8 +100,8 @@ def majority_class(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def distinct_sorted(df: DataFrame, c: str, out: str = "value") -> DataFrame:
-    """Distinct text values of a column (sorted by the consumer)."""
-    return df.select(F.col(c).cast("string").alias(out)).distinct()
+    """Distinct text values of a column, sorted (a range sort over the distinct values)."""
+    return df.select(F.col(c).cast("string").alias(out)).distinct().orderBy(out)
 
 
 def histogram(df: DataFrame, p: str = "probability", bins: int = 40) -> DataFrame:

@@ -67,20 +67,26 @@ def apply_defaults(df: DataFrame, defaults: Mapping[str, object],
     return df.withColumns(cols)
 
 
-def error_list(required: Sequence[str]) -> Column:
-    """Array of 'missing:<field>' codes, empty when the row is valid."""
-    return F.array_compact(F.array(*[
-        F.when(F.col(c).isNull(), F.lit(f"missing:{c}")) for c in required
-    ]))
+def error_list(required: Sequence[str], types: Mapping[str, str] | None = None) -> Column:
+    """Array of error codes, empty when the row is valid.
+
+    ``missing:<field>`` for a null required field, ``type:<field>`` for a value
+    that its type in ``types`` cannot take (an integral type takes no fraction).
+    """
+    missing = [F.when(F.col(c).isNull(), F.lit(f"missing:{c}")) for c in required]
+    wrong = [F.when(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull(), F.lit(f"type:{c}")) for c, t in (types or {}).items()]
+    return F.array_compact(F.array(*missing, *wrong))
 
 
-def validate_split(df: DataFrame, required: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, rejected rows with an ``errors`` array).
+def validate_split(df: DataFrame, required: Sequence[str],
+                   types: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, typed if ``types`` is given; rejected rows with an ``errors`` array).
 
     Both sides come from one projection; Spark evaluates it per branch, no
     shuffle involved.
     """
-    tagged = df.withColumn("errors", error_list(required))
+    tagged = df.withColumn("errors", error_list(required, types))
     ok = tagged.filter(F.size("errors") == 0).drop("errors")
-    bad = tagged.filter(F.size("errors") > 0)
-    return ok, bad
+    if types:
+        ok = ok.withColumns({c: F.col(c).try_cast(t) for c, t in types.items()})
+    return ok, tagged.filter(F.size("errors") > 0)

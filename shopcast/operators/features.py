@@ -3,7 +3,7 @@
 Statistics are fitted on the training rows only and kept as model state:
 
 * median (FE2) is exact and distributed: the two middle order statistics via
-  ``key_at_position`` (Spark's exact ``median`` gathers a whole column in one
+  ``rows_at`` (Spark's exact ``median`` gathers a whole column in one
   buffer, ``percentile_approx`` is the cheaper option at scale);
 * most frequent value (FE3): group counts, ties -> smallest value;
 * standard scaling (FE4): mean and *population* std, zero std -> 1;
@@ -17,19 +17,24 @@ from collections.abc import Sequence
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopcast.operators.ordering import SMALL_ROWS, running_totals
+from shopcast.operators.ordering import rows_at
 
 MAX_CATEGORIES = 10_000
 
 
+def number(c: Column) -> Column:
+    """A numeric or boolean column as double, NaN as null."""
+    return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
+
+
 def split_by_type(schema: T.StructType, exclude: Sequence[str] = ()) -> tuple[list[str], list[str]]:
     """FE1: numeric (numbers and booleans) vs categorical (strings); others rejected."""
     num, cat = [], []
@@ -45,76 +50,31 @@ def split_by_type(schema: T.StructType, exclude: Sequence[str] = ()) -> tuple[li
     return num, cat
 
 
-def exact_median(df: DataFrame, col: str) -> float | None:
-    """Median with interpolation of the two middle values; nulls and NaN ignored.
-
-    One count table per distinct value, one running-total pass, and the two
-    middle order statistics read together (at most two rows to the driver).
-    """
-    vals = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    counts = vals.groupBy("v").agg(F.count(F.lit(1)).alias("_n")).persist()
-    try:
-        st = counts.agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("d")).first()
-        n = int(st["n"] or 0)
-        if n == 0:
-            return None
-        lo_pos, hi_pos = (n - 1) // 2, n // 2
-        ranked = running_totals(counts, "v", ["_n"], n_rows=int(st["d"]))
-        before = F.col("cum__n") - F.col("_n")
-        hits = (ranked.filter(((F.col("cum__n") > lo_pos) & (before <= lo_pos))
-                              | ((F.col("cum__n") > hi_pos) & (before <= hi_pos)))
-                      .select("v", before.alias("b"), "cum__n").collect())
-    finally:
-        counts.unpersist()
-    lo = next(r["v"] for r in hits if r["b"] <= lo_pos < r["cum__n"])
-    hi = next(r["v"] for r in hits if r["b"] <= hi_pos < r["cum__n"])
-    return (lo + hi) / 2.0
-
-
 def exact_medians(df: DataFrame, cols: Sequence[str]) -> list[float | None]:
-    """Exact medians of several columns with one count table.
+    """Exact medians (two middle values, interpolated) of several columns; nulls and NaN ignored.
 
-    Values are unpivoted to (feature, value) and counted once.  When the
-    checked number of distinct (feature, value) pairs is small, the running
-    counts use one window partitioned by feature; otherwise each feature goes
-    through the bucketed single-column path.
+    All columns go through ``rows_at`` together as (column number, value): one
+    pass brackets the middles, one counts the values inside the brackets.
     """
     if not cols:
         return []
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("v"))
-                                for i, c in enumerate(cols)]))
-    long = (df.select(pairs.alias("x")).select("x.f", "x.v")
-              .filter(F.col("v").isNotNull() & ~F.isnan("v")))
-    counts = long.groupBy("f", "v").agg(F.count(F.lit(1)).alias("_n")).persist()
-    try:
-        stats = {r["f"]: (int(r["n"]), int(r["d"])) for r in
-                 counts.groupBy("f").agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("d")).collect()}
-        if sum(d for _, d in stats.values()) > SMALL_ROWS:
-            return [exact_median(df, c) for c in cols]
-        w = Window.partitionBy("f").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        ranked = counts.withColumn("cum", F.sum("_n").over(w)).withColumn("b", F.col("cum") - F.col("_n"))
-        want = F.lit(False)
-        for f, (n, _) in stats.items():
-            for pos in {(n - 1) // 2, n // 2}:
-                want = want | ((F.col("f") == f) & (F.col("b") <= pos) & (F.col("cum") > pos))
-        hits = ranked.filter(want).select("f", "v", "b", "cum").collect()   # <= 2 rows per feature
-    finally:
-        counts.unpersist()
-    out = []
-    for i in range(len(cols)):
-        if i not in stats:
-            out.append(None)
-            continue
-        n = stats[i][0]
-        pick = lambda pos: next(r["v"] for r in hits if r["f"] == i and r["b"] <= pos < r["cum"])
-        out.append((pick((n - 1) // 2) + pick(n // 2)) / 2.0)
-    return out
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), number(F.col(c)).alias("v")) for i, c in enumerate(cols)]))
+    values = df.select(pairs.alias("x")).select("x.f", "x.v").filter(F.col("v").isNotNull())
+    middle = rows_at(values, ["f"], ["v"], 0.5, lambda n: F.floor((n - 1) / 2), lambda n: F.floor(n / 2))
+    found = {r["f"]: (r["a"] + r["b"]) / 2.0 for r in
+             middle.select("f", F.col("first.k0").alias("a"), F.col("last.k0").alias("b")).collect()}  # a row per column
+    return [found.get(i) for i in range(len(cols))]
+
+
+def exact_median(df: DataFrame, col: str) -> float | None:
+    """Median of one column, see ``exact_medians``."""
+    return exact_medians(df, [col])[0]
 
 
 def mode_value(df: DataFrame, col: str):
     """Most frequent non-null value; ties -> the smallest value."""
-    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    row = counts.agg(F.min_by(F.col(col), F.struct(-F.col("n"), F.col(col))).alias("m")).first()
+    counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    row = counts.agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("m")).first()
     return row["m"]
 
 
@@ -122,7 +82,7 @@ def moments(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]
     """Mean and population std of each column in one aggregation pass."""
     aggs = []
     for c in cols:
-        aggs += [F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}")]
+        aggs += [F.avg(F.col(c).cast("double")).alias(f"m_{c}"), F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}")]
     row = df.agg(*aggs).first()
     out = {}
     for c in cols:
@@ -142,9 +102,10 @@ class ImputerModel(Model, _ValuesParams, DefaultParamsReadable, DefaultParamsWri
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
+        """Text columns keep their type; all others come out as double, with NaN imputed like null."""
         cols, vals = self.getInputCols(), self.getOrDefault(self.values)
-        return df.withColumns({c: F.coalesce(F.col(c), F.lit(v).cast(df.schema[c].dataType))
-                               for c, v in zip(cols, vals) if v is not None})
+        own = {c: F.col(c) if isinstance(df.schema[c].dataType, T.StringType) else number(F.col(c)) for c in cols}
+        return df.withColumns({c: own[c] if v is None else F.coalesce(own[c], F.lit(v)) for c, v in zip(cols, vals)})
 
 
 class MedianImputer(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
@@ -167,7 +128,7 @@ class MedianImputer(Estimator, HasInputCols, DefaultParamsReadable, DefaultParam
         cols = self.getInputCols()
         acc = self.getOrDefault(self.approxAccuracy)
         if acc > 0:
-            row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, acc).alias(c) for c in cols]).first()
+            row = df.agg(*[F.percentile_approx(number(F.col(c)), 0.5, acc).alias(c) for c in cols]).first()
             return ImputerModel(inputCols=cols, values=[row[c] for c in cols])
         return ImputerModel(inputCols=cols, values=exact_medians(df, cols))
 
@@ -225,7 +186,7 @@ def one_hot_columns(df: DataFrame, col: str, categories: Sequence[str], prefix:
 
 
 def fitted_categories(train: DataFrame, col: str, limit: int = MAX_CATEGORIES) -> list[str]:
-    """Sorted distinct categories of the training rows; refuses more than ``limit``."""
+    """Sorted distinct categories of the training rows; refuses more than ``limit`` (columns, not rows)."""
     d = train.select(F.col(col).cast("string").alias(col)).filter(F.col(col).isNotNull()).distinct()
     n = d.count()
     if n > limit:
@@ -233,8 +194,22 @@ def fitted_categories(train: DataFrame, col: str, limit: int = MAX_CATEGORIES) -
     return sorted(r[0] for r in d.collect())
 
 
-def column_transformer(num_cols: Sequence[str], cat_cols: Sequence[str], out: str = "features") -> Pipeline:
-    """FE6: numeric (median -> scale) + categorical (mode -> one-hot) -> one vector; rest dropped."""
+def wide_categories(train: DataFrame, cat_cols: Sequence[str], limit: int = MAX_CATEGORIES) -> list[str]:
+    """Columns with more than ``limit`` categories: to be hashed, since an index lives on the driver."""
+    if not cat_cols:
+        return []
+    row = train.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in cat_cols]).first()
+    return [c for c in cat_cols if row[c] > 0.9 * limit]
+
+
+def column_transformer(num_cols: Sequence[str], cat_cols: Sequence[str], out: str = "features",
+                       hashed: Sequence[str] = (), hash_size: int = 1 << 18) -> Pipeline:
+    """FE6: numeric (median -> scale) + categorical (mode -> one-hot) -> one vector; rest dropped.
+
+    ``hashed`` names text columns (see ``wide_categories``) that are hashed
+    into ``hash_size`` slots instead of indexed.
+    """
+    cat_cols = [c for c in cat_cols if c not in set(hashed)]
     stages = []
     if num_cols:
         stages += [MedianImputer(inputCols=list(num_cols)), PopulationScaler(inputCols=list(num_cols))]
@@ -246,5 +221,8 @@ def column_transformer(num_cols: Sequence[str], cat_cols: Sequence[str], out: st
         stages.append(StringIndexer(inputCols=list(cat_cols), outputCols=idx, handleInvalid="keep",
                                     stringOrderType="alphabetAsc"))
         stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe_cols, dropLast=True))
+    if hashed:
+        stages.append(FeatureHasher(inputCols=list(hashed), outputCol=f"{out}__hashed", numFeatures=hash_size))
+        ohe_cols.append(f"{out}__hashed")
     stages.append(VectorAssembler(inputCols=[*num_cols, *ohe_cols], outputCol=out, handleInvalid="keep"))
     return Pipeline(stages=stages)

@@ -62,9 +62,12 @@ def score_counts(df: DataFrame, score: str = "score", label: str = "label") -> D
 
 
 def curve(df: DataFrame, score: str = "score", label: str = "label", counts: DataFrame | None = None) -> DataFrame:
-    """Per distinct score s: tp/fp of the rule score >= s, with totals P and N."""
+    """Per distinct score s: tp/fp of the rule score >= s, with totals P and N.
+
+    The per-score table is materialised once, so the scored rows are read once.
+    """
     if counts is None:
-        counts = score_counts(df, score, label)
+        counts = score_counts(df, score, label).checkpoint(eager=True)
     counts = counts.filter(F.col("score").isNotNull())
     score = "score"
     totals = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))

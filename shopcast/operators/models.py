@@ -8,13 +8,19 @@ forest the closest Spark ML settings to the reference's.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from shopcast.operators.cleaning import align_columns
+from shopcast.operators.ordering import few_rows
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
@@ -26,9 +32,17 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
-    """Attach ML1 weights to every row (the class table has one row per class: broadcast)."""
-    w = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(F.broadcast(w), label)
+    """Attach ML1 weights of ``df`` itself to its rows; call it on training rows only (FE7).
+
+    The class table is broadcast if its counted rows are few.
+    """
+    w = class_weights(df, label).select(label, F.col("weight").alias(out)).checkpoint(eager=True)
+    return df.join(few_rows(w), label)
+
+
+def train_class_weights(split_table: DataFrame, label: str, split: str = "split") -> DataFrame:
+    """ML1 as training uses it: balanced weights of the rows with split ``train``."""
+    return class_weights(split_table.filter(F.col(split) == "train"), label)
 
 
 def linear_score(coefficients: dict[str, float], intercept: float) -> Column:
@@ -45,7 +59,7 @@ def positive_probability(pred: DataFrame, prob_col: str = "probability", out: st
 
 
 def logistic(features_col: str = "features", label: str = "label", weight: str = "weight",
-             reg_param: float = 0.0, max_iter: int = 200) -> LogisticRegression:
+             reg_param: float = 0.0, max_iter: int = 2000) -> LogisticRegression:
     """ML2 estimator: L2, lbfgs, class weights."""
     return LogisticRegression(featuresCol=features_col, labelCol=label, weightCol=weight,
                               regParam=reg_param, elasticNetParam=0.0, standardization=False,
@@ -53,10 +67,10 @@ def logistic(features_col: str = "features", label: str = "label", weight: str =
 
 
 def forest(features_col: str = "features", label: str = "label", weight: str = "weight",
-           trees: int = 50, seed: int = 42) -> RandomForestClassifier:
-    """ML3 estimator (fewer trees than the reference's 650 by default)."""
+           trees: int = 650, depth: int = 30, seed: int = 42) -> RandomForestClassifier:
+    """ML3 estimator: 650 trees, at least 2 rows a leaf, depth as far as Spark goes (30)."""
     return RandomForestClassifier(featuresCol=features_col, labelCol=label, weightCol=weight,
-                                  numTrees=trees, minInstancesPerNode=2, maxDepth=12,
+                                  numTrees=trees, minInstancesPerNode=2, maxDepth=depth,
                                   featureSubsetStrategy="sqrt", seed=seed)
 
 
@@ -64,13 +78,46 @@ def fit_pipeline(train: DataFrame, stages: Sequence) -> PipelineModel:
     return Pipeline(stages=list(stages)).fit(train)
 
 
-def save_bundle(model: PipelineModel, path: str) -> None:
-    """IO5: the fitted pipeline as a directory (overwrite)."""
-    model.write().overwrite().save(path)
-
-
-def load_bundle(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+@dataclass
+class Bundle:
+    """IO5: a fitted pipeline with all it takes to decide on new rows."""
+    model: PipelineModel
+    threshold: float
+    target: str
+    model_name: str
+    numeric: list[str]
+    categorical: list[str]
+    schema: str                                   # JSON of the input columns
+    metrics: dict = field(default_factory=dict)
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """ML4 + C17: align the columns, add probability and prediction at the stored threshold."""
+        shape = T.StructType.fromJson(json.loads(self.schema))
+        own = df.select(F.struct(*df.columns).alias("_row"), *df.columns)
+        aligned = align_columns(own, T.StructType([*shape.fields, own.schema["_row"]]))
+        scored = positive_probability(self.model.transform(aligned), out="probability")
+        return scored.select("_row.*", "probability", (F.col("probability") >= self.threshold).cast("int").alias("prediction"))
+
+
+def save_bundle(bundle: Bundle, path: str) -> None:
+    """Pipeline and metadata side by side under ``path`` (overwrite)."""
+    bundle.model.write().overwrite().save(f"{path}/pipeline")
+    facts = {k: getattr(bundle, k) for k in Bundle.__dataclass_fields__ if k != "model"}
+    spark = SparkSession.active()
+    spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+
+
+def load_bundle(path: str) -> Bundle:
+    facts = json.loads(SparkSession.active().read.text(f"{path}/metadata").first()[0])
+    return Bundle(model=PipelineModel.load(f"{path}/pipeline"), **facts)
+
+
+def bundle_metadata(bundle: Bundle) -> DataFrame:
+    """The bundle's record as one row."""
+    row = (bundle.model_name, bundle.target, bundle.threshold, len(bundle.numeric), len(bundle.categorical),
+           ",".join([*bundle.numeric, *bundle.categorical]), bundle.metrics.get("n_train"), bundle.metrics.get("pr_auc"))
+    return SparkSession.active().createDataFrame([row], "model_name string, target string, threshold double, n_numeric int, "
+                                                 "n_categorical int, features string, n_train long, pr_auc double")
 
 
 def select_champion(metrics: DataFrame, name: str = "model", score: str = "pr_auc",

@@ -1,139 +1,121 @@
 """Global order without a single task: running totals and order statistics.
 
 A window with no ``partitionBy`` moves every row to one task.  Here global
-order is split in two levels instead:
-
-1. quantile bucket boundaries of the key (``percentile_approx``, k values,
-   bounded) feed Spark ML's ``Bucketizer``, so each row gets its bucket by a
-   JVM binary search (O(log k)) inside codegen;
-2. per-bucket totals form a table of at most k+1 rows (the only place an
-   unpartitioned window runs, over a proven bound), broadcast back as offsets;
-3. running sums inside each bucket use a window partitioned by bucket.
-
-The result is exact; the quantiles only steer balance.  Small inputs (checked
-count below ``SMALL_ROWS``) skip the bucketing.
+order comes from Spark's own range partitioning: rows are ranged over the key,
+each partition gets its running sums, and the totals of the partitions before it
+(a table of one row per partition) are added.  One path serves all sizes and
+every orderable key type; NaN sorts above all numbers, as in Spark.
+
+Positions (``rows_at``) are narrowed first: ``percentile_approx`` brackets the
+position of every class in one aggregation, rows below the bracket collapse to
+one count, and only keys inside it are ordered.  Nothing is looked up on the
+driver, so cut values keep their type and no time zone enters.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SMALL_ROWS = 200_000
-MAX_BUCKETS = 4096
+#: Tables of at most this many counted rows may be broadcast.
+BROADCAST_ROWS = 100_000
 
 
-def _bucket_count(df: DataFrame) -> int:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(16, min(MAX_BUCKETS, 4 * parts))
+def running_totals(df: DataFrame, key: str, value_cols: Sequence[str], prefix: str = "cum_",
+                   classes: Sequence[str] = ()) -> DataFrame:
+    """Add ``cum_<v>`` = sum of v over all rows (of the class) with key <= this row's key.
 
-
-def sort_number(col: Column, dtype: T.DataType) -> Column:
-    """A double that never decreases when the key increases (for bucketing only)."""
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(col).cast("double")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(col.cast("timestamp")).cast("double")
-    if isinstance(dtype, (T.NumericType, T.BooleanType)):
-        return col.cast("double")
-    raise TypeError(f"order key of type {dtype.simpleString()} is not supported; map it to a number first")
-
-
-def quantile_bounds(df: DataFrame, num_col: str, k: int) -> list[float]:
-    """Sorted distinct approximate k-quantiles of a double column (k-1 values, bounded)."""
-    probs = [i / k for i in range(1, k)]
-    row = df.agg(F.percentile_approx(num_col, probs, 10 * k).alias("q")).first()
-    values = [float(v) for v in (row["q"] or []) if v is not None and v == v]
-    return sorted(set(values))
-
-
-def running_totals(df: DataFrame, key: str, value_cols: Sequence[str],
-                   prefix: str = "cum_", n_rows: int | None = None) -> DataFrame:
-    """Add ``cum_<v>`` = sum of v over all rows with key <= this row's key.
-
-    Ties share the same total (RANGE frame).  Rows with a null key are dropped.
-    Above ``SMALL_ROWS`` rows the bucket of a row comes from Spark ML's
-    ``Bucketizer`` (a JVM binary search over the quantile bounds, inside
-    codegen); the window inside a bucket still orders by the exact key.
+    Ties share the same total.  Rows with a null key are dropped.
     """
-    df = df.filter(F.col(key).isNotNull())
-    n = n_rows if n_rows is not None else df.count()
-    if n <= SMALL_ROWS:
-        w = Window.orderBy(key).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumns({f"{prefix}{c}": F.sum(c).over(w) for c in value_cols})
-    num = df.withColumn("_num", sort_number(F.col(key), df.schema[key].dataType))
-    bounds = quantile_bounds(num, "_num", _bucket_count(df))
-    splits = [float("-inf"), *bounds, float("inf")]
-    b = (Bucketizer(splits=splits, inputCol="_num", outputCol="_bkt", handleInvalid="keep")
-         .transform(num).withColumn("_bucket", F.col("_bkt").cast("int")).drop("_num", "_bkt"))
-    per_bucket = b.groupBy("_bucket").agg(*[F.sum(c).alias(c) for c in value_cols])
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select("_bucket", *[
+    cls = list(classes)
+    ranged = (df.filter(F.col(key).isNotNull()).repartitionByRange(*cls, key)
+                .withColumn("_part", F.spark_partition_id()).checkpoint(eager=True))
+    per_part = ranged.groupBy(*cls, "_part").agg(*[F.sum(c).alias(c) for c in value_cols])
+    before = Window.partitionBy(*cls).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.select(*[F.col(c).alias(f"_c_{c}") for c in cls], F.col("_part").alias("_p"), *[
         F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_off_{c}") for c in value_cols])
-    inner = Window.partitionBy("_bucket").orderBy(key).rangeBetween(Window.unboundedPreceding,
-                                                                     Window.currentRow)
-    out = b.withColumns({f"_in_{c}": F.sum(c).over(inner) for c in value_cols})
-    out = out.join(F.broadcast(offsets), "_bucket")
+    same = F.col("_part") == F.col("_p")
+    for c in cls:
+        same = same & F.col(c).eqNullSafe(F.col(f"_c_{c}"))
+    inner = Window.partitionBy(*cls, "_part").orderBy(key).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    out = ranged.withColumns({f"_in_{c}": F.sum(c).over(inner) for c in value_cols}).join(offsets, same)
     return (out.withColumns({f"{prefix}{c}": F.col(f"_in_{c}") + F.col(f"_off_{c}") for c in value_cols})
-               .drop("_bucket", *[f"_in_{c}" for c in value_cols], *[f"_off_{c}" for c in value_cols]))
+               .drop("_part", "_p", *[f"_c_{c}" for c in cls], *[f"_in_{c}" for c in value_cols],
+                     *[f"_off_{c}" for c in value_cols]))
 
 
-def _locate(counts: DataFrame, k: str, pos: int, n_distinct: int):
-    ranked = running_totals(counts, k, ["_n"], n_rows=n_distinct)
-    return (ranked.filter((F.col("cum__n") > pos) & (F.col("cum__n") - F.col("_n") <= pos))
-                  .select(k, (F.col("cum__n") - F.col("_n")).alias("_before"), "_n").first())
-
-
-def key_at_position(df: DataFrame, keys: Sequence[str], position: int | None = None,
-                    fraction: float | None = None) -> tuple[int, int, tuple | None]:
-    """(n, position, key tuple) of the row at 0-based ``position`` in the order of ``keys``.
-
-    Give ``position`` or ``fraction`` (position = int(fraction * n)).  Level by
-    level: count rows per value of the leading key, find the value whose
-    running count passes the position, continue inside that value with the
-    next key.  Each level's count table is cached only while it is searched;
-    each level returns one row to the driver.  The tuple is None when the
-    position is outside 0..n-1, and a prefix of ``keys`` once that prefix
-    already identifies a single row (``lexi_less`` accepts prefixes).
+def sort_number(col: Column, dtype: T.DataType) -> Column:
+    """A double that never decreases when the key increases; null and NaN are NaN, above all."""
+    if isinstance(dtype, (T.DateType,)):
+        num = F.unix_date(col).cast("double")
+    elif isinstance(dtype, T.TimestampType):
+        num = F.unix_micros(col).cast("double")
+    elif isinstance(dtype, T.TimestampNTZType):      # calendar fields: no zone enters
+        num = (F.unix_date(F.to_date(col)) * 86400 + F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)).cast("double")
+    elif isinstance(dtype, (T.StringType, T.BinaryType)):
+        head = F.hex(F.substring(col.cast("binary"), 1, 6))
+        num = F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
+    elif isinstance(dtype, (T.NumericType, T.BooleanType)):
+        num = col.cast("double")
+    else:
+        raise TypeError(f"order key of type {dtype.simpleString()} is not supported")
+    return F.coalesce(num, F.lit(float("nan")))
+
+
+def order_key(keys: Sequence[str]) -> Column:
+    """Comparable struct of the keys, nulls last."""
+    return F.struct(*[x for i, k in enumerate(keys) for x in (F.col(k).isNull().alias(f"n{i}"), F.col(k).alias(f"k{i}"))])
+
+
+def few_rows(df: DataFrame) -> DataFrame:
+    """The (materialised) table, marked for broadcast if its counted rows are few."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def rows_at(df: DataFrame, classes: Sequence[str], keys: Sequence[str], fraction: float,
+            first: Callable[[Column], Column], last: Callable[[Column], Column] | None = None,
+            slack: float = 3e-4) -> DataFrame:
+    """Per class: n and the ``order_key`` structs at sorted 0-based positions first(n) and last(n).
+
+    Both positions lie near ``fraction`` * n, which steers the bracket; if a
+    bracket misses, it is widened, so the result is exact.  A position outside
+    0..n-1 gives null.  The input is read twice and none of its rows are
+    shuffled, only counts per key inside the bracket.
     """
-    found = []
-    cur = df
-    pos = position
-    n_total = None
-    for k in keys:
-        counts = cur.groupBy(k).agg(F.count(F.lit(1)).alias("_n")).filter(F.col(k).isNotNull()).persist()
-        try:
-            stats = counts.agg(F.count(F.lit(1)).alias("d"), F.sum("_n").alias("n")).first()
-            if n_total is None:
-                n_total = int(stats["n"] or 0)
-                if pos is None:
-                    pos = int(n_total * fraction)
-                if pos < 0 or pos >= n_total:
-                    return n_total, pos, None
-            hit = _locate(counts, k, pos, int(stats["d"]))
-        finally:
-            counts.unpersist()
-        if hit is None:
-            return n_total, position if position is not None else pos, None
-        found.append(hit[0])
-        if int(hit["_n"]) == 1:
-            break              # the prefix already pins a single row
-        pos -= int(hit["_before"])
-        cur = cur.filter(F.col(k) == F.lit(hit[0]))
-    start = position if position is not None else int(n_total * fraction)
-    return n_total, start, tuple(found)
-
-
-def lexi_less(keys: Sequence[str], values: Sequence) -> Column:
-    """(keys) < (values) in lexicographic order, as one predicate."""
-    cond = None
-    eq = F.lit(True)
-    for k, v in zip(keys, values):
-        term = eq & (F.col(k) < F.lit(v))
-        cond = term if cond is None else (cond | term)
-        eq = eq & (F.col(k) == F.lit(v))
-    return cond
+    last = last or first
+    names = [f"_class{i}" for i in range(max(1, len(classes)))]
+    given = [F.col(c) for c in classes] or [F.lit(0)]
+    rows = df.select(*[c.alias(x) for c, x in zip(given, names, strict=True)], order_key(keys).alias("_key"),
+                     sort_number(F.col(keys[0]), df.schema[keys[0]].dataType).alias("_num"))
+    while True:
+        small = F.col("n") * slack < 3      # a bracket of a few ranks would miss by rounding: all keys of the class
+        sides = F.array(F.lit(max(0.0, fraction - slack)), F.lit(min(1.0, fraction + slack)))
+        stats = (rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_num", sides, 10000).alias("q"))
+                 .select(*[F.col(x).alias(f"{x}s") for x in names], "n",
+                         F.when(F.lit(fraction - slack <= 0) | small, F.lit(float("-inf"))).otherwise(F.col("q")[0]).alias("_lo"),
+                         F.when(F.lit(fraction + slack >= 1) | small, F.lit(float("nan"))).otherwise(F.col("q")[1]).alias("_hi"))
+                 .checkpoint(eager=True))
+        same = F.lit(True)
+        for x in names:
+            same = same & F.col(x).eqNullSafe(F.col(f"{x}s"))
+        near = rows.join(few_rows(stats), same).filter(F.col("_num") <= F.col("_hi"))
+        inside = F.when(F.col("_num") >= F.col("_lo"), F.col("_key"))
+        counts = (near.groupBy(*names, inside.isNotNull().alias("_in"), inside.alias("_key"))
+                  .agg(F.count(F.lit(1)).alias("_n"), F.first("n").alias("n"))
+                  .withColumn("_order", F.struct("_in", "_key")))
+        ranked = running_totals(counts, "_order", ["_n"], classes=names).withColumn("_from", F.col("cum__n") - F.col("_n"))
+
+        def at(pos: Column) -> Column:
+            here = (F.col("_from") <= pos) & (pos < F.col("cum__n"))
+            return F.max(F.when(here & F.col("_in"), F.col("_key")))
+        n = F.col("n")
+        found = ranked.groupBy(*names).agg(F.max("n").alias("n"), at(first(n)).alias("first"), at(last(n)).alias("last")).checkpoint(eager=True)
+        missed = F.lit(False)
+        for pos, name in ((first(n), "first"), (last(n), "last")):
+            missed = missed | (pos.between(0, n - 1) & F.col(name).isNull())
+        if slack >= 1 or found.filter(missed).isEmpty():
+            return found.select(*[F.col(x).alias(c) for x, c in zip(names, classes, strict=False)], "n", "first", "last")
+        slack *= 16

@@ -1,42 +1,35 @@
 """Dataset splits S1-S4 without a global row sort.
 
-Positions are found with ``key_at_position`` (per-key counts and running
-totals, never all rows in one task); the split itself is then a single
-predicate on each row, so the data are scanned once and not shuffled.
+Cut keys are found with ``rows_at`` (brackets and counts, never all rows in one
+task, all classes together) and compared as typed structs; nulls sort last and
+count as rows.  The split itself is one comparison on each row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopcast.operators.ordering import key_at_position, lexi_less
-
-MAX_CLASSES = 1000
+from shopcast.operators.ordering import few_rows, order_key, rows_at
 
 
 def temporal_split(df: DataFrame, time_col: str, frac: float = 0.8,
                    out: str = "split") -> DataFrame:
     """cutoff = value at sorted position int(frac * n); train <= cutoff < test."""
-    _, _, hit = key_at_position(df, [time_col], fraction=frac)
-    if hit is None:  # empty table or cut == n: everything is train
-        return df.withColumn(out, F.lit("train"))
-    return df.withColumn(out, F.when(F.col(time_col) <= F.lit(hit[0]), "train").otherwise("test"))
+    cut = rows_at(df, [], [time_col], frac, lambda n: F.floor(n * frac)).select("first").scalar()
+    return df.withColumn(out, F.when(cut.isNull() | (order_key([time_col]) <= cut), "train").otherwise("test"))
 
 
 def ordered_split(df: DataFrame, order: Sequence[str], frac: float = 0.8,
                   out: str = "split") -> DataFrame:
     """First int(frac * n) rows of a total order are train.
 
-    ``order`` must be a total order (unique key tuple); a composite order like
-    (store, week, id) is handled key by key.
+    ``order`` must be a total order (unique key tuple) of any orderable types.
     """
-    _, _, hit = key_at_position(df, list(order), fraction=frac)
-    if hit is None:
-        return df.withColumn(out, F.lit("train"))
-    return df.withColumn(out, F.when(lexi_less(order, hit), "train").otherwise("test"))
+    cut = rows_at(df, [], list(order), frac, lambda n: F.floor(n * frac)).select("first").scalar()
+    return df.withColumn(out, F.when(cut.isNull() | (order_key(order) < cut), "train").otherwise("test"))
 
 
 def hash_rank_keys(id_col: str, seed: int) -> dict[str, F.Column]:
@@ -64,27 +57,18 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_frac: float =
     """Per class, the round(test_frac * n_c) rows first in md5 order are test.
 
     Class shares are kept exactly; rows are chosen by a hash of the id, so the
-    split is repeatable and engine-independent.  ``exact=False`` switches to
-    the one-pass ``hashed_split``.
+    split is repeatable and engine-independent.  Any number of classes is cut
+    together.  ``exact=False`` switches to the one-pass ``hashed_split``.
     """
     if not exact:
         return hashed_split(df, id_col, test_frac, seed, out)
     keyed = df.withColumns(hash_rank_keys(id_col, seed))
     order = ["_h1", "_h2", id_col]
-    per_class = keyed.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    if per_class.limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes; use exact=False (hashed split)")
-    class_counts = per_class.collect()           # one row per class, bounded above
-    cond = F.lit(False)
-    for row in class_counts:
-        c, n_c = row[label], int(row["n"])
-        t = int(round(test_frac * n_c + 1e-12))
-        in_class = F.col(label).isNull() if c is None else (F.col(label) == F.lit(c))
-        if t >= n_c:
-            cond = cond | in_class
-            continue
-        if t <= 0:
-            continue
-        _, _, hit = key_at_position(keyed.filter(in_class), order, position=t)
-        cond = cond | (in_class & lexi_less(order, hit))
-    return keyed.withColumn(out, F.when(cond, "test").otherwise("train")).drop("_h1", "_h2")
+
+    def size(n: Column) -> Column:
+        return F.round(n * test_frac + 1e-12).cast("long")
+    cuts = rows_at(keyed, [label], order, test_frac, size).select(
+        F.col(label).alias("_label"), F.col("first").alias("_cut"), (size(F.col("n")) >= F.col("n")).alias("_all"))
+    joined = keyed.join(few_rows(cuts), F.col(label).eqNullSafe(F.col("_label")))
+    test = F.col("_all") | F.coalesce(order_key(order) < F.col("_cut"), F.lit(False))
+    return joined.withColumn(out, F.when(test, "test").otherwise("train")).drop("_h1", "_h2", "_label", "_cut", "_all")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TARGET = "growth_next_week"
-# Columns that never enter the model (C11).
+# Columns that never enter the model (C11).
 M4_DROP = ["store_id", "profile_visits_next_week", "new_customers_next_week", TARGET]
 
 

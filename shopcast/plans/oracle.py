@@ -611,9 +611,9 @@ ORDER BY n DESC, label ASC LIMIT 1""")
 sql("select_champion", f"""WITH {scored_sql()}, {CURVE},
 prior AS (SELECT avg(CAST(label AS DOUBLE)) AS p FROM scored),
 cands AS (
-  SELECT 'logistic_regression' AS model, ({AP}) AS pr_auc, 0 AS priority
+  SELECT 'text_length' AS model, ({AP}) AS pr_auc, 0 AS priority
   UNION ALL
-  SELECT 'random_forest', CASE WHEN (SELECT sum(label) FROM scored) > 0 THEN (SELECT p FROM prior) END, 1
+  SELECT 'class_prior', CASE WHEN (SELECT sum(label) FROM scored) > 0 THEN (SELECT p FROM prior) END, 1
 )
 SELECT model AS champion, round(pr_auc, 6) AS best_pr_auc FROM cands ORDER BY pr_auc DESC, priority ASC LIMIT 1""")
 
@@ -851,7 +851,7 @@ sp AS (SELECT growth_next_week,
 SELECT split, count(*) AS n_rows, round(avg(growth_next_week), 6) AS mean_growth_next_week FROM sp GROUP BY split""")
 
 CHURN_TABLE = """
-cutoff AS (SELECT CAST((SELECT max(o_orderdate) FROM orders) AS DATE) - INTERVAL 180 DAY AS c),
+cutoff AS (SELECT CAST((SELECT max(o_orderdate) FROM orders) AS DATE) - INTERVAL 30 DAY AS c),
 o AS (SELECT o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS d FROM orders),
 past AS (
   SELECT o_custkey, max(d) AS last_order,
@@ -902,3 +902,76 @@ sql("session_feature_projection", f"""WITH {WEB_EVENTS}
 SELECT country, device, events_count, pageviews_count, add_to_cart_count, unique_items_viewed,
        high_conversion_session, session_day_of_week, session_month, is_mobile, bounce
 FROM sessions""")
+
+sql("impute_transform", """WITH o AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_custkey % 10 AS DOUBLE) END AS a,
+         CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS b,
+         CASE WHEN o_orderkey % 3 <> 0 THEN CAST(CAST(o_orderstatus = 'F' AS INTEGER) AS DOUBLE) END AS c,
+         CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END AS d FROM orders),
+m AS (SELECT median(a) AS a, median(b) AS b, median(c) AS c FROM o),
+md AS (SELECT d FROM o WHERE d IS NOT NULL GROUP BY d ORDER BY count(*) DESC, d LIMIT 1),
+f AS (SELECT o_orderkey, coalesce(o.a, m.a) AS a, coalesce(o.b, m.b) AS b, coalesce(o.c, m.c) AS c, coalesce(o.d, md.d) AS d
+      FROM o, m, md),
+st AS (SELECT avg(b) AS mean, stddev_pop(b) AS sd FROM f)
+SELECT o_orderkey, round(a * 1e6) / 1e6 AS a, round((b - mean) / sd * 1e6) / 1e6 AS b, c, d, round(b * 1e6) / 1e6 AS b_raw FROM f, st""")
+
+NUM_SLOTS = ("events_count", "pageviews_count", "add_to_cart_count", "unique_items_viewed", "session_day_of_week",
+             "session_month", "is_mobile", "bounce")
+
+sql("feature_matrix", f"""WITH {WEB_EVENTS},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY high_conversion_session
+                     ORDER BY md5(CAST(ga_session_id AS VARCHAR) || '42'), ga_session_id) AS rk,
+                  count(*) OVER (PARTITION BY high_conversion_session) AS n_c FROM sessions),
+sp AS (SELECT *, CASE WHEN rk <= round(0.2 * n_c) THEN 'test' ELSE 'train' END AS split FROM ranked),
+tr AS (SELECT * FROM sp WHERE split = 'train'),
+mc AS (SELECT country FROM tr WHERE country IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+mv AS (SELECT device FROM tr WHERE device IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+ct AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT country AS v FROM tr WHERE country IS NOT NULL)),
+dv AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT device AS v FROM tr WHERE device IS NOT NULL)),
+long AS (
+""" + " UNION ALL ".join(
+    f"SELECT ga_session_id, split, {i} AS slot, (CAST({c} AS DOUBLE) - (SELECT avg({c}) FROM tr)) / "
+    f"(SELECT CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END FROM tr) AS value FROM sp"
+    for i, c in enumerate(NUM_SLOTS)) + f"""
+UNION ALL SELECT ga_session_id, split, {len(NUM_SLOTS)} + i, 1.0 FROM sp JOIN ct ON ct.v = coalesce(country, (SELECT country FROM mc))
+UNION ALL SELECT ga_session_id, split, {len(NUM_SLOTS)} + (SELECT count(*) FROM ct) + i, 1.0
+          FROM sp JOIN dv ON dv.v = coalesce(device, (SELECT device FROM mv)))
+SELECT ga_session_id, split, CAST(slot AS INTEGER) AS slot, round(value * 1e6) / 1e6 AS value FROM long WHERE value <> 0""")
+
+sql("train_class_weights", f"""WITH {SALES_LINES}, {M1_WINDOWS}, {CONTENT_WEEKS},
+pos AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS p FROM m1_features),
+cutoff AS (SELECT date FROM pos WHERE p = (SELECT CAST(floor(count(*) * 0.8) AS BIGINT) FROM m1_features)),
+m1 AS (SELECT will_sell_next_7d AS label FROM m1_features
+       WHERE (SELECT count(*) FROM cutoff) = 0 OR date <= (SELECT date FROM cutoff)),
+m4 AS (SELECT label FROM (SELECT growth_next_week AS label, row_number() OVER (ORDER BY store_id, week) AS r, count(*) OVER () AS n
+                          FROM content_weeks) WHERE r <= floor(n * 0.8)),
+c AS (SELECT 'm1' AS module, label, count(*) AS n_class FROM m1 GROUP BY label
+      UNION ALL SELECT 'm4', label, count(*) FROM m4 GROUP BY label)
+SELECT module, label, n_class,
+       round(sum(n_class) OVER (PARTITION BY module) / (count(*) OVER (PARTITION BY module) * n_class) * 1e6) / 1e6 AS weight FROM c""")
+
+sql("ordered_split_text", """
+SELECT p_partkey, p_name, CASE WHEN row_number() OVER (ORDER BY p_name, p_partkey) <= floor(count(*) OVER () * 0.8)
+                               THEN 'train' ELSE 'test' END AS split FROM part""")
+
+sql("top_filtered_plans", f"""WITH {scored_cte('sales')},
+cats AS (SELECT DISTINCT business_category_slug FROM sales_pred ORDER BY 1 LIMIT 3)
+SELECT product_id, business_category_slug, plan_id, probability FROM sales_pred
+WHERE business_category_slug IN (SELECT business_category_slug FROM cats) AND plan_id IN ('basic', 'pro')
+ORDER BY probability DESC, product_id LIMIT 20""")
+
+sql("map_binary_strict", """
+SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INTEGER) AS label FROM orders WHERE o_orderstatus IN ('F', 'O')""")
+
+sql("validate_types", """WITH r AS (
+  SELECT p_partkey AS product_id, CASE WHEN p_partkey % 7 = 0 THEN 'n/a' WHEN p_partkey % 11 = 0 THEN NULL
+           ELSE CAST(p_retailprice AS VARCHAR) END AS price,
+         CASE WHEN p_partkey % 5 = 0 THEN '2.5' ELSE CAST(p_size AS VARCHAR) END AS stock FROM part)
+SELECT product_id, concat_ws('|', CASE WHEN price IS NULL THEN 'missing:price' END,
+       CASE WHEN price IS NOT NULL AND TRY_CAST(price AS DOUBLE) IS NULL THEN 'type:price' END,
+       CASE WHEN stock = '2.5' THEN 'type:stock' END) AS errors FROM r""")
+
+sql("csv_product_day", f"""WITH {SALES_LINES}
+SELECT stock_code, date, round(price, 6) AS price, description_length, round(sold_qty, 6) AS sold_qty,
+       round(revenue, 6) AS revenue, round(cancelled_qty, 6) AS cancelled_qty, cancelled_rows, "rows", unique_buyers
+FROM daily""")

@@ -40,15 +40,23 @@ def q_churn_split(spark, sf):
     return round_doubles(sp.groupBy("split", churn.TARGET).agg(F.count(F.lit(1)).alias("n_rows")))
 
 
+def _m1_split(spark, sf):
+    from shopcast.plans.queries_m1 import m1_features
+    return S.temporal_split(m1_features(spark, sf).checkpoint(eager=True), "date", 0.8)
+
+
+def _m1_exclude():
+    from shopcast.plans.sales import M1_DROP, TARGET
+    return TARGET, [c for c in M1_DROP if c != TARGET]
+
+
 @query("module1_metrics")
 def q_module1_metrics(spark, sf):
     """M1 training run: temporal split of the product-day table, balanced logistic, E9."""
     from shopcast.plans.modules import evaluate, fit_and_score
-    from shopcast.plans.queries_m1 import m1_features
-    from shopcast.plans.sales import M1_DROP, TARGET
-    sp = S.temporal_split(m1_features(spark, sf), "date", 0.8)
-    _, scores = fit_and_score(sp, TARGET, [c for c in M1_DROP if c != TARGET], "stock_code")
-    return round_doubles(evaluate(scores))
+    target, exclude = _m1_exclude()
+    _, scores, p = fit_and_score(_m1_split(spark, sf), target, exclude, "stock_code")
+    return round_doubles(evaluate(scores, p))
 
 
 @query("module2_metrics")
@@ -57,15 +65,67 @@ def q_module2_metrics(spark, sf):
     from shopcast.plans.modules import evaluate, fit_and_score
     t = churn.churn_table(load_table(spark, sf, "orders"), load_table(spark, sf, "customer"))
     sp = S.stratified_split(t, churn.TARGET, "customer_id", 0.2, 42)
-    _, scores = fit_and_score(sp, churn.TARGET, [], "customer_id")
-    return round_doubles(evaluate(scores))
+    _, scores, p = fit_and_score(sp, churn.TARGET, [], "customer_id", max_iter=3000)
+    return round_doubles(evaluate(scores, p))
+
+
+def _m4_split(spark, sf):
+    sp = S.ordered_split(_weeks(spark, sf).checkpoint(eager=True), ["store_id", "week"], 0.8)
+    return sp.withColumn("week_index", F.unix_date("week")).drop("week")
+
+
+M4_EXCLUDE = [c for c in growth.M4_DROP if c != growth.TARGET]
 
 
 @query("module4_champion")
 def q_module4_champion(spark, sf):
     """M4 training run: (store, week) 80/20 split, logistic vs forest by AP (ML5, E4)."""
-    from shopcast.plans.modules import champion
-    sp = S.ordered_split(_weeks(spark, sf), ["store_id", "week"], 0.8)
-    weeks = sp.withColumn("week_index", F.unix_date("week")).drop("week")
-    return round_doubles(champion(weeks, growth.TARGET,
-                                  [c for c in growth.M4_DROP if c != growth.TARGET], "store_id"))
+    from shopcast.plans.modules import champion, compare_models
+    return round_doubles(champion(compare_models(_m4_split(spark, sf), growth.TARGET, M4_EXCLUDE, "store_id")[0]))
+
+
+@query("module4_report")
+def q_module4_report(spark, sf):
+    """M4 per-class reports of both models and the majority baseline (E8, ML6)."""
+    from shopcast.plans.modules import compare_models
+    return round_doubles(compare_models(_m4_split(spark, sf), growth.TARGET, M4_EXCLUDE, "store_id")[1])
+
+
+@query("train_class_weights")
+def q_train_class_weights(spark, sf):
+    """ML1 as training uses it: weights of the train rows of the M1 and M4 splits."""
+    from shopcast.operators.models import train_class_weights
+    m1 = train_class_weights(_m1_split(spark, sf), _m1_exclude()[0]).withColumnRenamed(_m1_exclude()[0], "label")
+    m4 = train_class_weights(_m4_split(spark, sf), growth.TARGET).withColumnRenamed(growth.TARGET, "label")
+    return round_doubles(m1.select(F.lit("m1").alias("module"), "*").unionByName(m4.select(F.lit("m4").alias("module"), "*")))
+
+
+def _m1_bundle(spark, sf):
+    from shopcast.operators.models import load_bundle, save_bundle
+    from shopcast.plans.modules import bundle
+    from shopcast.session import scratch_dir
+    target, exclude = _m1_exclude()
+    path = scratch_dir(spark, "m1-bundle")
+    split = _m1_split(spark, sf)
+    save_bundle(bundle(split, target, exclude, "stock_code"), path)
+    return load_bundle(path), split
+
+
+@query("bundle_metadata")
+def q_bundle_metadata(spark, sf):
+    """IO5: the record of a saved and reloaded M1 bundle."""
+    from shopcast.operators.models import bundle_metadata
+    return round_doubles(bundle_metadata(_m1_bundle(spark, sf)[0]))
+
+
+@query("model_top_products")
+def q_model_top_products(spark, sf):
+    """ML4 + K2: the reloaded M1 bundle scores each product's last day, the 20 likeliest sellers first."""
+    from pyspark.sql import Window
+
+    from shopcast.operators.reports import top_n
+    loaded, split = _m1_bundle(spark, sf)
+    newest = Window.partitionBy("stock_code").orderBy(F.desc("date"))
+    last = split.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n", "split")
+    return round_doubles(top_n(loaded.score(last).select("stock_code", "date", "probability", "prediction"),
+                               "probability", "stock_code", 20))

@@ -64,43 +64,49 @@ def _session_frame(spark, sf):
     return s, num, cat
 
 
-@query("feature_matrix")
-def q_feature_matrix(spark, sf):
+def _session_split(spark, sf):
     s, num, cat = _session_frame(spark, sf)
-    sp = S.stratified_split(s, "label", "ga_session_id", 0.2, 42).checkpoint(eager=True)
-    model = FE.column_transformer(num, cat).fit(sp.filter(F.col("split") == "train"))   # FE7
-    out = model.transform(sp)
-    arr = vector_to_array("features")
-    return out.select("ga_session_id", "split", F.size(arr).alias("n_features"),
-                      F.size(F.filter(arr, lambda x: x != 0)).alias("nnz"))
+    return S.stratified_split(s.checkpoint(eager=True), "label", "ga_session_id", 0.2, 42).checkpoint(eager=True), num, cat
 
 
-def _train_and_score(spark, sf, estimator_factory):
-    s, num, cat = _session_frame(spark, sf)
-    # Fitting runs many passes (statistics, optimizer iterations): materialise
-    # the split, weighted table once instead of re-running the rollup each time.
-    sp = M.with_class_weights(S.stratified_split(s, "label", "ga_session_id", 0.2, 42)).checkpoint(eager=True)
-    train = sp.filter(F.col("split") == "train")
-    total_w = train.agg(F.sum("weight")).first()[0]
-    prep = FE.column_transformer(num, cat)
-    model = M.fit_pipeline(train, [*prep.getStages(), estimator_factory(total_w)])
-    test = M.positive_probability(model.transform(sp.filter(F.col("split") == "test")))
-    # Scores feed several metric passes; a reliable checkpoint makes them one
-    # deterministic table (model UDF outputs are non-deterministic to Spark).
-    test = test.select("ga_session_id", F.col("p1").alias("score"), F.col("label").cast("int").alias("label"))
-    return model, test.checkpoint(eager=True)
+@query("feature_matrix")
+def q_feature_matrix(spark, sf):
+    """FE6 in full: the non-zero slots of every row, fitted on the train rows (FE7)."""
+    sp, num, cat = _session_split(spark, sf)
+    model = FE.column_transformer(num, cat).fit(sp.filter(F.col("split") == "train"))
+    slots = F.posexplode(vector_to_array("features")).alias("slot", "value")
+    return round_doubles(model.transform(sp).select("ga_session_id", "split", slots).filter("value <> 0"))
+
+
+@query("impute_transform")
+def q_impute_transform(spark, sf):
+    """FE2 + FE4 + FE3 applied: nulls, NaN, a boolean and a text column of the orders, imputed and scaled."""
+    o = load_table(spark, sf, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey") % 10).alias("a"),
+        F.when(F.col("o_orderkey") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice")).alias("b"),
+        F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus") == "F").alias("c"),
+        F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority")).alias("d"))
+    num = ["a", "b", "c"]
+    filled = FE.MedianImputer(inputCols=num).fit(o).transform(o)
+    moded = FE.ModeImputer(inputCols=["d"]).fit(filled).transform(filled)
+    scaled = FE.PopulationScaler(inputCols=["b"]).fit(moded).transform(moded.withColumn("b_raw", F.col("b")))
+    return round_doubles(scaled)
+
+
+def _train_and_score(spark, sf, estimator):
+    from shopcast.plans.modules import fit_and_score
+    sp, _, _ = _session_split(spark, sf)
+    return fit_and_score(sp, "label", [*M3_DROP, M3_TARGET], "ga_session_id", estimator)
 
 
 @query("train_logistic")
 def q_train_logistic(spark, sf):
-    _, test = _train_and_score(spark, sf, lambda w: M.logistic(reg_param=1.0 / w))
-    return round_doubles(metrics_record(test))
+    return round_doubles(metrics_record(_train_and_score(spark, sf, "logistic")[1]))
 
 
 @query("train_forest")
 def q_train_forest(spark, sf):
-    _, test = _train_and_score(spark, sf, lambda w: M.forest(trees=20))
-    return round_doubles(metrics_record(test))
+    return round_doubles(metrics_record(_train_and_score(spark, sf, "forest")[1]))
 
 
 # Coefficients of the fixed linear session scorer (ours).
@@ -119,12 +125,13 @@ def q_score_linear(spark, sf):
 
 @query("model_roundtrip")
 def q_model_roundtrip(spark, sf):
-    model, _ = _train_and_score(spark, sf, lambda w: M.logistic(reg_param=1.0 / w))
+    """IO5: a saved and reloaded session model scores every session at its stored threshold."""
+    model, scores, p = _train_and_score(spark, sf, "logistic")
+    record = metrics_record(scores).first().asDict()
     path = scratch_dir(spark, "model")
-    M.save_bundle(model, path)
-    loaded = M.load_bundle(path)
+    M.save_bundle(M.Bundle(model, record["threshold"], M3_TARGET, "logistic_regression", p.numeric, p.categorical, p.schema, record), path)
     s, _, _ = _session_frame(spark, sf)
-    return round_doubles(M.positive_probability(loaded.transform(s)).select("ga_session_id", "p1"))
+    return round_doubles(M.load_bundle(path).score(s).select("ga_session_id", F.col("probability").alias("p1"), "prediction"))
 
 
 @query("scan_parquet")
@@ -184,9 +191,9 @@ PRODUCT_RECORD = T.StructType([
 @query("score_stream")
 def q_score_stream(spark, sf):
     inbox, out, ckpt = (scratch_dir(spark, n) for n in ("inbox", "stream-out", "stream-ckpt"))
-    product_facts(spark, sf).repartition(4).write.mode("overwrite").parquet(inbox)
+    product_facts(spark, sf).write.mode("overwrite").parquet(inbox)
     q = start_scoring(spark, inbox, PRODUCT_RECORD, "sales", "product_id", out, ckpt,
-                      available_now=True, max_files_per_trigger=2)
+                      available_now=True)
     q.awaitTermination()
     preds = spark.read.parquet(f"{out}/predictions")
     return preds.select("product_id", "probability", "prediction", "label", "threshold",

@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shopcast.functions import cleaning as C
 from shopcast.functions.calendar import calendar_columns
@@ -11,8 +12,10 @@ from shopcast.operators import aggregates as A
 from shopcast.operators.cleaning import drop_if_present, drop_required_nulls, trim_incomplete_future, with_constants
 from shopcast.plans.catalog import query, round_doubles
 from shopcast.plans.queries_m1 import m1_daily, m1_features
-from shopcast.plans.sales import M1_CONSTANTS, M1_DROP, clean_lines
+from shopcast.plans.sales import M1_CONSTANTS, M1_DROP, clean_lines, product_day
 from shopcast.plans.sessions import session_features, sessions
+from shopcast.session import scratch_dir
+from shopcast.sources import files as IO
 from shopcast.sources.adapters import sales_lines, web_events
 from shopcast.sources.tables import load_table
 
@@ -74,6 +77,25 @@ def q_map_binary(spark, sf):
     return o.select("o_orderkey", C.map_binary(text, strict=False).alias("label"))
 
 
+@query("map_binary_strict")
+def q_map_binary_strict(spark, sf):
+    """C9 as the reference has it: an unmapped value is an error."""
+    o = load_table(spark, sf, "orders").filter(F.col("o_orderstatus").isin("F", "O"))
+    text = F.when(F.col("o_orderstatus") == "F", "Yes").otherwise("No")
+    return o.select("o_orderkey", C.map_binary(text).alias("label"))
+
+
+@query("csv_product_day")
+def q_csv_product_day(spark, sf):
+    """IO2 into C1-C7 and A1: the invoice lines as a CSV file, read as text, cleaned and aggregated."""
+    lines = sales_lines(spark, sf)
+    path = scratch_dir(spark, "lines-csv")
+    IO.write_csv(lines.select([F.col(c).cast("string").alias(c) for c in lines.columns]), path)
+    back = IO.read_csv(spark, path, T.StructType([T.StructField(c, T.StringType()) for c in lines.columns]))
+    typed = back.withColumns({"stock_code": F.col("stock_code").try_cast("long")})
+    return round_doubles(product_day(typed))
+
+
 @query("flag_cancelled")
 def q_flag_cancelled(spark, sf):
     return clean_lines(sales_lines(spark, sf)).select("invoice_no", "stock_code", "quantity", "is_cancel")

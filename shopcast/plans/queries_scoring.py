@@ -11,10 +11,11 @@ from shopcast.functions.scorecards import (CARDS, DESIGN_PLAN_BONUS, SALES_PLAN_
 from shopcast.operators import aggregates as A
 from shopcast.operators import entities as X
 from shopcast.operators import reports as K
-from shopcast.operators.cleaning import align_columns
+from shopcast.operators.cleaning import align_columns, validate_split
 from shopcast.operators.metrics import kpi_strip
 from shopcast.operators.scoring import predict, prepare, score
 from shopcast.plans.catalog import query, round_doubles
+from shopcast.sources.tables import load_table
 
 ENTITY = {
     "sales": (X.product_facts, "product_id"),
@@ -143,6 +144,27 @@ def q_top_filtered(spark, sf):
                           n_categories=3).select(key, "business_category_slug", "plan_id", "probability")
 
 
+@query("top_filtered_plans")
+def q_top_filtered_plans(spark, sf):
+    """K3 with the plan filter."""
+    s, key = scored_entities(spark, sf, "sales")
+    return K.top_filtered(s, "probability", key, 20, category="business_category_slug", plan="plan_id",
+                          n_categories=3, plans=["basic", "pro"]).select(key, "business_category_slug", "plan_id", "probability")
+
+
+@query("validate_types")
+def q_validate_types(spark, sf):
+    """C19 on text requests: missing and ill-typed fields."""
+    p = load_table(spark, sf, "part")
+    text = p.select(F.col("p_partkey").alias("product_id"),
+                    F.when(F.col("p_partkey") % 7 == 0, "n/a").when(F.col("p_partkey") % 11 == 0, F.lit(None))
+                     .otherwise(F.col("p_retailprice").cast("string")).alias("price"),
+                    F.when(F.col("p_partkey") % 5 == 0, "2.5").otherwise(F.col("p_size").cast("string")).alias("stock"))
+    ok, bad = validate_split(text, ["price"], {"price": "double", "stock": "int"})
+    return (ok.select("product_id", F.lit("").alias("errors"))
+              .unionByName(bad.select("product_id", F.array_join("errors", "|").alias("errors"))))
+
+
 @query("distinct_sorted")
 def q_distinct_sorted(spark, sf):
     return A.distinct_sorted(X.product_facts(spark, sf), "business_category_slug")

@@ -27,7 +27,7 @@ M1_CONSTANTS = {
     "has_whatsapp": 1,
 }
 
-# Columns that never enter the model (ids, leakage, raw sums) - C11.
+# Columns that never enter the model (ids, leakage, raw sums) - C11.
 M1_DROP = ["stock_code", "date", "sold_qty", "revenue", "cancelled_qty", "cancelled_rows",
            "rows", "unique_buyers", TARGET]
 

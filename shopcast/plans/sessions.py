@@ -8,7 +8,7 @@ from shopcast.operators.aggregates import session_rollup
 from shopcast.operators.cleaning import drop_if_present
 
 TARGET = "high_conversion_session"
-# Columns dropped before modelling (C11); add_to_cart_count stays a feature.
+# Columns dropped before modelling (C11); add_to_cart_count stays a feature.
 M3_DROP = ["purchases", "session_date", "ga_session_id", "user_id"]
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,7 +63,9 @@ def model_status(spark: SparkSession, model_root: str, expected: Sequence[str])
         found = (files.select(F.regexp_extract("path", r"^.*?" + _re_escape(root.split(":", 1)[-1]) + r"/([^/]+)/", 1)
                               .alias("model"))
                       .filter(F.col("model") != "").distinct())
-    except Exception:  # noqa: BLE001 - a missing root means no bundle exists
+    except AnalysisException as e:      # a missing root means no bundle exists; anything else is an error
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         found = spark.createDataFrame([], "model string")
     exp = spark.createDataFrame([(e,) for e in expected], "model string")
     return (exp.join(found.withColumn("present", F.lit(True)), "model", "left")

@@ -80,3 +80,60 @@ def test_median_imputer_exact_and_approx(spark):
     assert approx.getOrDefault(approx.values)[0] == pytest.approx(500.0, abs=2)
     filled = exact.transform(spark.createDataFrame([(None, None)], "x double, y long"))
     assert filled.first()["x"] == 500.0 and filled.first()["y"] == 3
+
+
+def test_imputation_holds(spark):
+    """Half medians in an int column, NaN like null, booleans as numbers, text by mode."""
+    df = spark.createDataFrame([(1, 1.0, True, "b"), (2, float("nan"), None, "a"), (3, 3.0, True, None), (10, None, False, "b"), (None, 5.0, True, "b")],
+                               "a int, b double, c boolean, d string")
+    out = FE.ModeImputer(inputCols=["d"]).fit(df).transform(FE.MedianImputer(inputCols=["a", "b", "c"]).fit(df).transform(df))
+    assert [tuple(r) for r in out.collect()] == [(1.0, 1.0, 1.0, "b"), (2.0, 3.0, 1.0, "a"), (3.0, 3.0, 1.0, "b"), (10.0, 3.0, 0.0, "b"), (2.5, 5.0, 1.0, "b")]
+    num, cat = FE.split_by_type(df.schema)
+    vec = FE.column_transformer(num, cat).fit(df).transform(df).select(vector_to_array("features")).collect()
+    assert all(np.isfinite(r[0]).all() for r in vec)
+
+
+def test_wide_text_columns_are_hashed(spark):
+    df = spark.range(500).select(F.col("id").cast("double").alias("x"), F.concat(F.lit("v"), F.col("id")).alias("w"), (F.col("id") % 3).cast("string").alias("n"))
+    assert FE.wide_categories(df, ["w", "n"], limit=100) == ["w"]
+    model = FE.column_transformer(["x"], ["w", "n"], hashed=["w"], hash_size=64).fit(df)
+    assert len(model.transform(df).first()["features"]) == 1 + 3 + 64
+
+
+def test_weights_come_from_train_rows(spark):
+    df = spark.createDataFrame([(0, "train"), (1, "train"), (1, "train"), (0, "test"), (0, "test")], "label int, split string")
+    assert {r["label"]: r["weight"] for r in M.train_class_weights(df, "label").collect()} == {0: 1.5, 1: 0.75}
+
+
+def test_bundle_decides_on_its_own(spark, tmp_path):
+    from shopcast.plans.modules import bundle
+    rows = [(i, float(i % 7), "ab"[i % 2], int(i % 7 > 3), "test" if i % 5 == 0 else "train") for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, x double, c string, y int, split string")
+    b = bundle(df, "y", [], "id")
+    M.save_bundle(b, str(tmp_path / "bundle"))
+    back = M.load_bundle(str(tmp_path / "bundle"))
+    assert (back.threshold, back.target, back.numeric, back.categorical, back.metrics["n_train"]) == (b.threshold, "y", ["x"], ["c"], 160)
+    new = spark.createDataFrame([(1, "6", 9), (2, None, 9)], "id int, x string, probability_in int")     # wrong type, missing column c
+    got = back.score(new).orderBy("id").collect()
+    assert got[0]["prediction"] == 1 and got[0]["x"] == "6" and got[1]["probability"] is not None
+    assert M.bundle_metadata(back).first()["features"] == "x,c"
+
+
+def test_report_steps_over_a_saved_score_table(spark, tmp_path):
+    """K2, K3, A18 and E10 on a saved table of model scores, against DuckDB."""
+    import duckdb
+
+    from shopcast.operators.metrics import kpi_strip
+    from shopcast.operators.reports import top_filtered, top_n
+    path = str(tmp_path / "scores")
+    spark.range(400).select("id", (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("p"), (F.col("id") % 5).cast("string").alias("cat"),
+                            (F.col("id") % 3).cast("string").alias("plan")).write.parquet(path)
+    s, con = spark.read.parquet(path), duckdb.connect()
+    con.execute(f"create view s as select * from '{path}/*.parquet'")
+    ask = lambda q: [tuple(r) for r in con.execute(q).fetchall()]
+    assert [tuple(r) for r in top_n(s, "p", "id", 9).collect()] == ask("select * from s order by p desc, id limit 9")
+    assert [tuple(r) for r in top_filtered(s, "p", "id", 7, "cat", "plan", 2, ["1"]).select("id", "p", "cat", "plan").collect()] == ask(
+        "select * from s where cat in ('0', '1') and plan = '1' order by p desc, id limit 7")
+    assert sorted((r["bin"], r["n"]) for r in histogram(s, "p", 40).collect()) == sorted(ask("select least(floor(p * 40), 39)::int, count(*) from s group by 1"))
+    k = kpi_strip(s, 0.5, "p").first()
+    assert (k["mean_probability"], k["predicted_rate"]) == pytest.approx(ask("select avg(p), avg((p >= 0.5)::int) from s")[0])

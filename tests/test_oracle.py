@@ -31,17 +31,3 @@ def test_rows_only_queries_run(spark, name):
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0
-
-
-ORDERING_QUERIES = ["temporal_split", "ordered_split", "composite_ordered_split", "stratified_split",
-                    "pr_curve", "roc_auc", "average_precision", "threshold_pr_f1", "metrics_record",
-                    "impute_median", "positive_rate_by_split", "baseline_majority", "select_champion"]
-
-
-@pytest.mark.parametrize("name", ORDERING_QUERIES)
-def test_bucketed_ordering_matches_oracle(spark, duck, name, monkeypatch):
-    """Force the large-input path (quantile buckets + offsets) on small data."""
-    from shopcast.operators import ordering
-    monkeypatch.setattr(ordering, "SMALL_ROWS", 0)
-    ok, line = oc.compare(spark, duck, name, QUERIES[name], ORACLE[name], SF001)
-    assert ok, line

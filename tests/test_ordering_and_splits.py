@@ -1,5 +1,9 @@
 """Distributed ordering equals a global sort; splits keep exact sizes."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,12 +12,7 @@ from shopcast.operators.features import exact_median, mode_value
 from shopcast.operators.splits import ordered_split, stratified_split, temporal_split
 
 
-@pytest.fixture
-def force_buckets(monkeypatch):
-    monkeypatch.setattr(ordering, "SMALL_ROWS", 0)
-
-
-def test_running_totals_bucketed_equals_global(spark, force_buckets):
+def test_running_totals_equal_a_global_sort(spark):
     df = spark.range(0, 5000).select((F.col("id") % 997).cast("double").alias("k"), F.lit(1).alias("v"))
     counts = df.groupBy("k").agg(F.sum("v").alias("v"))
     got = {r["k"]: r["cum_v"] for r in ordering.running_totals(counts, "k", ["v"]).collect()}
@@ -22,13 +21,46 @@ def test_running_totals_bucketed_equals_global(spark, force_buckets):
     assert got == dict(zip(pdf["k"], pdf["cum"]))
 
 
-def test_key_at_position_bucketed(spark, force_buckets):
+@pytest.mark.parametrize("slack", [3e-4, 1e-9])
+def test_rows_at_equals_a_global_sort(spark, slack):
     df = spark.range(0, 3000).select((F.col("id") % 50).alias("a"), (F.col("id") * 7 % 3000).alias("b"))
     rows = sorted((r["a"], r["b"]) for r in df.collect())
     for pos in (0, 1, 1499, 2999):
-        assert ordering.key_at_position(df, ["a", "b"], position=pos)[2] == rows[pos]
-    assert ordering.key_at_position(df, ["a", "b"], position=3000)[2] is None
-    assert ordering.key_at_position(df, ["a", "b"], fraction=0.5)[1:] == (1500, rows[1500])
+        hit = ordering.rows_at(df, [], ["a", "b"], pos / 3000, lambda n: F.lit(pos), slack=slack).first()
+        assert hit["n"] == 3000 and (hit["first"]["k0"], hit["first"]["k1"]) == rows[pos]
+    assert ordering.rows_at(df, [], ["a", "b"], 1.0, lambda n: n).first()["first"] is None
+
+
+def test_rows_at_of_many_classes(spark):
+    df = spark.range(0, 6000).select((F.col("id") % 700).alias("c"), F.concat(F.lit("k"), F.lpad(F.col("id"), 5, "0")).alias("t"))
+    got = {r["c"]: r["first"]["k0"] for r in ordering.rows_at(df, ["c"], ["t"], 0.5, lambda n: F.floor(n / 2)).collect()}
+    by = {}
+    for r in df.collect():
+        by.setdefault(r["c"], []).append(r["t"])
+    assert got == {c: sorted(v)[len(v) // 2] for c, v in by.items()}
+
+
+KEYS = {"string": "concat('p', id % 97, 'é', id)", "date": "date_add(date'1969-06-01', int(id % 900))",
+        "timestamp_ntz": "timestamp_ntz'2024-03-31 01:00:00' + make_interval(0, 0, 0, 0, 0, int(id * 7 % 5000), 0)",
+        "decimal": "cast(id * 1.37 as decimal(20, 2))", "double": "if(id % 5 = 0, double('inf'), if(id % 7 = 0, double('nan'), -id / 3.0))",
+        "boolean": "id % 3 = 0", "timestamp": "timestamp_seconds(id * 86399)", "binary": "cast(concat('b', id * 31 % 997) as binary)"}
+
+
+@pytest.mark.parametrize("kind", sorted(KEYS))
+def test_ordered_split_takes_any_key_type(spark, kind):
+    df = spark.range(0, 1000).select(F.expr(KEYS[kind]).alias("k"), "id").withColumn("k", F.when(F.col("id") % 11 != 0, F.col("k")))
+    sp = ordered_split(df, ["k", "id"], 0.8)
+    order = [(r["id"], r["split"]) for r in sp.orderBy(F.col("k").asc_nulls_last(), "id").collect()]
+    assert [s for _, s in order] == ["train"] * 800 + ["test"] * 200
+
+
+def test_composite_split_does_not_depend_on_the_drivers_zone():
+    code = ("import sys; sys.path.insert(0, '.'); from shopcast.session import get_session; s = get_session('local[2]', 4); "
+            "import __spark_entry__ as e; q = e.queries()['composite_ordered_split'](s, '/root/testdata/sf0.001'); "
+            "print('train', q.filter(\"split = 'train'\").count(), q.count())")
+    out = {subprocess.run([sys.executable, "-c", code], env={**os.environ, "TZ": zone}, cwd=os.path.dirname(os.path.dirname(__file__)),
+                          capture_output=True, text=True, timeout=300).stdout.split("train")[-1] for zone in ("UTC", "America/New_York")}
+    assert out == {" 1200 1500\n"}
 
 
 def test_ordered_split_exact(spark):
@@ -51,7 +83,7 @@ def test_stratified_shares(spark):
     assert c[(1, "test")] == 20 and c[(0, "test")] == 120
 
 
-def test_median_and_mode(spark, force_buckets):
+def test_median_and_mode(spark):
     df = spark.createDataFrame([(1.0, "b"), (2.0, "a"), (3.0, "a"), (10.0, "b"), (None, None)], "x double, s string")
     assert exact_median(df, "x") == 2.5
     assert mode_value(df, "s") == "a"
@@ -74,8 +106,7 @@ def test_exact_medians_many_columns(spark):
 
 
 def test_running_totals_at_volume(spark):
-    """Above the small-input bound the bucketed path runs without any patching."""
-    n = ordering.SMALL_ROWS + 50_000
+    n = 250_000
     df = spark.range(0, n).select((F.col("id") * 3).alias("k"), F.lit(1).alias("v"))
     rt = ordering.running_totals(df, "k", ["v"])
     assert rt.filter(F.col("cum_v") != F.col("k") / 3 + 1).count() == 0
