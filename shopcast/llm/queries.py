@@ -102,7 +102,7 @@ def _sharding_sql() -> str:
         return (f"-ln((cast('0x' || substr(md5({name} || '|' || coalesce(cast(k.doc_id as varchar), '')), 1, 13) as bigint) + 0.5)"
                 f" / 4503599627370496.0) / {weight}")
     return f"""
-with tree(n, region, rack, leaf, shard) as (values {values}),
+with recursive tree(n, region, rack, leaf, shard) as (values {values}),
 keys as (select distinct doc_id from documents),
 regions as (select n, region, count(*) w from tree group by all),
 racks as (select n, region, rack, count(*) w from tree group by all),
@@ -111,12 +111,46 @@ in_rack as (select k.doc_id, k.n, arg_min(r.rack, {draw('r.rack', 'r.w')}) rack
             from in_region k join racks r on k.n = r.n and k.region = r.region group by k.doc_id, k.n),
 in_shard as (select k.doc_id, k.n, arg_min(t.shard, {draw('t.leaf', '1')}) shard
              from in_rack k join tree t on k.n = t.n and k.rack = t.rack group by k.doc_id, k.n),
-crc_step(i, c) as (select i, i::bigint from range(256) r(i)),
-placed as (select d.doc_id, strlen(coalesce(text, '')) + 16 as size, a.shard, b.shard as grown_shard
-           from documents d join in_shard a on a.doc_id = d.doc_id and a.n = {SHARDS}
-           join in_shard b on b.doc_id = d.doc_id and b.n = {SHARDS + 1})
-select doc_id, size, 'key' as law, shard::int as shard, grown_shard::int as grown_shard,
-       row_number() over (partition by shard order by doc_id) - 1 as slot from placed"""
+crc_step(i, k, c) as (select i, 0, i::bigint from range(256) r(i) union all
+  select i, k + 1, case when c % 2 = 1 then xor(3988292384, c >> 1) else c >> 1 end from crc_step where k < 8),
+crc_table as (select list(c order by i) as t from crc_step where k = 8),
+bytes as (select doc_id, coalesce(text, '') as text, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+                 lambda x: ('0x' || x)::bigint) as b from documents),
+sized as (select doc_id, strlen(text)::bigint + {sharding.HEADER_BYTES} as size,
+                 xor(4294967295, list_reduce(list_prepend(4294967295::bigint, b), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]))) as text_crc32
+          from bytes, crc_table)
+select d.doc_id, size, text_crc32::bigint as text_crc32, 'key' as law, a.shard::int as shard, b.shard::int as grown_shard,
+       row_number() over (partition by a.shard order by d.doc_id, text_crc32, size) - 1 as slot
+from sized d join in_shard a on a.doc_id is not distinct from d.doc_id and a.n = {SHARDS}
+join in_shard b on b.doc_id is not distinct from d.doc_id and b.n = {SHARDS + 1}"""
+
+
+def _licenses_sql() -> str:
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(s)}, {quoted(i)})" for s, i in licenses.known_sentences().items())
+    steps, last = [], "r0"
+    for n, (name, seq) in enumerate(licenses.RULES, 1):
+        part = quoted("".join(f"<{x}>" for x in seq))
+        steps.append(f"r{n} as (select rid, doc_id, sentences, replace(rest, {part}, '') as rest, "
+                     f"case when contains(rest, {part}) then list_append(lic, '{name}') else lic end as lic from {last})")
+        last = f"r{n}"
+    norm = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+    return f"""
+with known(s, i) as (values {known}),
+docs as (select row_number() over () as rid, doc_id, regexp_split_to_array(
+           regexp_replace(coalesce(text, ''), '([.!?;])[\\s*#/]+', '\\1' || chr(1), 'g'), '\\n[\\s*#/]*\\n|\\x01') as blocks from documents),
+block as (select rid, unnest(blocks) as b, generate_subscripts(blocks, 1) as p from docs),
+whole as (select rid, p, 0 as l, i from block join known on s = {norm.format('b')}),
+line as (select rid, p, unnest(string_split(b, chr(10))) as t, generate_subscripts(string_split(b, chr(10)), 1) as l
+         from block where (rid, p) not in (select rid, p from whole)),
+ids as (select * from whole union all select rid, p, l, i from line join known on s = {norm.format('t')}),
+seq as (select rid, string_agg(i, ',' order by p, l) as sentences, string_agg('<' || i || '>', '' order by p, l) as whole from ids group by rid),
+r0 as (select d.rid, d.doc_id, coalesce(sentences, '') as sentences, coalesce(whole, '') as rest, []::varchar[] as lic
+       from docs d left join seq s on s.rid = d.rid),
+{', '.join(steps)}
+select doc_id, sentences, coalesce(array_to_string(list_sort(list_distinct(lic)), ','), '') as licenses,
+       translate(replace(rest, '><', ','), '<>', '') as unmatched from {last}"""
 
 
 _ESC = r"regexp_replace(replace({0}, '\', '\z'), '([<\[])(/?)(s>|INST\])', '\1\\c\2\3', 'g')"
@@ -132,4 +166,4 @@ select conv_id, count(*) as n_turns,
        'messages_text' as layout
 from rows2 group by conv_id""".replace("rows2", "said")
 
-ORACLE_SQL = {"op3_chat": _CHAT_SQL}
+ORACLE_SQL = {"op2_sharding": _sharding_sql(), "op3_chat": _CHAT_SQL, "op10_licenses": _licenses_sql()}
