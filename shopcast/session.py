@@ -37,6 +37,17 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def one_machine(master: str) -> bool:
+    """Whether driver and executors are one process (``local-cluster`` has executors of its own)."""
+    return master == "local" or master.startswith("local[")
+
+
+def offer_checkpoint_dir(spark: SparkSession) -> None:
+    """Set the checkpoint folder where one is known; queries that write nothing need none."""
+    if spark.conf.get("spark.checkpoint.dir", None) or one_machine(spark.sparkContext.master):
+        ensure_checkpoint_dir(spark)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder of the session.
 
@@ -49,7 +60,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        if not sc.master.startswith("local"):
+        if not one_machine(sc.master):
             raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a shared "
                                "folder (checkpoints and written tables go there)")
         conf_dir = tempfile.mkdtemp(prefix="shopcast-ckpt-")
