@@ -139,60 +139,85 @@ def code_book(texts: DataFrame, escaped_col: str, vocab: Vocabulary, book_words:
     return paths.select("word", best_ids(F.col("word"), F.col("nodes"), vocab).alias("ids"))
 
 
-def fold_word(word: str, vocab: Vocabulary, longest: int, unknown: float) -> list[int]:
-    """The same recursion for one word: best score, start and id by position, then the way back."""
-    n, get = len(word), vocab.pieces.get
-    score, start, label = [0.0] + [-np.inf] * n, [0] * (n + 1), [UNKNOWN] * (n + 1)
+def fold_word(word: str, pieces: dict[str, tuple[int, float]], starts: set[str], byte_ids: tuple[int, ...],
+              unknown: float) -> list[int]:
+    """The same recursion for one word: best score, start and id by position, then the way back.
+
+    ``starts`` holds every beginning of a piece, so a substring that begins none ends the search.
+    """
+    n, get = len(word), pieces.get
+    score, start, label = [0.0] + [-1e300] * n, [0] * (n + 1), [UNKNOWN] * (n + 1)
     for i in range(n):
-        here = score[i]
-        for j in range(i + 1, min(n, i + longest) + 1):
-            known = get(word[i:j])
-            if known is None:
-                if j > i + 1:
-                    continue
+        here, j = score[i], i + 1
+        part = word[i]
+        while True:
+            known = get(part)
+            if known is None and j == i + 1:
                 known = (UNKNOWN, unknown)
-            if here + known[1] > score[j]:
+            if known is not None and here + known[1] > score[j]:
                 score[j], start[j], label[j] = here + known[1], i, known[0]
+            if j == n or part not in starts:
+                break
+            j += 1
+            part = word[i:j]
     out, at = [], n
     while at:
-        out.append([vocab.byte_ids[b] for b in word[start[at]:at].encode()] if label[at] == UNKNOWN else [label[at]])
+        out.append([byte_ids[b] for b in word[start[at]:at].encode()] if label[at] == UNKNOWN else [label[at]])
         at = start[at]
     return [i for ids in reversed(out) for i in ids]
 
 
-def encode(docs: DataFrame, model_file: str, text: str = "text", out: str = "ids", **book) -> DataFrame:
-    """Add the piece ids of a text column to every row."""
+def encode(docs: DataFrame, model_file: str, text: str = "text", out: str = "ids", cached_words: int = 1 << 16, **book) -> DataFrame:
+    """Add the piece ids of a text column to every row.
+
+    Where a text has single spaces only, its space-separated words are looked
+    up whole first; a word that is not in the book is split and folded, and a
+    task remembers ``cached_words`` of those.
+    """
     vocab = vocabulary(model_file)
     mark = fresh(docs.columns, "_escaped")
-    marked = docs.withColumn(mark, escaped(F.col(text)))
-    table = code_book(marked.select(mark), mark, vocab, **book).toArrow()
+    table = code_book(docs.select(escaped(F.col(text)).alias(mark)), mark, vocab, **book).toArrow()
     shared = docs.sparkSession.sparkContext.broadcast(table.combine_chunks())
+    pieces, byte_ids, unknown = vocab.pieces, vocab.byte_ids, vocab.unknown_score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {"": b""}
         for part in shared.value.to_batches():
             ids, ends = part.column("ids").values.to_numpy(), part.column("ids").offsets.to_numpy()
             known |= {w: ids[a:b].tobytes() for w, a, b in zip(part.column("word").to_pylist(), ends[:-1], ends[1:], strict=True)}
-        longest, unknown, split = vocab.longest, vocab.unknown_score, regex.compile(WORD).findall
-
-        def rare(word: str) -> bytes:
-            return np.array(fold_word(word, vocab, longest, unknown), np.int32).tobytes()
+        starts = {p[:i] for p in pieces for i in range(1, len(p))}
+        split = regex.compile(WORD).findall
+        cache: dict[str, bytes] = {}
+
+        def folded(word: str) -> bytes:
+            return np.array(fold_word(word, pieces, starts, byte_ids, unknown), np.int32).tobytes()
+
+        def parted(spaced: str) -> bytes:
+            return b"".join([folded(w) if (p := known.get(w)) is None else p for w in split(spaced)])
+
+        def remembered(spaced: str) -> bytes:
+            found = cache.get(spaced)
+            if found is None:
+                found = parted(spaced)
+                if len(cache) < cached_words:
+                    cache[spaced] = found
+            return found
+
+        def coded(value: str) -> bytes:
+            if not value:
+                return b""
+            words = value.split(" ")
+            if SPACE in value or "" in words:
+                return parted(SPACE + value.replace(" ", SPACE))
+            spaced = [SPACE + w for w in words]
+            return b"".join([remembered(w) if (p := known.get(w)) is None else p for w in spaced])
         for batch in batches:
-            at = batch.schema.get_field_index(mark)
-            rows = []
-            for value in batch.column(at):
-                found = split(value.as_py())
-                parts = [known.get(w) for w in found]
-                if None in parts:
-                    parts = [rare(w) if p is None else p for w, p in zip(found, parts, strict=True)]
-                rows.append(np.frombuffer(b"".join(parts), np.int32))
+            rows = [np.frombuffer(coded(v.as_py()), np.int32) for v in batch.column(batch.schema.get_field_index(text))]
             offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
             values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
-            kept = [i for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), values],
-                                             names=[*(batch.schema.field(i).name for i in kept), out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, out])
     shape = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
-    return marked.mapInArrow(run, shape)
+    return docs.mapInArrow(run, shape)
 
 
 def decode(ids: Column, model_file: str) -> Column:
