@@ -29,6 +29,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
+#: Ends every dictionary and starts every block: a block of few letters then still compresses, so sizes tell languages
+#: apart where zstandard would store the block as it is.
+PREAMBLE = bytes(range(128, 256))
 RESULT = "struct<lang_pred:string,score:double,margin:double,rejected:boolean>"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -50,13 +53,13 @@ class Model:
             strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
         out = []
         for raw in self.dictionaries:
-            known = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            known = zstandard.ZstdCompressionDict(raw + PREAMBLE, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             known.precompute_compress(compression_params=params)
             out.append(zstandard.ZstdCompressor(dict_data=known, compression_params=params))
         return out
 
     def sizes(self, raw: bytes, encoders: list[zstandard.ZstdCompressor]) -> np.ndarray:
-        blocks = [raw[i:i + self.block] for i in range(0, len(raw), self.block)]
+        blocks = [PREAMBLE + raw[i:i + self.block] for i in range(0, len(raw), self.block)]
         return np.array([sum(len(e.compress(b)) for b in blocks) for e in encoders], dtype=np.float64)
 
 
