@@ -39,8 +39,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each text that is left."""
-    coded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer_file())
+    """Piece ids of each text that is left, in merge order: the ids this tokenizer itself gives."""
+    coded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer_file(), fold="merges")
     return coded.select("doc_id", "lang", "source", F.size("ids").alias("n_tokens"), "ids")
 
 

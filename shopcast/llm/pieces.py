@@ -14,8 +14,9 @@ and words over ``longest_word`` characters go through the same recursion inside
 the task, so every text is encoded whole and alike.
 
 On ties the piece that starts first wins.  The segmentation is the one of
-highest total score; for a table made by merges (scores are ranks) that is not the
-merge order itself, see README.  Defined results: null and empty texts have no
+highest total score.  A table made by merges (its scores are ranks) has a
+segmentation of its own, in merge order: ``fold="merges"`` folds the same
+edges that way, best rank first, leftmost on ties.  Defined results: null and empty texts have no
 pieces and decode to empty text; a literal U+2581 decodes as a space.
 """
 
@@ -107,15 +108,19 @@ def viterbi(edges: Column) -> Column:
     return F.aggregate(edges, F.array(F.struct(F.lit(0.0), F.lit(-1), F.lit(UNKNOWN)).cast(kind)), step)
 
 
-def best_ids(word: Column, nodes: Column, vocab: Vocabulary) -> Column:
-    """Ids on the best path; characters without a piece as their bytes."""
+def bytes_of(char: Column, vocab: Vocabulary) -> Column:
+    """Ids of the byte pieces of one character."""
     byte_ids = F.split(F.lit(",".join(map(str, vocab.byte_ids))), ",").cast("array<int>")
+    raw = F.hex(F.encode(char, "UTF-8"))
+    return F.transform(F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1), lambda i: F.get(
+        byte_ids, F.conv(F.substr(raw, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int")))
 
+
+def best_ids(word: Column, nodes: Column, vocab: Vocabulary) -> Column:
+    """Ids on the best path; characters without a piece as their bytes."""
     def back(state: Column, _: Column) -> Column:
         node = F.get(nodes, state["at"])
-        raw = F.hex(F.encode(F.substr(word, state["at"], F.lit(1)), "UTF-8"))
-        as_bytes = F.transform(F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1), lambda i: F.get(
-            byte_ids, F.conv(F.substr(raw, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int")))
+        as_bytes = bytes_of(F.substr(word, state["at"], F.lit(1)), vocab)
         ids = F.when(node["id"] == UNKNOWN, as_bytes).otherwise(F.array(node["id"]))
         return F.when(state["at"] <= 0, state).otherwise(
             F.struct(node["start"].alias("at"), F.concat(ids, state["ids"]).alias("ids")))
@@ -123,7 +128,32 @@ def best_ids(word: Column, nodes: Column, vocab: Vocabulary) -> Column:
     return F.aggregate(nodes, start, back)["ids"]
 
 
-def code_book(texts: DataFrame, escaped_col: str, vocab: Vocabulary, book_words: int = 1 << 18, longest_word: int = 48) -> DataFrame:
+def merged(word: Column, edges: Column) -> Column:
+    """Bounds of the pieces left when neighbours are joined, best score first, until no joint piece is known."""
+    scores = F.map_from_entries(F.transform(edges, lambda e: F.struct(e["start"] * 64 + e["end"], e["score"])))
+
+    def step(bounds: Column, _: Column) -> Column:
+        joint = F.transform(F.sequence(F.lit(0), F.size(bounds) - 3), lambda i: F.struct(
+            F.element_at(scores, F.get(bounds, i) * 64 + F.get(bounds, i + 2)).alias("score"), (-i).alias("at")))
+        best = F.array_max(joint)
+        rest = F.concat(F.slice(bounds, F.lit(1), 1 - best["at"]), F.slice(bounds, 3 - best["at"], F.size(bounds)))
+        return F.when(F.size(bounds) < 3, bounds).when(best["score"].isNull(), bounds).otherwise(rest)
+    return F.aggregate(F.sequence(F.lit(1), F.length(word)), F.sequence(F.lit(0), F.length(word)), step)
+
+
+def ids_between(word: Column, bounds: Column, edges: Column, vocab: Vocabulary) -> Column:
+    """Ids of the pieces between bounds; characters without a piece as their bytes."""
+    ids = F.map_from_entries(F.transform(edges, lambda e: F.struct(e["start"] * 64 + e["end"], e["id"])))
+
+    def one(i: Column) -> Column:
+        a, b = F.get(bounds, i), F.get(bounds, i + 1)
+        known = F.element_at(ids, a * 64 + b)
+        return F.when(known == UNKNOWN, bytes_of(F.substr(word, a + 1, F.lit(1)), vocab)).otherwise(F.array(known))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), one))
+
+
+def code_book(texts: DataFrame, escaped_col: str, vocab: Vocabulary, fold: str = "viterbi", book_words: int = 1 << 18,
+              longest_word: int = 48) -> DataFrame:
     """(word, ids) of the most frequent words, at most ``book_words`` of them."""
     words = texts.select(F.explode(F.regexp_extract_all(escaped_col, F.lit(WORD), F.lit(0))).alias("word"))
     counts = cut(words.filter(F.length("word").between(1, longest_word)).groupBy("word").count())
@@ -135,7 +165,11 @@ def code_book(texts: DataFrame, escaped_col: str, vocab: Vocabulary, book_words:
             break
         lowest = r["bin"]
     chosen = counts.filter(F.lit(False) if lowest is None else F.floor(F.log2("count") * 8) >= lowest).select("word")
-    paths = lattice(chosen, vocab).select("word", viterbi(F.col("edges")).alias("nodes"))
+    edges = lattice(chosen, vocab)
+    if fold == "merges":
+        bounds = edges.select("word", "edges", merged(F.col("word"), F.col("edges")).alias("bounds"))
+        return bounds.select("word", ids_between(F.col("word"), F.col("bounds"), F.col("edges"), vocab).alias("ids"))
+    paths = edges.select("word", viterbi(F.col("edges")).alias("nodes"))
     return paths.select("word", best_ids(F.col("word"), F.col("nodes"), vocab).alias("ids"))
 
 
@@ -167,8 +201,28 @@ def fold_word(word: str, pieces: dict[str, tuple[int, float]], starts: set[str],
     return [i for ids in reversed(out) for i in ids]
 
 
-def encode(docs: DataFrame, model_file: str, text: str = "text", out: str = "ids", cached_words: int = 1 << 16, **book) -> DataFrame:
-    """Add the piece ids of a text column to every row.
+def merge_word(word: str, pieces: dict[str, tuple[int, float]], byte_ids: tuple[int, ...]) -> list[int]:
+    """Merge order for one word: neighbours are joined, best score first, leftmost on ties."""
+    get, none = pieces.get, (0, None)
+    parts = list(word)
+    ranks = [get(a + b, none)[1] for a, b in zip(parts, parts[1:], strict=False)]
+    while True:
+        best = max((r for r in ranks if r is not None), default=None)
+        if best is None:
+            break
+        i = ranks.index(best)
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        del ranks[i]
+        if i < len(ranks):
+            ranks[i] = get(parts[i] + parts[i + 1], none)[1]
+        if i:
+            ranks[i - 1] = get(parts[i - 1] + parts[i], none)[1]
+    return [i for p in parts for i in ((pieces[p][0],) if p in pieces else [byte_ids[b] for b in p.encode()])]
+
+
+def encode(docs: DataFrame, model_file: str, text: str = "text", out: str = "ids", fold: str = "viterbi",
+           cached_words: int = 1 << 16, **book) -> DataFrame:
+    """Add the piece ids of a text column to every row; ``fold`` is ``viterbi`` or ``merges``.
 
     Where a text has single spaces only, its space-separated words are looked
     up whole first; a word that is not in the book is split and folded, and a
@@ -176,7 +230,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", out: str = "ids
     """
     vocab = vocabulary(model_file)
     mark = fresh(docs.columns, "_escaped")
-    table = code_book(docs.select(escaped(F.col(text)).alias(mark)), mark, vocab, **book).toArrow()
+    table = code_book(docs.select(escaped(F.col(text)).alias(mark)), mark, vocab, fold, **book).toArrow()
     shared = docs.sparkSession.sparkContext.broadcast(table.combine_chunks())
     pieces, byte_ids, unknown = vocab.pieces, vocab.byte_ids, vocab.unknown_score
 
@@ -190,7 +244,8 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", out: str = "ids
         cache: dict[str, bytes] = {}
 
         def folded(word: str) -> bytes:
-            return np.array(fold_word(word, pieces, starts, byte_ids, unknown), np.int32).tobytes()
+            ids = merge_word(word, pieces, byte_ids) if fold == "merges" else fold_word(word, pieces, starts, byte_ids, unknown)
+            return np.array(ids, np.int32).tobytes()
 
         def parted(spaced: str) -> bytes:
             return b"".join([folded(w) if (p := known.get(w)) is None else p for w in split(spaced)])

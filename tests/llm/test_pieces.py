@@ -49,6 +49,16 @@ def test_edges(spark):
     assert pieces.encode(docs.limit(0), tokenizer_file()).count() == 0
 
 
+def test_merges_match_the_library(spark):
+    """In merge order the ids are the tokenizer's own, over whole texts, from the book and from the task's fold."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file())
+    more = ["  a  b   c\n\n d\t\te  ", "x" * 300, "a--b==c!!  ", "١٢٣ हिन्दी ภาษาไทย 日本語", " lead", "trail ", "𐍈𐍈 ²."]
+    docs = table(spark, SF, "documents").select("text").union(spark.createDataFrame([(t,) for t in more], "text string"))
+    for words in (1 << 18, 0):
+        got = pieces.encode(docs, tokenizer_file(), fold="merges", book_words=words).collect()
+        assert all(sp.encode(r["text"]) == list(r["ids"]) for r in got)
+
+
 def test_lattice_edges_are_all_known_substrings(spark):
     vocab = pieces.vocabulary(tokenizer_file())
     edges = pieces.lattice(spark.createDataFrame([("▁thẞe日",)], "word string"), vocab).first()["edges"]
