@@ -123,7 +123,7 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _search(base: pd.DataFrame, queries: pd.DataFrame, index: Index, k: int, quantile: float, batch: int = 64) -> pd.DataFrame:
-    """k nearest (distinct vectors) of each query in one block, until the chi-square test holds."""
+    """k nearest (distinct vectors) of each query in one block, until the chi-square test holds; none beyond the query's bound."""
     x, q = np.stack(base["vector"].to_numpy()), np.stack(queries["vector"].to_numpy())
     bound = queries["bound"].to_numpy(dtype=np.float64)      # squared distance of the k-th found before
     py, qy = index.project(x, False), index.project(q, True)
@@ -144,7 +144,8 @@ def _search(base: pd.DataFrame, queries: pd.DataFrame, index: Index, k: int, qua
         ids = np.concatenate((which[active], picked), axis=1)
         top = np.argsort(-score, axis=1, kind="stable")[:, :k]
         best[active], which[active] = np.take_along_axis(score, top, 1), np.take_along_axis(ids, top, 1)
-    row, col = np.nonzero(which >= 0)
+    near_enough = size[:, None] - 2 * best <= (bound + 1e-9 * size)[:, None]      # what lies behind the k-th found is no answer
+    row, col = np.nonzero((which >= 0) & near_enough)
     hit = which[row, col]
     return pd.DataFrame({"query_row": queries["query_row"].to_numpy()[row], "query_id": queries["query_id"].to_numpy()[row],
                          "ids": base["ids"].to_numpy()[hit], "score": _products(q[row], x[hit])})
@@ -165,7 +166,7 @@ def valid_vectors(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
 
 def nearest(rows: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20,
-            dims: int = 8, confidence: float = 0.97, sample: int = 20000, cell_rows: int = 512, block: int = 4096,
+            dims: int = 8, confidence: float = 0.97, sample: int = 20000, cell_rows: int = 2048, block: int = 4096,
             chunk: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row where ``is_query`` holds (on vec_id)."""
     base = cut(valid_vectors(rows, vec_id, vector))
