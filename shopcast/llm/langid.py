@@ -98,8 +98,9 @@ def identify(text: Column, model: Model, min_margin: float = 0.002) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         encoders, out = model.encoders(), []
         for value in texts:
-            raw = letters_only(value.as_py() or "")
-            if not raw.strip() or not encoders:
+            given = value.as_py() or ""
+            raw = letters_only(given)
+            if not encoders or not any(c.isalpha() for c in given):
                 out.append({"lang_pred": UNDETERMINED, "score": 0.0, "margin": 0.0, "rejected": True})
                 continue
             sizes = model.sizes(raw, encoders)

@@ -74,11 +74,11 @@ def test_smallest_encoding_wins(spark):
 
 
 def test_language_edges(spark):
-    docs = spark.createDataFrame([(1, "hello there you", "en"), (2, None, "en"), (3, "12 34 !!", None), (4, "", "fr"), (5, "Zq", None)], DOCS)
+    docs = spark.createDataFrame([(1, "hello there you", "en"), (2, None, "en"), (3, "12 34 !!", None), (4, "", "fr"), (5, "Zq", None), (6, "² ½ Ⅷ", None)], DOCS)
     model = langid.learn(docs, "text", "lang")
     assert model.languages == ("en", "fr") and len(model.dictionaries) == 2
     got = {r["doc_id"]: r["f"] for r in docs.select("doc_id", langid.identify(F.col("text"), model).alias("f")).collect()}
-    assert [got[i]["lang_pred"] for i in (2, 3, 4)] == ["und"] * 3 and got[2]["score"] == 0 and got[3]["rejected"]
+    assert [got[i]["lang_pred"] for i in (2, 3, 4, 6)] == ["und"] * 4 and got[2]["score"] == 0 and got[3]["rejected"]
     assert got[5]["margin"] == 0 and got[5]["rejected"] and got[5]["lang_pred"] == "en"     # a tie: more training rows first
     nothing = langid.learn(docs.limit(0), "text", "lang")
     assert docs.select(langid.identify(F.col("text"), nothing)["lang_pred"]).distinct().collect()[0][0] == "und"
