@@ -22,7 +22,7 @@ pieces and decode to empty text; a literal U+2581 decodes as a space.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -128,28 +128,40 @@ def best_ids(word: Column, nodes: Column, vocab: Vocabulary) -> Column:
     return F.aggregate(nodes, start, back)["ids"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once: inside lambdas Spark repeats what is written twice."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def merged(word: Column, edges: Column) -> Column:
     """Bounds of the pieces left when neighbours are joined, best score first, until no joint piece is known."""
     scores = F.map_from_entries(F.transform(edges, lambda e: F.struct(e["start"] * 64 + e["end"], e["score"])))
 
-    def step(bounds: Column, _: Column) -> Column:
+    def joined(bounds: Column, scores: Column) -> Column:
         joint = F.transform(F.sequence(F.lit(0), F.size(bounds) - 3), lambda i: F.struct(
             F.element_at(scores, F.get(bounds, i) * 64 + F.get(bounds, i + 2)).alias("score"), (-i).alias("at")))
-        best = F.array_max(joint)
-        rest = F.concat(F.slice(bounds, F.lit(1), 1 - best["at"]), F.slice(bounds, 3 - best["at"], F.size(bounds)))
-        return F.when(F.size(bounds) < 3, bounds).when(best["score"].isNull(), bounds).otherwise(rest)
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), F.sequence(F.lit(0), F.length(word)), step)
+        return let(F.array_max(joint), lambda best: F.when(best["score"].isNull(), bounds).otherwise(
+            F.concat(F.slice(bounds, F.lit(1), 1 - best["at"]), F.slice(bounds, 3 - best["at"], F.size(bounds)))))
+
+    def step(state: Column, _: Column) -> Column:
+        bounds = F.when(state["done"] | (F.size(state["bounds"]) < 3), state["bounds"]).otherwise(joined(state["bounds"], state["scores"]))
+        return let(bounds, lambda b: F.struct(b.alias("bounds"), state["scores"].alias("scores"),
+                                              (F.size(b) == F.size(state["bounds"])).alias("done")))
+    start = F.struct(F.sequence(F.lit(0), F.length(word)).alias("bounds"), scores.alias("scores"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step)["bounds"]
 
 
 def ids_between(word: Column, bounds: Column, edges: Column, vocab: Vocabulary) -> Column:
     """Ids of the pieces between bounds; characters without a piece as their bytes."""
     ids = F.map_from_entries(F.transform(edges, lambda e: F.struct(e["start"] * 64 + e["end"], e["id"])))
 
-    def one(i: Column) -> Column:
-        a, b = F.get(bounds, i), F.get(bounds, i + 1)
-        known = F.element_at(ids, a * 64 + b)
-        return F.when(known == UNKNOWN, bytes_of(F.substr(word, a + 1, F.lit(1)), vocab)).otherwise(F.array(known))
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), one))
+    def listed(both: Column) -> Column:
+        def one(i: Column) -> Column:
+            a, b = F.get(both["bounds"], i), F.get(both["bounds"], i + 1)
+            return let(F.element_at(both["ids"], a * 64 + b), lambda known: F.when(
+                known == UNKNOWN, bytes_of(F.substr(word, a + 1, F.lit(1)), vocab)).otherwise(F.array(known)))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(both["bounds"]) - 2), one))
+    return let(F.struct(bounds.alias("bounds"), ids.alias("ids")), listed)
 
 
 def code_book(texts: DataFrame, escaped_col: str, vocab: Vocabulary, fold: str = "viterbi", book_words: int = 1 << 18,
