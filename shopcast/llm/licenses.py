@@ -1,13 +1,18 @@
 """Licence recognition by sentences and ordered rules.
 
-A text is split into sentences (at sentence marks before white space, and at
-line ends, with wrapped lines also joined), normalised, and each sentence that
-is known becomes its identifier.  The identifier sequence is then matched
-against an ordered list of rules; a rule that matches consumes its part of the
-sequence, so the specific rules come first.  DataFrame functions only, and
-nothing is shuffled: sentences stay in their row.
+A text is cut into sentences (at ``. ! ? ; :`` before white space, at blank
+lines and at line ends, with wrapped lines also joined), normalised, and each
+sentence that is known becomes its identifier.  Known sentences are cut by the
+same marks, so one that holds marks is sought as its parts in a row.  The
+identifier sequence is then matched against an ordered list of rules; a rule
+that matches consumes its part of the sequence, so the specific rules come
+first.  DataFrame functions only, and nothing is shuffled: sentences stay in
+their row.
 
 Normalised: lower case; runs of anything but letters and digits are one space.
+A reference (one line that names a licence) must be a whole sentence or line;
+words of a licence text also count behind a heading or before an address
+without a mark, as when white space is collapsed.
 
 Defined results: null, empty and other texts without a known sentence have no
 identifiers and no licence; repeated sentences count each time; known
@@ -22,6 +27,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MARK = "\x01"
 # Known sentences of public licence texts, by identifier.
 SENTENCES = {
     "apache2_ref": ("Licensed under the Apache License, Version 2.0.",
@@ -99,24 +105,42 @@ def cue_words(known: Mapping[str, str]) -> list[str]:
     return cues
 
 
-def sentence_ids(text: Column, known: Mapping[str, str]) -> Column:
-    """Identifiers of the known sentences of a text, in order.
+def cut(text: Column) -> Column:
+    """Lower case; a sentence mark before white space or a blank line is MARK, a line end a line feed, the rest but letters and digits one space."""
+    low = F.regexp_replace(F.lower(text), r"(?m)^[ \t]*;+", "")
+    marked = F.regexp_replace(low, r"\n[\s*#/]*\n|[.!?;:](?=[\s*#/])", MARK)
+    return F.concat(F.lit("\n"), F.regexp_replace(marked, f"[^a-z0-9\n{MARK}]+", " "), F.lit("\n"))
 
-    Sentences are sought within lines and, where lines are wrapped, across
-    them: a block without blank lines is joined and split at its marks, and a
-    line of its own counts if the joined form did not have it.
-    """
-    table = F.create_map(*[F.lit(v) for kv in known.items() for v in kv])
 
-    def ids(parts: Column) -> Column:
-        clean = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-        return F.filter(F.transform(clean, lambda s: F.element_at(table, s)), lambda x: x.isNotNull())
-    blocks = F.split(text, r"\n[\s*#/]*\n|(?<=[.!?;])[\s*#/]+", -1)
+def sentence_pattern(sentence: str) -> str:
+    """What a known sentence is after ``cut``: its own marks are found as marks, blanks or line ends, its blanks as blanks or line ends."""
+    parts = [normalised(x).split() for x in re.split(r"[.!?;:](?=\s)", sentence)]
+    return f"[ \n{MARK}]+".join("(?: | ?\n ?)".join(words) for words in parts if words)
 
-    def of_block(b: Column) -> Column:
-        whole = ids(F.array(b))
-        return F.when(F.size(whole) > 0, whole).otherwise(ids(F.split(b, "\n", -1)))
-    return F.flatten(F.transform(blocks, of_block))
+
+def stands_alone(identifier: str, sentence: str) -> bool:
+    """A reference must be a whole sentence or line; words of a licence text (or a reference that goes on) count wherever they stand."""
+    return identifier.endswith("_ref") and not sentence.endswith(";")
+
+
+def search_pattern(sentences: Mapping[str, Sequence[str]]) -> str:
+    """All known sentences, those with the same first word together, the longest first."""
+    heads: dict[str, list[tuple[int, str]]] = {}
+    for i, many in sentences.items():
+        for s in many:
+            end = f"(?= ?[\n{MARK}])" if stands_alone(i, s) else "(?![a-z0-9])"
+            start = f"(?<=[\n{MARK}] ?)" if stands_alone(i, s) else ""
+            first, found = normalised(s).split()[0], start + sentence_pattern(s) + end
+            heads.setdefault(first, []).append((len(normalised(s)), found))
+    groups = (f"(?={w}[^a-z0-9])(?:" + "|".join(f for _, f in sorted(many, reverse=True)) + ")" for w, many in sorted(heads.items()))
+    return f"(?<![a-z0-9])(?:{'|'.join(groups)})"
+
+
+def sentence_ids(text: Column, sentences: Mapping[str, Sequence[str]]) -> Column:
+    """Identifiers of the known sentences of a text, in order."""
+    table = F.create_map(*[F.lit(v) for kv in known_sentences(sentences).items() for v in kv])
+    found = F.regexp_extract_all(cut(text), F.lit(search_pattern(sentences)), F.lit(0))
+    return F.transform(found, lambda s: F.element_at(table, F.regexp_replace(s, f"[ \n{MARK}]+", " ")))
 
 
 def match_rules(ids: Column, rules: Sequence[tuple[str, Sequence[str]]] = RULES) -> Column:
@@ -139,7 +163,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences:
     cue = F.lit(False)
     for word in cue_words(known):
         cue = cue | F.contains(low, F.lit(word))
-    ids = F.when(cue, sentence_ids(F.col(text), known)).otherwise(F.array().cast("array<string>"))
+    ids = F.when(cue, sentence_ids(F.col(text), sentences)).otherwise(F.array().cast("array<string>"))
     found = docs.select(F.col(doc_id), F.coalesce(ids, F.array().cast("array<string>")).alias("_ids"))
     ruled = found.withColumn("_rules", match_rules(F.col("_ids"), rules))
     return ruled.select(doc_id, F.array_join("_ids", ",").alias("sentences"),

@@ -1,6 +1,7 @@
 """Licence scans: lines, full texts, wrapped and commented texts, rule order, a plain matcher and edge rows."""
 
 import re
+import textwrap
 
 from pyspark.sql import functions as F
 
@@ -35,6 +36,36 @@ def test_order_and_rest(spark):
     assert one(spark, two) == ("Apache-2.0,MIT", "mit_ref,apache2_ref,mit_ref", "")
 
 
+FORMS = {
+    "one line": lambda parts: "A Title Copyright (c) 2020 A Person " + " ".join(parts) + " And so on.",
+    "wrapped": lambda parts: "A Title\nCopyright (c) 2020 A Person\n" + "\n".join(textwrap.fill(p, 40) for p in parts) + "\nEnd.",
+    "blank lines": lambda parts: "A Title\n\n" + "\n\n".join(textwrap.fill(p, 60) for p in parts) + "\n\nEnd.",
+    "commented": lambda parts: "/*\n" + "".join(textwrap.indent(textwrap.fill(p, 50), " * ") + "\n" for p in parts) + " */\ncode();",
+    "other comment": lambda parts: "x\n" + "".join(textwrap.indent(textwrap.fill(p, 50), ";; ") + "\n" for p in parts) + "(code)",
+}
+
+
+def test_every_sentence_and_rule_in_every_form(spark):
+    def told(i, s):
+        alone = licenses.stands_alone(i, s)
+        return f"Well. {s}{'' if s[-1] in '.:;' else '.'}" if alone else s
+    wants = [([told(i, s)], i, None) for i, many in S.items() for s in many]
+    wants += [([told(i, S[i][k % len(S[i])]) for i in seq], ",".join(seq), name)
+              for name, seq in licenses.RULES for k in range(max(len(S[i]) for i in seq))]
+    rows = [(f"{form}: {parts}", render(parts), ids, name) for parts, ids, name in wants for form, render in FORMS.items()]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, ids string, name string").coalesce(1)
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    for label, _, ids, name in rows:
+        assert got[label]["sentences"] == ids, label
+        assert name is None or (got[label]["licenses"], got[label]["unmatched"]) == (name, ""), label
+
+
+def test_references_are_whole_sentences(spark):
+    assert one(spark, "This is not licensed under the MIT License.") == ("", "", "")
+    assert one(spark, "Licensed under the MIT License or so.") == ("", "", "")
+    assert one(spark, "Licence: Released under the\n  MIT License.")[0] == "MIT"
+
+
 def test_cues_cover_every_sentence():
     known = licenses.known_sentences()
     cues = licenses.cue_words(known)
