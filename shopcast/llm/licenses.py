@@ -28,16 +28,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = "\x01"
+
+
+def _spdx(*names: str) -> tuple[str, ...]:
+    return tuple(f"SPDX-License-Identifier: {n}" for n in names)
+
+
+def _notice(license_name: str, version: str) -> tuple[str, ...]:
+    """The notice of a GNU licence with any later version, in its usual marks, from the work's name or behind it."""
+    parts = ("you can redistribute it and/or modify it under the terms of the GNU " + license_name + " as published by the Free "
+             "Software Foundation", f"either version {version} of the License, or (at your option) any later version.")
+    return (*(f"This {work} is free software{a} {parts[0]}{b} {parts[1]}" for work in ("program", "library")
+              for a, b in ((":", ","), (";", ";"))), f"{parts[0]}, {parts[1]}", f"{parts[0]}; {parts[1]}")
+
+
+def _creative_commons(short: str, long: str) -> tuple[str, ...]:
+    return (f"Licensed under {short}.", f"This work is licensed under {short}.", *(
+        f"This work is licensed under {a} Creative Commons {long} International License." for a in ("the", "a")),
+        *_spdx(short.replace("CC ", "CC-").replace(" ", "-")))
+
+
 # Known sentences of public licence texts, by identifier.
 SENTENCES = {
     "apache2_ref": ("Licensed under the Apache License, Version 2.0.",
                     "Licensed under the Apache License, Version 2.0 (the \"License\");",
                     "This project is licensed under the Apache License 2.0.",
-                    "SPDX-License-Identifier: Apache-2.0"),
+                    *_spdx("Apache-2.0")),
     "apache2_comply": ("you may not use this file except in compliance with the License.",),
     "apache2_copy": ("You may obtain a copy of the License at",),
     "mit_ref": ("Released under the MIT License.", "Licensed under the MIT License.",
-                "This project is licensed under the MIT License.", "SPDX-License-Identifier: MIT"),
+                "This project is licensed under the MIT License.", *_spdx("MIT")),
     "mit_grant": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
                   "associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
                   "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
@@ -49,41 +69,110 @@ SENTENCES = {
               "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",),
     "gpl3_ref": ("This work is licensed under the GNU General Public License, version 3.",
                  "Licensed under the GNU General Public License, version 3.",
-                 "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    "gpl_free": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-                 "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-                 "option) any later version.",),
-    "gpl2_free": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
-                  "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
-                  "option) any later version.",),
-    "gpl_warranty": ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",),
-    "ccbync4_ref": ("Licensed under CC BY-NC 4.0.", "This work is licensed under CC BY-NC 4.0.",
-                    "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "ccby4_ref": ("Licensed under CC BY 4.0.", "This work is licensed under CC BY 4.0.",
-                  "This work is licensed under the Creative Commons Attribution 4.0 International License."),
+                 *_spdx("GPL-3.0-only")),
+    "gpl3_later_ref": _spdx("GPL-3.0-or-later"),
+    "gpl2_ref": ("This work is licensed under the GNU General Public License, version 2.",
+                 "Licensed under the GNU General Public License, version 2.",
+                 *_spdx("GPL-2.0-only")),
+    "gpl2_later_ref": _spdx("GPL-2.0-or-later"),
+    "gpl_free": _notice("General Public License", "3"),
+    "gpl2_free": _notice("General Public License", "2"),
+    "gpl2_only": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+                  "Public License version 2 as published by the Free Software Foundation.",
+                  "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+                  "Public License as published by the Free Software Foundation; version 2 of the License."),
+    "gpl_warranty": ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
+                     "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"),
+    "lgpl3_ref": _spdx("LGPL-3.0-only"),
+    "lgpl3_later_ref": _spdx("LGPL-3.0-or-later"),
+    "lgpl21_ref": _spdx("LGPL-2.1-only"),
+    "lgpl21_later_ref": _spdx("LGPL-2.1-or-later"),
+    "lgpl3_free": _notice("Lesser General Public License", "3"),
+    "lgpl21_free": _notice("Lesser General Public License", "2.1"),
+    "lgpl2_free": _notice("Library General Public License", "2"),
+    "agpl3_ref": _spdx("AGPL-3.0-only"),
+    "agpl3_later_ref": _spdx("AGPL-3.0-or-later"),
+    "agpl3_free": _notice("Affero General Public License", "3"),
+    "mpl2_ref": _spdx("MPL-2.0"),
+    "mpl2_notice": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "mpl2_copy": ("If a copy of the MPL was not distributed with this file, You can obtain one at",),
+    "isc_ref": ("Released under the ISC License.", "Licensed under the ISC License.",
+                "This project is licensed under the ISC License.", *_spdx("ISC")),
+    "isc_grant": tuple(f"Permission to use, copy, modify, {a} distribute this software for any purpose with or without fee is hereby "
+                       "granted, provided that the above copyright notice and this permission notice appear in all copies."
+                       for a in ("and/or", "and")),
+    "unlicense_ref": _spdx("Unlicense"),
+    "unlicense_free": ("This is free and unencumbered software released into the public domain.",),
+    "unlicense_grant": ("Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source "
+                        "code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",),
+    "cc0_ref": ("Licensed under CC0 1.0.", "This work is licensed under CC0 1.0.", "This work is licensed under CC0 1.0 Universal.",
+                *_spdx("CC0-1.0")),
+    "cc0_notice": tuple(f"To the extent possible under law, the author{a} dedicated all copyright and related and neighboring "
+                        "rights to this software to the public domain worldwide." for a in ("(s) have", " has", "s have")),
+    "ccbync4_ref": _creative_commons("CC BY-NC 4.0", "Attribution-NonCommercial 4.0"),
+    "ccby4_ref": _creative_commons("CC BY 4.0", "Attribution 4.0"),
+    "ccbysa4_ref": _creative_commons("CC BY-SA 4.0", "Attribution-ShareAlike 4.0"),
+    "ccbyncsa4_ref": _creative_commons("CC BY-NC-SA 4.0", "Attribution-NonCommercial-ShareAlike 4.0"),
+    "ccbynd4_ref": _creative_commons("CC BY-ND 4.0", "Attribution-NoDerivatives 4.0"),
+    "ccbyncnd4_ref": _creative_commons("CC BY-NC-ND 4.0", "Attribution-NonCommercial-NoDerivatives 4.0"),
+    "bsd2_ref": _spdx("BSD-2-Clause"),
+    "bsd3_ref": _spdx("BSD-3-Clause"),
     "bsd_grant": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided "
                   "that the following conditions are met:",),
     "bsd_source": ("Redistributions of source code must retain the above copyright notice, this list of conditions and the "
                    "following disclaimer.",),
     "bsd_binary": ("Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
                    "following disclaimer in the documentation and/or other materials provided with the distribution.",),
+    "bsd_advert": ("All advertising materials mentioning features or use of this software must display the following "
+                   "acknowledgement:",),
+    # Behind the holder's name, and for "may be" and "may not be".
+    "bsd_endorse": ("used to endorse or promote products derived from this software without specific prior written permission.",),
 }
 # Rules in order, the longer sequences of a licence before its single sentences.
 RULES = (
     ("MIT", ("mit_grant", "mit_notice", "as_is")),
     ("MIT", ("mit_grant", "mit_notice")),
+    ("BSD-4-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_advert", "bsd_endorse")),
+    ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse")),
     ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary")),
     ("Apache-2.0", ("apache2_ref", "apache2_comply", "apache2_copy")),
     ("Apache-2.0", ("apache2_ref", "apache2_comply")),
-    ("GPL-3.0-or-later", ("gpl_free", "gpl_warranty")),
-    ("GPL-2.0-or-later", ("gpl2_free", "gpl_warranty")),
-    ("GPL-3.0-or-later", ("gpl_free",)),
-    ("GPL-2.0-or-later", ("gpl2_free",)),
+    *((name, (free, *more)) for more in (("gpl_warranty",), ()) for name, free in (
+        ("GPL-3.0-or-later", "gpl_free"), ("GPL-2.0-or-later", "gpl2_free"), ("GPL-2.0", "gpl2_only"),
+        ("LGPL-3.0-or-later", "lgpl3_free"), ("LGPL-2.1-or-later", "lgpl21_free"), ("LGPL-2.0-or-later", "lgpl2_free"),
+        ("AGPL-3.0-or-later", "agpl3_free"))),
+    ("MPL-2.0", ("mpl2_notice", "mpl2_copy")),
+    ("MPL-2.0", ("mpl2_notice",)),
+    ("ISC", ("isc_grant", "as_is")),
+    ("ISC", ("isc_grant",)),
+    ("Unlicense", ("unlicense_free", "unlicense_grant", "as_is")),
+    ("Unlicense", ("unlicense_free", "unlicense_grant")),
+    ("Unlicense", ("unlicense_free",)),
+    ("CC0-1.0", ("cc0_notice",)),
     ("Apache-2.0", ("apache2_ref",)),
     ("MIT", ("mit_ref",)),
     ("GPL-3.0", ("gpl3_ref",)),
+    ("GPL-3.0-or-later", ("gpl3_later_ref",)),
+    ("GPL-2.0", ("gpl2_ref",)),
+    ("GPL-2.0-or-later", ("gpl2_later_ref",)),
+    ("LGPL-3.0", ("lgpl3_ref",)),
+    ("LGPL-3.0-or-later", ("lgpl3_later_ref",)),
+    ("LGPL-2.1", ("lgpl21_ref",)),
+    ("LGPL-2.1-or-later", ("lgpl21_later_ref",)),
+    ("AGPL-3.0", ("agpl3_ref",)),
+    ("AGPL-3.0-or-later", ("agpl3_later_ref",)),
+    ("MPL-2.0", ("mpl2_ref",)),
+    ("ISC", ("isc_ref",)),
+    ("Unlicense", ("unlicense_ref",)),
+    ("CC0-1.0", ("cc0_ref",)),
     ("CC-BY-NC-4.0", ("ccbync4_ref",)),
     ("CC-BY-4.0", ("ccby4_ref",)),
+    ("CC-BY-SA-4.0", ("ccbysa4_ref",)),
+    ("CC-BY-NC-SA-4.0", ("ccbyncsa4_ref",)),
+    ("CC-BY-ND-4.0", ("ccbynd4_ref",)),
+    ("CC-BY-NC-ND-4.0", ("ccbyncnd4_ref",)),
+    ("BSD-2-Clause", ("bsd2_ref",)),
+    ("BSD-3-Clause", ("bsd3_ref",)),
 )
 
 
@@ -96,11 +185,11 @@ def known_sentences(sentences: Mapping[str, Sequence[str]] = SENTENCES) -> dict[
 
 
 def cue_words(known: Mapping[str, str]) -> list[str]:
-    """A few words such that each known sentence has one of them (greedy cover): a text without any has no match."""
+    """A few words such that each known sentence has one of them (greedy cover, words of six letters first): a text without any has no match."""
     left, cues = set(known), []
     while left:
         words = sorted({w for s in left for w in s.split()})
-        cues.append(max(words, key=lambda w: (sum(w in s.split() for s in left), len(w), w)))
+        cues.append(max(words, key=lambda w: (len(w) >= 6, sum(w in s.split() for s in left), len(w), w)))
         left = {s for s in left if cues[-1] not in s.split()}
     return cues
 

@@ -60,6 +60,22 @@ def test_every_sentence_and_rule_in_every_form(spark):
         assert name is None or (got[label]["licenses"], got[label]["unmatched"]) == (name, ""), label
 
 
+def test_near_licences_are_kept_apart(spark):
+    bsd2 = "\n".join(f"{n}. {S[i][0]}" if n else S[i][0] for n, i in enumerate(("bsd_grant", "bsd_source", "bsd_binary")))
+    bsd3 = f"{bsd2}\n3. Neither the name of Some Lab nor the names of its contributors may be {S['bsd_endorse'][0]}"
+    assert one(spark, bsd2)[0] == "BSD-2-Clause" and one(spark, bsd3)[0::2] == ("BSD-3-Clause", "")
+    rows = [(f"# SPDX-License-Identifier: {n}\nx = 1", n) for n in (
+        "GPL-3.0-or-later", "GPL-2.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "MPL-2.0", "ISC", "CC0-1.0",
+        "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Unlicense", "BSD-2-Clause", "BSD-3-Clause", "MIT", "Apache-2.0")]
+    rows += [(f"SPDX-License-Identifier: {n}-only", n) for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")]
+    rows += [("SPDX-License-Identifier: GPL-2.0+", ""), ("SPDX-License-Identifier: MIT OR Apache-2.0", "")]
+    lesser = S["lgpl21_free"][1]
+    rows += [(lesser, "LGPL-2.1-or-later"), (lesser.replace("This library", "Foo"), "LGPL-2.1-or-later"),
+             (S["gpl2_only"][0], "GPL-2.0"), (S["mpl2_notice"][0], "MPL-2.0"), (S["isc_grant"][0], "ISC"), (S["unlicense_free"][0], "Unlicense")]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame([(t, t) for t, _ in rows], "doc_id string, text string")).collect()}
+    assert got == dict(rows)
+
+
 def test_references_are_whole_sentences(spark):
     assert one(spark, "This is not licensed under the MIT License.") == ("", "", "")
     assert one(spark, "Licensed under the MIT License or so.") == ("", "", "")
