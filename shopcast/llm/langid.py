@@ -6,10 +6,12 @@ blocks with every dictionary; the language with the smallest total wins.  The
 margin is the second smallest size over the smallest, minus one; a text whose
 margin is under ``min_margin`` is marked rejected.
 
-Bound of the model: ``dictionary_bytes`` a language, gathered from about
-``sample_docs`` hash-chosen training rows each; a region of ``excerpt``
-characters at a hashed place is taken of each.  More than ``max_languages``
-learned values are an error, not cut.
+Bound of the model: ``dictionary_bytes`` a language, gathered from
+``sample_docs`` hash-chosen training texts each (all, if there are fewer);
+copies of a text count once, so they neither crowd out nor void the sample.  A
+region of ``excerpt`` characters at a hashed place is taken of each.  More than
+``max_languages`` learned values are an error, not cut, and so is a language
+of which no text was drawn.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0.0 and rejected; ties of size go to the language with more training rows,
@@ -65,25 +67,28 @@ class Model:
 
 def learn(training: DataFrame, text: str, lang: str, dictionary_bytes: int = 131072, sample_docs: int = 400,
           excerpt: int = 2000, max_languages: int = 256) -> Model:
-    """Dictionaries from hash-chosen training rows; rows with null language or text are left out."""
+    """Dictionaries from hash-chosen distinct training texts; rows with null language or text are left out."""
     rows = training.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().limit(max_languages + 1).collect()
+    copies = rows.groupBy("lang", F.xxhash64("text").alias("hash")).agg(F.count("*").alias("n"))
+    counts = copies.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).limit(max_languages + 1).collect()
     if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages to learn")
     if not counts:
         return Model((), ())
-    share = {r["lang"]: min(1.0, 4.0 * sample_docs / r["count"]) for r in counts}
+    share = {r["lang"]: min(1.0, 4.0 * sample_docs / r["texts"]) for r in counts}
     rate = F.element_at(F.create_map(*[F.lit(v) for kv in share.items() for v in kv]), F.col("lang"))
     order = F.pmod(F.xxhash64("text"), F.lit(1 << 40)).cast("double") / F.lit(float(1 << 40))
     start = (F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - excerpt, F.lit(0)) + 1) + 1).cast("int")
     first = Window.partitionBy("lang").orderBy("order", "text")
     chosen = (rows.withColumn("order", order).filter(F.col("order") < rate)
-              .select("lang", "order", F.substr("text", start, F.lit(excerpt)).alias("text"))
+              .select("lang", "order", F.substr("text", start, F.lit(excerpt)).alias("text")).distinct()
               .withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample_docs).collect())
     texts: dict[str, list] = {}
     for r in sorted(chosen, key=lambda r: (r["lang"], r["n"])):
         texts.setdefault(r["lang"], []).append(letters_only(r["text"]))
-    known = sorted((r for r in counts if r["lang"] in texts), key=lambda r: (-r["count"], r["lang"]))
+    if lacking := sorted(r["lang"] for r in counts if r["lang"] not in texts):
+        raise RuntimeError(f"no training text was drawn of {lacking}")
+    known = sorted(counts, key=lambda r: (-r["n"], r["lang"]))
     return Model(tuple(r["lang"] for r in known),
                  tuple(b"".join(texts[r["lang"]])[:dictionary_bytes] for r in known))
 

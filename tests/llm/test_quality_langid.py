@@ -84,3 +84,14 @@ def test_language_edges(spark):
     assert docs.select(langid.identify(F.col("text"), nothing)["lang_pred"]).distinct().collect()[0][0] == "und"
     with pytest.raises(ValueError):
         langid.learn(docs, "text", "lang", max_languages=1)
+
+
+def test_copies_do_not_void_the_sample(spark):
+    texts = spark.range(60).select(F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
+    many = texts.crossJoin(spark.range(200)).select("text", F.lit("en").alias("lang"))
+    other = texts.select(F.concat(F.lit("autre "), "text").alias("text"), F.lit("fr").alias("lang"))
+    model = langid.learn(many.unionByName(other), "text", "lang", sample_docs=2)
+    alone = langid.learn(many.distinct().unionByName(other), "text", "lang", sample_docs=2)
+    assert model.languages == ("en", "fr") and dict(zip(model.languages, model.dictionaries)) == dict(zip(alone.languages, alone.dictionaries))
+    whole = langid.learn(many, "text", "lang", sample_docs=60)
+    assert len(set(whole.dictionaries[0].split(b"text number"))) == 2 and whole.dictionaries[0].count(b"text number") == 60
