@@ -222,7 +222,7 @@ def nearest(rows: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: s
 
         def one(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
             if not len(b) or not len(q):
-                return pd.DataFrame({"query_row": [], "query_id": [], "ids": [], "score": []})
+                return pd.DataFrame({"query_row": [], "query_id": [], "ids": pd.Series([], dtype=object), "score": []})
             return _search(b, q, index, k + 1, quantile)
         return right.select(*keys, "vector", "ids").groupBy(*keys).cogroup(
             left.select(*[F.col(c).alias(c) for c in (*keys, "query_row", "query_id", "vector", "bound")]).groupBy(*keys)

@@ -37,6 +37,14 @@ def test_recall_and_exact_scores(spark):
     assert all(exact[q, i] == s for q, v in got.items() if q % 200 == 0 for _, i, s in v)
 
 
+def test_recall_over_many_cells(spark):
+    df = table(spark, "/root/testdata/sf0.1", "embeddings")
+    rows = [(r["vec_id"], [float(np.float32(c)) for c in r["embedding"]]) for r in df.collect()]
+    want, got = brute(rows, lambda q: q % 40 == 0, 20), found(ann.nearest(df, F.col("vec_id") % 40 == 0, cell_rows=64))
+    assert set(want) == set(got)
+    assert np.mean([len({i for _, i, _ in want[q]} & {i for _, i, _ in got[q]}) / 20 for q in want]) >= 0.95
+
+
 def test_small_blocks_and_hot_vectors(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.standard_normal(6).tolist()) for i in range(300)] + [(i, [1.0, 2.0, 0.0, 0.0, 0.0, 1.0]) for i in range(300, 500)]
