@@ -103,8 +103,26 @@ def banded_edits(item: np.ndarray, text: np.ndarray, low: int, high: int) -> int
     return int(best.min())
 
 
-def _regions(p: Profile, table: np.ndarray, chars: np.ndarray, starts: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
-    """Rows (document, item, band, shared q-grams) that reach the bound; documents lie behind each other in ``chars``."""
+def _shares(p: Profile, count: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Ranges of items such that the hits (``count`` by q-gram) have at most ``limit`` postings in each, or the range is one item."""
+    if not len(p.item):
+        return []
+    by_item = np.bincount(p.item, weights=np.repeat(count, np.diff(p.offsets)), minlength=len(p.ids))
+    out, start, total = [], 0, 0.0
+    for i, n in enumerate(by_item.tolist()):
+        if i > start and total + n > limit:
+            out.append((start, i))
+            start, total = i, 0.0
+        total += n
+    return [*out, (start, len(by_item))]
+
+
+def _regions(p: Profile, table: np.ndarray, chars: np.ndarray, starts: np.ndarray, piece: int = 1 << 20,
+             limit: int = 1 << 22) -> np.ndarray:
+    """Rows (document, item, band, shared q-grams) that reach the bound; documents lie behind each other in ``chars``.
+
+    Postings are expanded for a range of items at a time, so that many items behind one frequent q-gram stay within memory.
+    """
     spots, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(chars), piece):
         h = gram_hashes(chars[at:at + piece + p.q - 1], p.q)
@@ -115,7 +133,23 @@ def _regions(p: Profile, table: np.ndarray, chars: np.ndarray, starts: np.ndarra
         which.append(slot[hit])
     spot, gram = np.concatenate(spots), np.concatenate(which)
     count = p.offsets[gram + 1] - p.offsets[gram]
-    posting = np.repeat(p.offsets[gram] - np.cumsum(count) + count, count) + np.arange(count.sum())
+    if count.sum() <= limit:
+        return _counted(p, starts, spot, p.offsets[gram], count)
+    out = [np.zeros((0, 4), np.int64)]
+    owner = np.repeat(np.arange(len(p.grams)), np.diff(p.offsets))       # postings by q-gram, then by item
+    key = owner * len(p.ids) + p.item
+    for first, end in _shares(p, np.bincount(gram, minlength=len(p.grams)), limit):
+        begin = np.searchsorted(key, gram * len(p.ids) + first)
+        inside = np.searchsorted(key, gram * len(p.ids) + end) - begin
+        some = inside > 0
+        out.append(_counted(p, starts, spot[some], begin[some], inside[some]))
+    rows = np.concatenate(out)
+    return rows[np.lexsort(rows[:, 2::-1].T)]
+
+
+def _counted(p: Profile, starts: np.ndarray, spot: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The rows of ``_regions`` for hits at ``spot`` with ``count`` postings from ``begin`` on."""
+    posting = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
     spot = np.repeat(spot, count)
     doc, item, place = np.searchsorted(starts, spot, "right") - 1, p.item[posting], p.place[posting]
     band = (spot - starts[doc] - place) // (p.budget[item] + 1)

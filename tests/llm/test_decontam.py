@@ -79,3 +79,23 @@ def test_gram_hashes_tell_grams_apart():
         h = decontam.gram_hashes(chars, q).tolist()
         grams = [chars[i:i + q].tobytes() for i in range(len(chars) - q + 1)]
         assert len(h) == len(grams) and len(set(zip(h, grams, strict=True))) == len(set(h)) == len(set(grams))
+
+
+def test_items_behind_one_frequent_passage_stay_within_memory():
+    import tracemalloc
+
+    import numpy as np
+    preface = "answer the question below with one letter and give no reason for it"
+    p = decontam.profile([(i, f"{preface} {i:04d} {'abcdefgh'[i % 8] * 3} {i * 7919 % 10007}") for i in range(2000)])
+    texts = [decontam.normalised(f"{preface} and so on {n}") for n in range(100)] + [decontam.normalised(f"{preface} 0007 hhh 5412 end")]
+    chars = decontam.codes("\0".join(texts))
+    starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])[:-1]))
+    whole = decontam._regions(p, p.table(), chars, starts, limit=1 << 60)
+    tracemalloc.start()
+    rows = decontam._regions(p, p.table(), chars, starts, limit=1 << 17)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(rows, whole) and len(rows)
+    assert peak < 200_000_000
+    found = decontam._search(p, p.table(), texts[-1:])
+    assert 7 in {f["item_id"] for f in found[0]}
