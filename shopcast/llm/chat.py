@@ -2,7 +2,10 @@
 
 A record is a variant of any layout.  Its nested field names (scalar types
 dropped) are hashed; the hash selects a mapping that says where roles and
-texts lie.  Canonical turns are rendered with a template whose control strings
+texts lie.  A record of no such hash still takes a mapping with a list if it
+has that list, whatever other fields stand beside it or in its messages, as
+long as no other mapping reads them.  Records of fixed fields have no such
+mark: there an unknown field may be part of the talk, so the layout is unknown.  Canonical turns are rendered with a template whose control strings
 are escaped inside texts, reversibly, and can be read back from the output
 alone.  DataFrame functions only.
 
@@ -12,8 +15,8 @@ assistant, ``text</s>``.  Inside roles and texts ``\\`` becomes ``\\z`` and a
 roles a line feed becomes ``\\n``.
 
 Defined results: null roles and texts are empty; an unknown layout has null
-turns and the layout name ``unknown``; a record without turns formats to
-``<s>``; rows of one conversation and turn are ordered by role, then text.
+turns and the layout name ``unknown``; a record without turns (its list is
+empty or null) formats to ``<s>``, its layout is the first with that list; rows of one conversation and turn are ordered by role, then text.
 One conversation is one output row, so its own length bounds the grouping.
 """
 
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,14 +103,47 @@ def _turns(record: Column, m: Mapping) -> Column:
     return F.array(*[F.struct(F.lit(role).alias("role"), part(fields).alias("text")) for role, fields in m.parts])
 
 
+def _listed(record: Column, m: Mapping, mappings: tuple[Mapping, ...]) -> tuple[Column, Column]:
+    """Whether the record holds the mapping's list among other fields, and whether that list is empty or null.
+
+    Fields that no mapping reads are ignored; those that another one reads may be part of the talk, so they are not.
+    """
+    field, role, text = m.messages
+    read = {x.messages[0] for x in mappings if x.messages} | {f for x in mappings for _, fs in x.parts for f in fs}
+    tops = sorted(read - {field})
+    inner = sorted({n for x in mappings if x.messages for n in x.messages[1:]} - {role, text})
+
+    def at(v: Column, name: str) -> Column:
+        return F.try_variant_get(v, f"$.{name}", "variant")
+
+    def without(v: Column, names: list[str]) -> Column:
+        return reduce(lambda a, n: a & at(v, n).isNull(), names, F.lit(True))
+
+    def plain(v: Column) -> Column:
+        return ~F.coalesce(F.schema_of_variant(v), F.lit("VOID")).rlike("^(OBJECT|ARRAY)<")
+
+    def fits(x: Column) -> Column:
+        shaped = F.schema_of_variant(x).startswith("OBJECT<") & plain(at(x, role)) & plain(at(x, text)) & without(x, inner)
+        return x.isNull() | F.is_variant_null(x) | shaped
+    rows = F.try_variant_get(record, f"$.{field}", "array<variant>")
+    alone = without(record, tops)
+    full = F.forall(rows, fits) & F.exists(rows, lambda x: at(x, role).isNotNull()) & F.exists(rows, lambda x: at(x, text).isNotNull())
+    empty = F.is_variant_null(at(record, field)) | (F.size(rows) == 0)
+    return F.coalesce(alone & full, F.lit(False)), F.coalesce(alone & at(record, field).isNotNull() & empty, F.lit(False))
+
+
 def canonical_turns(df: DataFrame, record: str, turns: str = "turns", layout: str = "layout",
                     mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """Add the layout's name and the canonical turns of a variant column."""
-    mark = fingerprint(F.col(record))
+    mark, r = fingerprint(F.col(record)), F.col(record)
     name, body = F.lit("unknown"), F.lit(None).cast(TURNS)
+    for m in reversed([m for m in mappings if m.messages]):
+        full, empty = _listed(r, m, mappings)
+        name = F.when(full | empty, F.lit(m.name)).otherwise(name)
+        body = F.when(full, _turns(r, m)).when(empty, F.array().cast(TURNS)).otherwise(body)
     for m in reversed(mappings):
         hit = mark == F.lit(fingerprint_of(m.layout))
-        name, body = F.when(hit, F.lit(m.name)).otherwise(name), F.when(hit, _turns(F.col(record), m)).otherwise(body)
+        name, body = F.when(hit, F.lit(m.name)).otherwise(name), F.when(hit, _turns(r, m)).otherwise(body)
     return df.withColumn(layout, name).withColumn(turns, body)
 
 

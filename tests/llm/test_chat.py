@@ -53,6 +53,36 @@ def test_layouts(spark, record, layout, turns):
     assert r["layout"] == layout and (None if r["turns"] is None else [(t["role"], t["text"]) for t in r["turns"]]) == turns
 
 
+BESIDE = [
+    ({"id": "x1", "conversations": [{"from": "human", "value": "q"}]}, "conversations_from", [("user", "q")]),
+    ({"source": {"name": "s"}, "messages": [{"role": "user", "content": "q", "weight": 1}, {"role": "assistant", "content": None}]},
+     "messages_content", [("user", "q"), ("assistant", "")]),
+    ({"messages": [{"role": "user", "text": "q", "meta": {"role": "z"}}], "tags": []}, "messages_text", [("user", "q")]),
+    ({"messages": []}, "messages_text", []),
+    ({"messages": None, "id": 7}, "messages_text", []),
+    ({"conversations": [], "id": 7}, "conversations_from", []),
+    ({"messages": [{"role": "user", "text": "q", "content": "p"}]}, "unknown", None),
+    ({"messages": [{"role": "user", "content": [{"type": "text"}]}]}, "unknown", None),
+    ({"system": "s", "conversations": [{"from": "human", "value": "q"}]}, "unknown", None),
+    ({"messages": [{"role": "user"}]}, "unknown", None),
+    ({"messages": ["q", "a"]}, "unknown", None),
+    ({"messages": "q"}, "unknown", None),
+    ({"id": 1}, "unknown", None),
+    ([], "unknown", None),
+    (7, "unknown", None),
+]
+
+
+def test_fields_beside_and_empty_lists(spark):
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _, _) in enumerate(BESIDE)], "i int, j string").select("i", F.parse_json("j").alias("record"))
+    rows = chat.format_chats(df).collect()
+    for r in rows:
+        _, layout, turns = BESIDE[r["i"]]
+        assert r["layout"] == layout and (None if r["turns"] is None else [(t["role"], t["text"]) for t in r["turns"]]) == turns, BESIDE[r["i"]]
+        assert turns != [] or r["formatted"] == "<s>"
+    assert len(rows) == len(BESIDE)
+
+
 def test_rows_by_turn(spark):
     rows = [(1, 1, "assistant", "b</s>"), (1, 0, "user", None), (2, 0, None, "x"), (None, 0, "assistant", "n"), (1, 1, "assistant", "b</s>"),
             (3, 0, "assistant", "long " * 100000)]
