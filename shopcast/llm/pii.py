@@ -10,7 +10,9 @@ boundaries of one kind and validates it:
   ``konto``, ``compte``, ``cuenta``, ``ssn``, ``passport``; with ``no``, ``number``,
   ``:``, ``#`` or ``=`` between): 6 to 34 letters and digits, six digits at
   least, ISO 7064 check digits where it looks like an IBAN;
-* ``login``: the ``user:password`` part behind a URL scheme.
+* ``login``: the ``user:password`` part behind a URL scheme in any case.
+
+An address is a host's number (``ip``); a web address has no kind of its own.
 
 Offsets are code points, end exclusive.  Defined results: null texts are empty;
 empty texts have no spans; repeated rows are scanned one by one.
@@ -19,6 +21,7 @@ empty texts have no spans; repeated rows are scanned one by one.
 from __future__ import annotations
 
 import re
+from itertools import product
 
 import ahocorasick
 import pyarrow as pa
@@ -41,10 +44,15 @@ _CUES = ("iban", "account", "acct", "konto", "compte", "cuenta", "ssn", "passpor
 _SCHEMES = ("http://", "https://", "ftp://", "sftp://", "ssh://")
 
 
+def cases(word: str) -> set[str]:
+    """The word in all mixtures of upper and lower case."""
+    return {"".join(c) for c in product(*[{c.lower(), c.upper()} for c in word])}
+
+
 def anchors() -> ahocorasick.Automaton:
     """The automaton of all anchor strings, with their kind and length."""
     found = ahocorasick.Automaton()
-    for kind, words in (("at", "@"), ("plus", "+"), ("digit", "0123456789"), ("cue", {c for w in _CUES for c in (w, w.upper(), w.title())}), ("scheme", _SCHEMES)):
+    for kind, words in (("at", "@"), ("plus", "+"), ("digit", "0123456789"), ("cue", {c for w in _CUES for c in (w, w.upper(), w.title())}), ("scheme", {c for w in _SCHEMES for c in cases(w)})):
         for word in words:
             found.add_word(word, (kind, len(word)))
     found.make_automaton()

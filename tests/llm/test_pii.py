@@ -45,6 +45,13 @@ def test_extra_kinds():
     assert found("The account of 1234567 days") == [] and found("miniban 12345678") == []
 
 
+def test_schemes_in_any_case():
+    found = lambda t: [(k, t[a:b]) for k, a, b in pii.spans_of(t, AUTO)]
+    for scheme in ("HTTP://", "Https://", "fTP://", "SFTP://", "ssh://"):
+        assert ("login", "joe:pw1") in found(f"see {scheme}joe:pw1@host.example/x")
+    assert found("mailto:a.b@c.de") == [("email", "a.b@c.de")] and found("tel:+14565552186")[0] == ("phone", "+14565552186")
+
+
 def test_report_and_mask(spark):
     rows = [(1, "mail é a.b@c.de, ip 10.0.0.1 and 300.1.1.1"), (2, None), (3, ""), (4, "plain text stays"), (4, "plain text stays"),
             (5, "x" * 300000 + " +1 (456) 555-2186"), (None, "4539578763621486")]
