@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopcast.llm import ann, chat, decontam, langid, licenses, pieces, pii, quality, sharding, simhash
+from shopcast.llm import (ann, chat, collocations, decontam, exact_dedup, langid, licenses, pieces, pii, prefix_trie, quality, sharding,
+                          simhash)
 from shopcast.llm.common import held_out, table
 
 SHARDS = 40
@@ -89,8 +90,36 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays of each group of equal texts, for every document."""
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), keep="largest")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of all rebuilt conversations."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(prefix_trie.turn_sequences(rows)))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality, op2_sharding, op3_chat, op4_neighbours, op5_language, op6_pieces, op7_pii,
-                                   op8_simhash, op9_decontamination, op10_licenses)}
+                                   op8_simhash, op9_decontamination, op10_licenses, op11_exact_dedup, op12_collocations,
+                                   op13_prefix_trie)}
+
+
+#: crc_table(t): the 256 steps of CRC-32; needs ``with recursive``.
+_CRC_TABLE = """crc_step(i, k, c) as (select i, 0, i::bigint from range(256) r(i) union all
+  select i, k + 1, case when c % 2 = 1 then xor(3988292384, c >> 1) else c >> 1 end from crc_step where k < 8),
+crc_table as (select list(c order by i) as t from crc_step where k = 8)"""
+
+
+def _crc(b: str) -> str:
+    """CRC-32 of a list of byte values, with ``t`` from crc_table in scope."""
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, {b}), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])))"
 
 
 def _sharding_sql() -> str:
@@ -111,13 +140,11 @@ in_rack as (select k.doc_id, k.n, arg_min(r.rack, {draw('r.rack', 'r.w')}) rack
             from in_region k join racks r on k.n = r.n and k.region = r.region group by k.doc_id, k.n),
 in_shard as (select k.doc_id, k.n, arg_min(t.shard, {draw('t.leaf', '1')}) shard
              from in_rack k join tree t on k.n = t.n and k.rack = t.rack group by k.doc_id, k.n),
-crc_step(i, k, c) as (select i, 0, i::bigint from range(256) r(i) union all
-  select i, k + 1, case when c % 2 = 1 then xor(3988292384, c >> 1) else c >> 1 end from crc_step where k < 8),
-crc_table as (select list(c order by i) as t from crc_step where k = 8),
+{_CRC_TABLE},
 bytes as (select doc_id, coalesce(text, '') as text, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
                  lambda x: ('0x' || x)::bigint) as b from documents),
 sized as (select doc_id, strlen(text)::bigint + {sharding.HEADER_BYTES} as size,
-                 xor(4294967295, list_reduce(list_prepend(4294967295::bigint, b), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]))) as text_crc32
+                 {_crc("b")} as text_crc32
           from bytes, crc_table)
 select d.doc_id, size, text_crc32::bigint as text_crc32, 'key' as law, a.shard::int as shard, b.shard::int as grown_shard,
        row_number() over (partition by a.shard order by d.doc_id, text_crc32, size) - 1 as slot
@@ -166,4 +193,52 @@ select conv_id, count(*) as n_turns,
        'messages_text' as layout
 from rows2 group by conv_id""".replace("rows2", "said")
 
-ORACLE_SQL = {"op2_sharding": _sharding_sql(), "op3_chat": _CHAT_SQL, "op10_licenses": _licenses_sql()}
+_DEDUP_SQL = """
+select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
+       row_number() over (partition by coalesce(text, '') order by doc_id desc nulls last) = 1 as kept, sha256(coalesce(text, '')) as text_sha256
+from documents window g as (partition by coalesce(text, ''))"""
+
+_COLLOCATIONS_SQL = r"""
+with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+words as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+starts as (select lang, w, unnest(range(1, len(w) + 1)) as i from words),
+grams as (select lang, w[i:i + k - 1] as p from starts, range(1, 5) s(k) where i + k - 1 <= len(w)),
+f as (select lang, p, count(*) as n from grams group by all),
+candidates as (select lang, p, n as a from f where len(p) > 1 and n >= 30),
+cuts as (select c.lang, c.p, c.a, k, l.n as l, r.n as r, (2000000::hugeint * c.a // (l.n::hugeint + r.n)) as score
+         from (select *, unnest(range(1, len(p))) as k from candidates) c
+         join f l on l.lang = c.lang and l.p = c.p[1:c.k] join f r on r.lang = c.lang and r.p = c.p[c.k + 1:]),
+best as (select * from cuts qualify row_number() over (partition by lang, p order by score, k) = 1),
+inside as (select lang, p[i:i + k - 1] as p, max(a) as longer
+           from (select *, unnest(range(1, len(p) + 1)) as i from candidates), range(2, 4) s(k)
+           where i + k - 1 <= len(p) and k < len(p) group by all),
+kept as (select best.* from best left join inside using (lang, p) where longer is null or 100::hugeint * longer < 80::hugeint * a),
+total as (select lang, count(*) as n from starts group by lang),
+ranked as (select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(p, ' ')) as rank,
+                  array_to_string(p, ' ') as phrase, a, l, r, score::bigint as score from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join total using (lang) where rank <= 2000"""
+
+_TRIE_SQL = f"""
+with recursive {_CRC_TABLE},
+own as (select conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, ''))
+                             order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as turns
+        from conversations where conv_id is not null group by conv_id),
+headed as (select conv_id, turns, ({_crc("list_transform(string_split(conv_id::varchar, ''), lambda x: ord(x)::bigint)")} % 6)::bigint as h
+           from own, crc_table),
+built as (select c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) as turns
+          from headed c left join own b on b.conv_id = c.conv_id - c.conv_id % 100),
+members as (select conv_id, turns[1:d] as p, d, len(turns) = d as ends from (select *, unnest(range(0, len(turns) + 1)) as d from built)),
+nodes as (select p, d as depth, min(conv_id) as conv_id, count(*) as n_convs,
+                 sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256 from members group by p, d),
+linked as (select n.*, up.conv_id as parent_conv_id, up.p as parent
+           from nodes n left join nodes up on up.depth = n.depth - 1 and up.p = n.p[1:n.depth - 1]),
+children as (select parent as p, count(*) as n_children from linked where depth > 0 group by all),
+full_nodes as (select l.*, coalesce(n_children, 0) as n_children from linked l left join children c on c.p = l.p),
+sums as (select p[1:d] as p, count(*) filter (n_children = 0) as n_leaves,
+                sum(case when depth > 0 then (n_convs - 1) * length(p[depth].text) else 0 end)::bigint as saved_tokens
+         from (select *, unnest(range(0, depth + 1)) as d from full_nodes) group by 1)
+select conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 from full_nodes join sums using (p)"""
+
+ORACLE_SQL = {"op2_sharding": _sharding_sql(), "op3_chat": _CHAT_SQL, "op10_licenses": _licenses_sql(),
+              "op11_exact_dedup": _DEDUP_SQL, "op12_collocations": _COLLOCATIONS_SQL, "op13_prefix_trie": _TRIE_SQL}

@@ -53,7 +53,7 @@ def test_run(spark):
 def test_registered():
     names = entry.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(names) and set(queries.ORACLE_SQL) <= set(entry.oracle_sql())
-    assert len([n for n in names if n.startswith("op")]) == 10 or len(queries.QUERIES) == 10
+    assert len(queries.QUERIES) == 13
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
