@@ -57,18 +57,29 @@ def test_matches_plain_counts(spark, rows, settings):
 
 def test_parse_is_prefix_free_and_covers_each_word_once():
     random.seed(3)
-    words = [f"w{i}" for i in range(40)]
+    words = [f"w{i}" for i in range(40)] + [".", "?"]
     triggers = X._Triggers(4)
-    texts = [" ".join(random.choices(words, k=random.randint(1, 60))) + "." for _ in range(200)]
-    chunks = {}
-    for t in texts:
-        own = [(c, o) for c, o in X.parse(t.encode(), triggers, 3)]
-        assert b" ".join(b" ".join(c.split(b" ")[:o]) for c, o in own).decode() == t[:-1]
-        for c, o in own:
-            chunks[c.decode()] = o
-    inner = {c: o for c, o in chunks.items() if o + 3 <= len(c.split()) and len(c.split()) > o}       # ended by a trigger
-    ordered = sorted(tuple(c.split()) for c in inner)
-    assert not [1 for a, b in zip(ordered, ordered[1:], strict=False) if b[:len(a)] == a]
+    chunks = set()
+    for _ in range(300):
+        text = " ".join(random.choices(words, k=random.randint(0, 60)))
+        parsed = list(X.parse(text.encode(), triggers, 3))
+        own = [t for c, n, _ in parsed for t in c.decode().split(" ")[:n]]
+        assert [w for w in own if w != "."] == [w for p in pieces_of(text) for w in p] and own[-1] == "."
+        assert sum(n for _, _, n in parsed) == len([w for w in own if w != "."])
+        chunks |= {(tuple(c.decode().split(" ")), n) for c, n, _ in parsed}
+    every = sorted({c for c, _ in chunks})
+    by_trigger = {c for c, n in chunks if n < len(c)}
+    assert by_trigger and not [1 for a, b in zip(every, every[1:], strict=False) if a in by_trigger and b[:len(a)] == a]
+
+
+def test_hash_of_a_phrase_is_the_same_in_spark(spark):
+    import numpy as np
+    import pyarrow as pa
+    words, langs = X._hashes(pa.array(["the", "Écho"])), X._hashes(pa.array(["en"]))
+    with np.errstate(over="ignore"):
+        code = X._chained(X._chained(X._chained(np.uint64(42), langs[:1]), words[:1]), words[1:])
+    got = spark.sql("select 'en' lang, 'the Écho' phrase").select(X.phrase_code()).first()[0]
+    assert int(code.view(np.int64)[0]) == got
 
 
 def test_small_tasks_add_up(spark, rows):
