@@ -110,3 +110,25 @@ def histogram(df: DataFrame, p: str = "probability", bins: int = 40) -> DataFram
     return (df.filter(F.col(p).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
               .withColumns({"bin_lo": F.col("bin") / F.lit(float(bins)),
                             "bin_hi": (F.col("bin") + 1) / F.lit(float(bins))}))
+
+
+def histogram_nice(df: DataFrame, value: str, most: int = 40) -> DataFrame:
+    """A18 with edges from the data: (bin_lo, bin_hi, n) on steps of 1, 2 or 5 times a power of ten, at most ``most`` bins.
+
+    One aggregation gives the range and so the step, a second one the counts; empty bins are
+    listed, too.  Nulls and NaN are left out; one distinct value gives one bin of width 1.
+    """
+    x = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    own = df.select(x.alias("x")).filter(F.col("x").isNotNull() & (F.abs("x") != F.lit(float("inf"))))
+    raw = (F.max("x") - F.min("x")) / F.lit(float(most - 1))
+    ends = own.agg(F.min("x").alias("low"), F.max("x").alias("high"), raw.alias("raw"))
+    power = F.pow(F.lit(10.0), F.floor(F.log10("raw")).cast("double"))
+    lead = F.col("raw") / power
+    step = F.when(F.col("raw") > 0, F.when(lead <= 1, 1.0).when(lead <= 2, 2.0).when(lead <= 5, 5.0).otherwise(10.0) * power).otherwise(1.0)
+    shape = ends.select(step.alias("step"), "low", "high").select(
+        "step", F.floor(F.col("low") / F.col("step")).alias("first"), F.floor(F.col("high") / F.col("step")).alias("last"))
+    width = shape.select("step").scalar()
+    counts = own.groupBy(F.floor(F.col("x") / width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    bins = shape.filter("first is not null").select("step", F.explode(F.sequence("first", "last")).alias("bin"))
+    return bins.join(counts, "bin", "left").select((F.col("bin") * F.col("step")).alias("bin_lo"), ((F.col("bin") + 1) * F.col("step")).alias("bin_hi"),
+                                                   F.coalesce("n", F.lit(0)).alias("n"))

@@ -78,6 +78,17 @@ def mode_value(df: DataFrame, col: str):
     return row["m"]
 
 
+def mode_values(df: DataFrame, cols: Sequence[str]) -> list:
+    """``mode_value`` of each column; all text columns together in one pass over (column number, value) counts."""
+    texts = [i for i, c in enumerate(cols) if isinstance(df.schema[c].dataType, T.StringType)]
+    if not texts:
+        return [mode_value(df, c) for c in cols]
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(cols[i]).alias("v")) for i in texts]))
+    counts = df.select(pairs.alias("x")).filter("x.v is not null").groupBy("x.f", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    found = {r["f"]: r["m"] for r in counts.groupBy("f").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("m")).collect()}  # a row per column
+    return [found.get(i) if i in texts else mode_value(df, c) for i, c in enumerate(cols)]
+
+
 def moments(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Mean and population std of each column in one aggregation pass."""
     aggs = []
@@ -143,7 +154,7 @@ class ModeImputer(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsW
 
     def _fit(self, df: DataFrame) -> ImputerModel:
         cols = self.getInputCols()
-        return ImputerModel(inputCols=cols, values=[mode_value(df, c) for c in cols])
+        return ImputerModel(inputCols=cols, values=mode_values(df, cols))
 
 
 class _ScalerParams(HasInputCols):
@@ -195,7 +206,7 @@ def fitted_categories(train: DataFrame, col: str, limit: int = MAX_CATEGORIES) -
 
 
 def wide_categories(train: DataFrame, cat_cols: Sequence[str], limit: int = MAX_CATEGORIES) -> list[str]:
-    """Columns with more than ``limit`` categories: to be hashed, since an index lives on the driver."""
+    """Columns with about more than ``limit`` categories: an index of them would live on the driver, so they must be hashed."""
     if not cat_cols:
         return []
     row = train.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in cat_cols]).first()

@@ -124,6 +124,16 @@ def average_precision(df: DataFrame, score: str = "score", label: str = "label",
     return s.select(F.when(F.col("P") > 0, F.coalesce(F.col("ap"), F.lit(0.0))).alias("average_precision"))
 
 
+def curve_areas(counts: DataFrame) -> DataFrame:
+    """E6 and E7 together: (roc_auc, average_precision) from one curve over the per-score counts, in one aggregation."""
+    c = curve(None, counts=counts)
+    s = c.agg(F.sum(F.col("pos") * (F.col("neg_below") + F.lit(0.5) * F.col("neg"))).alias("u"),
+              F.sum(F.when(F.col("pos") > 0, F.col("pos") / F.col("P") * (F.col("tp") / (F.col("tp") + F.col("fp"))))).alias("ap"),
+              F.first("P").alias("P"), F.first("N").alias("N"))
+    return s.select(F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("u") / (F.col("P") * F.col("N"))).alias("roc_auc"),
+                    F.when(F.col("P") > 0, F.coalesce(F.col("ap"), F.lit(0.0))).alias("average_precision"))
+
+
 def grid_cell(score: str) -> F.Column:
     """Largest grid index i with i/200 <= score, clipped to [9, 190] (9 = below the grid)."""
     s = F.col(score)
@@ -206,10 +216,10 @@ def metrics_record(df: DataFrame, score: str = "score", label: str = "label") ->
     cm = confusion_from_counts(counts, thr)
     scored = counts.filter(F.col("score").isNotNull())
     n_all = counts.agg(F.sum(F.col("pos") + F.col("neg"))).scalar()
+    areas = curve_areas(counts).first()                           # one row: the curve is built once for both areas
     return cm.select(
         thr.alias("threshold"), F.lit(best_row["f1"]).alias("f1_best"),
-        roc_auc(None, counts=counts).scalar().alias("roc_auc"),
-        average_precision(None, counts=counts).scalar().alias("pr_auc"),
+        F.lit(areas["roc_auc"]).cast("double").alias("roc_auc"), F.lit(areas["average_precision"]).cast("double").alias("pr_auc"),
         "tn", "fp", "fn", "tp",
         (counts.agg(F.sum("pos")).scalar() / n_all).alias("pos_rate_test"),
         (scored.agg(F.sum(F.when(F.col("score") >= thr, F.col("pos") + F.col("neg")))).scalar()

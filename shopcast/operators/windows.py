@@ -70,3 +70,23 @@ def product_windows(daily: DataFrame, key: str = "stock_code", order: str = "dat
         "product_last_sale_days_ago": days_since_last(F.col("sold_qty") > 0, key, order),
         target: forward_label("sold_qty", horizon, key, order, frame),
     })
+
+
+def rolling_distinct(lines: DataFrame, key: str, member: str, day: str, days: int = 30, out: str = "members") -> DataFrame:
+    """W3 exactly: distinct members of each key over the last ``days`` calendar days, on every day the key has rows.
+
+    A member's row counts from its day until the member's next day or until ``days`` have
+    passed: +1 at the one, -1 at the other, and a running sum by key gives the count.  No
+    range join and no set of members a row: the lines shuffle once by (key, member),
+    as sets of days that partial aggregation has already joined; what follows has a few numbers a
+    key and day, so a hot key is a window of its days.  Null members count as one.
+    """
+    own = lines.filter(F.col(key).isNotNull() & F.col(day).isNotNull())
+    seen = own.groupBy(key, member).agg(F.sort_array(F.collect_set(day)).alias("_days"))
+    each = seen.select(key, F.posexplode("_days").alias("_i", "_day"), "_days")
+    until = F.least(F.date_add("_day", days), F.coalesce(F.get("_days", F.col("_i") + 1), F.date_add("_day", days)))
+    events = each.select(key, F.explode(F.array(F.struct(F.col("_day").alias("d"), F.lit(1).alias("c"), F.lit(1).alias("own")),
+                                                F.struct(until.alias("d"), F.lit(-1).alias("c"), F.lit(0).alias("own")))).alias("_e"))
+    net = events.groupBy(key, F.col("_e.d").alias(day)).agg(F.sum("_e.c").alias("_c"), F.max("_e.own").alias("_own"))
+    running = F.sum("_c").over(_spec(key, day).rowsBetween(Window.unboundedPreceding, 0))
+    return net.withColumn(out, running).filter("_own = 1").select(key, day, out)

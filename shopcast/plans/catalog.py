@@ -46,5 +46,5 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 # Importing the modules registers their queries.
-from shopcast.plans import (queries_chains, queries_eval, queries_m1, queries_ml,  # noqa: E402,F401
+from shopcast.plans import (queries_chains, queries_eval, queries_inputs, queries_m1, queries_ml,  # noqa: E402,F401
                             queries_prep, queries_scoring)

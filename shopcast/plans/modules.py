@@ -37,12 +37,18 @@ class Prepared:
     n_train: int
 
 
-def prepare(split_table: DataFrame, label: str, exclude: Sequence[str], id_col: str) -> Prepared:
-    """FE1-FE7 and ML1: everything is learned from rows with split ``train``."""
+def prepare(split_table: DataFrame, label: str, exclude: Sequence[str], id_col: str, hashed: Sequence[str] = ()) -> Prepared:
+    """FE1-FE7 and ML1: everything is learned from rows with split ``train``.
+
+    Text columns named in ``hashed`` are hashed into slots; any other one with too many categories for one-hot slots is an error.
+    """
     data = split_table.withColumn("label", F.col(label).cast("int")).checkpoint(eager=True)
     num, cat = FE.split_by_type(data.schema, exclude=[*exclude, label, "label", "split", id_col])
     train = data.filter(F.col("split") == "train")
-    transformer = FE.column_transformer(num, cat, hashed=FE.wide_categories(train, cat)).fit(train)
+    wide = FE.wide_categories(train, [c for c in cat if c not in set(hashed)])
+    if wide:
+        raise ValueError(f"too many categories for one-hot slots in {', '.join(wide)}: exclude these columns or name them in hashed")
+    transformer = FE.column_transformer(num, cat, hashed=hashed).fit(train)
     ready = transformer.transform(data).select(id_col, "split", "label", "features").checkpoint(eager=True)
     weighted = M.with_class_weights(ready.filter(F.col("split") == "train")).checkpoint(eager=True)
     shape = T.StructType([data.schema[c] for c in (*num, *cat)])
@@ -98,9 +104,8 @@ def compare_models(split_table: DataFrame, label: str, exclude: Sequence[str], i
     lr_thr = E.threshold_pr_f1(None, counts=lr_counts).first()["threshold"]
 
     def row(counts, name, priority, thr):
-        return (E.average_precision(None, counts=counts).select(F.col("average_precision").alias("pr_auc"))
-                .select(F.lit(name).alias("model"), "pr_auc", F.lit(priority).alias("priority"),
-                        E.roc_auc(None, counts=counts).scalar().alias("roc_auc"), F.lit(thr).alias("threshold")))
+        return E.curve_areas(counts).select(F.lit(name).alias("model"), F.col("average_precision").alias("pr_auc"),
+                                            F.lit(priority).alias("priority"), "roc_auc", F.lit(thr).alias("threshold"))
 
     def report(cm, name):
         return E.classification_report(cm).select(F.lit(name).alias("model"), "*")

@@ -975,3 +975,88 @@ sql("csv_product_day", f"""WITH {SALES_LINES}
 SELECT stock_code, date, round(price, 6) AS price, description_length, round(sold_qty, 6) AS sold_qty,
        round(revenue, 6) AS revenue, round(cancelled_qty, 6) AS cancelled_qty, cancelled_rows, "rows", unique_buyers
 FROM daily""")
+
+
+# ---------------------------------------------------------------- inferred inputs, file order, fits
+def newton_sql(features: tuple[str, ...], steps: int) -> str:
+    """Penalised Newton steps as a recursive query: sums, then elimination pivot by pivot (intercept ``x0`` first)."""
+    n = len(features) + 1
+    dot = " + ".join(f"b{i} * x{i}" for i in range(n))
+    sums = [f"sum(w * p * (1 - p) * x{i} * x{j})" + (" + 1" if i == j > 0 else "") + f" AS a_{i}_{j}" for i in range(n) for j in range(n)]
+    sums += [f"sum(w * (y - p) * x{i})" + (f" - any_value(b{i})" if i else "") + f" AS r_{i}" for i in range(n)]
+    keep = ", ".join(f"any_value(b{i}) AS b{i}" for i in range(n))
+    inner = f"(SELECT any_value(k) AS k, {keep}, {', '.join(sums)} FROM (SELECT *, 1 / (1 + exp(-({dot}))) AS p FROM it, m WHERE k < {steps}) HAVING count(*) > 0)"
+    same = "k, " + ", ".join(f"b{i}" for i in range(n))
+    for v in range(n):                                  # after pivot v, column v is a unit column
+        rows = []
+        for i in range(n):
+            for j in range(v + 1, n):
+                rows.append((f"a_{i}_{j} / a_{v}_{v}" if i == v else f"a_{i}_{j} - a_{i}_{v} * a_{v}_{j} / a_{v}_{v}") + f" AS a_{i}_{j}")
+            rows.append((f"r_{i} / a_{v}_{v}" if i == v else f"r_{i} - a_{i}_{v} * r_{v} / a_{v}_{v}") + f" AS r_{i}")
+        inner = f"(SELECT {same}, {', '.join(rows)} FROM {inner})"
+    start = ", ".join(f"CAST(0 AS DOUBLE) AS b{i}" for i in range(n))
+    nexts = ", ".join(f"b{i} + r_{i}" for i in range(n))
+    return f"it AS (SELECT 0 AS k, {start} UNION ALL SELECT k + 1, {nexts} FROM {inner})"
+
+
+NEWTON = ("events_count", "pageviews_count", "unique_items_viewed", "is_mobile", "bounce")
+sql("logistic_newton", f"""WITH RECURSIVE {WEB_EVENTS},
+share AS (SELECT high_conversion_session AS y, count(*) AS n FROM sessions GROUP BY 1),
+m AS (SELECT CAST(y AS DOUBLE) AS y, (SELECT sum(n) FROM share) / ((SELECT count(*) FROM share) * n) AS w, CAST(1 AS DOUBLE) AS x0,
+             {', '.join(f'CAST({c} AS DOUBLE) AS x{i}' for i, c in enumerate(NEWTON, 1))}
+      FROM sessions JOIN share ON high_conversion_session = y),
+{newton_sql(NEWTON, 14)}
+SELECT f AS feature, round(b * 1e6) / 1e6 AS coefficient
+FROM (SELECT unnest(['(intercept)', {', '.join(f"'{c}'" for c in NEWTON)}]) AS f, unnest([{', '.join(f'b{i}' for i in range(len(NEWTON) + 1))}]) AS b
+      FROM it WHERE k = 14)""")
+
+sql("rolling_distinct_buyers", f"""WITH {SALES_LINES}
+SELECT d.stock_code, d.date, count(DISTINCT l.customer_id) AS distinct_buyers_30d
+FROM (SELECT DISTINCT stock_code, date FROM clean_lines) d
+JOIN (SELECT DISTINCT stock_code, date, customer_id FROM clean_lines) l
+  ON l.stock_code = d.stock_code AND l.date BETWEEN d.date - 29 AND d.date
+GROUP BY d.stock_code, d.date""")
+
+sql("bootstrap_class_weights", f"""WITH {WEB_EVENTS},
+terms AS (SELECT k, exp(-1) * sum(1 / factorial(CAST(k AS INTEGER))) OVER (ORDER BY k) AS c FROM range(12) t(k)),
+u AS (SELECT ga_session_id, high_conversion_session AS label, CAST(b AS INTEGER) AS bootstrap,
+             CAST(CAST('0x' || substr(md5(ga_session_id || '|42|' || b), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
+      FROM sessions, range(5) t(b)),
+drawn AS (SELECT bootstrap, label, (SELECT count(*) FROM terms WHERE c <= u) AS times FROM u),
+n AS (SELECT bootstrap, label, CAST(sum(times) AS BIGINT) AS n_class FROM drawn WHERE times > 0 GROUP BY ALL)
+SELECT bootstrap, label, n_class, round(sum(n_class) OVER (PARTITION BY bootstrap)
+       / (count(*) OVER (PARTITION BY bootstrap) * n_class) * 1e6) / 1e6 AS weight FROM n""")
+
+sql("feature_matrix_reloaded", ORACLE["feature_matrix"])
+
+sql("csv_inferred_schema", """
+SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS o_custkey,
+       CASE WHEN o_orderstatus <> 'P' THEN round(o_totalprice * 1e6) / 1e6 END AS o_totalprice,
+       date_trunc('minute', o_orderdate)::TIMESTAMP AS o_orderdate, o_orderpriority, o_orderstatus = 'F' AS filled
+FROM orders""")
+
+sql("parse_ts_detected", """
+SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN date_trunc('second', o_orderdate)::TIMESTAMP END AS iso,
+       CASE WHEN o_orderstatus <> 'P' THEN date_trunc('minute', o_orderdate)::TIMESTAMP END AS month_first,
+       CASE WHEN o_orderstatus <> 'P' THEN date_trunc('day', o_orderdate)::TIMESTAMP END AS day_first
+FROM orders""")
+
+sql("parse_ts_report", """
+SELECT c AS column_name, f AS format, count(*) FILTER (o_orderstatus <> 'P') AS parsed, count(*) FILTER (o_orderstatus = 'P') AS unparsed
+FROM orders, (VALUES ('iso', 'yyyy-MM-dd''T''HH:mm:ss'), ('month_first', 'M/d/yyyy H:mm'), ('day_first', 'd/M/yyyy')) t(c, f)
+GROUP BY c, f""")
+
+sql("first_in_file_order", """WITH e AS (SELECT user_id, event_type, value, row_number() OVER () AS p FROM events)
+SELECT user_id, arg_min(event_type, p) FILTER (event_type IS NOT NULL) AS first_event_type,
+       round(arg_min(value, p) FILTER (value IS NOT NULL) * 1e6) / 1e6 AS first_value FROM e GROUP BY user_id""")
+
+sql("positional_split", """
+SELECT event_id, CASE WHEN p <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS split
+FROM (SELECT event_id, row_number() OVER () AS p, count(*) OVER () AS n FROM events)""")
+
+sql("histogram_nice", """WITH e AS (SELECT min(o_totalprice) AS low, max(o_totalprice) AS high, (max(o_totalprice) - min(o_totalprice)) / 39.0::DOUBLE AS raw FROM orders),
+p AS (SELECT *, pow(10.0::DOUBLE, floor(log10(raw))) AS power FROM e),
+s AS (SELECT low, high, (CASE WHEN raw / power <= 1 THEN 1.0::DOUBLE WHEN raw / power <= 2 THEN 2.0 WHEN raw / power <= 5 THEN 5.0 ELSE 10.0 END) * power AS step FROM p),
+b AS (SELECT step, unnest(range(floor(low / step)::BIGINT, floor(high / step)::BIGINT + 1)) AS bin FROM s),
+c AS (SELECT floor(o_totalprice / step)::BIGINT AS bin, count(*) AS n FROM orders, s GROUP BY 1)
+SELECT round(bin * step * 1e6) / 1e6 AS bin_lo, round((bin + 1) * step * 1e6) / 1e6 AS bin_hi, coalesce(n, 0) AS n FROM b LEFT JOIN c USING (bin)""")
