@@ -63,7 +63,7 @@ def test_blocks_and_windows(spark):
         found_in = decontam.profiles(bench.filter("item_id is not null"), block_chars=size)
         rows = docs.select("doc_id", decontam.contamination(F.col("text"), found_in).alias("f")).collect()
         assert sorted((r["doc_id"], [(x["item_id"], x["edits"]) for x in r["f"]]) for r in rows)[0] == (1, [(1, 0), (2, 0)])
-        assert sum(len(r["f"]) for r in rows) == 2
+        assert sorted((r["doc_id"], x["item_id"]) for r in rows for x in r["f"]) == [(1, 1), (1, 2), (4, 3)]     # a short item, as a whole word
     none = decontam.profiles(bench.limit(0))
     assert docs.select(F.size(decontam.contamination(F.col("text"), none)).alias("n")).agg(F.sum("n")).first()[0] == 0
     p = decontam.profile([(1, "alpha beta gamma delta epsilon")])
@@ -99,3 +99,39 @@ def test_items_behind_one_frequent_passage_stay_within_memory():
     assert peak < 200_000_000
     found = decontam._search(p, p.table(), texts[-1:])
     assert 7 in {f["item_id"] for f in found[0]}
+
+
+def test_short_items_are_whole_words():
+    items = [(1, "A-b"), (2, "a b"), (3, "x"), (4, "?"), (5, "seven"), (6, "")]
+    got = search(["xa b x y", "a, b seven", "x! x", "sevens", ""], items)
+    assert [sorted(g) for g in got] == [[3], [1, 2, 5], [3], [], []]
+    assert all(e == 0 for g in got for e in g.values())
+
+
+def test_windows_of_long_texts_miss_nothing():
+    rng = random.Random(8)
+    items = [(i, " ".join(rng.choice(WORDS) for _ in range(14))) for i in range(4)]
+    filler = [" ".join(rng.choice("zebra yodel xenon walrus".split()) for _ in range(n)) for n in (0, 3, 37, 150, 151, 152, 400)]
+    text = decontam.normalised(" ".join(f"{f} {rng.choice(items)[1][:-1]}" for f in filler))
+    p = decontam.profile(items)
+    whole = decontam._search(p, p.table(), [text], window=1 << 20)
+    for window in (1, 500, 901, 1024):
+        assert decontam._search(p, p.table(), [text, "", text], window) == [whole[0], [], whole[0]] and whole[0]
+
+
+def test_a_shared_passage_of_many_items_is_cheap():
+    """One slice of copies of a passage that twelve items share: bounded memory at the production limit, and seconds, not minutes."""
+    import time
+    import tracemalloc
+    rng = random.Random(9)
+    passage = " ".join(rng.choice(WORDS) for _ in range(16))
+    items = [(i, f"{passage} {' '.join(''.join(rng.choice('abcdefghij') for _ in range(6)) for _ in range(12))}") for i in range(12)]
+    p = decontam.profile(items)
+    texts = [decontam.normalised(f"{passage} " * 10)] * (1 << 20 >> 10)
+    table = p.table()
+    tracemalloc.start()
+    began = time.process_time()
+    found = decontam._search(p, table, [*texts, decontam.normalised(items[3][1])])
+    assert time.process_time() - began < 60 and tracemalloc.get_traced_memory()[1] < 200_000_000
+    tracemalloc.stop()
+    assert [f["item_id"] for f in found[-1]] == [3] and not any(found[:-1])
