@@ -9,7 +9,7 @@ Viterbi recursion over positions, then the way back.  Characters without a piece
 become byte pieces.
 
 The words of the code book are the most frequent ones, at most ``book_words``,
-counted over the whole corpus; each task looks its words up there.  Rarer words
+counted over the whole corpus; a worker process builds its lookup of them once.  Rarer words
 and words over ``longest_word`` characters go through the same recursion inside
 the task, so every text is encoded whole and alike.
 
@@ -22,6 +22,8 @@ pieces and decode to empty text; a literal U+2581 decodes as a space.
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopcast.llm.common import cut, fresh
+from shopcast.llm.common import cut
 
 SPACE = "▁"
 WORD = SPACE + r"*[^\p{L}" + SPACE + r"]*\p{L}*"
@@ -77,11 +79,6 @@ def vocabulary(model_file: str) -> Vocabulary:
     return Vocabulary(pieces, tuple(byte_ids), tuple(hexes))
 
 
-def escaped(text: Column) -> Column:
-    body = F.coalesce(text, F.lit(""))
-    return F.when(body == "", body).otherwise(F.concat(F.lit(SPACE), F.replace(body, F.lit(" "), F.lit(SPACE))))
-
-
 def lattice(words: DataFrame, vocab: Vocabulary) -> DataFrame:
     """(word, edges): per distinct ``word`` its edges (end, start, id, score), sorted by end, then start."""
     spark = words.sparkSession
@@ -164,11 +161,42 @@ def ids_between(word: Column, bounds: Column, edges: Column, vocab: Vocabulary)
     return let(F.struct(bounds.alias("bounds"), ids.alias("ids")), listed)
 
 
-def code_book(texts: DataFrame, escaped_col: str, vocab: Vocabulary, fold: str = "viterbi", book_words: int = 1 << 18,
+def word_counts(docs: DataFrame, text: str, longest_word: int, held: int = 1 << 18) -> DataFrame:
+    """(word, n) of the words of up to ``longest_word`` characters; a task adds up ``held`` different ones before it sends them.
+
+    Where a text has single spaces only, its space-separated words are counted whole and the different ones split afterwards.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = regex.compile(WORD).findall
+        spaced, words = Counter(), Counter()
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for whole, n in spaced.items():
+                for w in split(SPACE + whole):
+                    words[w] += n
+            own = [w for w in words if 0 < len(w) <= longest_word]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([words[w] for w in own], pa.int64())], names=["word", "n"])
+            spaced.clear()
+            words.clear()
+        for batch in batches:
+            for value in batch.column(0):
+                given = value.as_py()
+                if given:
+                    parts = given.split(" ")
+                    if SPACE in given or "" in parts:
+                        words.update(split(SPACE + given.replace(" ", SPACE)))
+                    else:
+                        spaced.update(parts)
+                    if len(spaced) + len(words) > held:
+                        yield from sent()
+        yield from sent()
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("count"))
+
+
+def code_book(docs: DataFrame, text: str, vocab: Vocabulary, fold: str = "viterbi", book_words: int = 1 << 18,
               longest_word: int = 48) -> DataFrame:
     """(word, ids) of the most frequent words, at most ``book_words`` of them."""
-    words = texts.select(F.explode(F.regexp_extract_all(escaped_col, F.lit(WORD), F.lit(0))).alias("word"))
-    counts = cut(words.filter(F.length("word").between(1, longest_word)).groupBy("word").count())
+    counts = cut(word_counts(docs, text, longest_word))
     bins = counts.groupBy(F.floor(F.log2("count") * 8).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
     lowest, total = None, 0
     for r in sorted(bins, key=lambda r: -r["bin"]):
@@ -185,6 +213,30 @@ def code_book(texts: DataFrame, escaped_col: str, vocab: Vocabulary, fold: str =
     return paths.select("word", best_ids(F.col("word"), F.col("nodes"), vocab).alias("ids"))
 
 
+class Book:
+    """The code book as it is broadcast; a worker process unpacks it once, at the first lookup."""
+
+    def __init__(self, table: pa.Table):
+        self.table, self._unpacked = table, None
+
+    def __getstate__(self) -> dict:
+        return {"table": self.table, "_unpacked": None}
+
+    def unpacked(self) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """Ids of the words behind one space (without it) and of all others."""
+        if self._unpacked is None:
+            spaced, other = {}, {"": b""}
+            for part in self.table.to_batches():
+                ids, ends = part.column("ids").values.to_numpy(), part.column("ids").offsets.to_numpy()
+                for w, a, b in zip(part.column("word").to_pylist(), ends[:-1], ends[1:], strict=True):
+                    if w[0] == SPACE:
+                        spaced[w[1:]] = ids[a:b].tobytes()
+                    else:
+                        other[w] = ids[a:b].tobytes()
+            self._unpacked, self.table = (spaced, other), None
+        return self._unpacked
+
+
 def fold_word(word: str, pieces: dict[str, tuple[int, float]], starts: set[str], byte_ids: tuple[int, ...],
               unknown: float) -> list[int]:
     """The same recursion for one word: best score, start and id by position, then the way back.
@@ -214,22 +266,32 @@ def fold_word(word: str, pieces: dict[str, tuple[int, float]], starts: set[str],
 
 
 def merge_word(word: str, pieces: dict[str, tuple[int, float]], byte_ids: tuple[int, ...]) -> list[int]:
-    """Merge order for one word: neighbours are joined, best score first, leftmost on ties."""
-    get, none = pieces.get, (0, None)
-    parts = list(word)
-    ranks = [get(a + b, none)[1] for a, b in zip(parts, parts[1:], strict=False)]
-    while True:
-        best = max((r for r in ranks if r is not None), default=None)
-        if best is None:
-            break
-        i = ranks.index(best)
-        parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        del ranks[i]
-        if i < len(ranks):
-            ranks[i] = get(parts[i] + parts[i + 1], none)[1]
-        if i:
-            ranks[i - 1] = get(parts[i - 1] + parts[i], none)[1]
-    return [i for p in parts for i in ((pieces[p][0],) if p in pieces else [byte_ids[b] for b in p.encode()])]
+    """Merge order for one word: neighbours are joined, best score first, leftmost on ties.
+
+    Joints wait in a heap by score and place; neighbours are linked, so a long word takes n log n steps.
+    """
+    parts: list[str | None] = list(word)
+    n = len(parts)
+    after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
+
+    def joint(i: int, j: int) -> None:
+        known = pieces.get(parts[i] + parts[j])
+        if known is not None:
+            heapq.heappush(heap, (-known[1], i, j, len(parts[i]), len(parts[j])))
+    for i in range(n - 1):
+        joint(i, i + 1)
+    while heap:
+        _, i, j, left, right = heapq.heappop(heap)
+        if parts[i] is None or after[i] != j or len(parts[i]) != left or len(parts[j]) != right:
+            continue                            # one of the two has been joined since
+        parts[i], parts[j] = parts[i] + parts[j], None
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+            joint(i, after[i])
+        if before[i] >= 0:
+            joint(before[i], i)
+    return [i for p in parts if p is not None for i in ((pieces[p][0],) if p in pieces else [byte_ids[b] for b in p.encode()])]
 
 
 def encode(docs: DataFrame, model_file: str, text: str = "text", out: str = "ids", fold: str = "viterbi",
@@ -241,33 +303,28 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", out: str = "ids
     task remembers ``cached_words`` of those.
     """
     vocab = vocabulary(model_file)
-    mark = fresh(docs.columns, "_escaped")
-    table = code_book(docs.select(escaped(F.col(text)).alias(mark)), mark, vocab, fold, **book).toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast(table.combine_chunks())
+    shared = docs.sparkSession.sparkContext.broadcast(Book(code_book(docs, text, vocab, fold, **book).toArrow().combine_chunks()))
     pieces, byte_ids, unknown = vocab.pieces, vocab.byte_ids, vocab.unknown_score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {"": b""}
-        for part in shared.value.to_batches():
-            ids, ends = part.column("ids").values.to_numpy(), part.column("ids").offsets.to_numpy()
-            known |= {w: ids[a:b].tobytes() for w, a, b in zip(part.column("word").to_pylist(), ends[:-1], ends[1:], strict=True)}
+        spaced, other = shared.value.unpacked()
         starts = {p[:i] for p in pieces for i in range(1, len(p))}
         split = regex.compile(WORD).findall
         cache: dict[str, bytes] = {}
 
-        def folded(word: str) -> bytes:
-            ids = merge_word(word, pieces, byte_ids) if fold == "merges" else fold_word(word, pieces, starts, byte_ids, unknown)
-            return np.array(ids, np.int32).tobytes()
-
-        def parted(spaced: str) -> bytes:
-            return b"".join([folded(w) if (p := known.get(w)) is None else p for w in split(spaced)])
+        def one(word: str) -> bytes:
+            found = spaced.get(word[1:]) if word[:1] == SPACE else other.get(word)
+            if found is None:
+                ids = merge_word(word, pieces, byte_ids) if fold == "merges" else fold_word(word, pieces, starts, byte_ids, unknown)
+                found = np.array(ids, np.int32).tobytes()
+            return found
 
-        def remembered(spaced: str) -> bytes:
-            found = cache.get(spaced)
+        def remembered(word: str) -> bytes:
+            found = cache.get(word)
             if found is None:
-                found = parted(spaced)
-                if len(cache) < cached_words:
-                    cache[spaced] = found
+                if len(cache) >= cached_words:
+                    cache.clear()
+                found = cache[word] = b"".join([one(w) for w in split(SPACE + word)])
             return found
 
         def coded(value: str) -> bytes:
@@ -275,9 +332,8 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", out: str = "ids
                 return b""
             words = value.split(" ")
             if SPACE in value or "" in words:
-                return parted(SPACE + value.replace(" ", SPACE))
-            spaced = [SPACE + w for w in words]
-            return b"".join([remembered(w) if (p := known.get(w)) is None else p for w in spaced])
+                return b"".join([one(w) for w in split(SPACE + value.replace(" ", SPACE))])
+            return b"".join([remembered(w) if p is None else p for w, p in zip(words, map(spaced.get, words), strict=True)])
         for batch in batches:
             rows = [np.frombuffer(coded(v.as_py()), np.int32) for v in batch.column(batch.schema.get_field_index(text))]
             offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)

@@ -68,3 +68,30 @@ def test_lattice_edges_are_all_known_substrings(spark):
             if word[i:j] in vocab.pieces or j == i + 1:
                 want.add((j, i, vocab.pieces.get(word[i:j], (-1, 0))[0]))
     assert {(e["end"], e["start"], e["id"]) for e in edges} == want
+
+
+def test_very_long_words_fold_in_merge_order():
+    """100,000 characters without a space, as the tokenizer itself encodes them."""
+    import random
+    import time
+    vocab = pieces.vocabulary(tokenizer_file())
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file())
+    rng = random.Random(4)
+    for word in ("x" * 3000, "".join(rng.choice("abcdefgh日é") for _ in range(20_000)), "".join(rng.choice("0123456789") for _ in range(20_000))):
+        assert pieces.merge_word("▁" + word, vocab.pieces, vocab.byte_ids) == sp.encode(word)
+    began = time.process_time()
+    assert len(pieces.merge_word("ab" * 50_000, vocab.pieces, vocab.byte_ids)) > 1000
+    assert time.process_time() - began < 5
+
+
+def test_words_are_counted_once_whatever_the_spaces(spark):
+    import regex
+    texts = ["one two, two", "one  two", "▁one", "x" * 60 + " y", None, ""]
+    want = {}
+    for t in texts:
+        for w in regex.findall(pieces.WORD, "▁" + t.replace(" ", "▁")) if t else []:
+            if 0 < len(w) <= 48:
+                want[w] = want.get(w, 0) + 1
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for held in (1, 1 << 18):
+        assert {r["word"]: r["count"] for r in pieces.word_counts(df, "t", 48, held).collect()} == want
