@@ -17,7 +17,7 @@ and ``chunk`` queries.
 
 Equal vectors are indexed once, with their k + 1 smallest ids (more can never
 be among k nearest).  Defined results: null, zero and non-finite vectors take
-no part, nor do those of another length than the most common one; fewer
+no part; vectors of another length are searched among their own; fewer
 candidates than k give all; repeated ids are separate rows.
 """
 
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -147,11 +148,12 @@ def _search(base: pd.DataFrame, queries: pd.DataFrame, index: Index, k: int, qua
     near_enough = size[:, None] - 2 * best <= (bound + 1e-9 * size)[:, None]      # what lies behind the k-th found is no answer
     row, col = np.nonzero((which >= 0) & near_enough)
     hit = which[row, col]
-    return pd.DataFrame({"query_row": queries["query_row"].to_numpy()[row], "query_id": queries["query_id"].to_numpy()[row],
+    same = (x[hit] == q[row]).all(axis=1)                    # the query's own vector: one of its rows is the query's
+    return pd.DataFrame({"own": same, "query_row": queries["query_row"].to_numpy()[row], "query_id": queries["query_id"].to_numpy()[row],
                          "ids": base["ids"].to_numpy()[hit], "score": _products(q[row], x[hit])})
 
 
-HITS = "query_row long, query_id long, ids array<long>, score double"
+HITS = "query_row long, query_id long, ids array<long>, score double, own boolean"
 
 
 def valid_vectors(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -160,23 +162,32 @@ def valid_vectors(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
     finite = F.forall("vector", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     kept = (rows.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("vector")).filter("vec_id is not null")
             .filter(F.coalesce(finite, F.lit(False))).filter(F.exists("vector", lambda c: c != 0)))
-    lengths = kept.groupBy(F.size("vector").alias("n")).count()
-    common = lengths.agg(F.max_by("n", F.struct("count", "n"))).first()[0]
-    return kept.filter(F.size("vector") == F.lit(common if common is not None else 0))
+    return kept
 
 
 def nearest(rows: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20,
             dims: int = 8, confidence: float = 0.97, sample: int = 20000, cell_rows: int = 2048, block: int = 4096,
             chunk: int = 512) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every row where ``is_query`` holds (on vec_id)."""
-    base = cut(valid_vectors(rows, vec_id, vector))
+    """query_id, rank, vec_id, score: the k nearest found of every row where ``is_query`` holds (on vec_id).
+
+    Vectors of each length are searched among their own; one index a length.
+    """
+    every = cut(valid_vectors(rows, vec_id, vector))
+    lengths = sorted(r["n"] for r in every.select(F.size("vector").alias("n")).distinct().collect())
+    found = [_nearest_of_one_length(every.filter(F.size("vector") == n), is_query, k, dims, confidence, sample, cell_rows, block, chunk)
+             for n in lengths]
+    nothing = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, found) if found else nothing
+
+
+def _nearest_of_one_length(base: DataFrame, is_query: Column, k: int, dims: int, confidence: float, sample: int, cell_rows: int, block: int,
+                           chunk: int) -> DataFrame:
+    """``nearest`` over valid vectors of one length, at least one."""
     # equal vectors: the k + 1 smallest ids; the rank limit trims each task's rows before they are shuffled
     by_id = Window.partitionBy("vector").orderBy("vec_id")
     distinct = cut(base.withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= k + 1)
                    .groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     facts = distinct.agg(F.count(F.lit(1)), F.max(F.aggregate("vector", F.lit(0.0), lambda a, c: a + c * c))).first()
-    if not facts[0]:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     order = F.xxhash64("vector")
     share = min(1.0, 1.2 * sample / facts[0])
     drawn = distinct.filter(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))).select("vector").limit(sample).collect()
@@ -222,15 +233,17 @@ def nearest(rows: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: s
 
         def one(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
             if not len(b) or not len(q):
-                return pd.DataFrame({"query_row": [], "query_id": [], "ids": pd.Series([], dtype=object), "score": []})
+                return pd.DataFrame({"query_row": [], "query_id": [], "ids": pd.Series([], dtype=object), "score": [], "own": pd.Series([], dtype=bool)})
             return _search(b, q, index, k + 1, quantile)
         return right.select(*keys, "vector", "ids").groupBy(*keys).cogroup(
             left.select(*[F.col(c).alias(c) for c in (*keys, "query_row", "query_id", "vector", "bound")]).groupBy(*keys)
         ).applyInPandas(one, HITS)
 
     def best(hits: DataFrame) -> DataFrame:
-        """The k nearest single vectors of each query, its own row left out once."""
-        each = hits.select("query_row", "query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
+        """The k nearest single vectors of each query; only its own row is left out, not others of the same id."""
+        at = F.when(F.col("own"), F.array_position("ids", F.col("query_id"))).otherwise(0).cast("int")
+        others = F.when(at > 0, F.concat(F.slice("ids", F.lit(1), at - 1), F.slice("ids", at + 1, F.size("ids")))).otherwise(F.col("ids"))
+        each = hits.select("query_row", "query_id", "score", F.explode(others).alias("vec_id"))
         w = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
         return each.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -240,5 +253,5 @@ def nearest(rows: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: s
     asked = queries.join(kth, queries.query_row == kth.r, "left").select(
         "query_row", "query_id", "vector", F.coalesce(F.greatest(size - 2 * F.col("s"), F.lit(0.0)), F.lit(float("inf"))).alias("bound"))
     second = searched(asked.mapInPandas(further, shape))
-    hits = first.select("query_row", "query_id", F.array("vec_id").alias("ids"), "score").unionByName(second)
+    hits = first.select("query_row", "query_id", F.array("vec_id").alias("ids"), "score", F.lit(False).alias("own")).unionByName(second)
     return best(hits).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

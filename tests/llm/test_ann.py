@@ -60,10 +60,22 @@ def test_edges(spark):
     df = spark.createDataFrame(rows, KIND).withColumn("cell", F.lit("x")).withColumn("vector", F.lit(0))
     got = sorted(tuple(r) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect())
     assert [g[1:3] for g in got if g[0] == 0] == [(1, 8), (2, 20), (3, 20), (4, 7)]
-    assert len([g for g in got if g[0] == 20]) == 6 and {g[2] for g in got if g[0] == 20} == {0, 7, 8}
+    assert len([g for g in got if g[0] == 20]) == 8 and {g[2] for g in got if g[0] == 20} == {0, 7, 8, 20}      # the other row of id 20, not its own
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert ann.nearest(df.filter("vec_id = 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_repeated_ids_and_other_lengths(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.5, 2.0]), (20, [1.0, 0.0]), (3, [2.0, 0.0]), (4, [0.0, 1.0]), (40, [1.0, 1.0, 1.0]), (41, [3.0, 0.0, 0.0]),
+            (42, [0.0, 1.0, 0.0]), (60, [1.0, 2.0, 3.0, 4.0])]
+    got = [tuple(r) for r in ann.nearest(spark.createDataFrame(rows, KIND), F.col("vec_id") % 20 == 0, k=5).collect()]
+    want = []
+    for i, (q, v) in enumerate(rows):
+        if q % 20 == 0:
+            near = sorted((-sum(a * b for a, b in zip(v, w)), c) for j, (c, w) in enumerate(rows) if j != i and len(w) == len(v))
+            want += [(q, n, c, -s) for n, (s, c) in enumerate(near[:5], 1)]
+    assert sorted(got) == sorted(want)
+
+
 def test_chi_square_quantile():
     assert abs(ann.chi_square_quantile(0.95, 8) - 15.507) < 1e-3 and abs(ann.chi_square_quantile(0.5, 2) - 1.3863) < 1e-3
