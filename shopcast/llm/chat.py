@@ -205,10 +205,21 @@ def format_chats(records: DataFrame, record: str = "record") -> DataFrame:
     return t.withColumn("formatted", render(F.col("turns"))).withColumn("loss_mask", loss_mask(F.col("turns")))
 
 
+def under_mask(formatted: Column, mask: Column) -> Column:
+    """The stretches of the rendered string that the mask gives loss, unescaped, in order."""
+    def step(state: Column, i: Column) -> Column:
+        begin = state["at"] + F.get(mask, 2 * i)
+        size = F.get(mask, 2 * i + 1)
+        said = F.when(size > 0, F.concat(state["said"], F.array(unescape(F.substr(formatted, begin + 1, size))))).otherwise(state["said"])
+        return F.struct((begin + size).alias("at"), said.alias("said"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("said"))
+    return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(mask) / 2).cast("int") - 1), start, step)["said"]
+
+
 def digests(formatted: DataFrame) -> DataFrame:
-    """Per conversation, what the rendered string says when read back."""
+    """Per conversation, what the rendered string says when read back, and what lies under its loss mask."""
     back = formatted.withColumn("back", read_back(F.col("formatted")))
-    said = F.transform(F.filter("back", lambda t: t["role"] == ASSISTANT), lambda t: t["text"])
+    said = under_mask(F.col("formatted"), F.col("loss_mask"))
     whole = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(said, "")
     return back.select("conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),

@@ -94,3 +94,17 @@ def test_rows_by_turn(spark):
     assert got[2]["turns_sha256"] == sha("\nx\n") and got[2]["loss_sha256"] == sha("") and got[None]["loss_chars"] == 1
     assert got[3]["loss_chars"] == 500000
     assert chat.digests(chat.format_chats(chat.records_of(df.limit(0)))).count() == 0
+
+
+def test_loss_digests_come_from_the_mask(spark):
+    import hashlib
+    rows = [(1, 0, "user", "q </s>"), (1, 1, "assistant", "one\\ [INST] é"), (1, 2, "assistant", ""), (1, 3, "assistant", "two"), (2, 0, "user", "x"), (3, 0, "assistant", "𐍈 y")]
+    records = chat.records_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    whole = chat.format_chats(records)
+    got = {r["conv_id"]: (r["loss_chars"], r["loss_sha256"]) for r in chat.digests(whole).collect()}
+    for c in (1, 2, 3):
+        said = "".join(t for i, _, role, t in rows if i == c and role == "assistant")
+        assert got[c] == (len(said), hashlib.sha256(said.encode()).hexdigest())
+    wrong = whole.withColumn("loss_mask", F.transform("loss_mask", lambda n, i: F.when((i % 2 == 1) & (n > 1), n - 1).otherwise(n)))
+    off = {r["conv_id"]: r["loss_chars"] for r in chat.digests(wrong).collect()}
+    assert off[1] < got[1][0] and off[2] == 0                  # a wrong mask shows
