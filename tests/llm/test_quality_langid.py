@@ -95,3 +95,58 @@ def test_copies_do_not_void_the_sample(spark):
     assert model.languages == ("en", "fr") and dict(zip(model.languages, model.dictionaries)) == dict(zip(alone.languages, alone.dictionaries))
     whole = langid.learn(many, "text", "lang", sample_docs=60)
     assert len(set(whole.dictionaries[0].split(b"text number"))) == 2 and whole.dictionaries[0].count(b"text number") == 60
+
+
+def test_languages_match_a_plain_loop(spark):
+    """Samples, dictionaries, sizes, margins and scores again, one text after the other, on the sf0.01 documents."""
+    import re
+    import zlib
+
+    import numpy as np
+    import xxhash
+    import zstandard
+
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    docs += docs[:50] + [(-1, "long text of many words and letters " * 20_000, None)]          # repeated rows, a very long text
+
+    def letters(t):
+        return (" " + re.sub(r"[\W\d_]+", " ", t.lower()).strip() + " ").encode()
+
+    rows, texts = {}, {}
+    for i, t, lang in docs:
+        if lang is not None and t is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            rows[lang] = rows.get(lang, 0) + 1
+            texts.setdefault(lang, set()).add(t)
+    books = {}
+    for lang, own in texts.items():
+        drawn = set()
+        for t in own:
+            h = xxhash.xxh64_intdigest(t.encode(), 42)
+            signed = h - (1 << 64) if h >> 63 else h
+            at = signed % (1 << 40) / (1 << 40)
+            if at < min(1.0, 1600 / len(own)):
+                h = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), h)
+                signed = h - (1 << 64) if h >> 63 else h
+                start = signed % (max(len(t) - 2000, 0) + 1)
+                drawn.add((at, t[start:start + 2000]))
+        books[lang] = b"".join(letters(t) for _, t in sorted(drawn)[:400])[:131072]
+    order = sorted(rows, key=lambda x: (-rows[x], x))
+    top = bytes(range(128, 256))
+    params = zstandard.ZstdCompressionParameters(window_log=18, hash_log=17, chain_log=17, search_log=4, min_match=4, target_length=8,
+                                                 strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
+    made = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(books[x] + top, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+                                     compression_params=params) for x in order]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = langid.learn(df.filter(~held_out(F.col("doc_id"))), "text", "lang")
+    got = df.select("doc_id", "text", langid.identify(F.col("text"), model).alias("f")).collect()
+    assert len(got) == len(docs) and list(model.languages) == order
+    for r in got:
+        raw = letters(r["text"] or "")
+        if not re.search(r"[^\W\d_]", r["text"] or ""):
+            assert r["f"]["lang_pred"] == "und"
+            continue
+        sizes = [sum(len(c.compress(top + raw[i:i + 2048])) for i in range(0, len(raw), 2048)) for c in made]
+        first, second = sorted(sizes)[:2]
+        assert r["f"]["lang_pred"] == order[sizes.index(first)]
+        assert r["f"]["margin"] == pytest.approx(second / first - 1) and r["f"]["rejected"] == (second / first - 1 < 0.002)
+        assert r["f"]["score"] == pytest.approx(1 / sum(2.0 ** (-8 * (s - first) * min(1.0, 64 / first)) for s in sizes))
