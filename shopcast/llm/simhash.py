@@ -8,8 +8,8 @@ groups of copies cost one row.
 Linking: ``distance`` differing bits touch at most that many of
 ``blocks`` bit blocks, so linked fingerprints agree on some choice of
 ``blocks - distance`` of them: those choices are the buckets (exact, nothing
-is missed).  Within a bucket each fingerprint has a table of Hamming distances
-to reference fingerprints (pivots); a pair whose tables differ by more than
+is missed).  Each distinct fingerprint has a table of Hamming distances
+to reference fingerprints (pivots), computed once and carried to its buckets; a pair whose tables differ by more than
 ``distance`` in any coordinate is discarded, survivors are compared bit by bit.
 Buckets over ``tile`` members are dealt into hashed tiles and pairs of tiles, so no
 task holds an unbounded group, and each group returns a spanning star, not pairs.
@@ -22,6 +22,7 @@ kept; a component of null ids only has a null id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -70,19 +71,28 @@ def block_masks(blocks: int, kept: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
-def _close(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
-    """Whether fingerprints (broadcast against each other) are linked: pivot tables first, then the bits."""
+def pivot_table(fp: Column) -> list[Column]:
+    """Hamming distances to the pivots, eight to a long, one byte each."""
+    signed = [int(p) - (1 << 64) if int(p) >> 63 else int(p) for p in PIVOTS]
+
+    def packed(pivots: list[int]) -> Column:
+        byte = [F.call_function("shiftleft", F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("long"), F.lit(8 * i)) for i, p in enumerate(pivots)]
+        return reduce(lambda x, y: x.bitwiseOR(y), byte)
+    return [packed(signed[i:i + 8]).alias(f"pivots{i // 8}") for i in range(0, len(signed), 8)]
+
+
+def _close(a: np.ndarray, b: np.ndarray, ta: np.ndarray, tb: np.ndarray, distance: int) -> np.ndarray:
+    """Whether fingerprints (broadcast against each other) are linked: pivot tables (one more axis) first, then the bits."""
     shape = np.broadcast_shapes(a.shape, b.shape)
     left = np.ones(shape, bool)
-    for p in PIVOTS[:6]:                       # whole table rows while most pairs still fall
-        left &= np.abs(np.bitwise_count(a ^ p).astype(np.int8) - np.bitwise_count(b ^ p).astype(np.int8)) <= distance
+    for i in range(6):                         # whole table rows while most pairs still fall
+        left &= np.abs(ta[..., i] - tb[..., i]) <= distance
     at = np.nonzero(left)
-    x, y = np.broadcast_to(a, shape)[at], np.broadcast_to(b, shape)[at]
-    for p in PIVOTS[6:]:
-        keep = np.abs(np.bitwise_count(x ^ p).astype(np.int8) - np.bitwise_count(y ^ p).astype(np.int8)) <= distance
-        if not keep.all():
-            at, x, y = tuple(i[keep] for i in at), x[keep], y[keep]
-    near = np.bitwise_count(x ^ y) <= distance
+    full = (*shape, ta.shape[-1])
+    x, y = np.broadcast_to(ta, full)[at], np.broadcast_to(tb, full)[at]
+    keep = (np.abs(x[:, 6:] - y[:, 6:]) <= distance).all(axis=1)
+    at = tuple(i[keep] for i in at)
+    near = np.bitwise_count(np.broadcast_to(a, shape)[at] ^ np.broadcast_to(b, shape)[at]) <= distance
     out = np.zeros(shape, bool)
     out[tuple(i[near] for i in at)] = True
     return out
@@ -104,35 +114,38 @@ def _star(members: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray
     return members[moved], members[label[moved]]
 
 
-def _group_links(fp: np.ndarray, side: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def _group_links(fp: np.ndarray, table: np.ndarray, side: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of one group: among all members, or between the two tiles where there are two."""
     if side.min() == side.max():
-        i, j = np.nonzero(np.triu(_close(fp[:, None], fp[None, :], distance), 1))
+        i, j = np.nonzero(np.triu(_close(fp[:, None], fp[None, :], table[:, None], table[None, :], distance), 1))
         return _star(fp, i, j)
     one, two = np.nonzero(side == side.min())[0], np.nonzero(side == side.max())[0]
-    i, j = np.nonzero(_close(fp[one][:, None], fp[two][None, :], distance))
+    i, j = np.nonzero(_close(fp[one][:, None], fp[two][None, :], table[one][:, None], table[two][None, :], distance))
     return _star(fp, one[i], two[j])
 
 
 def _links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (bucket, tile): a group's rows are consecutive; the last group waits for more rows."""
-    names = ("bucket", "tile", "side", "fp")
-    rest = [np.zeros(0, np.int64)] * 4
+    tables = tuple(f"pivots{i}" for i in range(len(PIVOTS) // 8))
+    names = ("bucket", "tile", "side", "fp", *tables)
+    rest = [np.zeros(0, np.int64)] * len(names)
 
     def found(cols: list[np.ndarray]) -> pa.RecordBatch:
-        bucket, tile, side, fp = cols
+        bucket, tile, side, fp = cols[:4]
         fp = fp.view(np.uint64)
+        table = np.stack(cols[4:], axis=1).view(np.int8)                 # distances are at most 64
         bounds = np.nonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (tile[1:] != tile[:-1]), [True])))[0]
         starts, sizes = bounds[:-1], np.diff(bounds)
         a, b = [], []
         for size in np.unique(sizes[(sizes > 1) & (sizes <= 8)]):
-            rows = fp[starts[sizes == size][:, None] + np.arange(size)]
+            at = starts[sizes == size][:, None] + np.arange(size)
+            rows, own = fp[at], table[at]
             i, j = np.triu_indices(size, 1)
-            near = _close(rows[:, i], rows[:, j], distance)
+            near = _close(rows[:, i], rows[:, j], own[:, i], own[:, j], distance)
             a.append(rows[:, i][near])
             b.append(rows[:, j][near])
         for s, n in zip(starts[sizes > 8], sizes[sizes > 8], strict=True):
-            x, y = _group_links(fp[s:s + n], side[s:s + n], distance)
+            x, y = _group_links(fp[s:s + n], table[s:s + n], side[s:s + n], distance)
             a.append(x)
             b.append(y)
         cat = [np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (a, b)]
@@ -152,13 +165,15 @@ def _links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
 def links(fingerprints: DataFrame, distance: int = 3, blocks: int = 6, tile: int = 2048) -> DataFrame:
     """(a, b) pairs that span the linked distinct values of column ``fp``."""
     masks = block_masks(blocks, blocks - distance)
-    keyed = fingerprints.select("fp", F.explode(F.array(*[
+    tables = [f"pivots{i}" for i in range(len(PIVOTS) // 8)]
+    told = fingerprints.select("fp", *pivot_table(F.col("fp")))
+    keyed = told.select("fp", *tables, F.explode(F.array(*[
         F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = keyed.select("bucket").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     tiles = F.ceil(F.col("n") / tile)
-    members = (keyed.join(sizes, "bucket").select("bucket", "fp", tiles.alias("tiles"), F.pmod(F.xxhash64("fp", F.lit(1)), tiles).alias("side"))
-               .select("bucket", "fp", "side", "tiles", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
-               .select("bucket", (F.least("side", "other") * F.col("tiles") + F.greatest("side", "other")).alias("tile"), "side", "fp"))
+    members = (keyed.join(sizes, "bucket").select("bucket", "fp", *tables, tiles.alias("tiles"), F.pmod(F.xxhash64("fp", F.lit(1)), tiles).alias("side"))
+               .select("bucket", "fp", *tables, "side", "tiles", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
+               .select("bucket", (F.least("side", "other") * F.col("tiles") + F.greatest("side", "other")).alias("tile"), "side", "fp", *tables))
     dealt = members.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile")
     return dealt.mapInArrow(lambda batches: _links(batches, distance), "a long, b long")
 
