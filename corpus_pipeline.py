@@ -10,15 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopcast.llm import decontam, langid, pieces, pii, simhash
-from shopcast.llm.common import held_out, table
+from shopcast.llm.common import fresh, held_out, table
 from shopcast.llm.queries import tokenizer_file
 from shopcast.session import scratch_dir
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is clear; texts without letters and narrow margins go."""
+    """Rows whose language is clear, with that language as lang; texts without letters and narrow margins go."""
     model = langid.learn(docs.filter(~held_out(F.col("doc_id"))), "text", "lang")
-    return docs.filter(~langid.identify(F.col("text"), model)["rejected"])
+    found = fresh(docs.columns, "_language")
+    told = docs.withColumn(found, langid.identify(F.col("text"), model)).filter(~F.col(f"{found}.rejected"))
+    return told.withColumn("lang", F.col(f"{found}.lang_pred")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
