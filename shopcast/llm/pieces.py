@@ -161,7 +161,7 @@ def ids_between(word: Column, bounds: Column, edges: Column, vocab: Vocabulary)
     return let(F.struct(bounds.alias("bounds"), ids.alias("ids")), listed)
 
 
-def word_counts(docs: DataFrame, text: str, longest_word: int, held: int = 1 << 18) -> DataFrame:
+def word_counts(docs: DataFrame, text: str, longest_word: int, held: int = 1 << 19) -> DataFrame:
     """(word, n) of the words of up to ``longest_word`` characters; a task adds up ``held`` different ones before it sends them.
 
     Where a text has single spaces only, its space-separated words are counted whole and the different ones split afterwards.
@@ -237,27 +237,32 @@ class Book:
         return self._unpacked
 
 
-def fold_word(word: str, pieces: dict[str, tuple[int, float]], starts: set[str], byte_ids: tuple[int, ...],
-              unknown: float) -> list[int]:
+def beginnings(pieces: dict[str, tuple[int, float]]) -> dict[str, tuple[int, float, bool]]:
+    """Every beginning of a piece with id and score (UNKNOWN if it is no piece) and whether a longer piece begins with it."""
+    longer = {p[:i] for p in pieces for i in range(1, len(p))}
+    return {b: (*pieces.get(b, (UNKNOWN, 0.0)), b in longer) for b in longer | pieces.keys()}
+
+
+def fold_word(word: str, begun: dict[str, tuple[int, float, bool]], byte_ids: tuple[int, ...], unknown: float) -> list[int]:
     """The same recursion for one word: best score, start and id by position, then the way back.
 
-    ``starts`` holds every beginning of a piece, so a substring that begins none ends the search.
+    ``begun`` are the ``beginnings`` of the pieces, so a substring that begins none ends the search.
     """
-    n, get = len(word), pieces.get
+    n, get = len(word), begun.get
     score, start, label = [0.0] + [-1e300] * n, [0] * (n + 1), [UNKNOWN] * (n + 1)
     for i in range(n):
         here, j = score[i], i + 1
-        part = word[i]
-        while True:
-            known = get(part)
-            if known is None and j == i + 1:
-                known = (UNKNOWN, unknown)
-            if known is not None and here + known[1] > score[j]:
-                score[j], start[j], label[j] = here + known[1], i, known[0]
-            if j == n or part not in starts:
+        known = get(word[i])
+        if (known is None or known[0] == UNKNOWN) and here + unknown > score[j]:
+            score[j], start[j], label[j] = here + unknown, i, UNKNOWN
+        while known is not None:
+            piece, gain, more = known
+            if piece != UNKNOWN and here + gain > score[j]:
+                score[j], start[j], label[j] = here + gain, i, piece
+            if not more or j == n:
                 break
             j += 1
-            part = word[i:j]
+            known = get(word[i:j])
     out, at = [], n
     while at:
         out.append([byte_ids[b] for b in word[start[at]:at].encode()] if label[at] == UNKNOWN else [label[at]])
@@ -308,14 +313,14 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", out: str = "ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spaced, other = shared.value.unpacked()
-        starts = {p[:i] for p in pieces for i in range(1, len(p))}
+        begun = beginnings(pieces)
         split = regex.compile(WORD).findall
         cache: dict[str, bytes] = {}
 
         def one(word: str) -> bytes:
             found = spaced.get(word[1:]) if word[:1] == SPACE else other.get(word)
             if found is None:
-                ids = merge_word(word, pieces, byte_ids) if fold == "merges" else fold_word(word, pieces, starts, byte_ids, unknown)
+                ids = merge_word(word, pieces, byte_ids) if fold == "merges" else fold_word(word, begun, byte_ids, unknown)
                 found = np.array(ids, np.int32).tobytes()
             return found
 
