@@ -155,26 +155,38 @@ join in_shard b on b.doc_id is not distinct from d.doc_id and b.n = {SHARDS + 1}
 def _licenses_sql() -> str:
     def quoted(text: str) -> str:
         return "'" + text.replace("'", "''") + "'"
-    known = ", ".join(f"({quoted(s)}, {quoted(i)})" for s, i in licenses.known_sentences().items())
+    whole, sentences = licenses.whole_sentences(), licenses.known_sentences()
+    width = licenses.opener_width(sentences)
+    known = ", ".join(f"({quoted(s)}, {quoted(i)}, {len(s.split())}, {quoted(' '.join(s.split()[:width]))}, {s in whole})"
+                      for s, i in sentences.items())
     steps, last = [], "r0"
     for n, (name, seq) in enumerate(licenses.RULES, 1):
         part = quoted("".join(f"<{x}>" for x in seq))
         steps.append(f"r{n} as (select rid, doc_id, sentences, replace(rest, {part}, '') as rest, "
                      f"case when contains(rest, {part}) then list_append(lic, '{name}') else lic end as lic from {last})")
         last = f"r{n}"
-    norm = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+    tag, member = licenses.SPDX_TAG, r"[a-z0-9](?:[a-z0-9.+-]*[a-z0-9+])?"
+    members = rf"^[ \t(]*{member}(?:[ \t)]+(?:or|and|with)[ \t(]+{member})*"
+    opener = " || ' ' || ".join(["w", *(f"lead(w, {k}) over ahead" for k in range(1, width))])
     return f"""
-with known(s, i) as (values {known}),
-docs as (select row_number() over () as rid, doc_id, regexp_split_to_array(
-           regexp_replace(coalesce(text, ''), '([.!?;])[\\s*#/]+', '\\1' || chr(1), 'g'), '\\n[\\s*#/]*\\n|\\x01') as blocks from documents),
-block as (select rid, unnest(blocks) as b, generate_subscripts(blocks, 1) as p from docs),
-whole as (select rid, p, 0 as l, i from block join known on s = {norm.format('b')}),
-line as (select rid, p, unnest(string_split(b, chr(10))) as t, generate_subscripts(string_split(b, chr(10)), 1) as l
-         from block where (rid, p) not in (select rid, p from whole)),
-ids as (select * from whole union all select rid, p, l, i from line join known on s = {norm.format('t')}),
-seq as (select rid, string_agg(i, ',' order by p, l) as sentences, string_agg('<' || i || '>', '' order by p, l) as whole from ids group by rid),
+with known(s, i, n, opener, alone) as (values {known}),
+docs as (select row_number() over () as rid, doc_id, string_split(lower(coalesce(text, '')), '{tag}') as parts from documents),
+tagged as (select rid, doc_id, parts[1] || coalesce(array_to_string(list_transform(parts[2:], lambda x: chr(10) || '{tag}' ||
+             regexp_replace(regexp_extract(x, '{members}'), '[ \\t)]+(or|and|with)[ \\t(]+', chr(10) || '{tag} ', 'g')
+             || x[length(regexp_extract(x, '{members}')) + 1:]), ''), '') as text from docs),
+plain as (select rid, doc_id, chr(10) || regexp_replace(regexp_replace(regexp_replace(text, '([0-9])\\+([^a-z0-9]|$)', '\\1 or later\\2', 'g'),
+            '[.!?;:]([ \\t\\n\\x0b\\f\\r*#/])|\\*/|-->', chr(10) || '\\1', 'g'), '[^a-z0-9\\n]+', ' ', 'g') || chr(10) as text from tagged),
+words as (select rid, doc_id, string_split(trim(regexp_replace(text, '(?: ?\\n)+ ?', ' |', 'g')), ' ') as w from plain),
+place as (select rid, unnest(w) as x, ltrim(x, '|') as w, generate_subscripts(w, 1) as p from words),
+opened as (select rid, p, {opener} as opener from place window ahead as (partition by rid order by p)),
+tried as (select o.rid, o.p, k.*, d.w from opened o join known k on k.opener = o.opener join words d on d.rid = o.rid),
+hit as (select rid, p, p + n as stop, i from tried
+        where replace(array_to_string(w[p:p + n - 1], ' '), '|', '') = s and (not alone or (w[p][1] = '|' and w[p + n][1] = '|'))
+        qualify row_number() over (partition by rid, p order by n desc) = 1),
+ids as (select * from hit qualify stop > coalesce(max(stop) over (partition by rid order by p rows between unbounded preceding and 1 preceding), 0)),
+seq as (select rid, string_agg(i, ',' order by p) as sentences, string_agg('<' || i || '>', '' order by p) as whole from ids group by rid),
 r0 as (select d.rid, d.doc_id, coalesce(sentences, '') as sentences, coalesce(whole, '') as rest, []::varchar[] as lic
-       from docs d left join seq s on s.rid = d.rid),
+       from words d left join seq s on s.rid = d.rid),
 {', '.join(steps)}
 select doc_id, sentences, coalesce(array_to_string(list_sort(list_distinct(lic)), ','), '') as licenses,
        translate(replace(rest, '><', ','), '<>', '') as unmatched from {last}"""

@@ -1,11 +1,13 @@
 """Licence scans: lines, full texts, wrapped and commented texts, rule order, a plain matcher and edge rows."""
 
+import itertools
 import re
 import textwrap
 
+import duckdb
 from pyspark.sql import functions as F
 
-from shopcast.llm import licenses
+from shopcast.llm import licenses, queries
 from shopcast.llm.common import table
 
 S = licenses.SENTENCES
@@ -68,7 +70,8 @@ def test_near_licences_are_kept_apart(spark):
         "GPL-3.0-or-later", "GPL-2.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "MPL-2.0", "ISC", "CC0-1.0",
         "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Unlicense", "BSD-2-Clause", "BSD-3-Clause", "MIT", "Apache-2.0")]
     rows += [(f"SPDX-License-Identifier: {n}-only", n) for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")]
-    rows += [("SPDX-License-Identifier: GPL-2.0+", ""), ("SPDX-License-Identifier: MIT OR Apache-2.0", "")]
+    rows += [(f"SPDX-License-Identifier: {n}", n) for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "AGPL-3.0", "BSD-4-Clause")]
+    rows += [(f"SPDX-License-Identifier: {n}+", f"{n}-or-later") for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "AGPL-3.0")]
     lesser = S["lgpl21_free"][1]
     rows += [(lesser, "LGPL-2.1-or-later"), (lesser.replace("This library", "Foo"), "LGPL-2.1-or-later"),
              (S["gpl2_only"][0], "GPL-2.0"), (S["mpl2_notice"][0], "MPL-2.0"), (S["isc_grant"][0], "ISC"), (S["unlicense_free"][0], "Unlicense")]
@@ -76,6 +79,74 @@ def test_near_licences_are_kept_apart(spark):
     assert got == dict(rows)
 
 
+ASF = """/*
+ * Licensed to the Apache Software Foundation (ASF) under one or more
+ * contributor license agreements.  See the NOTICE file distributed with
+ * this work for additional information regarding copyright ownership.
+ * The ASF licenses this file to You under the Apache License, Version 2.0
+ * (the "License"); you may not use this file except in compliance with
+ * the License.  You may obtain a copy of the License at
+ *
+ *    http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ */
+package x;"""
+#: text, licenses, unmatched
+PLANTED = [
+    (ASF, "Apache-2.0", ""), (ASF.replace("\n * ", " "), "Apache-2.0", ""),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", "Apache-2.0,MIT", ""),
+    ("/* SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause */ int x;", "Apache-2.0,BSD-3-Clause,MIT", ""),
+    ("// SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note\nint x;", "GPL-2.0", ""),
+    ("# SPDX-License-Identifier: (GPL-2.0+ AND Foo-1.0) or  MIT\n", "GPL-2.0-or-later,MIT", ""),
+    ("SPDX-License-Identifier:ISC", "ISC", ""), ("SPDX-License-Identifier: MIT, or Apache-2.0", "", ""),
+    ("Mine.\nlicensed under the terms of the MIT license\nx", "MIT", ""), ("Distributed under the MIT License.", "MIT", ""),
+    ("This project is licensed under the MIT License - see the LICENSE file for details.", "MIT", ""),
+    ("Released under the GNU GPL v3. Released under GPLv2!", "GPL-2.0,GPL-3.0", ""), ("Distributed under GPLv30.", "", ""),
+    (f"{S['isc_grant'][0]}\n\n{textwrap.fill(S['isc_warranty'][0], 40)}", "ISC", ""), (S["isc_warranty"][1], "", "isc_warranty"),
+    ("we or they and SPDX-License-Identifier: MIT\nhere or there", "MIT", ""), ("1+1 is 2+ and C++ is 17+.", "", ""),
+]
+
+
+def test_planted_forms(spark, tmp_path):
+    rows = [(n, *r) for n, r in enumerate([*PLANTED, (None, "", ""), ("", "", ""), ("|", "", ""), ("MIT", "", "")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, licenses string, unmatched string").coalesce(1)
+    got = {r["doc_id"]: (r["licenses"], r["unmatched"]) for r in licenses.scan(docs).collect()}
+    assert got == {n: (name, rest) for n, _, name, rest in rows}
+    # the SQL of the query finds the same
+    docs.write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select doc_id, text from '{tmp_path}/documents/*.parquet'")
+    con.execute(queries.ORACLE_SQL["op10_licenses"])
+    told = {r[0]: r[2:] for r in con.fetchall()}
+    assert told == got
+
+
+def test_documents_match_brute_force(spark):
+    """Every known sentence is searched in every normalised text; matches inside longer ones go."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    known, whole = licenses.known_sentences(), licenses.whole_sentences()
+    want = {}
+    for r in docs.collect():
+        runs = [licenses.normalised(x).split() for x in re.split(r"\n|[.!?;:](?=[\s*#/])|\*/|-->|(?=spdx-license-identifier:)", r["text"].lower())]
+        ends = {0, *itertools.accumulate(map(len, runs))}
+        text, hits = f" {' '.join(w for run in runs for w in run)} ", []
+        for s in known if "licen" in text else ():
+            hits += [(len(text[:m.start() + 1].split()), len(s.split()), s) for m in re.finditer(f"(?={re.escape(f' {s} ')})", text)]
+        hits = [(p, p + n, s) for p, n, s in hits if s not in whole or {p, p + n} <= ends]
+        want[r["doc_id"]] = ",".join(known[s] for p, e, s in sorted(hits) if not any(
+            q <= p and e <= f and (q, f) != (p, e) for q, f, _ in hits))
+    got = {r["doc_id"]: r["sentences"] for r in licenses.scan(docs).collect()}
+    assert got == want and sum(map(bool, want.values())) > 10
+
+
+def test_a_very_long_text_of_references(spark):
+    text = "Released under the MIT License.\n" * 5000 + "license word " * 20000
+    assert one(spark, text) == ("MIT", ",".join(["mit_ref"] * 5000), "")
+
+
 def test_references_are_whole_sentences(spark):
     assert one(spark, "This is not licensed under the MIT License.") == ("", "", "")
     assert one(spark, "Licensed under the MIT License or so.") == ("", "", "")
