@@ -14,6 +14,7 @@ driver, so cut values keep their type and no time zone enters.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +23,8 @@ from pyspark.sql import types as T
 
 #: Tables of at most this many counted rows may be broadcast.
 BROADCAST_ROWS = 100_000
+#: Bytes of a text key that are searched for a prefix common to all rows.
+PREFIX_BYTES = 4096
 
 
 def running_totals(df: DataFrame, key: str, value_cols: Sequence[str], prefix: str = "cum_",
@@ -47,8 +50,18 @@ def running_totals(df: DataFrame, key: str, value_cols: Sequence[str], prefix: s
                      *[f"_off_{c}" for c in value_cols]))
 
 
-def sort_number(col: Column, dtype: T.DataType) -> Column:
-    """A double that never decreases when the key increases; null and NaN are NaN, above all."""
+def common_prefix(df: DataFrame, key: str) -> int:
+    """Bytes that all text keys begin with (of the first PREFIX_BYTES): those of the least and the greatest; one aggregation."""
+    head = F.substring(F.col(key).cast("binary"), 1, PREFIX_BYTES)
+    ends = df.agg(F.min(head).alias("least"), F.max(head).alias("greatest")).first()
+    return 0 if ends["least"] is None else len(os.path.commonprefix([bytes(ends["least"]), bytes(ends["greatest"])]))
+
+
+def sort_number(col: Column, dtype: T.DataType, skip: int = 0) -> Column:
+    """A double that never decreases when the key increases; null and NaN are NaN, above all.
+
+    Of texts it is six bytes, after ``skip`` bytes that all keys share.
+    """
     if isinstance(dtype, (T.DateType,)):
         num = F.unix_date(col).cast("double")
     elif isinstance(dtype, T.TimestampType):
@@ -56,7 +69,7 @@ def sort_number(col: Column, dtype: T.DataType) -> Column:
     elif isinstance(dtype, T.TimestampNTZType):      # calendar fields: no zone enters
         num = (F.unix_date(F.to_date(col)) * 86400 + F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)).cast("double")
     elif isinstance(dtype, (T.StringType, T.BinaryType)):
-        head = F.hex(F.substring(col.cast("binary"), 1, 6))
+        head = F.hex(F.substring(col.cast("binary"), skip + 1, 6))
         num = F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
     elif isinstance(dtype, (T.NumericType, T.BooleanType)):
         num = col.cast("double")
@@ -82,14 +95,17 @@ def rows_at(df: DataFrame, classes: Sequence[str], keys: Sequence[str], fraction
 
     Both positions lie near ``fraction`` * n, which steers the bracket; if a
     bracket misses, it is widened, so the result is exact.  A position outside
-    0..n-1 gives null.  The input is read twice and none of its rows are
-    shuffled, only counts per key inside the bracket.
+    0..n-1 gives null.  The input is read twice (three times with text keys, whose
+    common prefix is left out of the bracket) and none of its rows are shuffled,
+    only counts per key inside the bracket.
     """
     last = last or first
     names = [f"_class{i}" for i in range(max(1, len(classes)))]
     given = [F.col(c) for c in classes] or [F.lit(0)]
+    kind = df.schema[keys[0]].dataType
+    skip = common_prefix(df, keys[0]) if isinstance(kind, (T.StringType, T.BinaryType)) else 0
     rows = df.select(*[c.alias(x) for c, x in zip(given, names, strict=True)], order_key(keys).alias("_key"),
-                     sort_number(F.col(keys[0]), df.schema[keys[0]].dataType).alias("_num"))
+                     sort_number(F.col(keys[0]), kind, skip).alias("_num"))
     while True:
         small = F.col("n") * slack < 3      # a bracket of a few ranks would miss by rounding: all keys of the class
         sides = F.array(F.lit(max(0.0, fraction - slack)), F.lit(min(1.0, fraction + slack)))

@@ -1,8 +1,10 @@
 """Dataset splits S1-S4 without a global row sort.
 
 Cut keys are found with ``rows_at`` (brackets and counts, never all rows in one
-task, all classes together) and compared as typed structs; nulls sort last and
-count as rows.  The split itself is one comparison on each row.
+task, all classes together) and keep their type; nulls sort last and count as
+rows.  The split itself is one comparison on each row.  S1-S3 compare the first
+key column itself with its cut; ``split_sides`` gives the two sides as frames of
+their own, each a range on that column, so that a Parquet scan reads its part.
 """
 
 from __future__ import annotations
@@ -15,11 +17,35 @@ from pyspark.sql import functions as F
 from shopcast.operators.ordering import few_rows, order_key, rows_at
 
 
+def _sides(df: DataFrame, keys: Sequence[str], frac: float, with_cut: bool) -> tuple[Column, Column]:
+    """Conditions of the rows before the cut key at position int(frac * n), or up to it, and of the rest; without a cut key, all are before it."""
+    cuts = rows_at(df, [], list(keys), frac, lambda n: F.floor(n * frac))
+    state = cuts.select(F.col("first").isNull().alias("none"), F.col("first.n0").alias("null_key")).first()
+    if state is None or state["none"]:
+        return F.lit(True), F.lit(False)
+    cut, key = cuts.select("first").scalar(), F.col(keys[0])
+    inside = order_key(keys) <= cut if with_cut else order_key(keys) < cut
+    if state["null_key"]:
+        return inside, ~inside
+    first = cuts.select("first.k0").scalar()
+    if len(keys) == 1:
+        return (key <= first, key.isNull() | (key > first)) if with_cut else (key < first, key.isNull() | (key >= first))
+    return (key <= first) & inside, (key.isNull() | (key >= first)) & ~inside
+
+
+def split_sides(df: DataFrame, order: Sequence[str], frac: float = 0.8, with_cut: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows of S2/S3 (``with_cut``: rows of the cut key are train, as in S1) as two frames.
+
+    Each is a filter on the first key column, which a Parquet scan takes over: one side is read without the other's row groups.
+    """
+    train, test = _sides(df, order, frac, with_cut)
+    return df.filter(train), df.filter(test)
+
+
 def temporal_split(df: DataFrame, time_col: str, frac: float = 0.8,
                    out: str = "split") -> DataFrame:
     """cutoff = value at sorted position int(frac * n); train <= cutoff < test."""
-    cut = rows_at(df, [], [time_col], frac, lambda n: F.floor(n * frac)).select("first").scalar()
-    return df.withColumn(out, F.when(cut.isNull() | (order_key([time_col]) <= cut), "train").otherwise("test"))
+    return df.withColumn(out, F.when(_sides(df, [time_col], frac, with_cut=True)[0], "train").otherwise("test"))
 
 
 def ordered_split(df: DataFrame, order: Sequence[str], frac: float = 0.8,
@@ -28,8 +54,7 @@ def ordered_split(df: DataFrame, order: Sequence[str], frac: float = 0.8,
 
     ``order`` must be a total order (unique key tuple) of any orderable types.
     """
-    cut = rows_at(df, [], list(order), frac, lambda n: F.floor(n * frac)).select("first").scalar()
-    return df.withColumn(out, F.when(cut.isNull() | (order_key(order) < cut), "train").otherwise("test"))
+    return df.withColumn(out, F.when(_sides(df, order, frac, with_cut=False)[0], "train").otherwise("test"))
 
 
 def hash_rank_keys(id_col: str, seed: int) -> dict[str, F.Column]:

@@ -1,6 +1,7 @@
 """Distributed ordering equals a global sort; splits keep exact sizes."""
 
 import os
+import re
 import subprocess
 import sys
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shopcast.operators import ordering
 from shopcast.operators.features import exact_median, mode_value
-from shopcast.operators.splits import ordered_split, stratified_split, temporal_split
+from shopcast.operators.splits import ordered_split, split_sides, stratified_split, temporal_split
 
 
 def test_running_totals_equal_a_global_sort(spark):
@@ -54,6 +55,44 @@ def test_ordered_split_takes_any_key_type(spark, kind):
     assert [s for _, s in order] == ["train"] * 800 + ["test"] * 200
 
 
+def test_text_keys_with_a_common_prefix_keep_a_narrow_bracket(spark):
+    df = spark.range(0, 40000).select(F.concat(F.lit("https://shop.example/Ünits#"), F.lpad(F.col("id") * 7919 % 40000, 9, "0")).alias("k"))
+    skip = ordering.common_prefix(df, "k")
+    assert skip == len("https://shop.example/Ünits#0000".encode())
+    assert df.select(ordering.sort_number(F.col("k"), df.schema["k"].dataType, skip)).distinct().count() == 40000
+    got = ordering.rows_at(df, [], ["k"], 0.8, lambda n: F.floor(n * 0.8)).first()["first"]["k0"]
+    assert got == sorted(r["k"] for r in df.collect())[32000]
+    one = spark.createDataFrame([("same",)] * 3 + [(None,)], "k string")
+    assert ordering.common_prefix(one, "k") == 4 and ordering.common_prefix(one.limit(0), "k") == 0
+    assert ordering.rows_at(one, [], ["k"], 0.5, lambda n: F.lit(1)).first()["first"]["k0"] == "same"
+
+
+@pytest.mark.parametrize("nulls", [0, 3, 9, 10])
+@pytest.mark.parametrize("frac", [0.0, 0.5, 1.0])
+def test_splits_with_null_keys(spark, nulls, frac):
+    df = spark.range(0, 10).select(F.when(F.col("id") >= nulls, F.col("id") % 4).alias("k"), "id")
+    rows = sorted(((r["k"] is None, r["k"] or 0), r["id"]) for r in df.collect())
+    cut = rows[int(frac * 10)][0] if frac < 1 else (True, 1)
+    timed = {r["id"]: r["split"] for r in temporal_split(df, "k", frac).collect()}
+    assert timed == {i: "train" if k <= cut else "test" for k, i in rows}
+    parted = {r["id"]: r["split"] for r in ordered_split(df, ["k", "id"], frac).collect()}
+    assert parted == {i: "train" if p < int(frac * 10) else "test" for p, (_, i) in enumerate(rows)}
+    for told, keys, with_cut in ((timed, ["k"], True), (parted, ["k", "id"], False)):
+        sides = [{r["id"] for r in side.collect()} for side in split_sides(df, keys, frac, with_cut)]
+        assert sides == [{i for i, s in told.items() if s == name} for name in ("train", "test")]
+
+
+@pytest.mark.parametrize("order", [["k"], ["k", "id"]])
+def test_each_side_is_a_range_that_reaches_the_scan(spark, tmp_path, order):
+    path = str(tmp_path / "rows")
+    spark.range(0, 1000).select((F.col("id") * 7 % 1000).alias("k"), "id").write.parquet(path)
+    for with_cut in (False, True):
+        for df, n, sign in zip(split_sides(spark.read.parquet(path), order, 0.8, with_cut), (800 + with_cut, 200 - with_cut), "<>", strict=True):
+            scan = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x][-1]
+            assert re.search(rf"\(k#\d+L {sign}=? Subquery", scan.split("DataFilters")[1]) and "<=> true" not in scan, scan
+            assert df.count() == n
+
+
 def test_composite_split_does_not_depend_on_the_drivers_zone():
     code = ("import sys; sys.path.insert(0, '.'); from shopcast.session import get_session; s = get_session('local[2]', 4); "
             "import __spark_entry__ as e; q = e.queries()['composite_ordered_split'](s, '/root/testdata/sf0.001'); "
