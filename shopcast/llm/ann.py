@@ -7,13 +7,14 @@ distance is chi-square with ``dims`` degrees of freedom.  A kd-tree over a
 bounded sample of projections (``sample`` rows) gives cells; every vector is
 indexed in its cell, cells over ``block`` rows are dealt into hashed blocks.
 
-A query searches its own cell first, by increasing projected distance, and
-verifies exact products in batches until the chi-square test holds: with d the
-distance of the k-th found, a vector projected beyond d * sqrt(q) is nearer than d with
-probability under 1 - ``confidence`` (q: the chi-square quantile).  That radius
-then selects the further cells, searched the same way.  Both rounds are joins
-on (cell, block); queries are dealt so that no task holds more than one block
-and ``chunk`` queries.
+A query searches its own cell first.  In a task the block has a kd-tree of its
+own, whose leaves come by increasing projected distance; their exact products are
+verified until the chi-square test holds: with d the distance of the k-th found, a
+vector projected beyond d * sqrt(q) is nearer than d with probability under
+1 - ``confidence`` (q: the chi-square quantile).  That radius then selects the
+further cells, searched the same way from the bound found so far.  Both rounds
+are joins on (cell, block); queries are dealt so that no task holds more than one
+block and ``chunk`` queries.
 
 Equal vectors are indexed once, with their k + 1 smallest ids (more can never
 be among k nearest).  Defined results: null, zero and non-finite vectors take
@@ -123,34 +124,75 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.add.accumulate(a * b, axis=1)[:, -1]
 
 
-def _search(base: pd.DataFrame, queries: pd.DataFrame, index: Index, k: int, quantile: float, batch: int = 64) -> pd.DataFrame:
-    """k nearest (distinct vectors) of each query in one block, until the chi-square test holds; none beyond the query's bound."""
+def _leaves(y: np.ndarray, rows: int) -> list[np.ndarray]:
+    """Positions by leaf of a kd-tree over one block: halves by the widest axis until a leaf has at most ``rows``."""
+    open_nodes, leaves = [np.arange(len(y))], []
+    while open_nodes:
+        at = open_nodes.pop()
+        if len(at) <= rows:
+            leaves.append(np.sort(at))
+            continue
+        own = y[at]
+        axis = int(np.argmax(own.max(axis=0) - own.min(axis=0)))
+        order = np.argpartition(own[:, axis], len(at) // 2)
+        open_nodes += [at[order[:len(at) // 2]], at[order[len(at) // 2:]]]
+    return leaves
+
+
+def _merge(best: np.ndarray, which: np.ndarray, row: np.ndarray, hit: np.ndarray, score: np.ndarray) -> None:
+    """Found (row, position, score) into the best of each row, in place; ties to the smaller position."""
+    k = best.shape[1]
+    changed = np.unique(row)
+    rows = np.concatenate((np.repeat(changed, k), row))
+    scores, hits = np.concatenate((best[changed].ravel(), score)), np.concatenate((which[changed].ravel(), hit))
+    order = np.lexsort((hits, -scores, rows))
+    rows, scores, hits = rows[order], scores[order], hits[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    kept = place < k
+    best[rows[kept], place[kept]], which[rows[kept], place[kept]] = scores[kept], hits[kept]
+
+
+def _search(base: pd.DataFrame, queries: pd.DataFrame, index: Index, k: int, quantile: float, leaf: int = 128) -> pd.DataFrame:
+    """k nearest (distinct vectors) of each query in one block; none beyond the query's bound.
+
+    Each query takes the leaves of the block's own kd-tree by projected distance, the next one in each
+    round, until the chi-square test holds for all leaves that are left.  Queries that take the same leaf
+    in a round are multiplied with it at once; what may be among the k nearest is verified by its exact product.
+    """
+    base = base.iloc[np.argsort([i[0] for i in base["ids"]], kind="stable")]      # ties go to the smaller position
     x, q = np.stack(base["vector"].to_numpy()), np.stack(queries["vector"].to_numpy())
     bound = queries["bound"].to_numpy(dtype=np.float64)      # squared distance of the k-th found before
-    py, qy = index.project(x, False), index.project(q, True)
-    gap = np.maximum((qy * qy).sum(1)[:, None] + (py * py).sum(1)[None, :] - 2 * qy @ py.T, 0)
-    order = np.argsort(gap, axis=1)
-    near = np.take_along_axis(gap, order, axis=1)
     size = (q * q).sum(axis=1) + index.norm2
+    slack = 1e-9 * size                                      # rounding of the products and distances
+    py, qy = index.project(x, False), index.project(q, True)
+    leaves = _leaves(py, leaf)
+    gap = np.stack([(np.maximum(np.maximum(py[at].min(axis=0) - qy, qy - py[at].max(axis=0)), 0) ** 2).sum(axis=1) for at in leaves], axis=1)
+    order = np.argsort(gap, axis=1, kind="stable")
     best = np.full((len(q), k), -np.inf)
     which = np.full((len(q), k), -1)
     active = np.arange(len(q))
-    for at in range(0, len(x), batch):
-        active = active[near[active, at] <= np.minimum(bound[active], np.maximum(size[active] - 2 * best[active, -1], 0)) * quantile]
+    for turn in range(len(leaves)):
+        within = np.minimum(bound[active], np.maximum(size[active] - 2 * best[active, -1], 0)) + slack[active]
+        active = active[gap[active, order[active, turn]] <= within * quantile]
         if not len(active):
             break
-        picked = order[active, at:at + batch]
-        score = np.einsum("ijk,ik->ij", x[picked], q[active])
-        score = np.concatenate((best[active], score), axis=1)
-        ids = np.concatenate((which[active], picked), axis=1)
-        top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        best[active], which[active] = np.take_along_axis(score, top, 1), np.take_along_axis(ids, top, 1)
-    near_enough = size[:, None] - 2 * best <= (bound + 1e-9 * size)[:, None]      # what lies behind the k-th found is no answer
+        floor = np.maximum(best[:, -1], (size - bound) / 2) - slack
+        taken = active[np.argsort(order[active, turn], kind="stable")]
+        parts = np.split(taken, np.nonzero(np.diff(order[taken, turn]))[0] + 1)
+        found = []
+        for rows in parts:
+            at = leaves[order[rows[0], turn]]
+            i, j = np.nonzero(q[rows] @ x[at].T >= floor[rows][:, None])
+            found.append((rows[i], at[j]))
+        row, hit = (np.concatenate(side) for side in zip(*found, strict=True))
+        if len(row):
+            _merge(best, which, row, hit, _products(q[row], x[hit]))
+    near_enough = size[:, None] - 2 * best <= (bound + slack)[:, None]            # what lies behind the k-th found is no answer
     row, col = np.nonzero((which >= 0) & near_enough)
     hit = which[row, col]
     same = (x[hit] == q[row]).all(axis=1)                    # the query's own vector: one of its rows is the query's
     return pd.DataFrame({"own": same, "query_row": queries["query_row"].to_numpy()[row], "query_id": queries["query_id"].to_numpy()[row],
-                         "ids": base["ids"].to_numpy()[hit], "score": _products(q[row], x[hit])})
+                         "ids": base["ids"].to_numpy()[hit], "score": best[row, col]})
 
 
 HITS = "query_row long, query_id long, ids array<long>, score double, own boolean"
@@ -167,7 +209,7 @@ def valid_vectors(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
 def nearest(rows: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20,
             dims: int = 8, confidence: float = 0.97, sample: int = 20000, cell_rows: int = 2048, block: int = 4096,
-            chunk: int = 512) -> DataFrame:
+            chunk: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row where ``is_query`` holds (on vec_id).
 
     Vectors of each length are searched among their own; one index a length.

@@ -1,6 +1,7 @@
 """Neighbour search against brute force, and edge rows."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from shopcast.llm import ann
@@ -79,3 +80,44 @@ def test_repeated_ids_and_other_lengths(spark):
 
 def test_chi_square_quantile():
     assert abs(ann.chi_square_quantile(0.95, 8) - 15.507) < 1e-3 and abs(ann.chi_square_quantile(0.5, 2) - 1.3863) < 1e-3
+
+
+def test_leaves_one_by_one_equal_a_scan():
+    """Block search: with an open test every leaf counts; ties at the last place go to the smaller ids; a bound leaves out what lies behind."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, (700, 6)).astype(float)
+    x = np.unique(x[(x != 0).any(axis=1)], axis=0)[rng.permutation(600)]
+    index = ann.build(x, float((x * x).sum(axis=1).max()), 1, 4)
+    base = pd.DataFrame({"vector": list(x), "ids": [[int(i)] for i in rng.permutation(len(x))]})
+    ids = np.array([i[0] for i in base["ids"]])
+    at = np.arange(0, len(x), 7)
+    for bound in (np.inf, 12.0):
+        queries = pd.DataFrame({"vector": list(x[at]), "query_row": at, "query_id": ids[at], "bound": np.full(len(at), bound)})
+        got = ann._search(base, queries, index, 9, 1e9, leaf=16)
+        for i, a in enumerate(at):
+            scores = x @ x[a]
+            order = np.lexsort((ids, -scores))[:9]
+            order = order[(x[a] @ x[a] + index.norm2 - 2 * scores[order]) <= bound + 1e-6]
+            mine = got[got["query_row"] == a]
+            assert [(v[0], s) for v, s in zip(mine["ids"], mine["score"], strict=True)] == [(ids[o], scores[o]) for o in order], i
+            assert mine["own"].sum() == (a in order)
+    assert sorted(np.concatenate(ann._leaves(x, 16)).tolist()) == list(range(len(x))) and max(map(len, ann._leaves(x, 16))) <= 16
+
+
+def test_clusters_leave_leaves_out():
+    """Well separated groups: most leaves fail the chi-square test, none of the nearest is lost."""
+    rng = np.random.default_rng(8)
+    x = np.repeat(10 * rng.standard_normal((40, 16)), 64, axis=0) + 0.05 * rng.standard_normal((2560, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = ann.build(x, 1.0, 1, 8)
+    base = pd.DataFrame({"vector": list(x), "ids": [[i] for i in range(len(x))]})
+    queries = pd.DataFrame({"vector": list(x[::20]), "query_row": range(0, len(x), 20), "query_id": range(0, len(x), 20), "bound": np.inf})
+    seen = []
+    whole, ann._products = ann._products, lambda a, b: seen.append(len(a)) or whole(a, b)
+    try:
+        got = ann._search(base, queries, index, 21, ann.chi_square_quantile(0.97, 8))
+    finally:
+        ann._products = whole
+    want = np.sort(-(x[::20] @ x.T), axis=1)[:, :21]
+    hits = sum((np.abs(g["score"].to_numpy() + w) < 1e-9).sum() for (_, g), w in zip(got.groupby("query_row"), want, strict=True))
+    assert hits >= 0.95 * want.size and sum(seen) < 0.25 * len(queries) * len(x)
