@@ -3,8 +3,7 @@
 Texts are escaped (space to U+2581, one in front) and split into words that no
 piece of the table crosses: before a run of U+2581 and behind a run of letters.
 For the words, Spark explodes all substrings up to the longest piece,
-equi-joins them to the piece table (broadcast: the table is the vocabulary, a
-fixed size), groups the edges by word and folds them with ``aggregate``: the
+equi-joins them to the piece table (broadcast up to ``BROADCAST_PIECES``), groups the edges by word and folds them with ``aggregate``: the
 Viterbi recursion over positions, then the way back.  Characters without a piece
 become byte pieces.
 
@@ -27,6 +26,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,7 @@ from shopcast.llm.common import cut
 SPACE = "▁"
 WORD = SPACE + r"*[^\p{L}" + SPACE + r"]*\p{L}*"
 UNKNOWN = -1
+BROADCAST_PIECES = 1 << 18      # a larger piece table is joined as Spark chooses
 
 
 @dataclass(frozen=True)
@@ -87,7 +88,8 @@ def lattice(words: DataFrame, vocab: Vocabulary) -> DataFrame:
     spans = at.select("word", "start", F.explode(F.sequence(
         F.lit(1), F.least(F.lit(vocab.longest), F.length("word") - F.col("start")))).alias("n"))
     parts = spans.withColumn("piece", F.substr("word", F.col("start") + 1, F.col("n")))
-    edges = parts.join(F.broadcast(table), "piece", "left").filter("id is not null or n = 1")
+    small = len(vocab.pieces) <= BROADCAST_PIECES
+    edges = parts.join(F.broadcast(table) if small else table, "piece", "left").filter("id is not null or n = 1")
     edge = F.struct((F.col("start") + F.col("n")).alias("end"), "start", F.coalesce("id", F.lit(UNKNOWN)).alias("id"),
                     F.coalesce("score", F.lit(vocab.unknown_score)).alias("score"))
     return edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
@@ -161,23 +163,75 @@ def ids_between(word: Column, bounds: Column, edges: Column, vocab: Vocabulary)
     return let(F.struct(bounds.alias("bounds"), ids.alias("ids")), listed)
 
 
-def word_counts(docs: DataFrame, text: str, longest_word: int, held: int = 1 << 19) -> DataFrame:
-    """(word, n) of the words of up to ``longest_word`` characters; a task adds up ``held`` different ones before it sends them.
+PACKED = "bucket int, words binary, ends binary, counts binary"
+
+
+def _packed(words: Counter, longest_word: int, buckets: int) -> pa.RecordBatch:
+    """Counted words as one row a bucket (of their CRC): the words' bytes behind each other, where each ends, their counts."""
+    own = [w for w in words if 0 < len(w) <= longest_word]
+    raw = [w.encode() for w in own]
+    bucket = np.fromiter(map(crc32, raw), np.uint32, len(raw)) % buckets
+    order = np.argsort(bucket, kind="stable")
+    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))[order])
+    joined = b"".join([raw[i] for i in order])
+    counts = np.fromiter((words[w] for w in own), np.int64, len(own))[order]
+    firsts = np.nonzero(np.diff(bucket[order], prepend=-1))[0].tolist()
+    rows = []
+    for i, j in zip(firsts, [*firsts, len(own)][1:], strict=True):
+        at = int(ends[i - 1]) if i else 0
+        rows.append((int(bucket[order[i]]), joined[at:int(ends[j - 1])], (ends[i:j] - at).astype(np.int32).tobytes(), counts[i:j].tobytes()))
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["bucket", "words", "ends", "counts"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch], waiting_rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """(word, count) of packed rows sorted by bucket.
+
+    A bucket's words are added up at its end, and before whenever as many wait as would double them (``waiting_rows`` at least).
+    """
+    bucket, waiting, size, limit = None, [], 0, waiting_rows
+
+    def added() -> pa.Table:
+        return pa.concat_tables(waiting).group_by("word").aggregate([("count", "sum")]).select(["word", "count_sum"]).rename_columns(["word", "count"])
+    for batch in batches:
+        of, *packed = batch.columns
+        for row, b in enumerate(of.to_pylist()):
+            if b != bucket and waiting:
+                yield from added().to_batches(max_chunksize=1 << 16)
+                waiting, size, limit = [], 0, waiting_rows
+            bucket = b
+            words, ends, counts = (c[row].as_buffer() for c in packed)
+            offsets = np.concatenate((np.zeros(1, np.int32), np.frombuffer(ends, np.int32)))
+            word = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), words)
+            waiting.append(pa.table({"word": word, "count": pa.array(np.frombuffer(counts, np.int64))}))
+            size += len(word)
+            if size >= limit:
+                waiting = [added()]
+                size = len(waiting[0])
+                limit = max(waiting_rows, 2 * size)
+    if waiting:
+        yield from added().to_batches(max_chunksize=1 << 16)
+
+
+def word_counts(docs: DataFrame, text: str, longest_word: int, held: int = 1 << 19, buckets: int = 1024) -> DataFrame:
+    """(word, count) of the words of up to ``longest_word`` characters; a task adds up ``held`` different ones before it sends them.
 
     Where a text has single spaces only, its space-separated words are counted whole and the different ones split afterwards.
+    Words travel packed, a row for each bucket, and a bucket's words are added up in one task.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(WORD).findall
         spaced, words = Counter(), Counter()
 
-        def sent() -> Iterator[pa.RecordBatch]:
+        def sent() -> pa.RecordBatch:
             for whole, n in spaced.items():
                 for w in split(SPACE + whole):
                     words[w] += n
-            own = [w for w in words if 0 < len(w) <= longest_word]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([words[w] for w in own], pa.int64())], names=["word", "n"])
+            packed = _packed(words, longest_word, buckets)
             spaced.clear()
             words.clear()
+            return packed
         for batch in batches:
             for value in batch.column(0):
                 given = value.as_py()
@@ -188,9 +242,10 @@ def word_counts(docs: DataFrame, text: str, longest_word: int, held: int = 1 <<
                     else:
                         spaced.update(parts)
                     if len(spaced) + len(words) > held:
-                        yield from sent()
-        yield from sent()
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("count"))
+                        yield sent()
+        yield sent()
+    packed = docs.select(F.col(text).alias("text")).mapInArrow(run, PACKED)
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_summed, "word string, count long")
 
 
 def code_book(docs: DataFrame, text: str, vocab: Vocabulary, fold: str = "viterbi", book_words: int = 1 << 18,

@@ -1,5 +1,8 @@
 """Piece encoding against the library's own Viterbi on the same table, the in-task fold, and exact round trips."""
 
+from collections import Counter
+
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import functions as F
 
@@ -95,3 +98,17 @@ def test_words_are_counted_once_whatever_the_spaces(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for held in (1, 1 << 18):
         assert {r["word"]: r["count"] for r in pieces.word_counts(df, "t", 48, held).collect()} == want
+
+
+def test_packed_words_add_up_bucket_by_bucket():
+    """Packed rows of several tasks, sorted by bucket, against one counter; sums in between do not change them; long and empty words are left out."""
+    parts = [Counter({"a": 2, "\n\0": 1, "日本": 4, "": 9, "x" * 60: 3}), Counter(), Counter({"a": 1, "b": 5}), Counter({f"w{i}": i + 1 for i in range(500)}),
+             Counter({f"w{i}": 7 for i in range(250, 600)})]
+    rows = [r for part in parts for r in pieces._packed(part, 48, 5).to_pylist()]
+    packed = pa.RecordBatch.from_pylist(sorted(rows, key=lambda r: r["bucket"]), schema=pieces._packed(Counter(), 48, 5).schema)
+    want = Counter({w: n for w, n in sum(parts, Counter()).items() if 0 < len(w) <= 48})
+    for waiting in (1, 100, 1 << 20):
+        found = pieces._summed(iter([packed.slice(0, 3), packed.slice(3)]), waiting)
+        got = [(r["word"], r["count"]) for b in found for r in b.to_pylist()]
+        assert len(got) == len(want) and dict(got) == dict(want)
+    assert list(pieces._summed(iter([]))) == []
