@@ -22,6 +22,7 @@ pieces and decode to empty text; a literal U+2581 decodes as a space.
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -214,11 +215,12 @@ def _summed(batches: Iterator[pa.RecordBatch], waiting_rows: int = 1 << 20) -> I
         yield from added().to_batches(max_chunksize=1 << 16)
 
 
-def word_counts(docs: DataFrame, text: str, longest_word: int, held: int = 1 << 19, buckets: int = 1024) -> DataFrame:
+def word_counts(docs: DataFrame, text: str, longest_word: int, held: int = 1 << 19, buckets: int = 4096) -> DataFrame:
     """(word, count) of the words of up to ``longest_word`` characters; a task adds up ``held`` different ones before it sends them.
 
     Where a text has single spaces only, its space-separated words are counted whole and the different ones split afterwards.
-    Words travel packed, a row for each bucket, and a bucket's words are added up in one task.
+    Words travel packed, a row for each bucket, and a bucket's words are added up in one task.  Spark hands rows to Python by
+    number, so ``buckets`` is high enough for some 3 kB a row.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(WORD).findall
@@ -320,9 +322,13 @@ def fold_word(word: str, begun: dict[str, tuple[int, float, bool]], byte_ids: tu
             known = get(word[i:j])
     out, at = [], n
     while at:
-        out.append([byte_ids[b] for b in word[start[at]:at].encode()] if label[at] == UNKNOWN else [label[at]])
+        if label[at] == UNKNOWN:
+            out += [byte_ids[b] for b in reversed(word[start[at]:at].encode())]
+        else:
+            out.append(label[at])
         at = start[at]
-    return [i for ids in reversed(out) for i in ids]
+    out.reverse()
+    return out
 
 
 def merge_word(word: str, pieces: dict[str, tuple[int, float]], byte_ids: tuple[int, ...]) -> list[int]:
@@ -376,7 +382,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", out: str = "ids
             found = spaced.get(word[1:]) if word[:1] == SPACE else other.get(word)
             if found is None:
                 ids = merge_word(word, pieces, byte_ids) if fold == "merges" else fold_word(word, begun, byte_ids, unknown)
-                found = np.array(ids, np.int32).tobytes()
+                found = array("i", ids).tobytes()
             return found
 
         def remembered(word: str) -> bytes:
