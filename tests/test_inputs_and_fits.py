@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.ml.feature import VectorAssembler
@@ -36,6 +37,29 @@ def test_formats_by_evidence(spark, texts, fmt, unparsed):
     assert (row["format"], row["unparsed"]) == (fmt, unparsed) and typed.filter("v is not null").count() == row["parsed"]
 
 
+ODD_TEXTS = ["01/02/2020", "1/2/2020 3:04", "13/02/2020 03:04:05", "+12345/01/02", "-0044/03/15", "2020-01-02t03:04:05", "2020-01-02T03:04:05", "20200102", "123451215", "+123451215", "1/2/2020 24:00", "1/2/2020 23:60", "30/2/2020", "0/1/2020", "001/002/2020", "+1/2/2020", "-1/2/2020 1:02:03",
+             "2020-1-2", "1-2-2020 3:04", "1.2.2020 3:04:05", "1.2.2020  3:04", "99/99/2020", "1-URGENT", "a/b c:d", "", "7", "12345678", "123456789", "1/-2/2020", "2020/01/02 03:04:05 "]
+
+
+def test_parse_is_tried_only_on_texts_of_its_layout(spark):
+    """Every format reads what Spark's parser reads, and a text of another layout never reaches the parser."""
+    df = spark.createDataFrame([(t,) for t in ODD_TEXTS], "v string")
+    formats = [*inference.FORMATS, "dd MMM yyyy", "yyyy-MM-dd[ HH:mm]"]
+    got = df.select("v", *[inference._parsed(F.col("v"), f).alias(f"p{i}") for i, f in enumerate(formats)],
+                    *[F.try_to_timestamp("v", F.lit(f)).alias(f"q{i}") for i, f in enumerate(formats)])
+    got = got.select("v", *[F.unix_micros(c).alias(c) for c in got.columns[1:]]).collect()         # years beyond Python's
+    assert [(r["v"], f) for r in got for i, f in enumerate(formats) if r[f"p{i}"] != r[f"q{i}"]] == []
+    shapes = {f: inference._shape(f) for f in inference.FORMATS}
+    assert not any(re.match(s[0], "1-URGENT") or re.match(s[0], "4711") for s in shapes.values()) and inference._shape("dd MMM yyyy") is None
+
+
+def test_types_take_one_aggregate_a_column(spark):
+    """More types than one number has bits; a few aggregates a column instead of one a format."""
+    df = spark.createDataFrame([("1", "01.02.2020", None), (" 2 ", "13.02.2020", "NA")], "a string, b string, c string")
+    many = [*[f"yyyy/MM/dd HH:mm:ss '{'x' * i}'" for i in range(1, 70)], *inference.FORMATS]
+    assert inference.infer_types(df) == inference.infer_types(df, formats=many) == {"a": "bigint", "b": "timestamp d.M.yyyy", "c": "string"}
+
+
 def test_one_scan_finds_all_types(spark, tmp_path):
     spark.range(100).selectExpr("id a", "id * 0.5 b", "'x' c").write.option("header", True).csv(str(tmp_path / "c"))
     text = spark.read.option("header", True).csv(str(tmp_path / "c"))
