@@ -22,6 +22,9 @@ from pyspark.sql import types as T
 from shopcast.operators.cleaning import align_columns
 from shopcast.operators.ordering import few_rows
 
+#: MB of node statistics a task of the forest holds at once.
+FOREST_MB = 512
+
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """ML1: balanced weight n / (k * n_c) per class (k = number of classes)."""
@@ -68,10 +71,23 @@ def logistic(features_col: str = "features", label: str = "label", weight: str =
 
 def forest(features_col: str = "features", label: str = "label", weight: str = "weight",
            trees: int = 650, depth: int = 30, seed: int = 42) -> RandomForestClassifier:
-    """ML3 estimator: 650 trees, at least 2 rows a leaf, depth as far as Spark goes (30)."""
+    """ML3 estimator: 650 trees, at least 2 rows a leaf, depth as far as Spark goes (30).
+
+    ``maxMemoryInMB`` sets how many nodes one pass over the rows splits, and with ``cacheNodeIds`` each row keeps
+    its node of every tree, so a pass ships no trees and walks none; neither changes which splits are found.
+    """
     return RandomForestClassifier(featuresCol=features_col, labelCol=label, weightCol=weight,
-                                  numTrees=trees, minInstancesPerNode=2, maxDepth=depth,
-                                  featureSubsetStrategy="sqrt", seed=seed)
+                                  numTrees=trees, minInstancesPerNode=2, maxDepth=depth, maxMemoryInMB=FOREST_MB,
+                                  cacheNodeIds=True, featureSubsetStrategy="sqrt", seed=seed)
+
+
+def over_cores(df: DataFrame) -> DataFrame:
+    """The (materialised) table in at least one partition a core: a learner passes over it many times, a task a partition.
+
+    A small table comes out of a shuffle in one partition, and all trees would be grown by one core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def fit_pipeline(train: DataFrame, stages: Sequence) -> PipelineModel:

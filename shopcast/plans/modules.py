@@ -49,7 +49,7 @@ def prepare(split_table: DataFrame, label: str, exclude: Sequence[str], id_col:
     if wide:
         raise ValueError(f"too many categories for one-hot slots in {', '.join(wide)}: exclude these columns or name them in hashed")
     transformer = FE.column_transformer(num, cat, hashed=hashed).fit(train)
-    ready = transformer.transform(data).select(id_col, "split", "label", "features").checkpoint(eager=True)
+    ready = transformer.transform(M.over_cores(data)).select(id_col, "split", "label", "features").checkpoint(eager=True)
     weighted = M.with_class_weights(ready.filter(F.col("split") == "train")).checkpoint(eager=True)
     shape = T.StructType([data.schema[c] for c in (*num, *cat)])
     return Prepared(transformer, weighted, ready.filter(F.col("split") == "test"), num, cat, shape.json(), weighted.count())

@@ -137,3 +137,15 @@ def test_report_steps_over_a_saved_score_table(spark, tmp_path):
     assert sorted((r["bin"], r["n"]) for r in histogram(s, "p", 40).collect()) == sorted(ask("select least(floor(p * 40), 39)::int, count(*) from s group by 1"))
     k = kpi_strip(s, 0.5, "p").first()
     assert (k["mean_probability"], k["predicted_rate"]) == pytest.approx(ask("select avg(p), avg((p >= 0.5)::int) from s")[0])
+
+
+def test_learners_use_every_core(spark):
+    """Rows that a shuffle left in one partition are spread before the fit; all of them arrive with their weights."""
+    df = spark.range(400).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 7 > 3).cast("int").alias("y"),
+                                 F.when(F.col("id") % 5 == 0, "test").otherwise("train").alias("split")).coalesce(1)
+    from shopcast.plans.modules import prepare
+    p, cores = prepare(df, "y", [], "id"), spark.sparkContext.defaultParallelism
+    assert p.train.rdd.getNumPartitions() >= cores and p.test.rdd.getNumPartitions() >= cores
+    assert (p.n_train, p.train.count(), p.test.count()) == (320, 320, 80) and p.train.select("weight").distinct().count() == 2
+    forest = M.forest()
+    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode(), forest.getCacheNodeIds()) == (650, 30, 2, True)
