@@ -2,8 +2,8 @@
 
 Statistics are fitted on the training rows only and kept as model state:
 
-* median (FE2) is exact and distributed: the two middle order statistics via
-  ``rows_at`` (Spark's exact ``median`` gathers a whole column in one
+* median (FE2) is exact and distributed: the two middle order statistics out
+  of a counted bracket (Spark's exact ``median`` gathers a whole column in one
   buffer, ``percentile_approx`` is the cheaper option at scale);
 * most frequent value (FE3): group counts, ties -> smallest value;
 * standard scaling (FE4): mean and *population* std, zero std -> 1;
@@ -14,6 +14,7 @@ Statistics are fitted on the training rows only and kept as model state:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopcast.operators.ordering import rows_at
+from shopcast.operators.ordering import running_totals
 
 MAX_CATEGORIES = 10_000
 
@@ -50,20 +51,54 @@ def split_by_type(schema: T.StructType, exclude: Sequence[str] = ()) -> tuple[li
     return num, cat
 
 
-def exact_medians(df: DataFrame, cols: Sequence[str]) -> list[float | None]:
+def exact_medians(df: DataFrame, cols: Sequence[str], slack: float = 3e-3) -> list[float | None]:
     """Exact medians (two middle values, interpolated) of several columns; nulls and NaN ignored.
 
-    All columns go through ``rows_at`` together as (column number, value): one
-    pass brackets the middles, one counts the values inside the brackets.
+    ``df`` should be materialised: one aggregation finds columns of one value, one brackets the middle of every other,
+    one counts the values below and up to the brackets (a bracket of one value is the median), and the last
+    counts the values inside.  A bracket that misses is widened, so the result is exact.
     """
     if not cols:
         return []
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), number(F.col(c)).alias("v")) for i, c in enumerate(cols)]))
-    values = df.select(pairs.alias("x")).select("x.f", "x.v").filter(F.col("v").isNotNull())
-    middle = rows_at(values, ["f"], ["v"], 0.5, lambda n: F.floor((n - 1) / 2), lambda n: F.floor(n / 2))
-    found = {r["f"]: (r["a"] + r["b"]) / 2.0 for r in
-             middle.select("f", F.col("first.k0").alias("a"), F.col("last.k0").alias("b")).collect()}  # a row per column
-    return [found.get(i) for i in range(len(cols))]
+    own = df.select([number(F.col(c)).alias(f"v{i}") for i, c in enumerate(cols)])
+    every = range(len(cols))
+    row = own.agg(*[a for i in every for a in (F.count(f"v{i}").alias(f"n{i}"), F.min(f"v{i}").alias(f"a{i}"), F.max(f"v{i}").alias(f"z{i}"))]).first()
+    n = [row[f"n{i}"] for i in every]
+    out: dict[int, float | None] = {i: row[f"a{i}"] for i in every if row[f"a{i}"] == row[f"z{i}"]}
+    while len(out) < len(cols):
+        left = [i for i in every if i not in out]
+        whole = [i for i in left if n[i] * slack < 3 or slack >= 0.5]      # a bracket of a few ranks would miss by rounding
+        part = [i for i in left if i not in whole]
+        ends, reach = {i: (row[f"a{i}"], row[f"z{i}"]) for i in whole}, {i: (0, n[i]) for i in whole}
+        if part:
+            sides = F.array(F.lit(0.5 - slack), F.lit(0.5 + slack))
+            found = own.agg(*[F.percentile_approx(f"v{i}", sides, 1000).alias(f"q{i}") for i in part]).first()
+            ends |= {i: tuple(found[f"q{i}"]) for i in part}
+            sums = own.agg(*[a for i in part for a in (F.count_if(F.col(f"v{i}") < ends[i][0]).alias(f"b{i}"),
+                                                       F.count_if(F.col(f"v{i}") <= ends[i][1]).alias(f"u{i}"))]).first()
+            reach |= {i: (sums[f"b{i}"], sums[f"u{i}"]) for i in part}
+        middles = {i: ((n[i] - 1) // 2, n[i] // 2) for i in left}
+        hit = [i for i in left if reach[i][0] <= middles[i][0] and middles[i][1] < reach[i][1]]
+        out |= {i: ends[i][0] for i in hit if ends[i][0] == ends[i][1]}
+        out |= _inside(own, {i: (*ends[i], *(m - reach[i][0] for m in middles[i])) for i in hit if i not in out})
+        slack *= 16
+    return [out[i] for i in every]
+
+
+def _inside(own: DataFrame, brackets: dict[int, tuple[float, float, int, int]]) -> dict[int, float]:
+    """Mean of the values at two positions of each column's bracket (least, greatest, positions from 0 inside it)."""
+    if not brackets:
+        return {}
+    held = F.array(*[F.when(F.col(f"v{i}").between(lo, hi), F.struct(F.lit(i).alias("f"), F.col(f"v{i}").alias("v")))
+                     for i, (lo, hi, _, _) in brackets.items()])
+    counts = (own.select(F.explode(F.array_compact(held)).alias("x")).groupBy("x.f", "x.v").agg(F.count(F.lit(1)).alias("n")))
+    ranked = running_totals(counts, "v", ["n"], classes=["f"])
+
+    def at(which: int) -> Column:
+        place = reduce(lambda c, i: c.when(F.col("f") == i, brackets[i][which]), list(brackets)[1:],
+                       F.when(F.col("f") == next(iter(brackets)), brackets[next(iter(brackets))][which]))
+        return F.min(F.when(F.col("cum_n") > place, F.col("v")))
+    return {r["f"]: (r["a"] + r["b"]) / 2.0 for r in ranked.groupBy("f").agg(at(2).alias("a"), at(3).alias("b")).collect()}  # a row per column
 
 
 def exact_median(df: DataFrame, col: str) -> float | None:

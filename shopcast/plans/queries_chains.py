@@ -55,7 +55,7 @@ def q_module1_metrics(spark, sf):
     """M1 training run: temporal split of the product-day table, balanced logistic, E9."""
     from shopcast.plans.modules import evaluate, fit_and_score
     target, exclude = _m1_exclude()
-    _, scores, p = fit_and_score(_m1_split(spark, sf), target, exclude, "stock_code")
+    _, scores, p = fit_and_score(_m1_split(spark, sf), target, exclude, "stock_code", stored=True)
     return round_doubles(evaluate(scores, p))
 
 
@@ -81,14 +81,14 @@ M4_EXCLUDE = [c for c in growth.M4_DROP if c != growth.TARGET]
 def q_module4_champion(spark, sf):
     """M4 training run: (store, week) 80/20 split, logistic vs forest by AP (ML5, E4)."""
     from shopcast.plans.modules import champion, compare_models
-    return round_doubles(champion(compare_models(_m4_split(spark, sf), growth.TARGET, M4_EXCLUDE, "store_id")[0]))
+    return round_doubles(champion(compare_models(_m4_split(spark, sf), growth.TARGET, M4_EXCLUDE, "store_id", stored=True)[0]))
 
 
 @query("module4_report")
 def q_module4_report(spark, sf):
     """M4 per-class reports of both models and the majority baseline (E8, ML6)."""
     from shopcast.plans.modules import compare_models
-    return round_doubles(compare_models(_m4_split(spark, sf), growth.TARGET, M4_EXCLUDE, "store_id")[1])
+    return round_doubles(compare_models(_m4_split(spark, sf), growth.TARGET, M4_EXCLUDE, "store_id", stored=True)[1])
 
 
 @query("train_class_weights")
@@ -107,7 +107,7 @@ def _m1_bundle(spark, sf):
     target, exclude = _m1_exclude()
     path = scratch_dir(spark, "m1-bundle")
     split = _m1_split(spark, sf)
-    save_bundle(bundle(split, target, exclude, "stock_code"), path)
+    save_bundle(bundle(split, target, exclude, "stock_code", stored=True), path)
     return load_bundle(path), split
 
 

@@ -28,7 +28,7 @@ PRODUCT_CAT = ["plan_id", "business_category_slug"]
 @query("impute_median")
 def q_impute_median(spark, sf):
     """FE2 fitted state: exact median of each numeric product column."""
-    model = FE.MedianImputer(inputCols=PRODUCT_NUM).fit(product_facts(spark, sf))
+    model = FE.MedianImputer(inputCols=PRODUCT_NUM).fit(product_facts(spark, sf).select(PRODUCT_NUM).checkpoint(eager=True))
     vals = model.getOrDefault(model.values)
     rows = [(c, float(v) if v is not None else None) for c, v in zip(PRODUCT_NUM, vals)]
     return round_doubles(spark.createDataFrame(rows, "feature string, median double"))
@@ -96,7 +96,7 @@ def q_impute_transform(spark, sf):
 def _train_and_score(spark, sf, estimator):
     from shopcast.plans.modules import fit_and_score
     sp, _, _ = _session_split(spark, sf)
-    return fit_and_score(sp, "label", [*M3_DROP, M3_TARGET], "ga_session_id", estimator)
+    return fit_and_score(sp, "label", [*M3_DROP, M3_TARGET], "ga_session_id", estimator, stored=True)
 
 
 @query("train_logistic")

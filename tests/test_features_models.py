@@ -149,3 +149,30 @@ def test_learners_use_every_core(spark):
     assert (p.n_train, p.train.count(), p.test.count()) == (320, 320, 80) and p.train.select("weight").distinct().count() == 2
     forest = M.forest()
     assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode(), forest.getCacheNodeIds()) == (650, 30, 2, True)
+
+
+def test_medians_of_all_columns_out_of_brackets(spark):
+    """Constants, ties over the middle, infinities, nulls and NaN, even and odd counts, wide tables: against a plain median."""
+    rng = np.random.default_rng(3)
+    n = 30001
+    cols = {"const": np.full(n, 7.0), "ties": rng.integers(0, 3, n).astype(float), "real": rng.normal(size=n), "skew": np.exp(5 * rng.normal(size=n)),
+            "gap": np.where(np.arange(n) % 2 == 0, 1.0, 1e9), "inf": np.where(rng.random(n) < 0.6, np.inf, 1.0), "nan": np.where(rng.random(n) < 0.5, np.nan, rng.normal(size=n)),
+            "none": np.full(n, np.nan)}
+    import pandas as pd
+    df = spark.createDataFrame(pd.DataFrame(cols)).repartition(4).checkpoint()
+    for table, rows in ((df, slice(None)), (df.filter("const > 8"), slice(0, 0))):
+        want = [None if not len(v := x[rows][~np.isnan(x[rows])]) else float(np.median(v)) for x in cols.values()]
+        assert FE.exact_medians(table, list(cols)) == want
+    assert FE.exact_medians(df, list(cols), slack=1e-3) == FE.exact_medians(df, list(cols), slack=0.6) == FE.exact_medians(df, list(cols))
+
+
+def test_prepare_writes_stored_rows_once(spark, monkeypatch):
+    """A materialised split table is not written again, and weights come with the vectors; a train row without label stays out."""
+    from shopcast.plans.modules import prepare
+    df = spark.range(300).select("id", (F.col("id") % 7).cast("double").alias("x"), F.when(F.col("id") != 1, (F.col("id") % 7 > 3).cast("int")).alias("y"),
+                                 F.when(F.col("id") % 5 == 0, "test").otherwise("train").alias("split")).checkpoint()
+    written, plain = [], type(df).checkpoint
+    monkeypatch.setattr(type(df), "checkpoint", lambda self, *a, **k: written.append(self.columns) or plain(self, *a, **k))
+    p = prepare(df, "y", [], "id", stored=True)
+    assert [c for c in written if "x" in c] == [] and sum("features" in c for c in written) == 1
+    assert p.n_train == p.train.count() == 239 and "weight" not in p.test.columns and p.train.filter("weight is null").isEmpty()
