@@ -8,10 +8,14 @@ Viterbi recursion over positions, then the way back.  Characters without a piece
 become byte pieces.
 
 The words of the code book are the most frequent ones, at most ``book_words``,
-counted over the whole corpus; a worker process builds its lookup of them once.  Rarer words
+counted over the whole corpus.  Rarer words
 and words over ``longest_word`` characters go through the same recursion inside
 the task, so every text is encoded whole and alike.
 
+Inside tasks words are cut in columns: the class of every character (letter,
+space, other) from one table, a cut wherever the pattern ``WORD`` has one.  The
+words stay slices of the text; only the different ones of some 8 MB of text are counted or looked up.
+
 On ties the piece that starts first wins.  The segmentation is the one of
 highest total score.  A table made by merges (its scores are ranks) has a
 segmentation of its own, in merge order: ``fold="merges"`` folds the same
@@ -27,10 +31,10 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame
@@ -43,6 +47,7 @@ SPACE = "▁"
 WORD = SPACE + r"*[^\p{L}" + SPACE + r"]*\p{L}*"
 UNKNOWN = -1
 BROADCAST_PIECES = 1 << 18      # a larger piece table is joined as Spark chooses
+SIDE_BY_SIDE = 64               # longer words are folded one by one
 
 
 @dataclass(frozen=True)
@@ -164,42 +169,114 @@ def ids_between(word: Column, bounds: Column, edges: Column, vocab: Vocabulary)
     return let(F.struct(bounds.alias("bounds"), ids.alias("ids")), listed)
 
 
+OTHER, LETTER, BLANK = range(3)
+
+
+@lru_cache(maxsize=1)
+def character_classes() -> np.ndarray:
+    """Class of every code point: a letter, a space (or U+2581), or another."""
+    found = np.full(0x110000, OTHER, np.uint8)
+    for m in regex.finditer(r"\p{L}+", np.arange(len(found), dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")):
+        found[m.start():m.end()] = LETTER
+    found[[ord(" "), ord(SPACE)]] = BLANK
+    return found
+
+
+def _ends(words: pa.StringArray) -> np.ndarray:
+    """Where each word begins in the array's bytes, and the end."""
+    return np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1]
+
+
+def cut_words(texts: pa.Array) -> tuple[pa.StringArray, np.ndarray]:
+    """The words (``WORD``) of all texts behind each other, spaces as they stand, and the number of the first word of each text and of the end.
+
+    Every text that is not empty gets a space in front; null and empty texts have no words.
+    """
+    given = pc.fill_null(texts.cast(pa.string()), "")
+    joined = pc.if_else(pc.equal(pc.binary_length(given), 0), "", pc.binary_join_element_wise("", given, " "))
+    _, ends, held = joined.buffers()
+    borders = np.frombuffer(ends, np.int32)[:len(joined) + 1] if len(joined) else np.zeros(1, np.int32)
+    if borders[-1] == 0:
+        return pa.array([], pa.string()), np.zeros(len(joined) + 1, np.int64)
+    raw, classes = np.frombuffer(held, np.uint8)[:borders[-1]], character_classes()
+    kind = classes[:256][raw]
+    leads = np.flatnonzero(raw >= 0xC0)
+    for size, low, high in ((2, 0xC0, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0x100)):
+        at = leads[(raw[leads] >= low) & (raw[leads] < high)]
+        point = (raw[at] & (0x7F >> size)).astype(np.int32)
+        for i in range(1, size):
+            point = point << 6 | raw[at + i] & 0x3F
+        for i in range(size):               # bytes that go on are of their character's class, so no cut parts them
+            kind[at + i] = classes[point]
+    cuts = np.zeros(len(raw) + 1, bool)
+    cuts[1:-1] = (kind[1:] == BLANK) & (kind[:-1] != BLANK) | (kind[1:] == OTHER) & (kind[:-1] == LETTER)
+    cuts[borders] = True
+    starts = np.flatnonzero(cuts).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), held), np.searchsorted(starts, borders)
+
+
+def portions(texts: pa.Array, size: int = 1 << 23) -> Iterator[pa.Array]:
+    """The texts in order, some ``size`` bytes at a time; a longer one is whole, too."""
+    before = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // size
+    borders = [0, *(np.flatnonzero(np.diff(before)) + 1).tolist(), len(texts)]
+    for i, j in zip(borders[:-1], borders[1:], strict=True):
+        if j > i:
+            yield texts.slice(i, j - i)
+
+
 PACKED = "bucket int, words binary, ends binary, counts binary"
 
 
-def _packed(words: Counter, longest_word: int, buckets: int) -> pa.RecordBatch:
-    """Counted words as one row a bucket (of their CRC): the words' bytes behind each other, where each ends, their counts."""
-    own = [w for w in words if 0 < len(w) <= longest_word]
-    raw = [w.encode() for w in own]
-    bucket = np.fromiter(map(crc32, raw), np.uint32, len(raw)) % buckets
-    order = np.argsort(bucket, kind="stable")
-    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))[order])
-    joined = b"".join([raw[i] for i in order])
-    counts = np.fromiter((words[w] for w in own), np.int64, len(own))[order]
-    firsts = np.nonzero(np.diff(bucket[order], prepend=-1))[0].tolist()
+def _buckets(words: pa.StringArray, buckets: int) -> np.ndarray:
+    """Bucket of each word, by a polynomial in its bytes."""
+    ends = _ends(words)
+    raw = np.frombuffer(words.buffers()[2], np.uint8)[ends[0]:ends[-1]].astype(np.uint64) + np.uint64(1)
+    sizes = np.diff(ends)
+    powers = np.cumprod(np.full(sizes.max(), 0x9E3779B97F4A7C15, np.uint64))
+    raw *= powers[np.arange(len(raw), dtype=np.int32) - np.repeat(ends[:-1] - ends[0], sizes)]
+    mixed = np.add.reduceat(raw, ends[:-1] - ends[0]) * np.uint64(0xD6E8FEB86659FD93)
+    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _packed(words: Counter | pa.Table, longest_word: int, buckets: int) -> pa.RecordBatch:
+    """Counted words, or a table of them (word, count), as one row a bucket: the words' bytes behind each other, where each ends, their counts."""
+    if not isinstance(words, pa.Table):
+        words = pa.table({"word": pa.array(list(words), pa.string()), "count": pa.array(list(words.values()), pa.int64())})
+    size = pc.utf8_length(words["word"])
+    words = words.filter(pc.and_(pc.greater(size, 0), pc.less_equal(size, longest_word))).combine_chunks()
     rows = []
-    for i, j in zip(firsts, [*firsts, len(own)][1:], strict=True):
-        at = int(ends[i - 1]) if i else 0
-        rows.append((int(bucket[order[i]]), joined[at:int(ends[j - 1])], (ends[i:j] - at).astype(np.int32).tobytes(), counts[i:j].tobytes()))
+    if len(words):
+        bucket = _buckets(words["word"].chunk(0), buckets)
+        order = np.argsort(bucket, kind="stable")
+        bucket, words = bucket[order], words.take(order).combine_chunks()
+        own, counts = words["word"].chunk(0), words["count"].to_numpy()
+        offsets, joined = _ends(own), own.buffers()[2].to_pybytes()
+        firsts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+        for i, j in zip(firsts, [*firsts, len(own)][1:], strict=True):
+            rows.append((int(bucket[i]), joined[offsets[i]:offsets[j]], (offsets[i + 1:j + 1] - offsets[i]).tobytes(), counts[i:j].tobytes()))
     kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
     columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["bucket", "words", "ends", "counts"])
 
 
-def _summed(batches: Iterator[pa.RecordBatch], waiting_rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _added(tables: list[pa.Table]) -> pa.Table:
+    """(word, count) with every word once."""
+    summed = pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("count", "sum")])
+    return summed.select(["word", "count_sum"]).rename_columns(["word", "count"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch], waiting_rows: int = 1 << 20, least_rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     """(word, count) of packed rows sorted by bucket.
 
-    A bucket's words are added up at its end, and before whenever as many wait as would double them (``waiting_rows`` at least).
+    Words are added up at the end of a bucket with which ``least_rows`` wait, and before whenever as many wait as would double
+    them (``waiting_rows`` at least).
     """
     bucket, waiting, size, limit = None, [], 0, waiting_rows
-
-    def added() -> pa.Table:
-        return pa.concat_tables(waiting).group_by("word").aggregate([("count", "sum")]).select(["word", "count_sum"]).rename_columns(["word", "count"])
     for batch in batches:
         of, *packed = batch.columns
         for row, b in enumerate(of.to_pylist()):
-            if b != bucket and waiting:
-                yield from added().to_batches(max_chunksize=1 << 16)
+            if b != bucket and size >= least_rows:
+                yield from _added(waiting).to_batches(max_chunksize=1 << 16)
                 waiting, size, limit = [], 0, waiting_rows
             bucket = b
             words, ends, counts = (c[row].as_buffer() for c in packed)
@@ -208,44 +285,35 @@ def _summed(batches: Iterator[pa.RecordBatch], waiting_rows: int = 1 << 20) -> I
             waiting.append(pa.table({"word": word, "count": pa.array(np.frombuffer(counts, np.int64))}))
             size += len(word)
             if size >= limit:
-                waiting = [added()]
+                waiting = [_added(waiting)]
                 size = len(waiting[0])
                 limit = max(waiting_rows, 2 * size)
     if waiting:
-        yield from added().to_batches(max_chunksize=1 << 16)
+        yield from _added(waiting).to_batches(max_chunksize=1 << 16)
 
 
 def word_counts(docs: DataFrame, text: str, longest_word: int, held: int = 1 << 19, buckets: int = 4096) -> DataFrame:
-    """(word, count) of the words of up to ``longest_word`` characters; a task adds up ``held`` different ones before it sends them.
+    """(word, count) of the words of up to ``longest_word`` characters.
 
-    Where a text has single spaces only, its space-separated words are counted whole and the different ones split afterwards.
-    Words travel packed, a row for each bucket, and a bucket's words are added up in one task.  Spark hands rows to Python by
-    number, so ``buckets`` is high enough for some 3 kB a row.
+    Each portion of texts is counted as a column; a task adds the portions' counts up when over ``held`` wait, and sends them if
+    over half as many are left.  Words travel packed, a row for each bucket, and a bucket's words are added up in one task.
+    Spark hands rows to Python by number, so ``buckets`` is high enough for some 3 kB a row.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = regex.compile(WORD).findall
-        spaced, words = Counter(), Counter()
-
-        def sent() -> pa.RecordBatch:
-            for whole, n in spaced.items():
-                for w in split(SPACE + whole):
-                    words[w] += n
-            packed = _packed(words, longest_word, buckets)
-            spaced.clear()
-            words.clear()
-            return packed
+        waiting, rows = [], 0
         for batch in batches:
-            for value in batch.column(0):
-                given = value.as_py()
-                if given:
-                    parts = given.split(" ")
-                    if SPACE in given or "" in parts:
-                        words.update(split(SPACE + given.replace(" ", SPACE)))
-                    else:
-                        spaced.update(parts)
-                    if len(spaced) + len(words) > held:
-                        yield sent()
-        yield sent()
+            for texts in portions(batch.column(0)):
+                found = cut_words(texts)[0].value_counts()
+                waiting.append(pa.table({"word": pc.replace_substring(found.field(0), " ", SPACE), "count": found.field(1)}))
+                rows += len(found)
+                if rows > held:
+                    waiting = [_added(waiting)]
+                    rows = len(waiting[0])
+                    if rows > held // 2:
+                        yield _packed(waiting[0], longest_word, buckets)
+                        waiting, rows = [], 0
+        if waiting:
+            yield _packed(_added(waiting), longest_word, buckets)
     packed = docs.select(F.col(text).alias("text")).mapInArrow(run, PACKED)
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_summed, "word string, count long")
 
@@ -270,30 +338,6 @@ def code_book(docs: DataFrame, text: str, vocab: Vocabulary, fold: str = "viterb
     return paths.select("word", best_ids(F.col("word"), F.col("nodes"), vocab).alias("ids"))
 
 
-class Book:
-    """The code book as it is broadcast; a worker process unpacks it once, at the first lookup."""
-
-    def __init__(self, table: pa.Table):
-        self.table, self._unpacked = table, None
-
-    def __getstate__(self) -> dict:
-        return {"table": self.table, "_unpacked": None}
-
-    def unpacked(self) -> tuple[dict[str, bytes], dict[str, bytes]]:
-        """Ids of the words behind one space (without it) and of all others."""
-        if self._unpacked is None:
-            spaced, other = {}, {"": b""}
-            for part in self.table.to_batches():
-                ids, ends = part.column("ids").values.to_numpy(), part.column("ids").offsets.to_numpy()
-                for w, a, b in zip(part.column("word").to_pylist(), ends[:-1], ends[1:], strict=True):
-                    if w[0] == SPACE:
-                        spaced[w[1:]] = ids[a:b].tobytes()
-                    else:
-                        other[w] = ids[a:b].tobytes()
-            self._unpacked, self.table = (spaced, other), None
-        return self._unpacked
-
-
 def beginnings(pieces: dict[str, tuple[int, float]]) -> dict[str, tuple[int, float, bool]]:
     """Every beginning of a piece with id and score (UNKNOWN if it is no piece) and whether a longer piece begins with it."""
     longer = {p[:i] for p in pieces for i in range(1, len(p))}
@@ -331,6 +375,94 @@ def fold_word(word: str, begun: dict[str, tuple[int, float, bool]], byte_ids: tu
     return out
 
 
+class Beginnings:
+    """The beginnings of all pieces as columns: each is reached from the one that is a character shorter."""
+
+    def __init__(self, pieces: dict[str, tuple[int, float]]):
+        begun = beginnings(pieces)
+        number = {"": 0} | {b: i for i, b in enumerate(begun, 1)}
+        keys = np.array([number[b[:-1]] * 0x110000 + ord(b[-1]) for b in begun], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.reached = np.append(keys[order], np.iinfo(np.int64).max), np.append(order + 1, 0)
+        self.ids = np.array([UNKNOWN, *(i for i, _, _ in begun.values())], np.int32)
+        self.scores = np.array([0.0, *(s for _, s, _ in begun.values())])
+        self.longer = np.array([True, *(more for _, _, more in begun.values())])
+
+    def step(self, at: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """The beginnings one character on; 0 if there is none."""
+        key = at * 0x110000 + points
+        place = np.searchsorted(self.keys, key)
+        return np.where(self.keys[place] == key, self.reached[place], 0)
+
+
+def fold_words(words: pa.StringArray, begun: Beginnings, byte_ids: tuple[int, ...], unknown: float) -> pa.ListArray:
+    """``fold_word`` for many words, none of them empty, side by side.
+
+    Characters stand by position, then by word, longest word first, so those of a position are one stretch.  The node behind
+    character c is ``n + c``, the n nodes before them are the words' beginnings.
+    """
+    if not len(words):
+        return pa.array([], pa.list_(pa.int32()))
+    n, ends = len(words), _ends(words)
+    text = words.buffers()[2].to_pybytes()[ends[0]:ends[-1]].decode()
+    points, sizes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64), pc.utf8_length(words).to_numpy()
+    order = np.argsort(-sizes, kind="stable")
+    first, size = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    live = np.searchsorted(-size, -np.arange(size[0] + 1), side="left")        # words with a character at each position
+    base = np.concatenate(([0], np.cumsum(live[:-1])))
+    chars = np.concatenate([points[first[:k] + i] for i, k in enumerate(live[:-1])])
+    position = np.repeat(np.arange(size[0]), live[:-1])
+    word = np.arange(len(chars)) - base[position]
+    after = np.where(word < live[position + 1], base[position + 1] + word, -1)
+
+    start = end = np.arange(len(chars))
+    at, levels = np.zeros(len(chars), np.int64), []
+    while len(start):
+        at = begun.step(at, chars[end])
+        known = begun.ids[at] != UNKNOWN
+        if not levels:                          # a character that is no piece becomes its bytes
+            levels.append((start, end + n, begun.ids[at], np.where(known, begun.scores[at], unknown)))
+        else:
+            levels.append((start[known], end[known] + n, begun.ids[at[known]], begun.scores[at[known]]))
+        on = np.flatnonzero((at > 0) & begun.longer[at] & (after[end] >= 0))
+        start, end, at = start[on], after[end[on]], at[on]
+
+    score = np.full(n + len(chars), -1e300)
+    score[:n] = 0.0
+    origin, label = np.zeros(len(score), np.int64), np.full(len(score), UNKNOWN, np.int32)
+    bounds = [np.searchsorted(level[0], base).tolist() for level in levels]
+    for i in range(size[0]):
+        before = n + base[i - 1] - base[i] if i else 0
+        for level, bound in zip(levels, bounds, strict=True):
+            a, b = bound[i], bound[i + 1]
+            if a < b:
+                start, end, ids, gains = (column[a:b] for column in level)
+                reached = score[start + before] + gains
+                better = np.flatnonzero(reached > score[end])
+                end = end[better]
+                score[end], origin[end], label[end] = reached[better], start[better] + before, ids[better]
+
+    node, steps = n + base[size - 1] + np.arange(n), []
+    word = order
+    while len(node):
+        steps.append((word, node))
+        node = origin[node]
+        on = node >= n
+        node, word = node[on], word[on]
+    word, node = (np.concatenate(column[::-1]) for column in zip(*steps, strict=True))
+    node = node[np.argsort(word, kind="stable")]
+    ids, point = label[node], chars[node - n]
+    width = np.where(ids == UNKNOWN, 1 + (point >= 0x80) + (point >= 0x800) + (point >= 0x10000), 1)
+    behind = np.cumsum(width)
+    out, raw_ids = np.repeat(ids, width), np.array(byte_ids, np.int32)
+    spelt = np.flatnonzero(ids == UNKNOWN)
+    if len(spelt):
+        raw = np.frombuffer(point[spelt].astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
+        out[out == UNKNOWN] = raw_ids[raw]
+    firsts = np.concatenate(([0], np.cumsum(np.bincount(np.sort(word), minlength=n))))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, behind)[firsts], pa.int32()), pa.array(out, pa.int32()))
+
+
 def merge_word(word: str, pieces: dict[str, tuple[int, float]], byte_ids: tuple[int, ...]) -> list[int]:
     """Merge order for one word: neighbours are joined, best score first, leftmost on ties.
 
@@ -360,51 +492,63 @@ def merge_word(word: str, pieces: dict[str, tuple[int, float]], byte_ids: tuple[
     return [i for p in parts if p is not None for i in ((pieces[p][0],) if p in pieces else [byte_ids[b] for b in p.encode()])]
 
 
+def coder(book: pa.Table, vocab: Vocabulary, fold: str = "viterbi", cached_words: int = 1 << 16) -> Callable[[pa.Array], pa.ListArray]:
+    """The function from texts to their ids: the different words of a portion are looked up in the book (word, ids) or folded.
+
+    Viterbi folds words of up to ``SIDE_BY_SIDE`` characters together; the others and merges go word by word.
+    """
+    begun, unknown, byte_ids = beginnings(vocab.pieces), vocab.unknown_score, vocab.byte_ids
+    columns = Beginnings(vocab.pieces)
+    cache: dict[str, bytes] = {}
+    empty = pa.array([], pa.list_(pa.int32()))
+    known = pa.concat_arrays([pa.array([], pa.string()), *book["word"].cast(pa.string()).chunks])
+    lists = pa.concat_arrays([empty, *book["ids"].cast(empty.type).chunks])
+
+    def folded(word: str) -> bytes:
+        found = cache.get(word)
+        if found is None:
+            ids = merge_word(word, vocab.pieces, byte_ids) if fold == "merges" else fold_word(word, begun, byte_ids, unknown)
+            found = array("i", ids).tobytes()
+            if len(cache) >= cached_words:
+                cache.clear()
+            cache[word] = found
+        return found
+
+    def coded(texts: pa.Array) -> pa.ListArray:
+        words, firsts = cut_words(texts)
+        different = words.dictionary_encode()
+        own = pc.replace_substring(different.dictionary, " ", SPACE)
+        place = pc.index_in(own, value_set=known)
+        missing, row = place.is_null().to_numpy(zero_copy_only=False), pc.fill_null(place, 0).to_numpy().copy()
+        together = missing & (pc.utf8_length(own).to_numpy() <= SIDE_BY_SIDE) & (fold != "merges")
+        alone, together = np.flatnonzero(missing & ~together), np.flatnonzero(together)
+        blocks = [fold_words(own.take(pa.array(together[i:i + (1 << 15)])), columns, byte_ids, unknown) for i in range(0, len(together), 1 << 15)]
+        bytes_alone = [folded(w) for w in own.take(pa.array(alone)).to_pylist()]
+        ends = np.cumsum([0, *map(len, bytes_alone)]) // 4
+        singles = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(bytes_alone), np.int32)))
+        ids = pa.concat_arrays([lists, *blocks, singles])
+        row[together] = len(known) + np.arange(len(together))
+        row[alone] = len(known) + len(together) + np.arange(len(alone))
+        at = row[different.indices.to_numpy()]
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.diff(ids.offsets.to_numpy())[at], dtype=np.int64)))
+        return pa.ListArray.from_arrays(pa.array(ends[firsts], pa.int32()), ids.take(pa.array(at)).flatten())
+    return lambda texts: pa.concat_arrays([empty, *map(coded, portions(texts))])
+
+
 def encode(docs: DataFrame, model_file: str, text: str = "text", out: str = "ids", fold: str = "viterbi",
            cached_words: int = 1 << 16, **book) -> DataFrame:
     """Add the piece ids of a text column to every row; ``fold`` is ``viterbi`` or ``merges``.
 
-    Where a text has single spaces only, its space-separated words are looked
-    up whole first; a word that is not in the book is split and folded, and a
-    task remembers ``cached_words`` of those.
+    Words that are not in the book are folded in the task; of those folded one by one it remembers ``cached_words``.
     """
     vocab = vocabulary(model_file)
-    shared = docs.sparkSession.sparkContext.broadcast(Book(code_book(docs, text, vocab, fold, **book).toArrow().combine_chunks()))
-    pieces, byte_ids, unknown = vocab.pieces, vocab.byte_ids, vocab.unknown_score
+    shared = docs.sparkSession.sparkContext.broadcast(code_book(docs, text, vocab, fold, **book).toArrow().combine_chunks())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spaced, other = shared.value.unpacked()
-        begun = beginnings(pieces)
-        split = regex.compile(WORD).findall
-        cache: dict[str, bytes] = {}
-
-        def one(word: str) -> bytes:
-            found = spaced.get(word[1:]) if word[:1] == SPACE else other.get(word)
-            if found is None:
-                ids = merge_word(word, pieces, byte_ids) if fold == "merges" else fold_word(word, begun, byte_ids, unknown)
-                found = array("i", ids).tobytes()
-            return found
-
-        def remembered(word: str) -> bytes:
-            found = cache.get(word)
-            if found is None:
-                if len(cache) >= cached_words:
-                    cache.clear()
-                found = cache[word] = b"".join([one(w) for w in split(SPACE + word)])
-            return found
-
-        def coded(value: str) -> bytes:
-            if not value:
-                return b""
-            words = value.split(" ")
-            if SPACE in value or "" in words:
-                return b"".join([one(w) for w in split(SPACE + value.replace(" ", SPACE))])
-            return b"".join([remembered(w) if p is None else p for w, p in zip(words, map(spaced.get, words), strict=True)])
+        code = coder(shared.value, vocab, fold, cached_words)
         for batch in batches:
-            rows = [np.frombuffer(coded(v.as_py()), np.int32) for v in batch.column(batch.schema.get_field_index(text))]
-            offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
-            values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, out])
+            ids = code(batch.column(batch.schema.get_field_index(text)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out])
     shape = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
     return docs.mapInArrow(run, shape)
 

@@ -1,8 +1,12 @@
 """Piece encoding against the library's own Viterbi on the same table, the in-task fold, and exact round trips."""
 
+import random
+import time
 from collections import Counter
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+import regex
 import sentencepiece
 from pyspark.sql import functions as F
 
@@ -112,3 +116,54 @@ def test_packed_words_add_up_bucket_by_bucket():
         got = [(r["word"], r["count"]) for b in found for r in b.to_pylist()]
         assert len(got) == len(want) and dict(got) == dict(want)
     assert list(pieces._summed(iter([]))) == []
+
+
+ODD = "▁▁    aeiouthndrsABé日本ß𐍈²،ภा.,!=-0123\n\t\0"
+
+
+def test_words_are_cut_as_the_pattern_cuts():
+    """Columns of odd texts, slices and nulls among them, against the pattern text by text, whatever the portions."""
+    rng = random.Random(1)
+    for _ in range(100):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choices(ODD, k=rng.randint(0, 30))) for _ in range(rng.randint(0, 20))]
+        skip = rng.randint(0, len(texts))
+        got = []
+        for portion in pieces.portions(pa.array(texts, pa.string()).slice(skip), rng.choice((1, 50, 1 << 23))):
+            words, firsts = pieces.cut_words(portion)
+            got += [[w.replace(" ", "▁") for w in words[i:j].to_pylist()] for i, j in zip(firsts[:-1], firsts[1:], strict=True)]
+        assert got == [[w for w in regex.findall(pieces.WORD, "▁" + t.replace(" ", "▁")) if w] if t else [] for t in texts[skip:]]
+
+
+def test_words_folded_side_by_side_equal_single_folds():
+    vocab = pieces.vocabulary(tokenizer_file())
+    unknown = vocab.unknown_score
+    rng, known = random.Random(1), list(vocab.pieces)
+    words = ["".join(rng.choices(ODD, k=rng.randint(1, 20))) for _ in range(3000)] + ["".join(rng.choices(known, k=rng.randint(1, 4))) for _ in range(3000)] + ["a" * 64]
+    begun, columns = pieces.beginnings(vocab.pieces), pieces.Beginnings(vocab.pieces)
+    got = pieces.fold_words(pa.array(words)[1:], columns, vocab.byte_ids, unknown).to_pylist()
+    assert got == [pieces.fold_word(w, begun, vocab.byte_ids, unknown) for w in words[1:]]
+    assert len(pieces.fold_words(pa.array([], pa.string()), columns, vocab.byte_ids, unknown)) == 0
+
+
+def test_coding_costs_less_than_a_lookup_word_by_word():
+    """Most words in the book, others folded: under half the CPU of splitting, looking up and folding them one by one."""
+    vocab = pieces.vocabulary(tokenizer_file())
+    unknown = vocab.unknown_score
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].combine_chunks()[:1000]
+    counts = pieces.cut_words(texts)[0].value_counts()
+    begun, split = pieces.beginnings(vocab.pieces), regex.compile(pieces.WORD).findall
+    ids = {w: pieces.fold_word(w, begun, vocab.byte_ids, unknown)
+           for w, n in ((r["values"].replace(" ", "▁"), r["counts"]) for r in counts.to_pylist()) if n > 4}
+    code = pieces.coder(pa.table({"word": pa.array(list(ids), pa.string()), "ids": pa.array(list(ids.values()), pa.list_(pa.int32()))}), vocab)
+    pieces.character_classes()
+    began = time.process_time()
+    got = code(texts)
+    took, began, want = time.process_time() - began, time.process_time(), []
+    for t in texts.to_pylist():
+        own = []
+        for w in split("▁" + t.replace(" ", "▁")) if t else []:
+            found = ids.get(w)
+            own += found if found is not None else pieces.fold_word(w, begun, vocab.byte_ids, unknown)
+        want.append(own)
+    assert got.to_pylist() == want
+    assert took < (time.process_time() - began) / 2, (took, time.process_time() - began)
