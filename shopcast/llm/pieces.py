@@ -14,7 +14,7 @@ the task, so every text is encoded whole and alike.
 
 Inside tasks words are cut in columns: the class of every character (letter,
 space, other) from one table, a cut wherever the pattern ``WORD`` has one.  The
-words stay slices of the text; only the different ones of some 8 MB of text are counted or looked up.
+words stay slices of the text; only the different ones of some 4 MB of text are counted or looked up.
 
 On ties the piece that starts first wins.  The segmentation is the one of
 highest total score.  A table made by merges (its scores are ranks) has a
@@ -215,7 +215,7 @@ def cut_words(texts: pa.Array) -> tuple[pa.StringArray, np.ndarray]:
     return pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), held), np.searchsorted(starts, borders)
 
 
-def portions(texts: pa.Array, size: int = 1 << 23) -> Iterator[pa.Array]:
+def portions(texts: pa.Array, size: int = 1 << 22) -> Iterator[pa.Array]:
     """The texts in order, some ``size`` bytes at a time; a longer one is whole, too."""
     before = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // size
     borders = [0, *(np.flatnonzero(np.diff(before)) + 1).tolist(), len(texts)]
@@ -522,7 +522,7 @@ def coder(book: pa.Table, vocab: Vocabulary, fold: str = "viterbi", cached_words
         missing, row = place.is_null().to_numpy(zero_copy_only=False), pc.fill_null(place, 0).to_numpy().copy()
         together = missing & (pc.utf8_length(own).to_numpy() <= SIDE_BY_SIDE) & (fold != "merges")
         alone, together = np.flatnonzero(missing & ~together), np.flatnonzero(together)
-        blocks = [fold_words(own.take(pa.array(together[i:i + (1 << 15)])), columns, byte_ids, unknown) for i in range(0, len(together), 1 << 15)]
+        blocks = [fold_words(own.take(pa.array(together[i:i + (1 << 14)])), columns, byte_ids, unknown) for i in range(0, len(together), 1 << 14)]
         bytes_alone = [folded(w) for w in own.take(pa.array(alone)).to_pylist()]
         ends = np.cumsum([0, *map(len, bytes_alone)]) // 4
         singles = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(bytes_alone), np.int32)))
