@@ -13,16 +13,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopcast.operators.cleaning import align_columns
+from shopcast.operators.forest import TaskForest
 from shopcast.operators.ordering import few_rows
 
-#: MB of node statistics a task of the forest holds at once.
+#: MB of node statistics a task of Spark's own forest learner holds at once.
 FOREST_MB = 512
 
 
@@ -70,15 +71,15 @@ def logistic(features_col: str = "features", label: str = "label", weight: str =
 
 
 def forest(features_col: str = "features", label: str = "label", weight: str = "weight",
-           trees: int = 650, depth: int = 30, seed: int = 42) -> RandomForestClassifier:
+           trees: int = 650, depth: int = 30, seed: int = 42) -> TaskForest:
     """ML3 estimator: 650 trees, at least 2 rows a leaf, depth as far as Spark goes (30).
 
-    ``maxMemoryInMB`` sets how many nodes one pass over the rows splits, and with ``cacheNodeIds`` each row keeps
-    its node of every tree, so a pass ships no trees and walks none; neither changes which splits are found.
+    Trees grow in tasks and stay there.  ``maxMemoryInMB`` and ``cacheNodeIds`` are for Spark's own learner, which takes over for
+    a table too large for a task: how many nodes a pass over the rows splits, and that each row keeps its node of every tree.
     """
-    return RandomForestClassifier(featuresCol=features_col, labelCol=label, weightCol=weight,
-                                  numTrees=trees, minInstancesPerNode=2, maxDepth=depth, maxMemoryInMB=FOREST_MB,
-                                  cacheNodeIds=True, featureSubsetStrategy="sqrt", seed=seed)
+    return TaskForest(featuresCol=features_col, labelCol=label, weightCol=weight,
+                      numTrees=trees, minInstancesPerNode=2, maxDepth=depth, maxMemoryInMB=FOREST_MB,
+                      cacheNodeIds=True, featureSubsetStrategy="sqrt", seed=seed)
 
 
 def over_cores(df: DataFrame) -> DataFrame:
