@@ -21,6 +21,7 @@ import hashlib
 import json
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -167,130 +168,139 @@ def firsts(x: np.ndarray) -> np.ndarray:
 
 
 class Statistics:
-    """How a row's draws count: draws a class with one weight a class, or else weights a class and the draws beside them."""
+    """How a row's draws count: draws a class with one weight a class, or else weights a class and the draws beside them.
+
+    Statistics are lists of arrays, one array a class (and one of draws).
+    """
 
     def __init__(self, y: np.ndarray, w: np.ndarray, classes: int):
         least, most = np.full(classes, np.inf), np.full(classes, -np.inf)
         np.minimum.at(least, y, w)
         np.maximum.at(most, y, w)
         self.classes, self.plain = classes, bool(np.all(least >= most))
-        self.scale = np.where(np.isfinite(least), least, 0.0)[:, None] if self.plain else np.ones((classes, 1))
-
-    def of_rows(self, y: np.ndarray, w: np.ndarray, draws: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.classes + (not self.plain), len(y)))
-        out[y, np.arange(len(y))] = draws if self.plain else draws * w
-        if not self.plain:
-            out[-1] = draws
-        return out
+        self.scale = np.where(np.isfinite(least), least, 0.0).tolist() if self.plain else [1.0] * classes
 
-    def draws(self, stat: np.ndarray) -> np.ndarray:
-        return stat.sum(axis=0) if self.plain else stat[-1]
+    def of_rows(self, y: np.ndarray, w: np.ndarray, draws: np.ndarray) -> list[np.ndarray]:
+        worth = draws.astype(float) if self.plain else draws * w
+        out = [np.where(y == k, worth, 0.0) for k in range(self.classes)]
+        return out if self.plain else [*out, draws.astype(float)]
 
-    def weights(self, stat: np.ndarray) -> np.ndarray:
-        return stat[:self.classes] * self.scale
+    def draws(self, stat: list[np.ndarray]) -> np.ndarray:
+        return reduce(np.add, stat) if self.plain else stat[-1]
 
+    def weights(self, stat: list[np.ndarray]) -> list[np.ndarray]:
+        return [s * k if k != 1.0 else s for s, k in zip(stat, self.scale, strict=False)]
 
-def purity(weights: np.ndarray) -> np.ndarray:
-    """Sum of squares over the sum: the more, the less impure by Gini."""
-    total = weights.sum(axis=0)
-    return np.divide((weights * weights).sum(axis=0), total, out=np.zeros_like(total), where=total > 0)
+    def purity(self, stat: list[np.ndarray]) -> np.ndarray:
+        """Sum of squared weights over their sum: the more, the less impure by Gini."""
+        own = self.weights(stat)
+        total = reduce(np.add, own)
+        squares = reduce(np.add, [x * x for x in own])
+        return np.divide(squares, total, out=np.zeros_like(total), where=total > 0)
 
 
-def best_cuts(node: np.ndarray, bins: np.ndarray, stat: np.ndarray, total: np.ndarray, kind: Statistics, width: int, least: int):
+def best_cuts(node: np.ndarray, bins: np.ndarray, stat: list[np.ndarray], total: list[np.ndarray], kind: Statistics, bits: int, least: int):
     """Of each node that has an allowed cut of one feature: (node, purity of both sides, cut, statistics of the left side).
 
-    ``node`` never decreases.  Only bins that a node's rows have are looked at: counted densely if that is
+    ``node`` never decreases, a bin has ``bits`` bits.  Only bins that a node's rows have are looked at: counted densely if that is
     little beside the rows, else by sorting.
     """
-    nodes, key = total.shape[1], node * width + bins
-    if nodes * width <= 2 * len(key):
-        sums = np.stack([np.bincount(key, weights=s, minlength=nodes * width) for s in stat])
+    cells, key = len(total[0]) << bits, (node << bits) | bins
+    if cells <= 2 * len(key):
+        sums = [np.bincount(key, weights=s, minlength=cells) for s in stat]
         at = np.flatnonzero(kind.draws(sums))
-        left = np.cumsum(sums[:, at], axis=1)
+        left = [np.cumsum(s.take(at)) for s in sums]
     else:
         shift = int(len(key)).bit_length()
-        packed = np.sort((key << shift) | np.arange(len(key)))
+        packed = (key << shift) | np.arange(len(key))
+        packed.sort()
         seen, place = packed >> shift, packed & ((1 << shift) - 1)
-        ends = np.concatenate([np.flatnonzero(seen[1:] != seen[:-1]), [len(seen) - 1]])
-        at, left = seen[ends], np.cumsum(stat[:, place], axis=1)[:, ends]
-    owner = at // width
-    left -= (np.cumsum(total, axis=1) - total)[:, owner]
+        ends = np.append(np.flatnonzero(seen[1:] != seen[:-1]), len(seen) - 1)
+        at, left = seen.take(ends), [np.cumsum(s.take(place)).take(ends) for s in stat]
+    owner = at >> bits
+    left = [x - (np.cumsum(t) - t).take(owner) for x, t in zip(left, total, strict=True)]
     here = kind.draws(left)
-    allowed = np.flatnonzero((here >= least) & (kind.draws(total)[owner] - here >= max(least, 1)))
-    owner, left = owner[allowed], left[:, allowed]
-    score = purity(kind.weights(left)) + purity(np.maximum(kind.weights(total[:, owner] - left), 0.0))
+    allowed = np.flatnonzero((here >= least) & (kind.draws(total).take(owner) - here >= max(least, 1)))
+    owner, left = owner.take(allowed), [x.take(allowed) for x in left]
     starts = firsts(owner)
     if not len(starts):
-        return owner, score, owner, left
+        return owner, np.empty(0), owner, left
+    score = kind.purity(left) + kind.purity([np.maximum(t.take(owner) - x, 0.0) for x, t in zip(left, total, strict=True)])
     best = np.maximum.reduceat(score, starts)
-    top = np.flatnonzero(score == np.repeat(best, np.diff(np.append(starts, len(owner)))))
-    top = top[firsts(owner[top])]
-    return owner[top], best, at[allowed[top]] % width, left[:, top]
+    top = np.flatnonzero(score == np.repeat(best, np.diff(starts, append=len(owner))))
+    top = top.take(firsts(owner.take(top)))
+    return owner.take(top), best, at.take(allowed.take(top)) & ((1 << bits) - 1), [x.take(top) for x in left]
 
 
-def grow(bins: np.ndarray, y: np.ndarray, w: np.ndarray, count: np.ndarray, classes: int, width: int, size: int, depth: int, least: int,
+def grow(bins: np.ndarray, y: np.ndarray, w: np.ndarray, count: np.ndarray, bits: int, size: int, depth: int, least: int,
          min_gain: float, rng: np.random.Generator, kind: Statistics):
     """One tree over rows with counts: (feature, cut, first child or 0, weights a class) of its nodes, level by level.
 
-    The second child is the next node; a row goes to the first one if its bin is at most the cut.  ``width`` is the most bins of
-    a feature, ``size`` the features looked at in a node.
+    The second child is the next node; a row goes to the first one if its bin is at most the cut.  ``bits`` hold a bin, ``size`` is
+    the number of features looked at in a node.  Rows stay in the order of their nodes, and only those of nodes that may be split are kept.
     """
+    features = bins.shape[1]
     draws = rng.poisson(count)
     keep = np.flatnonzero(draws)
-    x, stat = bins[keep], kind.of_rows(y[keep], w[keep], draws[keep])
-    node, total = np.zeros(len(keep), dtype=np.int64), stat.sum(axis=1, keepdims=True)
-    levels: list[list[np.ndarray]] = []
-    made, level = 1, 0
-    nodes = total                                                   # statistics of this level's nodes, open ones or not
-    while True:
-        weights = kind.weights(nodes)
-        n = nodes.shape[1]
+    x = np.zeros((len(keep), -(-features // 8) * 8), dtype=np.uint8)
+    x[:, :features] = bins[keep]
+    x = x.view(np.uint64)
+    stat = kind.of_rows(y[keep], w[keep], draws[keep])
+    nodes = [np.array([s.sum()]) for s in stat]                     # statistics of this level's nodes, open ones or not
+    to = np.zeros(len(keep), dtype=np.int64)                        # this level's node of each row
+    levels, made = [], 1
+    for level in range(depth + 1):
+        weights, n = kind.weights(nodes[:kind.classes]), len(nodes[0])
         feature, cut, child = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.uint8), np.zeros(n, dtype=np.int64)
-        levels.append([feature, cut, child, weights])
-        if level == depth or not len(node):
-            break
-        is_open = (kind.draws(nodes) >= 2 * least) & ((weights > 0).sum(axis=0) > 1)
+        levels.append((feature, cut, child, np.stack(weights)))
+        is_open = (kind.draws(nodes) >= 2 * least) & (reduce(np.add, [(v > 0).astype(int) for v in weights]) > 1)
         of_open = np.flatnonzero(is_open)
-        if not len(of_open):
-            break
-        if len(of_open) < n:
-            stay = np.flatnonzero(is_open[node])
-            x, stat, node = x[stay], stat[:, stay], (np.cumsum(is_open) - 1)[node[stay]]
-        total, flat, at = nodes[:, of_open], x.reshape(-1), np.arange(len(node)) * x.shape[1]
         m = len(of_open)
-        chosen = subsets(rng, m, x.shape[1], size)
-        best, best_left = np.full(m, -np.inf), np.zeros_like(total)
+        if level == depth or not m:
+            break
+        number = np.full(n + 1, -1)                                 # the last one is for rows of no node
+        number[of_open] = np.arange(m)
+        to = number.take(to)
+        stay = np.flatnonzero(to >= 0)
+        shift = int(len(to)).bit_length()
+        packed = (to.take(stay) << shift) | stay
+        packed.sort()
+        node, place = packed >> shift, packed & ((1 << shift) - 1)
+        x, stat, total = x.take(place, axis=0), [s.take(place) for s in stat], [t.take(of_open) for t in nodes]
+        flat = x.view(np.uint8).reshape(-1)
+        at = np.arange(len(node)) * (x.shape[1] * 8)
+        chosen = subsets(rng, m, features, size)
+        best, best_left = np.full(m, -np.inf), [np.zeros(m) for _ in total]
         best_feature, best_cut = np.zeros(m, dtype=np.int64), np.zeros(m, dtype=np.int64)
-        for slot in range(size):
-            own = chosen[:, slot]
-            who, score, c, left = best_cuts(node, flat[at + own[node]], stat, total, kind, width, least)
-            more = score > best[who]
-            who = who[more]
-            best[who], best_cut[who], best_feature[who], best_left[:, who] = score[more], c[more], own[who], left[:, more]
-        whole = kind.weights(total)
-        gain = (best - purity(whole)) / np.maximum(whole.sum(axis=0), 1e-300)
+        for own in chosen.T:
+            own = np.ascontiguousarray(own)
+            who, score, c, left = best_cuts(node, flat.take(at + own.take(node)), stat, total, kind, bits, least)
+            more = np.flatnonzero(score > best.take(who))
+            who = who.take(more)
+            best[who], best_cut[who], best_feature[who] = score.take(more), c.take(more), own.take(who)
+            for held, new in zip(best_left, left, strict=True):
+                held[who] = new.take(more)
+        whole = reduce(np.add, kind.weights(total[:kind.classes]))
+        gain = (best - kind.purity(total)) / np.maximum(whole, 1e-300)
         split = np.flatnonzero((gain > LEAST_GAIN) & (gain >= min_gain))
         if not len(split):
             break
-        feature[of_open[split]], cut[of_open[split]] = best_feature[split], best_cut[split]
-        child[of_open[split]] = made + 2 * np.arange(len(split))
-        nodes = np.empty((total.shape[0], 2 * len(split)))
-        nodes[:, 0::2], nodes[:, 1::2] = best_left[:, split], total[:, split] - best_left[:, split]
-        right = flat[at + best_feature[node]] > best_cut[node]
-        order = np.full(m, -1)
-        order[split] = np.arange(len(split))
-        next_node = 2 * order[node] + right
-        shift = int(len(node)).bit_length()
-        moved = np.flatnonzero(next_node >= 0)
-        packed = np.sort((next_node[moved] << shift) | moved)
-        place = packed & ((1 << shift) - 1)
-        x, stat, node = x[place], stat[:, place], packed >> shift
+        parents = of_open.take(split)
+        feature[parents], cut[parents], child[parents] = best_feature.take(split), best_cut.take(split), made + 2 * np.arange(len(split))
+        nodes = [np.empty(2 * len(split)) for _ in total]
+        for new, held, t in zip(nodes, best_left, total, strict=True):
+            new[0::2] = held.take(split)
+            new[1::2] = t.take(split) - new[0::2]
+        first = np.full(m, -1)
+        first[split] = 2 * np.arange(len(split))
+        first = first.take(node)
+        right = flat.take(at + best_feature.take(node)) > best_cut.take(node)
+        to = np.where(first >= 0, first + right, -1)
         made += 2 * len(split)
-        level += 1
     return reduced(levels)
 
 
-def reduced(levels: list[list[np.ndarray]]):
+def reduced(levels: list[tuple[np.ndarray, ...]]):
     """The nodes of all levels in one; two leaves with one parent and one prediction are merged into it, from below upwards."""
     sizes = [len(f) for f, _, _, _ in levels]
     start = np.concatenate([[0], np.cumsum(sizes)])
@@ -381,7 +391,8 @@ class TaskForest(RandomForestClassifier):
         features, spark = self.getFeaturesCol(), dataset.sparkSession
         label = F.col(self.getLabelCol()).cast("int")
         weight = F.col(self.getWeightCol()).cast("double") if self.isSet(self.weightCol) and self.getWeightCol() else F.lit(1.0)
-        size = dataset.agg(F.max(label).alias("top"), F.count(F.lit(1)).alias("n"), F.count_if((label >= 0) & (weight >= 0)).alias("valid")).first()
+        valid = (label >= 0) & (label == F.col(self.getLabelCol())) & (weight >= 0)
+        size = dataset.agg(F.max(label).alias("top"), F.count(F.lit(1)).alias("n"), F.count_if(valid).alias("valid")).first()
         if not size["n"] or size["valid"] < size["n"]:
             raise ValueError(f"a forest learns from rows with labels 0, 1, .. and weights of 0 or more; {size['valid']} of {size['n']} rows have them")
         classes = max(2, size["top"] + 1)
@@ -393,7 +404,7 @@ class TaskForest(RandomForestClassifier):
             return None
         trees, seed = self.getNumTrees(), self.getSeed() % 2 ** 63
         groups = min(trees, 4 * spark.sparkContext.defaultParallelism)
-        settings = (classes, max(map(len, cuts)) + 1, math.ceil(math.sqrt(width)), self.getMaxDepth(), self.getMinInstancesPerNode(), self.getMinInfoGain())
+        settings = (max(map(len, cuts)).bit_length(), math.ceil(math.sqrt(width)), self.getMaxDepth(), self.getMinInstancesPerNode(), self.getMinInfoGain())
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -68,14 +68,15 @@ def inner(node):
 def test_cuts_of_all_nodes_against_plain_search(plain):
     """Counted densely and sorted: the best allowed cut of each node, for one weight a class and for any weights."""
     rng = np.random.default_rng(5)
-    for nodes, width, n in ((3, 4, 200), (40, 32, 200), (1, 2, 9), (50, 3, 60)):
+    for nodes, bits, n in ((3, 2, 200), (40, 5, 200), (1, 1, 9), (50, 2, 60)):
+        width = 2 ** bits
         node, bins, y = np.sort(rng.integers(0, nodes, n)), rng.integers(0, width, n), rng.integers(0, 3, n)
         w = np.array([0.5, 1.0, 2.0])[y] if plain else rng.choice([0.25, 0.5, 3.0], n)
         draws, kind = rng.integers(1, 4, n), W.Statistics(y, w, 3)
         assert kind.plain == plain
         stat = kind.of_rows(y, w, draws)
-        total = np.stack([np.bincount(node, weights=s, minlength=nodes) for s in stat])
-        who, score, at_bin, _ = W.best_cuts(node, bins, stat, total, kind, width, 2)
+        total = [np.bincount(node, weights=s, minlength=nodes) for s in stat]
+        who, score, at_bin, _ = W.best_cuts(node, bins, stat, total, kind, bits, 2)
         got, cut = dict(zip(who.tolist(), score.tolist(), strict=True)), dict(zip(who.tolist(), at_bin.tolist(), strict=True))
         for v in range(nodes):
             at, want = node == v, {}
@@ -93,15 +94,15 @@ def test_rows_that_agree_count_as_often_as_they_are():
     x, y, n = np.array([[0], [1], [1]], dtype=np.uint8), np.array([0, 1, 0], dtype=np.int32), np.array([500, 400, 100])
     kind, sums = W.Statistics(y, np.ones(3), 2), []
     for t in range(200):
-        feature, cut, child, weights = W.grow(x, y, np.ones(3), n, 2, 2, 1, 30, 2, 0.0, np.random.default_rng(t), kind)
+        feature, cut, child, weights = W.grow(x, y, np.ones(3), n, 1, 1, 30, 2, 0.0, np.random.default_rng(t), kind)
         assert child.tolist() == [1, 0, 0] and weights[:, 1:].sum() == weights[:, 0].sum()
         sums.append(weights[:, 2])
     assert np.mean(sums, axis=0) == pytest.approx([100, 400], rel=0.03) and np.var(sums, axis=0) == pytest.approx([100, 400], rel=0.4)
     rng = np.random.default_rng(0)
     x, y = rng.integers(0, 16, (500, 3)).astype(np.uint8), rng.integers(0, 2, 500)
     kind = W.Statistics(y, np.ones(500), 2)
-    assert len(W.grow(x, y, np.ones(500), np.ones(500, dtype=int), 2, 16, 2, 3, 2, 0.0, rng, kind)[0]) <= 15
-    _, _, child, weights = W.grow(x, y, np.ones(500), np.ones(500, dtype=int), 2, 16, 2, 30, 2, 0.0, rng, kind)
+    assert len(W.grow(x, y, np.ones(500), np.ones(500, dtype=int), 4, 2, 3, 2, 0.0, rng, kind)[0]) <= 15
+    _, _, child, weights = W.grow(x, y, np.ones(500), np.ones(500, dtype=int), 4, 2, 30, 2, 0.0, rng, kind)
     assert weights[:, child == 0].sum(axis=0).min() >= 2
     says = weights.argmax(axis=0)
     first = child[child > 0]
@@ -128,7 +129,8 @@ def test_saved_forest_and_odd_rows(spark, rows, tmp_path):
         spark.createDataFrame([(0, -9.0, 1e9, float("nan"), 0.0, 3.0), (1, float("inf"), None, 4.0, 1.0, 7.0)], "id long, a double, b double, c double, d double, e double"))
     assert all(0 <= p <= 1 for p in probabilities(model, odd).values()) and len(probabilities(model, odd)) == 2
     assert model.transform(odd.filter("id > 5")).count() == 0
-    for bad in (rows.withColumn("label", F.when(F.col("id") > 3, F.col("label"))), rows.withColumn("label", -F.col("label")), rows.filter("id < 0")):
+    for bad in (rows.withColumn("label", F.when(F.col("id") > 3, F.col("label"))), rows.withColumn("label", -F.col("label")),
+                rows.withColumn("label", F.col("label") / 2), rows.filter("id < 0")):
         with pytest.raises(ValueError):
             M.forest(trees=5).fit(bad)
     assert isinstance(M.forest(trees=5, depth=3).setImpurity("entropy").fit(rows), RandomForestClassificationModel)
@@ -140,3 +142,11 @@ def test_too_large_a_table_is_left_to_sparks_learner(rows, monkeypatch):
     assert isinstance(model, RandomForestClassificationModel)
     s = M.positive_probability(model.transform(rows)).select(F.col("p1").alias("score"), "label")
     assert E.curve_areas(E.score_counts(s).checkpoint()).first()["roc_auc"] > 0.7
+
+
+def test_report_grows_its_forest_in_tasks(spark, monkeypatch):
+    """module4_report without Spark's learner, whose passes over the rows took its time: all twelve rows, of one test set."""
+    import __spark_entry__
+    monkeypatch.setattr(RandomForestClassifier, "_fit", lambda *a: pytest.fail("Spark's learner"))
+    out = __spark_entry__.queries()["module4_report"](spark, "/root/testdata/sf0.001").collect()
+    assert len({(r["model"], r["class"]) for r in out}) == 12 and len({r["support"] for r in out if r["class"].endswith("avg")}) == 1
