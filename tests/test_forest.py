@@ -150,3 +150,11 @@ def test_report_grows_its_forest_in_tasks(spark, monkeypatch):
     monkeypatch.setattr(RandomForestClassifier, "_fit", lambda *a: pytest.fail("Spark's learner"))
     out = __spark_entry__.queries()["module4_report"](spark, "/root/testdata/sf0.001").collect()
     assert len({(r["model"], r["class"]) for r in out}) == 12 and len({r["support"] for r in out if r["class"].endswith("avg")}) == 1
+
+
+def test_session_forest_grows_in_tasks(spark, monkeypatch):
+    """train_forest without Spark's learner: every test session is scored once, and better than by chance."""
+    import __spark_entry__
+    monkeypatch.setattr(RandomForestClassifier, "_fit", lambda *a: pytest.fail("Spark's learner"))
+    r = __spark_entry__.queries()["train_forest"](spark, "/root/testdata/sf0.01").first()
+    assert r["tn"] + r["fp"] + r["fn"] + r["tp"] == r["n_test"] == pytest.approx(0.2 * 4006, abs=1) and 0.6 < r["roc_auc"] < 1
