@@ -419,7 +419,8 @@ class TaskForest(RandomForestClassifier):
                 x, y, w, n = x[order], y[order], w[order], n[order]
                 kind = Statistics(y, w, classes)
                 for t in range(g, trees, groups):
-                    tree = pack_tree(grow(x, y, w, n, *settings, np.random.default_rng([seed, t]), kind))
+                    rng = np.random.default_rng(np.random.SeedSequence(seed, spawn_key=(t,)))
+                    tree = pack_tree(grow(x, y, w, n, *settings, rng, kind))
                     yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([t], pa.int32()), *[pa.array([b], pa.binary()) for b in tree]],
                                                      ["g", "tree", *TREE])
 
